@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, license_scan, media
-from .common import read
+from . import bpe, chat, langid, license_scan, media, mixing, near_dedup, token_ledger
+from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,43 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger's life over all documents: totals by source, language and tokenizer version.
+
+    Estimates (a quarter of n_chars) are inserted, then revised to exact counts; one tokenizer version is inserted and
+    wholly deleted, another inserted; every batch is sent twice, as after a lost acknowledgement.
+    """
+    docs = read(spark, sf_dir, "documents")
+    estimate = F.floor(F.coalesce(F.col("n_chars"), F.lit(0)) / 4)
+    ledger = token_ledger.TokenLedger(spark, shared_dir(spark, "ledger"))
+    batches = [
+        ("1-estimates", token_ledger.inserts(token_ledger.counted(docs, "words-1", estimate))),
+        ("2-exact", token_ledger.revisions(docs, "words-1", estimate)),
+        ("3-alnum", token_ledger.inserts(token_ledger.counted(docs, "alnum-1"))),
+        ("4-chars", token_ledger.inserts(token_ledger.counted(docs, "chars-1"))),
+        ("5-retire-alnum", token_ledger.deletes(token_ledger.counted(docs, "alnum-1"))),
+    ]
+    for _ in range(2):
+        for batch_id, changes in batches:
+            ledger.commit(batch_id, changes)
+    return ledger.totals()
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat.digest(chat.format_conversations(rows.unionByName(extra)))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read(spark, sf_dir, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(read(spark, sf_dir, "documents")))
 
@@ -34,9 +72,69 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op3_bpe, op9_media, op10_language_id)
+    own = (op1_license_scan, op3_bpe, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
     return {f.__name__: f for f in own}
 
 
+_WORD_COUNT = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+
+_OP5 = f"""
+SELECT source, lang, version, sum(documents)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM (
+  SELECT source, lang, 'words-1' AS version, 1 AS documents, {_WORD_COUNT} AS tokens FROM documents
+  UNION ALL SELECT source, lang, 'chars-1', 1, coalesce(length(text), 0) FROM documents
+) GROUP BY ALL"""
+
+_OP6 = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *, length(role) + length(text) + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+    + 3 * (length(role || text) - length(replace(role || text, '<', '')))
+    + 4 * (length(role || text) - length(replace(role || text, '[', '')))
+    + 4 * (length(role || text) - length(replace(role || text, ']', ''))) + 12 AS formatted FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(formatted)::BIGINT AS formatted_chars
+FROM measured GROUP BY conv_id"""
+
+_OP7 = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, {_WORD_COUNT}::BIGINT AS size FROM documents
+), each_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, 1.5 * sum(source_size) OVER () AS budget FROM each_source
+), level(step, value) AS (
+  SELECT 0, (SELECT max(budget) / sum(weight) FROM weighed)
+  UNION ALL
+  SELECT step + 1, (SELECT (max(budget) - coalesce(sum(2.0 * source_size) FILTER (WHERE 2.0 * source_size < value * weight), 0))
+    / sum(weight) FILTER (WHERE 2.0 * source_size >= value * weight) FROM weighed)
+  FROM level WHERE step < (SELECT count(*) FROM weighed)
+), targets AS (
+  SELECT source, source_size, round(least(2.0 * source_size, weight * (SELECT max(value) FROM level)), 6)::DOUBLE AS target FROM weighed
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT AS h, floor(ln(size + 1) * 4)::BIGINT AS class FROM sized
+), ranked AS (
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY class, h % (SELECT greatest(1, ceil(count(*) / {mixing.GROUP_ROWS}.0))::BIGINT FROM sized), h, d.doc_id, d.size) AS place,
+    ('0x' || substr(md5('offset:' || coalesce(t.source, '')), 1, 7))::BIGINT / 268435456.0::DOUBLE AS start
+  FROM hashed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), ways AS (
+  SELECT *, (k + start) / {mixing.OFFSETS} AS shift FROM ranked, range({mixing.OFFSETS}) AS r(k)
+), crossed AS (
+  SELECT *, (floor(place * rate + shift) - floor((place - 1) * rate + shift))::BIGINT AS copies FROM ways
+), chosen AS (
+  SELECT source, arg_min(k, (off, k)) AS k FROM (
+    SELECT source, k, abs(sum(copies * size) - max(target)) AS off FROM crossed GROUP BY source, k) GROUP BY source
+)
+SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken
+FROM crossed c JOIN chosen w ON c.source IS NOT DISTINCT FROM w.source AND c.k = w.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose results SQL can express."""
+    return {"op5_token_counts": _OP5, "op6_chat_format": _OP6, "op7_mixing": _OP7}
