@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, license_scan, media, mixing, near_dedup, token_ledger
+from . import bpe, chat, fingerprints, langid, license_scan, media, mixing, near_dedup, token_ledger
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger's life over all documents: totals by source, language and tokenizer version.
 
@@ -72,7 +76,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op3_bpe, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
+    own = (op1_license_scan, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
     return {f.__name__: f for f in own}
 
 
