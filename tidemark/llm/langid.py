@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_col, text_slices
 
-DIMS_BITS, ORDERS, SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 15, 4, 2048, 384, 1e-2, 8.0
+DIMS_BITS, ORDERS, SAMPLE, LANDMARKS, RIDGE, SHARPNESS = 15, 4, 1024, 256, 1e-2, 8.0
 DIMS = 1 << DIMS_BITS
 _LETTER = regex.compile(r"\p{L}").search
 _ODD = np.array([2654435761, 2246822519, 3266489917, 668265263], np.uint32)
@@ -45,6 +45,14 @@ def presence(text: str, into: np.ndarray) -> None:
         into[(code * _ODD[n] + np.uint32(n * 40503)) >> np.uint32(32 - DIMS_BITS)] = 1
 
 
+def _dense(grams: list[np.ndarray]) -> np.ndarray:
+    """Presence rows of unit length."""
+    out = np.zeros((len(grams), DIMS), np.float32)
+    for row, g in zip(out, grams, strict=True):
+        row[g] = 1 / np.sqrt(max(1, len(g)))
+    return out
+
+
 @dataclass
 class Model:
     """languages in code point order; weights: DIMS x languages."""
@@ -93,23 +101,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
             for t in texts:
                 row = np.zeros(DIMS, np.uint8)
                 presence(t, row)
-                found.append(np.flatnonzero(row).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "lang", "grams"])
+                found.append(np.flatnonzero(row).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["id", "lang", "grams"])
 
     known = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("id").isin(ids)) if ids else rows.limit(0).select(F.lit(0).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = sorted({(r["id"], r["lang"]): r["grams"] for r in known.mapInArrow(grams, "id long, lang string, grams array<int>").collect()}.items())
+    got = sorted({(r["id"], r["lang"]): np.frombuffer(r["grams"], np.int32) for r in known.mapInArrow(grams, "id long, lang string, grams binary").collect()}.items())
     if not got:
         return Model([], np.zeros((DIMS, 0), np.float32))
-    presences = np.zeros((len(got), DIMS), np.float32)
-    for row, (_, g) in zip(presences, got, strict=True):
-        row[g] = 1
-    presences /= np.maximum(np.sqrt(presences.sum(axis=1, keepdims=True)), 1)
     target = np.array([[float(k[1] == c) for c in languages] for k, _ in got])
-    step = max(1, len(got) // landmarks)
     # landmarks: every step-th row of those in order of language and id
-    order = sorted(range(len(got)), key=lambda i: (got[i][0][1], got[i][0][0]))[::step]
-    marks = presences[order]
-    k_nm, k_mm = (presences @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
+    order = sorted(range(len(got)), key=lambda i: (got[i][0][1], got[i][0][0]))[:: max(1, len(got) // landmarks)]
+    marks = _dense([got[i][1] for i in order])
+    k_nm = np.concatenate([_dense([g for _, g in got[at : at + 64]]) @ marks.T for at in range(0, len(got), 64)]).astype(np.float64)
+    k_mm = k_nm[order]
     share = 1 / np.maximum(target.sum(axis=0), 1)
     balance = (target @ share)[:, None] * len(got) / max(1, len(languages))
     system = k_nm.T @ (balance * k_nm) + RIDGE * len(got) / len(order) * k_mm + 1e-8 * np.eye(len(order))
