@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, langid, license_scan, media, mixing, near_dedup, token_ledger
+from . import bpe, chat, class_lm, fingerprints, langid, license_scan, media, mixing, near_dedup, token_ledger
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.license_scan(read(spark, sf_dir, "documents")))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
+    own = (op1_license_scan, op2_class_lm, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
     return {f.__name__: f for f in own}
 
 
