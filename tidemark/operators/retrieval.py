@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cosine_distance
-
+#: Queries that travel with one scan.
+BLOCK = 4096
 EQUALITIES = ("mmsi", "imo", "locode", "destination", "port_name", "vessel_type", "nav_status", "flag")
 
 
@@ -24,17 +29,42 @@ def metadata_filter(filters: dict[str, object]) -> Column:
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, item, distance): exact cosine top k of a stated, small query set against all rows.
+    """(query_id, rank, item, distance): exact cosine top k of a query set against all rows, ties by item.
 
-    The queries are gathered into one array that travels with the scan; each partition keeps k rows a query before the
-    shuffle, so at most partitions * queries * k rows move.
+    Queries go in blocks of at most BLOCK; a block travels with the scan of the corpus, is compared by matrix products,
+    and leaves k rows a query and Arrow batch, so the shuffle doesn't grow with the corpus times the queries.
     """
-    few = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col(vector).alias("v"))).alias("_queries"))
-    own = corpus.crossJoin(F.broadcast(few)).select(F.col(item_id), F.col(vector), F.spark_partition_id().alias("_p"), F.explode("_queries").alias("_q"))  # one row
-    scored = own.select(F.col("_q.q").alias(query_id), F.col(item_id), "_p", cosine_distance(F.col("_q.v"), F.col(vector)).alias("distance"))
-    order = [F.round("distance", 6), F.col(item_id)]
-    near = scored.withColumn("_r", F.row_number().over(Window.partitionBy(query_id, "_p").orderBy(*order))).filter(F.col("_r") <= k)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).filter(F.col("rank") <= k).select(query_id, "rank", item_id, "distance")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    keyed = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
+    found = [_near(keyed.filter(F.col("_block") == b), corpus, k, query_id, item_id, vector) for b in range(blocks)]
+    rows = reduce(DataFrame.unionByName, found)
+    order = Window.partitionBy(query_id).orderBy(F.round("distance", 6), item_id)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_id, "rank", item_id, "distance")
+
+
+def _near(block: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: str, vector: str) -> DataFrame:
+    """The k nearest of each batch of the corpus to each query of one block."""
+    own = block.select(F.col(query_id).cast("long"), vector).collect()
+    names, wanted = [r[0] for r in own], _unit(np.array([r[1] for r in own], np.float64)) if own else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(batch.column(1).is_valid())
+            if wanted is None or not rows.num_rows:
+                continue
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            far = 1 - wanted @ _unit(np.stack(rows.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
+            for name, line in zip(names, far, strict=True):
+                best = np.lexsort((ids, np.round(line, 6)))[:k]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int64()), pa.array(ids[best], pa.int64()), pa.array(line[best], pa.float64())], names=[query_id, item_id, "distance"])
+
+    return corpus.select(F.col(item_id).cast("long"), vector).mapInArrow(run, f"{query_id} long, {item_id} long, distance double")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; rows without length stay zero, at distance 1 from all."""
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(length > 0, length, 1)
 
 
 def merge_ranked(a: DataFrame, b: DataFrame, k: int, tie: str) -> DataFrame:
@@ -68,7 +98,7 @@ def port_day_chunks(days: DataFrame, proxy_days: DataFrame) -> DataFrame:
 
 def window_chunks(visits: DataFrame, width: int = 5) -> DataFrame:
     """Chunks of `width` consecutive visits of a port, with the two most common vessel types (ties by name)."""
-    n = F.row_number().over(Window.partitionBy("port_key").orderBy("arrival_time", "call_id"))
+    n = F.row_number().over(Window.partitionBy("port_key").orderBy("arrival_time", "call_id", "departure_time"))
     own = visits.withColumn("chunk", F.floor((n - 1) / width))
     kinds = own.groupBy("port_key", "chunk", "vessel_type_norm").agg(F.count("*").alias("k"))
     top = kinds.withColumn("r", F.row_number().over(Window.partitionBy("port_key", "chunk").orderBy(F.desc("k"), "vessel_type_norm"))).filter("r <= 2").groupBy("port_key", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "vessel_type_norm"))), lambda x: x["vessel_type_norm"]), ",").alias("top_types"))
