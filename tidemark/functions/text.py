@@ -31,5 +31,5 @@ def token_overlap(a: Column, b: Column, least: int = 4) -> Column:
 
 def ungrounded(answer: Column, evidence: Column) -> Column:
     """Whether the answer has capitalised tokens that the evidence lacks."""
-    tokens = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"\b[A-Z][A-Za-z0-9]{2,}\b"), F.lit(0)))
+    tokens = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit("[A-Z][A-Za-z0-9]{2,}"), F.lit(0)))
     return F.size(F.array_except(tokens(answer), tokens(evidence))) > 0

@@ -55,7 +55,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return b.join(other, "item_id").select("item_id", token_overlap(F.col("text"), F.col("other")).alias("relevance"))
 
 
-@register("ev1_ungrounded", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(text, '\\b[A-Z][A-Za-z0-9]{2,}\\b')) AS w FROM benchmark) SELECT a.item_id, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) > 0 AS ungrounded FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+@register("ev1_ungrounded", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]{2,}')) AS w FROM benchmark) SELECT a.item_id, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) > 0 AS ungrounded FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = read(spark, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
