@@ -21,9 +21,9 @@ def one_step(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def residual_std(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Sample deviation of residuals from three on, else population deviation of the values, else 0.15 * max(value, 1)."""
-    spread = one_step(rows, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_samp(F.col("value") - F.col("prediction")).alias("s"))
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("k"), F.stddev_pop("value").alias("p"), F.max("value").alias("m"))
-    std = F.when(F.col("n") >= 3, F.col("s")).when(F.col("k") > 1, F.col("p")).otherwise(0.15 * F.greatest("m", F.lit(1.0)))
+    spread = one_step(rows, keys).groupBy(*keys).agg(F.count("*").alias("_n"), F.stddev_samp(F.col("value") - F.col("prediction")).alias("_s"))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("_k"), F.stddev_pop("value").alias("_p"), F.max("value").alias("_m"))
+    std = F.when(F.col("_n") >= 3, F.col("_s")).when(F.col("_k") > 1, F.col("_p")).otherwise(0.15 * F.greatest("_m", F.lit(1.0)))
     return whole.join(spread, keys, "left").select(*keys, std.alias("residual_std"))
 
 

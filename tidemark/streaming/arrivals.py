@@ -21,8 +21,8 @@ def sessions(stream: DataFrame, time: str = "ts", gap: str = "30 minutes", late:
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), "mmsi").agg(F.count("*").alias("rows")).select("mmsi", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows")
 
 
-def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20) -> DataFrame:
-    """Far steps within a short time; the state of a vessel is its last position, and goes after six idle hours."""
+def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20, late: str = "2 hours") -> DataFrame:
+    """Far steps within a short time; the state of a vessel is its last position, and goes six hours (of the rows' time) after it."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,9 +40,9 @@ def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20) -> DataFra
             if last is None or at >= last[0]:
                 last = (at, float(lat), float(lon))
         state.update(last)
-        state.setTimeoutDuration(6 * 3600 * 1000)
+        state.setTimeoutTimestamp(max(int(last[0] * 1000), state.getCurrentWatermarkMs()) + 6 * 3600 * 1000)
         if out:
             yield pd.DataFrame(out, columns=["mmsi", "ts", "minutes", "jump_km"])
 
-    own = stream.select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "latitude", "longitude")
-    return own.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, ts timestamp, minutes double, jump_km double", "at double, lat double, lon double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = stream.select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "latitude", "longitude").withWatermark("ts", late)
+    return own.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, ts timestamp, minutes double, jump_km double", "at double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
