@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,56 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete, shared_dir, written
+
+__all__ = ["SPACE_CLASS", "delete", "fold", "fold_col", "lower_words", "read", "shared_dir", "text_slices", "written"]
+
 #: Code points that separate words in the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows and text bytes that one slice of an Arrow batch may hold, so a Python worker's memory stays bounded.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder, through Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors share.
-
-    Where the session leaves that setting unset (tests, local mode), the warehouse folder serves.
-    The folder goes when the driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system layer."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended, and its owner clears the folder
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: int | None, modulus: int) -> int:
     """crc32 of the id's decimal text, modulo modulus; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus

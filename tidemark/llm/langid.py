@@ -122,7 +122,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, and lang_pred and score, for every row. The model is of a bounded size and travels with the task."""
+    """All columns of docs, with lang_pred and score (which replace columns of these names), for every row.
+
+    The model is of a bounded size and travels with the task.
+    """
+    docs = docs.drop("lang_pred", "score")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

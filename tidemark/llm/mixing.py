@@ -60,10 +60,11 @@ def _with_sources(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFr
 
 
 def copies(sized: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of sized (id_col, source, size and others) with source_size, target and copies.
+    """Rows of sized (id_col, source, size and others) with source_size, target and copies, which replace columns of these names.
 
     sized should be a written table: it is read three times.
     """
+    sized = sized.drop("source_size", "target", "copies")
     sources = written(targets(sized), "mix-sources")
     found = sources.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     buckets = max(1, -(-(found["n"] or 0) // GROUP_ROWS))
@@ -108,8 +109,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents, each as often as the mix takes it. Only ids, sources and sizes are shuffled by the sampling."""
     chosen = copies(written(sized(docs, "doc_id"), "mix-sizes")).filter("copies > 0")
-    # rows that share an id are alike to the join: each gets the mean place of its id's copies
-    by_id = chosen.groupBy("doc_id").agg(F.sum("copies").alias("_sum"), F.count("*").alias("_n"))
-    times = docs.join(by_id.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    # rows that share an id share its copies out evenly
+    by_id = chosen.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_sum"), F.count("*").alias("_mix_n"))
+    times = docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["_mix_id"]))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return times.select("*", nth.alias("_nth")).selectExpr(*docs.columns, "explode(array_repeat(0, cast(_sum div _n + if(_nth <= _sum % _n, 1, 0) as int))) as _copy").drop("_copy")
+    each = times.withColumn("_mix_times", F.floor(F.col("_mix_sum") / F.col("_mix_n")) + F.when(nth <= F.col("_mix_sum") % F.col("_mix_n"), 1).otherwise(0))
+    return each.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times").cast("int")))).select(*[docs[c] for c in docs.columns])

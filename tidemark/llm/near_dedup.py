@@ -197,4 +197,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """The rows of docs whose id is its component's smallest; rows with a null id stay."""
     gone = written(near_duplicates(docs, id_col, text).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
