@@ -181,3 +181,32 @@ def test_stream(spark, tmp_path):
         query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         assert query.awaitTermination(60)
         assert spark.table(name).count() == {"jumps": 1, "hourly": 1, "sessions": 1}[name]  # the newest window is still open
+
+
+def test_build_from_raw(spark, tmp_path):
+    from tidemark.plans import build
+
+    visits = tmp_path / "visits.csv"
+    visits.write_text("portID,portName,portLocode,portArrival,portDeparture,vesselMMSI,vesselType\n1,Riga,LV RIX,2021-01-01T00:00:00.000Z,2021-01-02T00:00:00.000Z,7.0,Tanker\n1,Riga,LV RIX,2021-01-02T00:00:00.000Z,,8,\n")
+    points = tmp_path / "points.csv"
+    points.write_text("MMSI,TimePosition,Latitude,Longitude,Speed,Course,Destination,VesselType\n7,2021-01-01T01:00:00.000Z,57,24,0.1,1,LV RIX,Tanker\n7,2021-01-01T02:00:00.000Z,57,24,0.1,2,LV RIX,Tanker\n")
+    built = build.build_marts(spark, [str(visits), str(points)], str(tmp_path / "marts"))
+    assert built.capabilities["ports"] == 1 and built.capabilities["has_dwell"]
+    index = spark.read.parquet(str(tmp_path / "marts/congestion_daily")).orderBy("date").collect()
+    assert [(r["port_key"], r["arrivals_vessels"], r["congestion_index"]) for r in index] == [("LVRIX", 1, 2.0), ("LVRIX", 1, 1.0)]
+    own = files.positions_from_raw(files.read_feeds(spark, [str(points)])["positions"]).withColumn("event_id", F.monotonically_increasing_id())
+    assert len(build.build_inventory(own, files.visits_from_raw(files.read_feeds(spark, [str(visits)])["visits"]), str(tmp_path / "inventory"))) == 64
+    calls = spark.read.parquet(str(tmp_path / "inventory/calls")).collect()
+    assert [(c["call_id"], c["segments"]) for c in calls] == [("7_2021-01-01T00-00-00_LVRIX", 2)] and calls[0]["wtw_co2e_t"] > 0
+    with pytest.raises(ValueError):
+        other = tmp_path / "other.csv"
+        other.write_text("a,b\n1,2\n")
+        build.build_marts(spark, [str(other)], str(tmp_path / "none"))
+
+
+def test_findings(spark):
+    from tidemark.operators.findings import findings
+
+    rows = spark.createDataFrame([(dt.date(2022, 1, 1 + k), float(v)) for k, v in enumerate((10, 20, 40, 15, 18, 12))], "date date, v double")
+    got = {r["finding"]: (r["date"].day, r["value"]) for r in findings(rows, "date", "v").collect()}
+    assert got == {"highest": (3, 40.0), "lowest": (1, 10.0), "largest rise": (3, 20.0), "largest drop": (4, -25.0)}

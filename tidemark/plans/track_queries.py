@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import serialize
 from ..functions.clean import vessel_class
-from ..operators import emissions, forecast, marts, questions, trajectory
+from ..operators import emissions, findings, forecast, trajectory
 from ..registry import register
 from .views import CALLS, POS, positions, read, visits
 
@@ -277,3 +278,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = trajectory.lagged(positions(spark, d))
     return own.agg(F.round(F.percentile(F.abs("acceleration"), 0.99), 4).alias("acceleration_p99"), F.count("acceleration").alias("n"))
+
+
+@register("wi13_findings", f"""WITH {_ROWS}, d AS (SELECT timestamp_start::DATE AS date, round(sum(wtw_co2e_t), 6) AS v FROM segs GROUP BY ALL), c AS (SELECT *, round(v - lag(v) OVER (ORDER BY date), 6) AS ch FROM d)
+SELECT finding, date::VARCHAR AS date, round(value, 4) AS value FROM (
+  SELECT 'highest' AS finding, arg_min(date, (-v, date)) AS date, max(v) AS value FROM c UNION ALL SELECT 'lowest', arg_min(date, (v, date)), min(v) FROM c
+  UNION ALL SELECT 'largest rise', arg_min(date, (-ch, date)) FILTER (WHERE ch IS NOT NULL), max(ch) FROM c UNION ALL SELECT 'largest drop', arg_min(date, (ch, date)) FILTER (WHERE ch IS NOT NULL), min(ch) FROM c)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    days = _segments(spark, d).groupBy(F.to_date("timestamp_start").alias("date")).agg(F.round(F.sum("wtw_co2e_t"), 6).alias("v"))
+    return findings.findings(days, "date", "v").select("finding", F.col("date").cast("string").alias("date"), _r("value", 4))
+
+
+@register("ag27_uncertainty_summary", f"""WITH {_ROWS} SELECT 'wtw_co2e_t' AS metric, round(sum(wtw_co2e_t), 3) AS point, round(sum(greatest(0, wtw_co2e_t * (1 - 1.96 * rel_sigma))), 3) AS lower, round(sum(greatest(0, wtw_co2e_t * (1 + 1.96 * rel_sigma))), 3) AS upper FROM segs
+UNION ALL SELECT 'nox_kg', round(sum(nox_kg), 3), round(sum(greatest(0, nox_kg * (1 - 1.96 * rel_sigma))), 3), round(sum(greatest(0, nox_kg * (1 + 1.96 * rel_sigma))), 3) FROM segs""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = findings.uncertainty_summary(_segments(spark, d)).filter(F.col("metric").isin("wtw_co2e_t", "nox_kg"))
+    return own.select("metric", _r("point", 3), _r("lower", 3), _r("upper", 3))
+
+
+@register("ag35_filtered_count", "SELECT count(*)::BIGINT AS n, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE user_id = 8 ORDER BY event_id LIMIT 50)) AS ids FROM events WHERE user_id = 8")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = findings.filtered_count(positions(spark, d), F.col("mmsi") == 8, "event_id")
+    return own.select("n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@register("pr16_position_records", f"""WITH {POS} SELECT replace(replace(mmsi || '_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '_' || printf('%.5f', latitude) || '_' || printf('%.5f', longitude), ' ', '_'), ':', '-') AS id,
+  'Vessel ' || mmsi || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') || ' was at ' || printf('%.5f', latitude) || ', ' || printf('%.5f', longitude) || ' moving at ' || printf('%.1f', round(speed, 0)) || ' knots.' AS text FROM pos""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return serialize.position_records(positions(spark, d).withColumn("speed", F.round("speed", 0))).select("id", "text")
+
+
+@register("pr17_visit_records", f"""WITH {CALLS} SELECT 'Vessel ' || mmsi || ' called at ' || port_key || ', arriving ' || strftime(arrival_time, '%Y-%m-%d %H:%M') || ' and departing ' || strftime(departure_time, '%Y-%m-%d %H:%M') || '.' AS text FROM calls""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return serialize.visit_records(visits(spark, d)).select("text")
