@@ -10,7 +10,10 @@ from ..registry import register
 from .views import CALLS, CONGESTION, DAILY, POS, positions, read, visits
 
 _PORT, _PORTS = "NATION_6", ["NATION_6", "NATION_2", "NATION_18"]
-_DAY = F.col("date").cast("string").alias("date")
+
+
+def _day() -> F.Column:
+    return F.col("date").cast("string").alias("date")
 
 
 def _stays(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +35,7 @@ def _r(c: str, digits: int = 6) -> F.Column:
 @register("ag1_arrivals_daily_positions", f"""WITH {POS} SELECT mode, ts::DATE::VARCHAR AS date, count(DISTINCT mmsi)::BIGINT AS arrivals_vessels, count(DISTINCT mmsi)::BIGINT AS arrivals_events FROM pos GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = marts.arrivals(positions(spark, d), ["mode"], "ts", "day", once_a_vessel=True)
-    return own.select("mode", _DAY, "arrivals_vessels", "arrivals_events")
+    return own.select("mode", _day(), "arrivals_vessels", "arrivals_events")
 
 
 @register("ag2_arrivals_hourly_positions", f"""WITH {POS} SELECT mode, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(DISTINCT mmsi)::BIGINT AS arrivals_vessels, count(DISTINCT mmsi)::BIGINT AS arrivals_events FROM pos GROUP BY ALL""")
@@ -43,7 +46,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag3_arrivals_daily_visits", f"""WITH {CALLS} SELECT port_key, vessel_type_norm, arrival_date::VARCHAR AS date, count(DISTINCT mmsi)::BIGINT AS arrivals_vessels, count(*)::BIGINT AS arrivals_events FROM calls GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _daily(spark, d, "vessel_type_norm").select("port_key", "vessel_type_norm", _DAY, "arrivals_vessels", "arrivals_events")
+    return _daily(spark, d, "vessel_type_norm").select("port_key", "vessel_type_norm", _day(), "arrivals_vessels", "arrivals_events")
 
 
 @register("ag4_arrivals_hourly_visits", f"""WITH {CALLS} SELECT port_key, strftime(date_trunc('hour', arrival_time), '%Y-%m-%d %H') AS hour, count(DISTINCT mmsi)::BIGINT AS arrivals_vessels, count(*)::BIGINT AS arrivals_events FROM calls GROUP BY ALL""")
@@ -66,7 +69,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag7_congestion_daily", f"""WITH {CALLS}, {DAILY}, {CONGESTION} SELECT port_key, date::VARCHAR AS date, arrivals_vessels::BIGINT AS arrivals_vessels, arrivals_events::BIGINT AS arrivals_events, round(median_dwell_minutes, 6) AS median_dwell_minutes, has_dwell, round(arrivals_ratio, 6) AS arrivals_ratio, round(dwell_ratio, 6) AS dwell_ratio, round(congestion_index, 6) AS congestion_index FROM congestion""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d).select("port_key", _DAY, "arrivals_vessels", "arrivals_events", _r("median_dwell_minutes"), "has_dwell", _r("arrivals_ratio"), _r("dwell_ratio"), _r("congestion_index"))
+    return _index(spark, d).select("port_key", _day(), "arrivals_vessels", "arrivals_events", _r("median_dwell_minutes"), "has_dwell", _r("arrivals_ratio"), _r("dwell_ratio"), _r("congestion_index"))
 
 
 @register("jo2_prefer_visits_full_outer", """WITH proxy AS (SELECT event_type AS port_key, ts::DATE AS date, count(*) AS n FROM events GROUP BY ALL), own AS (
@@ -95,12 +98,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = questions.port_filter(_daily(spark, d), _PORT, ("port_key",), ("port_key",))
     own = questions.weekday_filter(questions.dates(own, "date", "1996-01-01", "1997-12-31"), "date", "Weekend")
-    return questions.by_day(own).select(_DAY, "arrivals")
+    return questions.by_day(own).select(_day(), "arrivals")
 
 
 @register("fi4_last_weeks", f"""WITH {CALLS}, {DAILY} SELECT port_key, date::VARCHAR AS date, arrivals_vessels::BIGINT AS arrivals_vessels FROM daily WHERE date > (SELECT max(date) FROM daily) - 56""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return questions.dates(_daily(spark, d), "date", last_weeks=8).select("port_key", _DAY, "arrivals_vessels")
+    return questions.dates(_daily(spark, d), "date", last_weeks=8).select("port_key", _day(), "arrivals_vessels")
 
 
 @register("fi3_loose_port", f"""WITH {CALLS} SELECT call_id, port_key FROM calls WHERE contains(regexp_replace(upper(port_key), '[^A-Z0-9]', '', 'g'), 'NATION1') AND arrival_time >= TIMESTAMP '1996-01-01' AND arrival_time < TIMESTAMP '1998-01-01'""")
@@ -116,7 +119,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("tk2_peak_day", f"""WITH {CALLS}, {DAILY} SELECT date::VARCHAR AS date, sum(arrivals_vessels)::BIGINT AS arrivals FROM daily GROUP BY date ORDER BY arrivals DESC, daily.date LIMIT 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return questions.peak_day(_daily(spark, d)).select(_DAY, "arrivals")
+    return questions.peak_day(_daily(spark, d)).select(_day(), "arrivals")
 
 
 @register("ag11_by_weekday", f"""WITH {CALLS}, {DAILY} SELECT (isodow(date) - 1)::INT AS weekday, dayname(date) AS day_name, sum(arrivals_vessels)::BIGINT AS arrivals FROM daily GROUP BY ALL""")
@@ -159,7 +162,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("ag16_congestion_by_day", f"""WITH {CALLS}, {DAILY}, {CONGESTION} SELECT date::VARCHAR AS date, round(avg(congestion_index), 6) AS mean_index, sum(arrivals_vessels)::BIGINT AS arrivals, round(median(median_dwell_minutes), 6) AS median_dwell FROM congestion GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return questions.congestion_by_day(_index(spark, d)).select(_DAY, _r("mean_index"), "arrivals", _r("median_dwell"))
+    return questions.congestion_by_day(_index(spark, d)).select(_day(), _r("mean_index"), "arrivals", _r("median_dwell"))
 
 
 @register("ag17_compare_ports", f"""WITH {CALLS}, {DAILY}, {CONGESTION},
@@ -191,7 +194,7 @@ w AS (SELECT *, avg(n) OVER f AS m, stddev_samp(n) OVER f AS s, count(n) OVER f
 SELECT port_key, date::VARCHAR AS date, n, round(m, 6) AS mean_before, round(s, 6) AS std_before FROM w WHERE k >= 3 AND n > round(m + 2 * s, 9)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     daily = read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("port_key"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"))
-    return questions.spikes(daily, ["port_key"], "n").select("port_key", _DAY, "n", _r("mean_before"), _r("std_before"))
+    return questions.spikes(daily, ["port_key"], "n").select("port_key", _day(), "n", _r("mean_before"), _r("std_before"))
 
 
 @register("wi10_dwell_flags", f"""WITH {CALLS} SELECT call_id, dwell_minutes < quantile_cont(dwell_minutes, 0.1) OVER (PARTITION BY port_key) AS short_dwell, dwell_minutes > quantile_cont(dwell_minutes, 0.9) OVER (PARTITION BY port_key) AS long_dwell FROM calls""")
@@ -203,14 +206,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SELECT port_key, arrival_date::VARCHAR AS date, count(*)::BIGINT AS arrivals, count(DISTINCT mmsi)::BIGINT AS vessels, round(avg(dwell_minutes), 6) AS mean_dwell, round(median(dwell_minutes), 6) AS median_dwell, sum(s::INT)::BIGINT AS short_dwells, sum(l::INT)::BIGINT AS long_dwells FROM f GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = marts.port_day(marts.dwell_flags(_stays(spark, d)), ["short_dwell", "long_dwell"])
-    return own.select("port_key", _DAY, "arrivals", "vessels", _r("mean_dwell"), _r("median_dwell"), "short_dwells", "long_dwells")
+    return own.select("port_key", _day(), "arrivals", "vessels", _r("mean_dwell"), _r("median_dwell"), "short_dwells", "long_dwells")
 
 
 @register("ag31_port_day_mode", f"""WITH {CALLS}, k AS (SELECT port_key, arrival_date, vessel_type_norm, count(*) AS n FROM calls GROUP BY ALL)
 SELECT port_key, arrival_date::VARCHAR AS date, arg_min(vessel_type_norm, (-n, vessel_type_norm)) AS vessel_type_norm FROM k GROUP BY ALL""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = marts.most_frequent(_stays(spark, d).withColumn("date", F.col("arrival_date")), ["port_key", "date"], "vessel_type_norm")
-    return own.select("port_key", _DAY, "vessel_type_norm")
+    return own.select("port_key", _day(), "vessel_type_norm")
 
 
 @register("ag33_route_frequency", f"""WITH {CALLS} SELECT port_key, vessel_type_norm, count(*)::BIGINT AS trips, count(DISTINCT mmsi)::BIGINT AS vessels FROM calls GROUP BY ALL""")
