@@ -169,7 +169,7 @@ def test_op5_ledger(spark, folder, tmp_path):
     got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in rows(spark, folder, "op5_token_counts")}
     want: dict = defaultdict(lambda: [0, 0])
     for d in documents():
-        for version, n in (("words-1", len((d[1] or "").split())) if False else ("words-1", len(tokens(d[1])) - 1), ("chars-1", len(d[1] or ""))):
+        for version, n in (("words-1", len(tokens(d[1])) - 1), ("chars-1", len(d[1] or ""))):
             want[d[3], d[2], version][0] += 1
             want[d[3], d[2], version][1] += n
     assert got == {k: tuple(v) for k, v in want.items()}
@@ -204,7 +204,7 @@ def test_events_are_folded(spark):
     log = [(1, 0, 0, "open", "user", None), (1, 0, 1, "delta", "user", "he"), (1, 0, 2, "delta", "user", "llo"), (1, 1, 0, "open", "assistant", ""), (1, 1, 1, "delta", "assistant", "bad"), (1, 1, 2000, "regenerate", "assistant", "go"), (1, 1, 2001, "delta", "assistant", "od"), (1, 1, 5000, "edit", "assistant", "best"), (1, 2, 0, "open", "user", ""), (1, 2, 1, "drop", "user", None)]
     folded = chat.fold_events(spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string"))
     assert sorted((r["message"], r["role"], r["text"]) for r in folded.collect()) == [(0, "user", "hello"), (1, "assistant", "best")]
-    shown = chat.render(folded.withColumn("position", F.col("message"))).first()
+    shown = chat.render(folded.withColumn("part", chat.part_of(F.col("message")))).first()
     assert shown["formatted"] == "<s>[user] hello </s>\n<s>[assistant] best </s>\n"
 
 

@@ -37,12 +37,16 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, message, role, text) from events, by two aggregations."""
+def fold_events(events: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
+    """(keys, message, role, text) from events, by two aggregations.
+
+    keys: conv_id and columns that follow from conv_id and message; where events are partitioned by them, neither
+    aggregation moves rows.
+    """
     text = F.coalesce("text", F.lit(""))
     kind = F.col("kind")
     event = F.struct("seq", F.when(kind == "open", 0).when(kind == "delta", 2).otherwise(1).alias("rank"), text.alias("text"), kind.alias("kind"))
-    parts = events.groupBy("conv_id", "message", F.floor(F.col("seq") / CHUNK).alias("chunk")).agg(
+    parts = events.groupBy(*keys, "message", F.floor(F.col("seq") / CHUNK).alias("chunk")).agg(
         F.array_sort(F.collect_list(event)).alias("e"),
         F.min_by("role", F.struct((kind != "open").alias("later"), "seq", "role")).alias("role"),
         F.bool_or(kind == "drop").alias("dropped"),
@@ -50,25 +54,30 @@ def fold_events(events: DataFrame) -> DataFrame:
     resets = F.transform(F.col("e"), lambda x, i: F.when(x["kind"].isin(*_RESETS), i).otherwise(-1))
     last = F.array_max(resets)
     tail = F.filter(F.col("e"), lambda x, i: (i >= last) & (x["kind"] != "drop"))
-    parts = parts.select("conv_id", "message", "chunk", "role", "dropped", (last >= 0).alias("reset"), F.array_join(F.transform(tail, lambda x: x["text"]), "").alias("text"))
-    whole = parts.groupBy("conv_id", "message").agg(
+    parts = parts.select(*keys, "message", "chunk", "role", "dropped", (last >= 0).alias("reset"), F.array_join(F.transform(tail, lambda x: x["text"]), "").alias("text"))
+    whole = parts.groupBy(*keys, "message").agg(
         F.array_sort(F.collect_list(F.struct("chunk", "reset", "text"))).alias("p"),
         F.min_by("role", F.struct("chunk", "role")).alias("role"),
         F.bool_or("dropped").alias("dropped"),
     )
     last_part = F.array_max(F.transform(F.col("p"), lambda x, i: F.when(x["reset"], i).otherwise(-1)))
     text = F.array_join(F.transform(F.filter(F.col("p"), lambda x, i: i >= last_part), lambda x: x["text"]), "")
-    return whole.filter(~F.col("dropped")).select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    return whole.filter(~F.col("dropped")).select(*keys, "message", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+
+
+def part_of(position: Column) -> Column:
+    """MESSAGES positions share a part; null comes first."""
+    return F.floor(F.coalesce(position, F.lit(-(1 << 62))) / MESSAGES)
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """(conv_id, segments, formatted) of messages (conv_id, message, position, role, text).
+    """(conv_id, segments, formatted) of messages (conv_id, part, message, role, text); part: part_of() their position.
 
-    Messages stand in order of position, then message; MESSAGES positions are joined before a conversation's parts are.
+    Messages stand in order of part, then message; a part is joined by itself before a conversation's parts are.
     segments are array<struct<piece, loss>>, and formatted is their pieces joined.
     """
-    own = F.struct("position", "message", "role", "text")
-    chunks = messages.groupBy("conv_id", F.floor(F.col("position") / MESSAGES).alias("chunk")).agg(F.array_sort(F.collect_list(own)).alias("m"))
+    own = F.struct("message", "role", "text")
+    chunks = messages.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(own)).alias("m"))
 
     def pieces(x: Column) -> Column:
         part = lambda piece, loss: F.struct(piece.alias("piece"), loss.alias("loss"))
@@ -78,8 +87,8 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> Dat
             part(F.lit(" </s>\n"), F.lit(False)),
         )
 
-    chunks = chunks.select("conv_id", "chunk", F.flatten(F.transform("m", pieces)).alias("segments"))
-    whole = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "segments"))).alias("c"))
+    chunks = chunks.select("conv_id", "part", F.flatten(F.transform("m", pieces)).alias("segments"))
+    whole = chunks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", "segments"))).alias("c"))
     segments = F.flatten(F.transform("c", lambda x: x["segments"]))
     return whole.select("conv_id", segments.alias("segments")).select("conv_id", "segments", F.array_join("segments.piece", "").alias("formatted"))
 
@@ -98,21 +107,22 @@ def loss_text(segments: Column) -> Column:
 def events_of(conversations: DataFrame) -> DataFrame:
     """A log for stored conversations: each row opens a message and streams its text in two deltas.
 
-    A message is (turn, occurrence): rows of one conversation and turn are numbered in order of role and text.
+    A message is (turn, occurrence): rows of one conversation and turn are numbered in order of role and text. Rows are
+    partitioned by conversation and part, which serves all that follows but the joining of parts.
     """
     text = F.coalesce("text", F.lit(""))
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")).withColumn("nth", nth)
+    nth = F.row_number().over(Window.partitionBy("conv_id", "part", "turn").orderBy("role", "text"))
+    rows = conversations.select("conv_id", part_of(F.col("turn")).alias("part"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    rows = rows.repartition("conv_id", "part").withColumn("nth", nth)
     half = (F.char_length("text") / 2).cast("int")
     event = lambda seq, kind, piece: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), piece.alias("text"))
     log = F.array(event(0, "open", F.lit("")), event(1, "delta", F.left("text", half)), event(2, "delta", F.substring(F.col("text"), half + 1, F.char_length("text"))))
-    return rows.select("conv_id", F.struct("turn", "nth").alias("message"), "role", F.inline(log))
+    return rows.select("conv_id", "part", F.struct("turn", "nth").alias("message"), "role", F.inline(log))
 
 
 def format_conversations(conversations: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """Rebuild stored conversations from their log and render them in order of turn (null first), role and text."""
-    folded = fold_events(events_of(conversations))
-    return render(folded.withColumn("position", F.coalesce("message.turn", F.lit(-(1 << 62)))), loss_roles)
+    return render(fold_events(events_of(conversations), ("conv_id", "part")), loss_roles)
 
 
 def digest(formatted: DataFrame) -> DataFrame:
