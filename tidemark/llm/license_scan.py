@@ -155,5 +155,5 @@ def digest(scanned: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
         F.array_min("base.start").alias("first_word"), F.array_max("base.start").alias("last_word"),
         joined("base").alias("base_labels"), joined("notices").alias("labels"),
-        F.coalesce(F.array_max("notices.score"), F.lit(0.0)).alias("score"), "notices",
+        F.coalesce(F.array_max("notices.score"), F.lit(0.0)).alias("score"),
     )

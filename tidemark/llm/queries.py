@@ -143,6 +143,43 @@ SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken
 FROM crossed c JOIN chosen w ON c.source IS NOT DISTINCT FROM w.source AND c.k = w.k"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op1() -> str:
+    """Every place of every key phrase, by brute force; a notice counts where all its key phrases stand at their places."""
+    rows = []
+    for k, t in enumerate(license_scan.BASE + license_scan.EXTRA):
+        own = t.notice.split()
+        for phrase in t.keys:
+            words = phrase.split()
+            at = next(i for i in range(len(own)) if own[i : i + len(words)] == words)
+            rows.append(f"({k}, '{t.label}', {str(t.base).lower()}, {len(t.keys)}, {own}, {at}, {words})")
+    return f"""
+WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+t(k, label, base, n_keys, notice, place, phrase) AS (VALUES {", ".join(rows)}),
+p AS (SELECT w.doc_id, w.ws, t.*, i - place AS start FROM w, t, unnest(range(0, len(w.ws))) AS r(i) WHERE w.ws[i + 1] = phrase[1] AND w.ws[i + 1:i + len(phrase)] = phrase),
+n AS (SELECT doc_id, k, any_value(label) AS label, any_value(base) AS base, start,
+    any_value(list_sum(list_transform(range(0, len(notice)), lambda j: CASE WHEN start + j >= 0 AND ws[start + j + 1] = notice[j + 1] THEN 1 ELSE 0 END)) / len(notice)) AS score
+  FROM p GROUP BY doc_id, k, start HAVING count(*) = any_value(n_keys))
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, count(*) FILTER (WHERE base)::BIGINT AS n_base, min(start) FILTER (WHERE base)::BIGINT AS first_word, max(start) FILTER (WHERE base)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0)::DOUBLE AS score
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id GROUP BY w.doc_id, ws"""
+
+
+_OP8 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY ALL)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose results SQL can express."""
-    return {"op5_token_counts": _OP5, "op6_chat_format": _OP6, "op7_mixing": _OP7}
+    return {"op1_license_scan": _op1(), "op5_token_counts": _OP5, "op6_chat_format": _OP6, "op7_mixing": _OP7, "op8_near_dedup": _OP8}
