@@ -10,8 +10,8 @@ The fit takes a bounded sample, as the round's contract allows: SAMPLE rows, LAN
 drawn by a hash, with equal shares for each language. Prediction covers every row and whole texts.
 
 Defined results: `und` with score 0 where the text is null, empty or has no letter, or where no row was labelled;
-ties go to the language that is first in code point order; repeated rows give repeated results; other columns are
-ignored, and lang only counts in training rows.
+ties go to the language that is first in code point order; repeated rows give repeated results, and rows that share an
+id and a language train as one; other columns are ignored, and lang only counts in training rows.
 """
 
 from __future__ import annotations
@@ -105,7 +105,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["id", "lang", "grams"])
 
     known = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("id").isin(ids)) if ids else rows.limit(0).select(F.lit(0).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = sorted({(r["id"], r["lang"]): np.frombuffer(r["grams"], np.int32) for r in known.mapInArrow(grams, "id long, lang string, grams binary").collect()}.items())
+    # one row for each id and language, however many rows repeat it: this bounds what the driver gets
+    single = known.mapInArrow(grams, "id long, lang string, grams binary").groupBy("id", "lang").agg(F.min("grams").alias("grams"))
+    got = sorted({(r["id"], r["lang"]): np.frombuffer(r["grams"], np.int32) for r in single.collect()}.items())
     if not got:
         return Model([], np.zeros((DIMS, 0), np.float32))
     target = np.array([[float(k[1] == c) for c in languages] for k, _ in got])
