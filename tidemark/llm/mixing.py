@@ -10,7 +10,7 @@ and every size class is taken in proportion. The offset is drawn from OFFSETS eq
 (seeded by the source's name): the one whose words come nearest to the target.
 
 Prefix sums at scale: the place of a document in its source is the number of documents in earlier (class, bucket)
-groups, which is summed over groups, plus its place within its own group. Buckets are hashes of the id, and their
+groups, which is summed over groups in two levels, plus its place within its own group. Buckets are hashes of the id, and their
 number follows the number of rows, so no group of equal sizes is large, whatever its source.
 
 Defined results: a null text has size 0; null sources form one source, which comes last; a source of size 0 has
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, written
 
-WEIGHTS, SHARE, MOST, OFFSETS, GROUP_ROWS = (3, 1, 2), 1.5, 2.0, 32, 4096
+WEIGHTS, SHARE, MOST, OFFSETS, GROUP_ROWS, SPAN = (3, 1, 2), 1.5, 2.0, 32, 4096, 1024
 #: Sources up to this number are broadcast to the rows; more are joined by a shuffle, which Spark can split.
 BROADCAST_SOURCES = 20_000
 
@@ -59,6 +59,23 @@ def _with_sources(rows: DataFrame, sources: DataFrame, n_sources: int) -> DataFr
     return rows.join(F.broadcast(keyed) if n_sources <= BROADCAST_SOURCES else keyed, rows["source"].eqNullSafe(keyed["_source"])).drop("_source")
 
 
+def _starts(counts: DataFrame) -> DataFrame:
+    """(source, _class, _bucket, _start): rows before each group in its source; counts: _rows of each group.
+
+    Two levels: SPAN buckets of a class are one span. Spans are summed over a source, groups within their span, so a
+    source that holds most rows has one row per span in a window, not one per group.
+    """
+    wide = counts.withColumn("_span", F.floor(F.col("_bucket") / SPAN))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = wide.groupBy("source", "_class", "_span").agg(F.sum("_rows").alias("_rows"))
+    over_source = before(Window.partitionBy("source").orderBy("_class", "_span"))
+    over_span = before(Window.partitionBy("source", "_class", "_span").orderBy("_bucket"))
+    spans = spans.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_span").alias("_p"), F.coalesce(F.sum("_rows").over(over_source), F.lit(0)).alias("_before"))
+    wide = wide.withColumn("_within", F.coalesce(F.sum("_rows").over(over_span), F.lit(0)))
+    joined = wide.join(spans, wide["source"].eqNullSafe(spans["_s"]) & (wide["_class"] == spans["_c"]) & (wide["_span"] == spans["_p"]))
+    return joined.select("source", "_class", "_bucket", (F.col("_before") + F.col("_within")).alias("_start"))
+
+
 def copies(sized: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of sized (id_col, source, size and others) with source_size, target and copies, which replace columns of these names.
 
@@ -71,8 +88,7 @@ def copies(sized: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = sized.withColumn("_class", F.floor(F.log(F.col("size") + 1) * 4)).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
     group = ["source", "_class", "_bucket"]
     counts = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
-    earlier = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    starts = _starts(counts)
     inside = Window.partitionBy(*group).orderBy("_hash", id_col, "size")
     placed = rows.withColumn("_place", F.row_number().over(inside))
     right = starts.select(*[F.col(c).alias(f"{c}_g") for c in group], "_start")
