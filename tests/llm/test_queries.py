@@ -235,6 +235,15 @@ def test_op7(spark, folder):
     assert mixing.mixed(docs).count() == sum(r["taken"] // r["size"] for r in got if r["size"]) + sum(0 for r in got if not r["size"]) + _copies_of_empty(docs)
 
 
+def test_places_over_two_levels(spark, monkeypatch):
+    """Spans of buckets give the prefix sums that one window over all groups would."""
+    monkeypatch.setattr(mixing, "SPAN", 3)
+    rng = random.Random(3)
+    groups = [(s, c, b, rng.randint(1, 9)) for s in (None, "a", "b") for c in range(3) for b in range(20) if rng.random() < 0.8]
+    got = {tuple(r)[:3]: r["_start"] for r in mixing._starts(spark.createDataFrame(groups, "source string, _class long, _bucket long, _rows long")).collect()}
+    assert got == {g[:3]: sum(o[3] for o in groups if o[0] == g[0] and o[1:3] < g[1:3]) for g in groups}
+
+
 def _copies_of_empty(docs):
     from tidemark.llm.common import written
 
@@ -342,6 +351,15 @@ def test_folded_weights_are_the_kernel():
     assert np.allclose(model.scores(texts), kernel @ alpha, rtol=1e-3)
 
 
+def test_rows_of_one_id_train_as_one(spark):
+    rng = random.Random(9)
+    rows = [(i, sentences(rng, ("de", "fr")[i % 2], 30), ("de", "fr")[i % 2]) for i in range(40)]
+    often = spark.createDataFrame(rows + [rows[0]] * 300, "doc_id long, text string, lang string")
+    model = langid.fit(often)
+    assert model.predict([rows[k][1] for k in range(10)])[0] == ["de", "fr"] * 5
+    assert (langid.fit(often.orderBy(F.col("doc_id").desc())).weights == model.weights).all()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     compare(ALL[name](spark, DATA), connection(), queries.oracle_sql()[name])
@@ -357,7 +375,28 @@ def test_pipeline(spark, folder):
     kept = spark.createDataFrame([tuple(r) for r in first.collect()], first.schema)
     second = corpus_pipeline.STAGES[1][1](spark, kept, folder)
     _, want = components([tuple(r) for r in kept.collect()])
-    assert {r["doc_id"] for r in second.collect()} == set(want.values())
+    assert sorted(r["doc_id"] for r in second.collect()) == sorted(set(want.values()))
     third = corpus_pipeline.STAGES[2][1](spark, second, folder)
-    assert third.columns == columns and 0 < third.count()
-    assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert third.columns == columns
+    times = Counter(r["doc_id"] for r in third.collect())
+    # each kept document comes floor or ceil of its expected copies times, in sources whose targets are brute force's
+    sizes, by_source = {r["doc_id"]: len(tokens(r["text"])) - 1 for r in second.collect()}, defaultdict(list)
+    for r in second.collect():
+        by_source[r["source"]].append(r["doc_id"])
+    total = {k: sum(sizes[i] for i in ids) for k, ids in by_source.items()}
+    weight = {k: (3, 1, 2)[n % 3] for n, k in enumerate(sorted(total, key=lambda k: (k is None, k)))}
+    low, high = 0.0, 2.0 * sum(total.values())
+    for _ in range(200):  # the water level by bisection
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * total[k], level * weight[k]) for k in total) < 1.5 * sum(total.values()) else (low, level)
+    for k, ids in by_source.items():
+        rate = min(2 * total[k], level * weight[k]) / total[k]
+        assert all(math.floor(rate - 1e-6) <= times[i] <= math.ceil(rate + 1e-6) for i in ids)
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
+    want = []
+    for r in third.collect():
+        ids = encoding.encode_ordinary(r["text"])
+        want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()))
+    final = corpus_pipeline.run(spark, folder)
+    assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, final.collect())) == sorted(want)

@@ -194,7 +194,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's smallest; rows with a null id stay."""
+    """The rows of docs whose id is its component's smallest; rows with a null id stay.
+
+    Rows that share an id and a text become one, with the other columns of the row that is least as JSON.
+    """
     gone = written(near_duplicates(docs, id_col, text).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = _without(docs, gone, id_col)
+    # ids of several rows are looked for by ids alone; texts are only moved where there are some
+    again = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_gone")).count().filter("count > 1").select("_gone"), "again")
+    if again.isEmpty():
+        return kept
+    others = F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text)])
+    repeated = kept.join(again, kept[id_col] == again["_gone"], "left_semi")
+    if len(docs.columns) == 2:
+        return _without(kept, again, id_col).union(repeated.distinct().select(*docs.columns))
+    single = repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(id_col, text, "_others.*")
+    return _without(kept, again, id_col).unionByName(single)
+
+
+def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id isn't in ids (_gone), a written table."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_gone"], "left_anti")
