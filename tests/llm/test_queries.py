@@ -182,6 +182,9 @@ def test_op5_ledger(spark, folder, tmp_path):
     assert ledger.commit("b", token_ledger.deletes(token_ledger.counted(docs, "words-1")))
     assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b"]
     assert ledger.commit("c", added) and {tuple(r) for r in ledger.totals().collect()} == before
+    ledger.has = lambda batch_id: False  # as for a writer that looked before another one's rename
+    assert not ledger.commit("c", added) and {tuple(r) for r in ledger.totals().collect()} == before
+    assert ledger.batches() == ["a", "b", "c"] and not list((tmp_path / "ledger").glob("**/_staged*"))
     with pytest.raises(ValueError):
         ledger.commit("../x", added)
 

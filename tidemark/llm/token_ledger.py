@@ -13,6 +13,7 @@ totals.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,12 +79,16 @@ class TokenLedger:
         folder = self._folder(batch_id)
         if self.has(batch_id):
             return False
-        staged = f"{self.path}/_staged-{batch_id}"
+        name = f"_staged-{batch_id}-{uuid.uuid4().hex[:12]}"  # each writer stages by itself
+        staged = f"{self.path}/{name}"
         rolled = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
         rolled.filter((F.col("documents") != 0) | (F.col("tokens") != 0)).write.mode("overwrite").parquet(staged)
-        if self._fs.rename(self._to_path(staged), self._to_path(folder)):
+        moved = self._fs.rename(self._to_path(staged), self._to_path(folder))
+        nested = f"{folder}/{name}"
+        if moved and not self._fs.exists(self._to_path(nested)):
             return True
-        delete(self.spark, staged)  # another writer was first
+        # another writer was first; some file systems then move into its folder, where readers skip the name
+        delete(self.spark, nested if moved else staged)
         return False
 
     def totals(self) -> DataFrame:
