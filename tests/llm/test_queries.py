@@ -123,6 +123,35 @@ def test_op2_probabilities_sum_to_one(spark, folder, monkeypatch):
         assert (sum(model.head.counts + 1) + sum(r["n"] + 1 for r in rest) + 1) / model.base_room == pytest.approx(1)
 
 
+@pytest.mark.parametrize("head", [30, 131_072])
+def test_op2_every_word_has_a_class_as_predecessor(spark, folder, monkeypatch, head):
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    monkeypatch.setattr(class_lm, "CORE", 16)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = class_lm.train(docs.filter(docs.doc_id % 7 != 2))
+    words = model.head.blob.split(b"\n")
+    own = dict(zip(words, map(int, model.own), strict=True)) | {bytes(r["word"]): r["class"] for r in model.rest.collect()}
+    counts, table = Counter(), Counter()
+    for d in documents():
+        if d[0] % 7 != 2:
+            toks = class_lm.tokens(d[1] or "")
+            counts.update(toks)
+            table.update((own[a] if a is not None else class_lm.START, own[b]) for a, b in zip([None, *toks], toks, strict=False))
+    assert set(own) == set(counts)
+    for h in (*range(class_lm.CLASSES), class_lm.START):
+        n = sum(table[h, c] for c in range(class_lm.CLASSES))
+        for c in range(class_lm.CLASSES):
+            assert model.transition[h, c] == pytest.approx((table[h, c] + class_lm.ALPHA) / (n + class_lm.ALPHA * class_lm.CLASSES))
+    text, total = {d[0]: d[1] for d in documents()}, sum(counts.values())
+    for r in class_lm.score(docs, model).collect():
+        toks, want = class_lm.tokens(text[r["doc_id"]] or ""), 0.0
+        for a, b in zip([None, *toks], toks, strict=False):
+            h = class_lm.START if a is None else own.get(a, class_lm.OTHER)
+            by_class = model.transition[h, own[b]] * (counts[b] + class_lm.DELTA) / model.room[own[b]] if b in own else model.unseen[h]
+            want += math.log10(class_lm.MIX * by_class + (1 - class_lm.MIX) * (counts[b] + 1) / (total + len(counts) + 1))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
 def test_op3(spark, folder):
     whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
     text = {d[0]: d[1] or "" for d in documents()}

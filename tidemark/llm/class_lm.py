@@ -1,19 +1,21 @@
 """Language-model scores from Brown class-based bigrams.
 
-P(w | v) = MIX * P(c(w) | h(v)) * P(w | c(w)) + (1 - MIX) * P_base(w), with h(v) the class of v where v is one of the CORE
-most frequent words, else one state for all other words; a text begins in a state of its own. P_base is the add-one
-unigram model. Classes come from exchange clustering on counts over all training documents:
+P(w | v) = MIX * P(c(w) | h(v)) * P(w | c(w)) + (1 - MIX) * P_base(w), with h(v) the class of v, whatever its count; words that
+training didn't have share one state, with the classes' shares of all tokens, and a text begins in a state of its own.
+P_base is the add-one unigram model. Classes come from exchange clustering on counts over all training documents:
 
 1. Words are counted (one shuffle, with sums per task before it). HEAD words at most, the most frequent, have ids; how
    many that is, is bounded, whatever the corpus, and so is what is broadcast. Any other word has at most a share of
    about 1 / HEAD of the tokens, so joins on it have no hot key.
 2. The bigrams among CORE words form a CORE x CORE table. Exchange sweeps on the driver move each word to the class
    that raises the bigram likelihood the most, until none moves or SWEEPS are done.
-3. All other words' counts by preceding state decide their class: the exchange criterion for the predicted class, with
-   states fixed. For words with ids this is done on the driver (a HEAD x states table, in batches, two sweeps), for
-   the rest in parallel, by one shuffle.
-4. Scoring sums the tokens with ids in place. The others are joined with their counts and classes by word, and their
-   terms are summed by document.
+3. The other words with ids are put in classes by the exchange criterion on both sides, with core words' classes as
+   states, on the driver (a HEAD x states and a HEAD x classes table, in batches, two sweeps). All bigrams are then
+   counted again with these classes. Words without ids get theirs by the same criterion from what precedes and follows
+   them, in parallel, by one shuffle; bigrams of two such words are joined with both classes. So transitions are
+   counts over all bigrams, each by the classes of both its words.
+4. Scoring sums bigrams of two words with ids in place. Words without ids are joined with their counts and classes by
+   word, once for the terms of the word and of the next one, and once more for two in a row; terms are summed by row.
 
 Words that training didn't have get the mass that each class keeps for one unseen word. Tokens are [^\\x20\\x09-\\x0D]+
 after lower-casing A-Z, then one end.
@@ -39,7 +41,7 @@ from .common import fold_col, lower_words, text_slices, written
 
 HEAD, CORE, CLASSES, SWEEPS, LONGEST = 131_072, 2048, 32, 6, 64
 MIX, ALPHA, DELTA = 0.95, 0.5, 1.0
-#: States: CLASSES for core words, then any other word, then the start.
+#: States: CLASSES, then a word without a known class, then the start.
 OTHER, START, STATES = CLASSES, CLASSES + 1, CLASSES + 2
 END = b""
 #: Entries that a task's tables of words may hold before they are passed on.
@@ -176,47 +178,82 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
-def state_counts(docs: DataFrame, head: Head, core: np.ndarray, text: str = "text") -> DataFrame:
-    """(word, code, n): for words with ids word is null and code is id * STATES + preceding state; else code is the state."""
+def head_counts(docs: DataFrame, head: Head, core: np.ndarray, text: str = "text") -> DataFrame:
+    """(code, n) of words with ids: code is id * STATES + preceding state or, from n * STATES on, id * CLASSES + the class
+    of a following core word. States are those of core words."""
     blob, n = head.blob, len(head.counts)
-    states = _states(n, core)
+    states = _states(n, core[:n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, table, rest = _ids(blob, n).get, np.zeros(n * STATES, np.int32), Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in rest], pa.binary()), pa.array([h for _, h in rest], pa.int64()), pa.array(list(rest.values()), pa.int64())], names=["word", "code", "n"])
-            rest.clear()
-            return out
-
+        get, table = _ids(blob, n).get, np.zeros(n * (STATES + CLASSES), np.int32)
         for _, texts in text_slices(batches, text):
             held = []
             for t in texts:
                 own = tokens(t)
                 ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
-                h = np.concatenate([[START], states[ids[:-1]]])
+                h = states[ids]
                 known = ids >= 0
-                held.append(ids[known] * STATES + h[known])
-                rare = np.flatnonzero(~known)
-                rest.update(zip(map(own.__getitem__, rare.tolist()), h[rare].tolist(), strict=True))
+                held.append(ids[known] * STATES + np.concatenate([[START], h[:-1]])[known])
+                known = known[:-1] & (h[1:] < CLASSES)
+                held.append(n * STATES + ids[:-1][known] * CLASSES + h[1:][known])
             if held:
                 codes, k = np.unique(np.concatenate(held), return_counts=True)
                 table[codes] += k.astype(np.int32)
-            if len(rest) > FLUSH:
-                yield flush()
-        yield flush()
         codes = np.flatnonzero(table)
         for at in range(0, len(codes), FLUSH):
             some = codes[at : at + FLUSH]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.binary()), pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], names=["word", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], names=["code", "n"])
 
-    return written(docs.select(text).mapInArrow(run, "word binary, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n")), "states")
+    return docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _states(n: int, core: np.ndarray) -> np.ndarray:
-    """id -> state; the last entry, for id -1, is OTHER."""
+def pair_counts(docs: DataFrame, head: Head, own: np.ndarray, text: str = "text") -> DataFrame:
+    """(prev, word, code, n) over all bigrams, with the classes of all words with ids. For a word with an id both words are
+    null and code is state * CLASSES + class; for one without, word is set and code is state * (CLASSES + 1) + class of the
+    next word, CLASSES where that has no id or is missing; for two without ids in a row, both are set. A preceding word
+    without an id is OTHER in codes."""
+    blob, n = head.blob, len(head.counts)
+    states = _states(n, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, table, rest, pairs = _ids(blob, n).get, np.zeros(STATES * CLASSES, np.int64), Counter(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = [*(w for w, _ in rest), *(w for _, w in pairs)]
+            before = [*repeat(None, len(rest)), *(v for v, _ in pairs)]
+            codes = [*(c for _, c in rest), *repeat(0, len(pairs))]
+            out = pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array([*rest.values(), *pairs.values()], pa.int64())], names=["prev", "word", "code", "n"])
+            rest.clear()
+            pairs.clear()
+            return out
+
+        for _, texts in text_slices(batches, text):
+            for t in texts:
+                toks = tokens(t)
+                ids = np.fromiter(map(get, toks, repeat(-1)), np.int64, len(toks))
+                c = states[ids]
+                h = np.concatenate([[START], c[:-1]])
+                known = ids >= 0
+                table += np.bincount(h[known] * CLASSES + c[known], minlength=STATES * CLASSES)
+                rare = np.flatnonzero(~known)
+                if len(rare):
+                    codes = h * (CLASSES + 1) + np.concatenate([c[1:], [CLASSES]])
+                    rest.update(zip(map(toks.__getitem__, rare.tolist()), codes[rare].tolist(), strict=True))
+                    both = rare[h[rare] == OTHER].tolist()
+                    pairs.update((toks[i - 1], toks[i]) for i in both)
+            if len(rest) + len(pairs) > FLUSH:
+                yield flush()
+        yield flush()
+        codes = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.binary()), pa.array(codes, pa.int64()), pa.array(table[codes], pa.int64())], names=["prev", "word", "code", "n"])
+
+    return written(docs.select(text).mapInArrow(run, "prev binary, word binary, code long, n long").groupBy("prev", "word", "code").agg(F.sum("n").alias("n")), "states")
+
+
+def _states(n: int, own: np.ndarray) -> np.ndarray:
+    """id -> state: the class where own has one, else OTHER, as the last entry, for id -1, is."""
     out = np.full(n + 1, OTHER, np.int64)
-    out[: min(n, CORE)] = core[: min(n, CORE)]
+    out[: len(own)] = own
     return out
 
 
@@ -226,56 +263,70 @@ def gains(counts: np.ndarray, states: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _g(now + n[:, None]) - _g(now)
 
 
-def head_classes(rows: DataFrame, head: Head, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each word with an id, and states x classes counts over these words."""
+def head_classes(rows: DataFrame, head: Head, core: np.ndarray) -> np.ndarray:
+    """Class of each word with an id, by the exchange criterion over preceding states and following core words."""
     n = len(head.counts)
     own = np.zeros(n, np.int64)
     own[: min(n, CORE)] = core[: min(n, CORE)]
-    got = rows.filter("word is null").select("code", "n").toArrow()
+    got = rows.toArrow().sort_by("code")
     codes, k = got["code"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(codes, kind="stable")
-    words, states, k = codes[order] // STATES, codes[order] % STATES, k[order].astype(np.float64)
-    counts = np.zeros((STATES, CLASSES))
-    first = words < CORE
-    np.add.at(counts, (states[first], own[words[first]]), k[first])
-    begin = np.searchsorted(words, np.arange(n + 1))
+    cut = int(np.searchsorted(codes, n * STATES))
+    sides = []
+    for part, m, width in ((codes[:cut], k[:cut], STATES), (codes[cut:] - n * STATES, k[cut:], CLASSES)):
+        words, other = part // width, part % width
+        counts, first = np.zeros((width, CLASSES)), words < CORE  # state before, or class after, x own class
+        np.add.at(counts, (other[first], own[words[first]]), m[first])
+        sides.append((words, other, m, np.searchsorted(words, np.arange(n + 1)), counts))
     for sweep in range(2):
         for at in range(CORE, n, 512):
             to = min(n, at + 512)
-            e = slice(begin[at], begin[to])
-            if begin[at] == begin[to]:
-                continue
-            w, h, m = words[e] - at, states[e], k[e]
-            total = np.bincount(w, m, to - at)
-            if sweep:
-                np.add.at(counts, (h, own[at + w]), -m)
-            each, sizes = gains(counts, h, m), counts.sum(0)
-            gain = np.zeros((to - at, CLASSES))
-            np.add.at(gain, w, each)
-            gain -= _g(sizes + total[:, None]) - _g(sizes)
+            gain, entries = np.zeros((to - at, CLASSES)), []
+            for words, other, m, begin, counts in sides:
+                e = slice(begin[at], begin[to])
+                w, h, k = words[e] - at, other[e], m[e].astype(np.float64)
+                entries.append((counts, w, h, k))
+                if sweep:
+                    np.add.at(counts, (h, own[at + w]), -k)
+                total, sizes = np.bincount(w, k, to - at), counts.sum(0)
+                np.add.at(gain, w, gains(counts, h, k))
+                gain -= _g(sizes + total[:, None]) - _g(sizes)
             own[at:to] = gain.argmax(1)
-            np.add.at(counts, (h, own[at + w]), m)
-    return own, counts
+            for counts, w, h, k in entries:
+                np.add.at(counts, (h, own[at + w]), k)
+    return own
 
 
 def rest_classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(word, n, class) of words without ids; rows with a null word hold sums n for class * STATES + state in `class`."""
-    each = rows.filter("word is not null").groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("e"))
+    """(word, n, class) of words without ids; rows with a null word hold sums n for state * CLASSES + class in `class`, of
+    bigrams that have one such word."""
+    each = rows.filter("word is not null and prev is null").groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("e"))
     each = each.select("word", F.col("e.code").alias("h"), F.col("e.n").alias("k"))
+    after = counts[:CLASSES].T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, sizes = np.zeros(CLASSES * STATES, np.int64), counts.sum(0)
+        sums = np.zeros(STATES * CLASSES, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column(1)
-            h, k = lists.flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1]])
-            gain = np.add.reduceat(gains(counts, h, k.astype(np.float64)), begin, axis=0)
-            total = np.add.reduceat(k, begin)
-            gain -= _g(sizes + total[:, None]) - _g(sizes)
+            codes, k = lists.flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            word = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            total = np.bincount(word, k, batch.num_rows).astype(np.int64)
+            h, c = codes // (CLASSES + 1), codes % (CLASSES + 1)
+            gain, sides = np.zeros((batch.num_rows, CLASSES)), []
+            for table, width, w, x, m in ((counts, STATES, word, h, k), (after, CLASSES, word[c < CLASSES], c[c < CLASSES], k[c < CLASSES])):
+                keys, at = np.unique(w * width + x, return_inverse=True)
+                m = np.bincount(at, m, len(keys))
+                w, x = keys // width, keys % width
+                sides.append((w, x, m))
+                sizes = table.sum(0)
+                np.add.at(gain, w, gains(table, x, m))
+                gain -= _g(sizes + np.bincount(w, m, batch.num_rows)[:, None]) - _g(sizes)
             own = gain.argmax(1)
-            np.add.at(sums, np.repeat(own, np.diff(np.append(begin, len(h)))) * STATES + h, k)
+            (w, x, m), (w2, x2, m2) = sides
+            sure = x != OTHER
+            np.add.at(sums, x[sure] * CLASSES + own[w[sure]], m[sure].astype(np.int64))
+            np.add.at(sums, own[w2] * CLASSES + x2, m2.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(own, pa.int64())], names=["word", "n", "class"])
         codes = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(sums[codes], pa.int64()), pa.array(codes, pa.int64())], names=["word", "n", "class"])
@@ -308,19 +359,28 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     size = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     head = pick_head(counts)
     core = exchange(core_bigrams(docs, head, text))
-    rows = state_counts(docs, head, core, text)
-    own, table = head_classes(rows, head, core)
+    own = head_classes(head_counts(docs, head, core, text), head, core)
+    rows = pair_counts(docs, head, own, text)
+    table = np.zeros((STATES, CLASSES))
+    for r in rows.filter("word is null").collect():  # at most STATES * CLASSES rows
+        table[r["code"] // CLASSES, r["code"] % CLASSES] += r["n"]
     both = rest_classes(rows, table)
     sums = both.filter("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect()
     rest = both.filter("word is not null")
     members = np.bincount(own, minlength=CLASSES).astype(np.float64)
     for r in rest.groupBy("class").agg(F.count("*").alias("k")).collect():
         members[r["class"]] += r["k"]
+    table[OTHER] = 0  # the bigrams after words without ids, now by these words' classes
     for r in sums:
-        table[r["class"] % STATES, r["class"] // STATES] += r["n"]
-    transition = (table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * CLASSES)
+        table[r["class"] // CLASSES, r["class"] % CLASSES] += r["n"]
+    pairs = rows.filter("prev is not null").select("prev", "word", F.col("n").alias("times"))
+    pairs = pairs.join(rest.select(F.col("word").alias("prev"), F.col("class").alias("h")), "prev").join(rest.select("word", "class"), "word")
+    for r in pairs.groupBy("h", "class").agg(F.sum("times").alias("n")).collect():  # at most CLASSES * CLASSES rows
+        table[r["h"], r["class"]] += r["n"]
     room = table.sum(0) + DELTA * (members + 1)
-    return Model(head, own, _states(len(head.counts), core), size["n"] or 0, size["v"], transition, room, transition @ (DELTA / room), rest)
+    table[OTHER] = table.sum(0)
+    transition = (table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * CLASSES)
+    return Model(head, own, _states(len(head.counts), own), size["n"] or 0, size["v"], transition, room, transition @ (DELTA / room), rest)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -329,8 +389,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     base = (model.head.counts + 1) / base_room
     emission = (model.head.counts + DELTA) / model.room[model.own] if n else np.zeros(0)
     own, transition = model.own, model.transition
-    names = ["row", "doc_id", "word", "state", "n", "n_known", "base", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["row", "doc_id", "prev", "word", "state", "next", "next_in_class", "next_base", "n", "n_known", "base", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _ids(blob, n).get
@@ -343,24 +403,39 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 h = np.concatenate([[START], states[ids[:-1]]])
                 known = ids >= 0
                 k = ids[known]
-                p = MIX * transition[h[known], own[k]] * emission[k] + (1 - MIX) * base[k]
-                out.append((row, doc, None, None, len(toks), len(k), float(log_base[k].sum()), float(np.log10(p).sum())))
+                sure = known & (h != OTHER)
+                own_k = ids[sure]
+                p = MIX * transition[h[sure], own[own_k]] * emission[own_k] + (1 - MIX) * base[own_k]
+                out.append((row, doc, None, None, None, None, None, None, len(toks), len(k), float(log_base[k].sum()), float(np.log10(p).sum())))
                 rare = np.flatnonzero(~known)
-                out += [(row, None, w, s, m, 0, 0.0, 0.0) for (w, s), m in Counter(zip(map(toks.__getitem__, rare.tolist()), h[rare].tolist(), strict=True)).items()]
+                after = np.concatenate([ids[1:], [-1]])[rare].tolist()
+                for (w, s, x), m in Counter(zip(map(toks.__getitem__, rare.tolist()), h[rare].tolist(), after, strict=True)).items():
+                    out.append((row, None, None, w, s, *((int(own[x]), float(emission[x]), float(base[x])) if x >= 0 else (None, None, None)), m, 0, 0.0, 0.0))
+                both = rare[h[rare] == OTHER].tolist()
+                out += [(row, None, v, w, None, None, None, None, m, 0, 0.0, 0.0) for (v, w), m in Counter((toks[i - 1], toks[i]) for i in both).items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    schema = "row long, doc_id long, word binary, state long, n long, n_known long, base double, score double"
+    schema = "row long, doc_id long, prev binary, word binary, state long, next long, next_in_class double, next_base double, n long, n_known long, base double, score double"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, schema)
     rows = written(rows, "scored")
     array = lambda x: F.array(*[F.lit(float(v)) for v in np.ravel(x)])
-    joined = rows.filter("word is not null").select("row", "word", "state", F.col("n").alias("times")).join(model.rest, "word", "left")
+    cells, rest = array(transition), model.rest
+    single = rows.filter("word is not null and prev is null").select("row", "word", "state", "next", "next_in_class", "next_base", F.col("n").alias("times"), F.lit(True).alias("one"))
+    double = rows.filter("prev is not null").select("row", "prev", "word", F.col("n").alias("times"))
+    double = double.join(rest.select(F.col("word").alias("prev"), F.col("class").alias("before")), "prev", "left")
+    none = F.lit(None)
+    double = double.select("row", "word", F.coalesce("before", F.lit(OTHER)).alias("state"), none.cast("long").alias("next"), none.cast("double").alias("next_in_class"), none.cast("double").alias("next_base"), "times", F.lit(False).alias("one"))
+    joined = single.union(double).join(rest, "word", "left")
     seen = F.col("class").isNotNull()
-    by_class = F.when(seen, F.get(array(transition), F.col("state") * CLASSES + F.col("class")) * (F.col("n") + DELTA) / F.get(array(model.room), F.col("class"))).otherwise(F.get(array(model.unseen), F.col("state")))
+    by_class = F.when(seen, F.get(cells, F.col("state") * CLASSES + F.col("class")) * (F.col("n") + DELTA) / F.get(array(model.room), F.col("class"))).otherwise(F.get(array(model.unseen), F.col("state")))
     plain = (F.coalesce("n", F.lit(0)) + 1) / F.lit(base_room)
+    # a single row after another word without an id leaves its own term to the double row
+    mine = F.when(F.col("one") & (F.col("state") == OTHER), 0.0).otherwise(F.log10(MIX * by_class + (1 - MIX) * plain))
+    follow = MIX * F.get(cells, F.coalesce("class", F.lit(OTHER)) * CLASSES + F.col("next")) * F.col("next_in_class") + (1 - MIX) * F.col("next_base")
     terms = joined.select(
-        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(seen, F.col("times")).otherwise(0).alias("n_known"),
-        (F.col("times") * F.log10(plain)).alias("base"), (F.col("times") * F.log10(MIX * by_class + (1 - MIX) * plain)).alias("score"),
+        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.when(seen & F.col("one"), F.col("times")).otherwise(0).alias("n_known"),
+        F.when(F.col("one"), F.col("times") * F.log10(plain)).otherwise(0.0).alias("base"), (F.col("times") * (mine + F.when(F.col("next").isNull(), 0.0).otherwise(F.log10(follow)))).alias("score"),
     )
     whole = rows.filter("word is null").select("row", "doc_id", "n", "n_known", "base", "score").union(terms)
     sums = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
