@@ -38,6 +38,11 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     keyed = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
     found = [_near(keyed.filter(F.col("_block") == b), corpus, k, query_id, item_id, vector) for b in range(blocks)]
     rows = reduce(DataFrame.unionByName, found)
+    return keep_ranked(rows, k, query_id, item_id)
+
+
+def keep_ranked(rows: DataFrame, k: int, query_id: str, item_id: str) -> DataFrame:
+    """(query_id, rank, item, distance) of the k nearest rows a query."""
     order = Window.partitionBy(query_id).orderBy(F.round("distance", 6), item_id)
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_id, "rank", item_id, "distance")
 
@@ -71,9 +76,9 @@ def merge_ranked(a: DataFrame, b: DataFrame, k: int, tie: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).orderBy("distance", tie).limit(k)
 
 
-def strict_gate(evidence: DataFrame, limit: float = 0.42) -> DataFrame:
-    """One row: whether the nearest evidence is near enough to answer."""
-    return evidence.agg(F.count("distance").alias("n"), F.min("distance").alias("nearest")).select("*", ((F.col("n") > 0) & (F.col("nearest") <= limit)).alias("answer"))
+def strict_gate(evidence: DataFrame, limit: float = 0.42, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of the keys: whether the nearest evidence is near enough to answer."""
+    return evidence.groupBy(*(keys or [])).agg(F.count("distance").alias("n"), F.min("distance").alias("nearest")).select("*", ((F.col("n") > 0) & (F.col("nearest") <= limit)).alias("answer"))
 
 
 def hit_at_k(found: DataFrame, keys: list[str], hit: Column) -> DataFrame:

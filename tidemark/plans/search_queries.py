@@ -117,6 +117,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.strict_gate(found).select("n", _r("nearest", 5), "answer")
 
 
+# The three queries above keep their SQL, which leaves out every fiftieth row; the ones below search all rows.
+
+
+def _others(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """The k nearest rows to each query but its own: of k + 1 nearest, those that aren't the query."""
+    found = retrieval.top_k(_queries(spark, d), read(spark, d, "embeddings"), k + 1).filter(F.col("vec_id") != F.col("query_id"))
+    return retrieval.keep_ranked(found, k, "query_id", "vec_id")
+
+
+@register("tk6_filtered_top_k_all", f"""WITH {_TOP.format(more='AND e.label IN (1, 3)')} SELECT query_id, rank, vec_id FROM top""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    corpus = read(spark, d, "embeddings").filter(F.col("label").isin(1, 3))
+    return retrieval.top_k(_queries(spark, d), corpus, 5).select("query_id", "rank", "vec_id")
+
+
+@register("ag36_hit_at_k_all", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')}, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    labels = read(spark, d, "embeddings").select("vec_id", "label")
+    labelled = _others(spark, d).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    return retrieval.hit_at_k(labelled, [], F.col("label") == F.col("query_label")).select(_r("hit_rate"), "queries")
+
+
+@register("rt4_strict_gate_all", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')} SELECT q.vec_id AS query_id, count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM embeddings q LEFT JOIN top ON query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    found = _queries(spark, d).select("query_id").join(_others(spark, d), "query_id", "left")
+    return retrieval.strict_gate(found, keys=["query_id"]).select("query_id", "n", _r("nearest", 5), "answer")
+
+
 @register("rt7_event_chunks", f"""WITH {CALLS} SELECT 'event_' || call_id AS id, 'Vessel ' || mmsi || ' called at ' || port_key || ' on ' || strftime(arrival_time, '%Y-%m-%d') || ' and stayed ' || printf('%.1f', dwell_minutes / 60) || ' hours.' AS text, port_key AS port FROM calls""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.event_chunks(marts.dwell(visits(spark, d))).select("id", "text", "port")
