@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import clean, geo, text
-from tidemark.operators import emissions, forecast, marts, questions, retrieval, trajectory
-from tidemark.plans import router
+from tidemark.operators import emissions, forecast, learning, marts, questions, retrieval, trajectory
+from tidemark.plans import learning_queries, router
 from tidemark.plans.engine import Engine, match_call
 from tidemark.sources import files
 from tidemark.streaming import arrivals
@@ -222,3 +222,11 @@ def test_search_covers_ids_divisible_by_50(spark, tmp_path):
     assert [tuple(r) for r in get["ag36_hit_at_k_all"](spark, str(tmp_path)).collect()] == [(1.0, 2)]
     gates = {r["query_id"]: r for r in get["rt4_strict_gate_all"](spark, str(tmp_path)).collect()}
     assert set(gates) == {0, 50} and all(r["answer"] and r["n"] == 5 and r["nearest"] == 0.00496 for r in gates.values())
+
+
+def test_anomaly_quantiles_are_of_all_rows(spark):
+    rows = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 37 == 5, 1000.0 + F.col("id")).otherwise(F.rand(3)).alias("a"), F.rand(4).alias("b"))
+    got = learning.anomaly_scores(rows, "k", ["a", "b"], ["k"], fit_rows=20).collect()
+    assert 20 <= sum(r["score"] >= 1 for r in got) <= 40
+    assert 1000 <= sum(r["score"] == 0 for r in got) <= 1100
+    assert {"acceleration", "speed_estimated_kn", "speed_std_3", "speed_std_5", "speed_std_10"} <= set(learning_queries._ANOMALY)

@@ -14,8 +14,12 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .trajectory import even_sample
 
+#: Percentiles of all rows have a rank error of at most 1 / RANKS.
+RANKS = 100_000
+
 
 def frequent_classes(rows: DataFrame, label: str, most: int = 80, least: tuple[int, ...] = (100, 50, 20, 5, 1)) -> DataFrame:
     """(label, n): the most frequent classes under the first threshold that leaves two or more."""
@@ -72,12 +76,11 @@ class IsolationForest:
         self.trees, self.sample, self.seed = trees, sample, seed
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def fit(self, x: np.ndarray) -> IsolationForest:
+    def fit(self, x: np.ndarray, median: np.ndarray, center: np.ndarray, scale: np.ndarray) -> IsolationForest:
+        """x is filled by `median` and scaled by the mean and deviation of all filled rows."""
         rng = np.random.default_rng(self.seed)
-        self.median = np.nanmedian(x, axis=0)
-        x = np.where(np.isnan(x), self.median, x)
-        self.center, self.scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
-        x = (x - self.center) / self.scale
+        self.median, self.center, self.scale = median, center, np.where(scale > 0, scale, 1)
+        x = (np.where(np.isnan(x), self.median, x) - self.center) / self.scale
         n = min(self.sample, len(x))
         self.limit, self.usual = int(np.ceil(np.log2(max(n, 2)))), _path(np.array([float(n)]))[0]
         size = 2 ** (self.limit + 1)
@@ -117,22 +120,29 @@ def _path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(m) + 0.5772156649) - 2 * m / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def anomaly_scores(rows: DataFrame, key: str, features: list[str], order: list[str], fit_rows: int = 20_000) -> DataFrame:
+def anomaly_scores(rows: DataFrame, key: str, features: list[str], order: list[str], fit_rows: int = 120_000) -> DataFrame:
     """(key, raw_score, score): isolation scores of all rows, brought to 0 at the median and 1 at the 1 % quantile.
 
-    The forest is fitted on an even sample of at most fit_rows rows in time order.
+    Medians, scales and quantiles are of all rows (percentiles to a rank error of RANKS); the trees, of 256 rows each, are
+    fitted on an even sample of at most fit_rows rows in time order.
     """
-    columns = [F.col(c).cast("double").alias(c) for c in features]
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    columns = [number(c).alias(c) for c in features]
+    own = rows.select(*columns)
+    median = [m or 0.0 for m in own.agg(*[F.percentile_approx(c, 0.5, RANKS) for c in features]).first()]
+    filled = own.fillna(dict(zip(features, median, strict=True)))
+    spread = filled.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features]).first()
+    center, scale = np.array([s or 0.0 for s in spread], float).reshape(2, -1)
     sample = even_sample(rows.select(*order, *[c for c in features if c not in order]), order, fit_rows).select(*columns).toPandas().to_numpy(float)
-    forest = IsolationForest().fit(sample)
+    forest = IsolationForest().fit(sample, np.array(median), center, scale)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(features))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(x))], names=[key, "raw_score"])
 
-    scored = rows.select(F.col(key).cast("long"), *columns).mapInArrow(run, f"{key} long, raw_score double")
-    low, mid = (float(q) for q in np.quantile(forest.score(sample), [0.01, 0.5]))
+    scored = written(rows.select(F.col(key).cast("long"), *columns).mapInArrow(run, f"{key} long, raw_score double"), "anomaly")
+    low, mid = scored.agg(F.percentile_approx("raw_score", [0.01, 0.5], RANKS)).first()[0]
     return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mid - F.col("raw_score")) / (mid - low if mid > low else 1.0))))
 
 
