@@ -194,6 +194,13 @@ def test_edits_are_located(spark):
     assert [(d["section"], d["paragraph"]) for d in row["d"]] == [(1, 3)] and 0.5 < row["n"] < 1
 
 
+@pytest.mark.parametrize(("a", "b"), [("one two\nend", "one two  \nend"), ("x\n\ny", "x\n   \ny"), ("one\x1e", "one"), ("one two three four five six", "one two\x1ethree four\x1efive six")])
+def test_edits_of_blanks_have_a_place(spark, a, b):
+    pair = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
+    row = pair.select(fingerprints.differing(F.col("a"), F.col("b")).alias("d"), fingerprints.likeness(F.col("a"), F.col("b")).alias("n")).first()
+    assert len(row["d"]) == 1 and row["n"] < 1
+
+
 def test_op5_ledger(spark, folder, tmp_path):
     got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in rows(spark, folder, "op5_token_counts")}
     want: dict = defaultdict(lambda: [0, 0])

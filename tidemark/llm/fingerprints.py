@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over paragraphs and sections, with DataFrame functions only.
 
-Levels: root, sections (SECTION paragraphs), paragraphs (lines), leaves (runs of words). A leaf ends after a word
-whose hash is 0 modulo LEAF_WORDS, or after MOST_WORDS words of its paragraph, so an edit moves no other leaf's
+Levels: root, sections (SECTION paragraphs), paragraphs (lines), leaves (runs of words). A leaf ends after a word,
+not an empty one, whose hash is 0 modulo LEAF_WORDS, or after MOST_WORDS words of its paragraph, so an edit moves no other leaf's
 ends beyond the next such word. A node's hash is the SHA-256 of its children's; a leaf's that of its text; the root also
 covers the whole text. So equal roots mean equal texts, and a differing section or paragraph tells where an edit is.
 
@@ -26,15 +26,18 @@ _CUT = "\x1e"
 
 def _paragraph(line: Column) -> Column:
     """struct<hash, leaves> of one line; leaves: DIGITS hex digits each, joined."""
-    ends = lambda w, i: (F.pmod(F.xxhash64(w), F.lit(LEAF_WORDS)) == 0) | (i % MOST_WORDS == MOST_WORDS - 1)
+    ends = lambda w, i: ((w != "") & (F.pmod(F.xxhash64(w), F.lit(LEAF_WORDS)) == 0)) | (i % MOST_WORDS == MOST_WORDS - 1)
     marked = F.array_join(F.transform(F.split(line, " "), lambda w, i: F.concat(w, F.when(ends(w, i), F.lit(_CUT)).otherwise(F.lit(" ")))), "")
-    hashes = F.transform(F.split(F.rtrim(marked, F.lit(_CUT + " ")), _CUT), lambda leaf: F.sha2(leaf, 256))
+    whole = F.transform(F.array(marked), lambda m: F.left(m, F.length(m) - 1))[0]  # without the mark after the last word
+    hashes = F.transform(F.split(whole, _CUT), lambda leaf: F.sha2(leaf, 256))
     return F.struct(F.sha2(F.array_join(hashes, ""), 256).alias("hash"), F.array_join(F.transform(hashes, lambda h: F.left(h, F.lit(DIGITS))), "").alias("leaves"))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text without nulls."""
-    paragraphs = F.transform(F.split(text, "\n"), _paragraph)
+    # U+001E is the mark of a leaf's end, so a text's own are written otherwise
+    plain = F.replace(F.replace(text, F.lit("\x1d"), F.lit("\x1d0")), F.lit(_CUT), F.lit("\x1d1"))
+    paragraphs = F.transform(F.split(plain, "\n"), _paragraph)
 
     def tree(ps: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: i % SECTION == 1)
