@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.oracle import DATA, compare, connection
 from tidemark.llm import bpe, chat, class_lm, fingerprints, langid, media, mixing, near_dedup, queries, token_ledger
-from tidemark.llm.common import fold
+from tidemark.llm import components as components_module
+from tidemark.llm.common import fold, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, copies int, rep long, `value` long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string, position int, message string"
@@ -333,7 +334,7 @@ def test_links_within_a_block():
             w[rng.randrange(60)] = f"e{rng.randint(0, 5)}"
         texts.append(" ".join(w))
     sets = [shingle_set(t) for t in texts]
-    found = near_dedup.block_links(list(range(40)), list(range(40)), [0] * 40, sets, True)
+    found = near_dedup._Block(list(range(40)), [0] * 40, [len(x) for x in sets], sets, True).links()
     _, want = components([(i, t) for i, t in enumerate(texts)])
     parent = {i: i for i in range(40)}
 
@@ -348,6 +349,60 @@ def test_links_within_a_block():
     assert {i: find(i) for i in parent} == want
 
 
+def test_estimates_within_a_block():
+    """The block's table of estimates is union_estimate() of each pair, for sets longer and shorter than a sketch."""
+    from tidemark.llm.shingles import shingle_set
+
+    rng = random.Random(5)
+    sets = [shingle_set(" ".join(f"w{rng.randint(0, 5) + k}" for k in range(rng.choice([3, 12, 40, 90])))) for _ in range(30)]
+    own = near_dedup._Block(list(range(30)), [0] * 30, [len(x) for x in sets], sets, True)
+    import numpy as np
+
+    for i in range(30):
+        near = np.array([j for j in range(30) if j != i])
+        assert own._estimates(i, near) == pytest.approx([near_dedup.union_estimate(sets[i], sets[j]) for j in near])
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    """1,000 nodes in order, dealt at random, and as alternating small and large ones: rounds and jumps stay logarithmic."""
+    rng, tables = random.Random(6), []
+    monkeypatch.setattr(components_module, "written", lambda df, name: tables.append(name) or written(df, name))
+    mixed_order = rng.sample(range(1000), 1000)
+    for order, most in ((list(range(1000)), 1), (mixed_order, 9)):
+        tables.clear()
+        edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+        got = components_module.connected_components(edges)
+        assert {(r["node"], r["component"]) for r in got.collect()} == {(i, 0) for i in range(1000)}
+        assert tables.count("least") <= most and tables.count("hooks") <= 12 + 4 * most
+
+
+def test_components_of_no_edges_and_of_loops(spark):
+    assert components_module.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    got = components_module.connected_components(spark.createDataFrame([(1, 1), (2, 3), (3, 2), (2, 3)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 2)]
+
+
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+A = "alpha beta gamma delta epsilon zeta eta theta"
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    b, a = A, "uno dos tres cuatro cinco seis siete ocho"
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(3, b), (5, b), (5, a)]], PLAIN)
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()) == [(3, 3, True), (5, 3, False), (5, 5, True)]
+    assert sorted(r[:2] for r in near_dedup.keep_one(docs).collect()) == [(3, b), (5, a)]
+
+
+def test_keep_one_of_awkward_rows(spark):
+    b, a = A, "uno dos tres cuatro cinco seis siete ocho"
+    rows = [(None, b), (None, b), (1, b), (1, b), (1, a), (2, a), (4, None), (4, ""), (6, None), (7, "  " + b), (1, b.upper())]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)], PLAIN)
+    got = [(r["doc_id"], r["text"]) for r in near_dedup.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, b), (None, b), (1, b.upper()), (1, a), (4, None), (6, None)], key=str)
+    only = near_dedup.keep_one(docs.select("doc_id", "text"))
+    assert sorted(map(tuple, only.collect()), key=str) == sorted(got, key=str) and only.columns == ["doc_id", "text"]
+
+
 def test_op9(spark, folder):
     text = {d[0]: d[1] or "" for d in documents()}
     for r in rows(spark, folder, "op9_media"):

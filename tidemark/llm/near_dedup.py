@@ -1,22 +1,25 @@
 """Near-duplicate groups by bottom-k sketches of one hash function.
 
-1. Each text's shingle set is hashed; the SKETCH smallest hashes are retained. Texts with equal sets are one class,
-   represented by its smallest id.
+1. Each text's shingle set is hashed; the SKETCH smallest hashes are retained. Texts with equal sets are one node, named
+   by 16 bytes of the set's digest, so rows that share an id but not a text are nodes of their own.
 2. Inverted lists of retained values: two sets with Jaccard 0.75 share at least OVERLAP of SKETCH retained values but
    for a chance of about 4e-5 at the threshold itself, and less above. In order of rarity, such sets share one of
-   their first m - t + 1 values (m retained, t = m * OVERLAP / SKETCH), so only those enter lists, and values that
-   one class alone retains drop out. No list, partner or candidate is capped.
-3. Stars: in each list the class whose values are the most common is the leader; each class is compared with the
+   their first m - t + 1 values (m retained, t = m * OVERLAP / SKETCH) and two of their first m - t + 2, so only those
+   enter lists, and values that one node alone retains drop out. No list, partner or candidate is capped.
+3. Stars: in each list the node whose values are the most common is the leader; each node is compared with the
    leader of most of its lists: an estimate from the union's sketch filters, the whole sets decide.
-4. Components of these links are found. Only lists that still hold several components go on; they are cut into
-   blocks of BLOCK members, pairs of blocks are compared within a task, and only pairs from two components count:
-   retained overlap filters, the whole sets decide, and each task returns a spanning forest of its links. So every
-   candidate pair is either within one component or decided on whole sets, and no pairs are emitted.
-5. Components of all links.
+4. Components of these links are found. Only lists that still hold several components go on. A list of more than BLOCK
+   members is split by the second value that its pairs have to share, and what is still longer is cut into blocks of
+   BLOCK members. Pairs of blocks are compared within a task, first on sketches alone: overlap and union estimate
+   filter pairs of two components, and members without a partner drop out. For the others the whole sets are
+   fetched and decide, and each task returns a spanning forest of its links. So every candidate pair is either within
+   one component or decided on whole sets; no pairs are emitted, and no whole set is moved for a shared value alone.
+5. Components of all links, each with the smallest id of its nodes' rows.
 
 Defined results: null or empty texts have an empty set and are alone; with fewer than five words the whole sequence is
-the one shingle; rows that share an id are one node, and a row with a null id is alone with a null component; equal
-texts are always together; other columns are ignored; an empty table gives an empty result.
+the one shingle; a row with a null id is alone with a null component, and is never a reason for another row to go; rows
+that share an id have each its own text's component; equal texts are always together; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +38,12 @@ from .shingles import jaccard_at_least, shingle_set, signature
 SKETCH, OVERLAP, PERCENT, BLOCK = 32, 14, 75, 1024
 #: Up to so many ids (8 bytes each) are broadcast to pick rows of documents; beyond, a shuffle does it.
 BROADCAST_IDS = 1_000_000
+#: A block within a list: list, its second value (null where the list isn't split), and the two blocks' numbers.
+_KEY = ("value", "second", "i", "j")
+
+
+def _signatures(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,23 +53,32 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         for part, texts in text_slices(batches, text):
             sets = [shingle_set(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary()), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), _signatures(sets), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "sig", "sketch"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_shingles long, sig binary, sketch array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(rep, own): the whole shingle sets of the documents whose id is in ids, as bytes; own table."""
+def _picked(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of docs whose id is in ids (_id), a written table."""
     few = ids.count() <= BROADCAST_IDS
-    picked = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text)).join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_id"], "left_semi")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, repeats: bool, id_col: str, text: str) -> DataFrame:
+    """(node, own): the whole shingle sets of nodes (node, rep), as bytes; own table. repeats: ids occur more than once."""
+    picked = _picked(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text)), nodes.select(F.col("rep").alias("_id")).distinct(), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["rep", "own"])
+            sets = [shingle_set(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([_signatures(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "own"])
 
-    return written(picked.mapInArrow(run, "rep long, own binary"), "sets")
+    found = picked.mapInArrow(run, "node binary, own binary")
+    if repeats:  # one row a node, so that repeated rows don't multiply in joins
+        found = found.filter("node is not null").groupBy("node").agg(F.any_value("own").alias("own"))
+    return written(found, "sets")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -81,138 +99,237 @@ def _verified(pairs: DataFrame) -> DataFrame:
                 keep.append(union_estimate(p, q) >= OVERLAP / SKETCH and jaccard_at_least(p, q, PERCENT))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "own_a", "own_b").mapInArrow(run, "a binary, b binary")
 
 
-def block_links(ids: list[int], groups: list[int], sides: list[int], sets: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links between members of different groups, decided on whole sets.
+class _Block:
+    """The members of a pair of blocks: groups (components), sides (0: first block, 1: second), sizes, whole sets or sketches.
 
-    sides: 0 for the first block, 1 for the second; same: one block, all its pairs count.
+    same: one block, all its pairs count; else pairs of two sides. Values are numbered once, and a member's values are
+    marked in a table, so one pass counts what all others share with it.
     """
-    group, side, size = np.array(groups), np.array(sides), np.array([len(s) for s in sets])
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    short = np.minimum(size, SKETCH)
-    short_starts = np.concatenate([[0], np.cumsum(short)[:-1]])
-    short_flat = np.concatenate([flat[s : s + k] for s, k in zip(starts, short, strict=True)])
-    need = -(-short * OVERLAP // SKETCH)
-    mark, out = np.zeros(len(values), np.int32), []
-    for i in range(len(sets)):
-        if not same and side[i]:
-            continue
-        fit = (group != group[i]) & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i]))
-        if same:
-            fit[: i + 1] = False
-        else:
-            fit &= side == 1
-        if not fit.any():
-            continue
-        mark[flat[starts[i] : starts[i] + short[i]]] = 1
-        shared = np.add.reduceat(mark[short_flat], short_starts)
-        mark[flat[starts[i] : starts[i] + short[i]]] = 0
-        near = np.flatnonzero(fit & (shared >= np.minimum(need, need[i])))
-        if not len(near):
-            continue
-        mark[flat[starts[i] : starts[i] + size[i]]] = 1
-        for j in near:
-            both = int(mark[flat[starts[j] : starts[j] + size[j]]].sum())
-            if 100 * both >= PERCENT * (size[i] + size[j] - both) and (p := find(ids[i])) != (q := find(ids[j])):
-                parent[p] = q
-                out.append((ids[i], ids[j]))
-        mark[flat[starts[i] : starts[i] + size[i]]] = 0
-    return out
+
+    def __init__(self, groups: list, sides: list[int], sizes: list[int], sets: list[np.ndarray], same: bool):
+        self.group, self.side, self.size, self.same = np.unique(np.array(groups), return_inverse=True)[1], np.array(sides), np.array(sizes), same
+        held = np.array([len(s) for s in sets])
+        self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts, self.held = np.concatenate([[0], np.cumsum(held)[:-1]]), held
+        self.short = np.minimum(held, SKETCH)
+        self.short_starts = np.concatenate([[0], np.cumsum(self.short)[:-1]])
+        at = np.arange(self.short.sum()) - np.repeat(self.short_starts, self.short)
+        self.short_flat = self.flat[np.repeat(self.starts, self.short) + at]
+        # each member's retained values in a row, with numbers that nobody has where there are fewer
+        self.sketch = np.full((len(sets), SKETCH), -1, np.int64)
+        self.sketch[np.repeat(np.arange(len(sets)), self.short), at] = self.short_flat
+        spare = self.sketch < 0
+        self.sketch[spare] = len(self.values) + np.flatnonzero(spare.ravel())
+        self.need = -(-self.short * OVERLAP // SKETCH)
+        self.mark = np.zeros(len(self.values), np.int32)
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(i, members of another group that the filters leave as possible links of i)."""
+        for i in range(len(self.size)):
+            if not self.same and self.side[i]:
+                continue
+            fit = (self.group != self.group[i]) & (100 * np.minimum(self.size, self.size[i]) >= PERCENT * np.maximum(self.size, self.size[i]))
+            if self.same:
+                fit[: i + 1] = False
+            else:
+                fit &= self.side == 1
+            if not fit.any():
+                continue
+            own = self.short_flat[self.short_starts[i] : self.short_starts[i] + self.short[i]]
+            self.mark[own] = 1
+            shared = np.add.reduceat(self.mark[self.short_flat], self.short_starts)
+            self.mark[own] = 0
+            near = np.flatnonzero(fit & (shared >= np.minimum(self.need, self.need[i])))
+            if len(near):
+                near = near[self._estimates(i, near) >= OVERLAP / SKETCH]
+            if len(near):
+                yield i, near
+
+    def _estimates(self, i: int, near: np.ndarray) -> np.ndarray:
+        """union_estimate() of member i and each of near."""
+        both = np.concatenate([self.sketch[near], np.broadcast_to(self.sketch[i], (len(near), SKETCH))], axis=1)
+        both.sort(axis=1)
+        again = both[:, 1:] == both[:, :-1]
+        rank = np.arange(1, 2 * SKETCH) - np.cumsum(again, axis=1)  # of a repeated value among the distinct ones, from 0
+        values = (both < len(self.values)).sum(axis=1) - again.sum(axis=1)
+        return (again & (rank < SKETCH)).sum(axis=1) / np.maximum(1, np.minimum(SKETCH, values))
+
+    def links(self) -> list[tuple[int, int]]:
+        """A spanning forest of the links, decided on whole sets."""
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.get(x, x)) != x:
+                parent[x] = parent.get(p, p)
+                x = p
+            return x
+
+        out = []
+        for i, near in self.partners():
+            own = self.flat[self.starts[i] : self.starts[i] + self.held[i]]
+            self.mark[own] = 1
+            for j in near:
+                both = int(self.mark[self.flat[self.starts[j] : self.starts[j] + self.held[j]]].sum())
+                if 100 * both >= PERCENT * (self.size[i] + self.size[j] - both) and (p := find(i)) != (q := find(int(j))):
+                    parent[p] = q
+                    out.append((i, int(j)))
+            self.mark[own] = 0
+        return out
+
+
+def _by_block(rows: DataFrame, numbers: str) -> Iterator:
+    """Rows dealt to tasks by block and sorted by it."""
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).select(*_KEY, "side", "node", "component", "n", numbers)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of each block of batches from _by_block."""
+    key, held = None, []
+    for batch in batches:
+        plain = [c.to_pylist() for c in batch.columns[:8]]
+        for *k, side, node, component, n, own in zip(*plain, batch.column(8), strict=True):
+            if (k := tuple(k)) != key:
+                if len(held) > 1:
+                    yield key, held
+                key, held = k, []
+            held.append((side, node, component, n, own))
+    if len(held) > 1:
+        yield key, held
+
+
+def _block(key: tuple, rows: list[tuple], sets: list[np.ndarray]) -> _Block:
+    side, _, component, n, _ = zip(*rows, strict=True)
+    return _Block(list(component), list(side), list(n), sets, key[2] == key[3])
+
+
+def _possible(rows: DataFrame) -> DataFrame:
+    """Those members of blocks that have a possible link in them, by sketches; columns of _KEY, side, node, component, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in _blocks(batches):
+            use: set[int] = set()
+            for i, near in _block(key, held, [np.sort(np.array(r[4].as_py(), np.int64).view(np.uint64)) for r in held]).partners():
+                use.add(i)
+                use.update(near.tolist())
+            if use:
+                some = [(*key, *held[i][:4]) for i in sorted(use)]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)], names=[*_KEY, "side", "node", "component", "n"])
+
+    return _by_block(rows, "sketch").mapInArrow(run, "value long, second long, i int, j int, side int, node binary, component binary, n long")
 
 
 def _block_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) from rows (value, i, j, side, rep, component, own), sorted by value, i and j within partitions."""
+    """Links (a, b) between members of blocks, by whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        for key, held in _blocks(batches):
+            if found := _block(key, held, [np.frombuffer(r[4].as_buffer(), np.uint64) for r in held]).links():
+                yield pa.RecordBatch.from_arrays([pa.array([held[p[k]][1] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                reps, groups, sides, sets = zip(*held, strict=True)
-                if found := block_links(list(reps), list(groups), list(sides), list(sets), key[1] == key[2]):
-                    a, b = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return _by_block(rows, "own").mapInArrow(run, "a binary, b binary")
 
-        for batch in batches:
-            plain = [c.to_pylist() for c in batch.columns[:6]]
-            for value, i, j, side, rep, group, own in zip(*plain, batch.column(6), strict=True):
-                if (value, i, j) != key:
-                    yield from links()
-                    key, held = (value, i, j), []
-                held.append((rep, group, side, np.frombuffer(own.as_py(), np.uint64)))
-        yield from links()
 
-    return rows.select("value", "i", "j", "side", "rep", "component", "own").mapInArrow(run, "a long, b long")
+def _mixed(placed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, members) of those lists that hold several components."""
+    found = placed.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    return found.filter("lo != hi").select(*keys, "members")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, sig, component_id, first) of every row; first: its text is the one of its group to stay.
+
+    That is the text of the group's smallest id and, of several such texts, the one with the least sig.
+    """
     found = written(sketches(docs, id_col, text), "sketches")
-    classes = written(found.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("sketch").alias("sketch")), "classes")
-    # inverted lists of the rarest retained values that more than one class has
-    retained = classes.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    named = found.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
+    classes = written(named.groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    repeats = not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    # inverted lists of the rarest retained values that more than one node has
+    retained = classes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     common = retained.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = retained.join(common, "value").groupBy("rep", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("h"), F.sum("df").alias("weight"))
+    ranked = retained.join(common, "value").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("h"), F.sum("df").alias("weight"))
     need = F.ceil(F.col("m") * OVERLAP / SKETCH).cast("int")
-    listed = written(ranked.filter(F.size("h") >= need).select("rep", "weight", F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + 1).alias("values")), "lists")
-    lists = listed.select("rep", "weight", F.explode("values").alias("value"))
-    sets = _sets(docs, listed.select("rep").distinct(), id_col, text)
+    first = lambda more: F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + more)
+    listed = written(ranked.filter(F.size("h") >= need).select("node", "weight", first(1).alias("values"), first(2).alias("seconds")), "lists")
+    lists = listed.select("node", "weight", F.explode("values").alias("value"))
+    sets = _sets(docs, classes.join(listed.select("node"), "node", "left_semi").select("node", "rep"), repeats, id_col, text)
     # stars
-    leaders = lists.groupBy("value").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
-    led = lists.join(leaders, "value").filter("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("n"))
-    stars = led.groupBy("rep").agg(F.max_by("leader", F.struct("n", -F.col("leader"))).alias("b")).select(F.col("rep").alias("a"), "b")
-    pairs = stars.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("own_a")), "a")
-    pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("own").alias("own_b")), "b")
+    leaders = lists.groupBy("value").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    led = lists.join(leaders, "value").filter("node != leader").groupBy("node", "leader").agg(F.count("*").alias("k"))
+    stars = led.groupBy("node").agg(F.max_by("leader", F.struct("k", "leader")).alias("b")).select(F.col("node").alias("a"), "b")
+    pairs = stars.join(sets.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
+    pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
     links = written(_verified(pairs), "stars")
     # what is left between components
-    parts = connected_components(links)
-    placed = lists.join(parts, F.col("rep") == F.col("node"), "left").select("value", "rep", F.coalesce("component", "rep").alias("component"))
+    parts = connected_components(links).withColumnRenamed("node", "_node")
+    placed = listed.select("node", "values", "seconds").join(parts, F.col("node") == F.col("_node"), "left").select("node", "values", "seconds", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(mixed, "value").join(sets, "rep")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    spread = left.select("value", "rep", "component", "own", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "component", "own")
-    more = _block_links(spread.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j"))
-    final = connected_components(links.union(written(more, "links")))
-    # back to rows: only classes of several rows or with a link need a look-up
-    named = classes.join(final, F.col("rep") == F.col("node"), "left").filter(F.col("component").isNotNull() | (F.col("rows") > 1)).select("sig", F.coalesce("component", "rep").alias("component"))
-    out = found.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    members = placed.select("node", "component", "seconds", F.explode("values").alias("value")).join(written(_mixed(placed.select("component", F.explode("values").alias("value")), "value"), "mixed"), "value")
+    short = members.filter(F.col("members") <= BLOCK).select("value", F.lit(None).cast("long").alias("second"), "node", "component", "members")
+    split = members.filter(F.col("members") > BLOCK).select("value", F.explode(F.array_remove("seconds", F.col("value"))).alias("second"), "node", "component")
+    long = split.join(_mixed(split, "value", "second"), ["value", "second"]).select("value", "second", "node", "component", "members")
+    left = short.unionByName(long).join(classes.select("node", "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    spread = left.select("value", "second", "node", "component", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("value", "second", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
+    possible = written(_possible(spread), "possible")
+    more = _block_links(possible.join(sets, "node"))
+    final = connected_components(links.union(written(more, "links"))).withColumnRenamed("node", "_node")
+    # names of groups; then back to rows, where only nodes of several rows or with a link need a look-up
+    joined = classes.select("node", "rep", "rows").join(final, F.col("node") == F.col("_node"), "left").filter(F.col("component").isNotNull() | (F.col("rows") > 1)).select("node", "rep", F.coalesce("component", "node").alias("component"))
+    joined = written(joined, "groups")
+    least = joined.groupBy(F.col("component").alias("_component")).agg(F.min(F.struct("rep", "node")).alias("least"))
+    groups = joined.join(least, F.col("component") == F.col("_component")).select(F.col("node").alias("sig"), F.col("least.rep").alias("component_id"), (F.col("least.node") == F.col("node")).alias("first"))
+    out = found.select("doc_id", "n_shingles", "sig").join(groups, "sig", "left")
+    own = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", "sig", F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    out = labelled(docs, id_col, text)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's smallest; rows with a null id stay.
+    """One row of docs for each group of near copies: the one with the smallest id (of several texts with that id, the
+    one whose shingles' digest is least).
 
-    Rows that share an id and a text become one, with the other columns of the row that is least as JSON.
+    Rows with a null id stay. Of rows that share an id and a text one stays, with the other columns of the row that is
+    least as JSON; a row that shares an id with others but is no copy stays, too. Empty texts with different ids stay.
     """
-    gone = written(near_duplicates(docs, id_col, text).filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = _without(docs, gone, id_col)
-    # ids of several rows are looked for by ids alone; texts are only moved where there are some
-    again = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_gone")).count().filter("count > 1").select("_gone"), "again")
+    rows = labelled(docs, id_col, text).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "sig", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    ids = rows.groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays"))
+    ids = written(ids.filter("n > 1 or not stays"), "gone")
+    kept = _without(docs, ids.select("_id"), id_col)
+    again = written(ids.filter("n > 1").select("_id"), "again")
     if again.isEmpty():
         return kept
-    others = F.struct(*[F.col(c) for c in docs.columns if c not in (id_col, text)])
-    repeated = kept.join(again, kept[id_col] == again["_gone"], "left_semi")
-    if len(docs.columns) == 2:
-        return _without(kept, again, id_col).union(repeated.distinct().select(*docs.columns))
-    single = repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(id_col, text, "_others.*")
-    return _without(kept, again, id_col).unionByName(single)
+    # ids of several rows: their texts are looked at once more, as an id alone doesn't tell which row stays
+    repeated = _picked(docs, again, id_col)
+    columns = [c for c in docs.columns if c not in (id_col, text)]
+    others = F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+    single = written(repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(F.col(id_col), F.col(text), *[F.col("_others")[c].alias(c) for c in columns]), "single")
+    stay = written(rows.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "_id", "left_semi").filter("stays").select("_id", "sig").distinct(), "stay")
+    schema = single.select("*", F.lit(None).cast("binary").alias("_sig")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, _signatures([shingle_set(t) for t in texts])], names=[*part.schema.names, "_sig"])
+
+    signed = single.mapInArrow(run, schema)
+    # of texts with one set of shingles, such as two spacings, the least stays
+    picked = signed.join(stay, (signed[id_col] == stay["_id"]) & signed["_sig"].eqNullSafe(stay["sig"]), "left_semi")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != id_col])
+    least = picked.groupBy(F.col(id_col), "_sig").agg(F.min_by(rest, F.struct(F.col(text), F.to_json(rest))).alias("_rest"))
+    return kept.unionByName(least.select(F.col(id_col), *[F.col("_rest")[c].alias(c) for c in docs.columns if c != id_col]))
 
 
 def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of docs whose id isn't in ids (_gone), a written table."""
+    """Rows of docs whose id isn't in ids (_id), a written table."""
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_gone"], "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_id"], "left_anti")
