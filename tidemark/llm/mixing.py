@@ -4,18 +4,22 @@ Targets: sources in order of code points (null last) weigh 3, 1, 2, repeating, a
 target exceeds MOST times its source's size, and what is over goes to the others by weight until none is above.
 
 Sampling: within a source each document is expected target / source size times. Documents stand in order of size
-class, then of a hash, then of the id; expected copies are prefix-summed in that order, an offset is added, and a
+class, then of a hash, then of the id; expected copies are prefix-summed in that order, one offset is added, and a
 document is emitted once for each integer crossed. So a document comes floor or ceil of its expected copies times,
-and every size class is taken in proportion. The offset is drawn from OFFSETS equally spaced ones with a random start
-(seeded by the source's name): the one whose words come nearest to the target.
+whatever the offset, and its expected copies are exactly the rate. The offset is one draw from [0, 1) for each source,
+seeded by the source's name, so that reruns agree. As sizes rise along the order but for STEPS classes to a factor of
+e, rounding errors of neighbours cancel: a source's words differ from its target by a few of its largest documents at
+most, however many documents it has.
 
 Prefix sums at scale: the place of a document in its source is the number of documents in earlier (class, bucket)
 groups, which is summed over groups in two levels, plus its place within its own group. Buckets are hashes of the id, and their
-number follows the number of rows, so no group of equal sizes is large, whatever its source.
+number follows the number of rows, so no group of equal sizes is large, whatever its source. Sources are numbered
+within ranges of names, and the water level is found by sums over sources, so no task holds all sources.
 
 Defined results: a null text has size 0; null sources form one source, which comes last; a source of size 0 has
-target 0 and its documents come 0 times; rows that repeat wholly may take each other's places, but as many are
-emitted; other columns stay and are not looked at; an empty table gives an empty result.
+target 0 and its documents come 0 times; each row is taken by itself, so an id may occur in several sources, or be
+null; rows that repeat wholly may take each other's places, but as many are emitted; other columns stay and are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,28 +29,42 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, written
 
-WEIGHTS, SHARE, MOST, OFFSETS, GROUP_ROWS, SPAN = (3, 1, 2), 1.5, 2.0, 32, 4096, 1024
+WEIGHTS, SHARE, MOST, STEPS, GROUP_ROWS, SPAN = (3, 1, 2), 1.5, 2.0, 16, 4096, 1024
 #: Sources up to this number are broadcast to the rows; more are joined by a shuffle, which Spark can split.
 BROADCAST_SOURCES = 20_000
 
 
+def _numbered(each: DataFrame) -> DataFrame:
+    """each with _n, from 0, in order of source (null last): places within ranges of names, and one count a range."""
+    last, part = F.col("source").isNull(), F.col("_part")
+    ranged = written(each.orderBy(last, "source").withColumn("_part", F.spark_partition_id()), "mix-ranges")
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("_part").count().collect()):
+        starts += [F.lit(r["_part"]), F.lit(before)]
+        before += r["count"]
+    if not starts:
+        return ranged.withColumn("_n", F.lit(0)).drop("_part")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(last, "source")) - 1
+    return ranged.withColumn("_n", place + F.element_at(F.create_map(*starts), part)).drop("_part")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, n, target) from rows with source and size; works on one row a source."""
+    """(source, source_size, n, target) from rows with source and size; one row a source."""
     each = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    weighed = each.withColumn("weight", F.element_at(weights, (F.row_number().over(by_name) - 1) % len(WEIGHTS) + 1))
-    # water level: sources in order of the level at which they are full; those before the first that isn't are full
-    full_at = F.lit(MOST) * F.col("source_size") / F.col("weight")
-    order = Window.orderBy("full_at", F.col("source").isNull(), "source")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    level = (F.lit(SHARE) * F.sum("source_size").over(everything) - F.coalesce(F.sum(F.lit(MOST) * F.col("source_size")).over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    leveled = weighed.withColumn("full_at", full_at).withColumn("level", level)
-    final = F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything)
-    filled = leveled.withColumn("final", final)
-    target = F.when(F.col("final").isNull(), F.lit(MOST) * F.col("source_size")).otherwise(F.least(F.lit(MOST) * F.col("source_size"), F.col("final") * F.col("weight")))
-    return filled.select("source", "source_size", "n", F.round(target, 6).alias("target"))
+    weighed = written(_numbered(each).select("source", "source_size", "n", F.element_at(weights, (F.col("_n") % len(WEIGHTS) + 1).cast("int")).alias("weight")), "mix-weights")
+    most = F.lit(MOST) * F.col("source_size")
+    sums = weighed.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weight")).first()
+    level, full = SHARE * (sums["all"] or 0) / (sums["weight"] or 1.0), 0
+    while level is not None:  # the level rises as sources get full, so each is found full once
+        over = most < F.lit(level) * F.col("weight")
+        found = weighed.agg(F.count_if(over).alias("full"), F.sum(F.when(over, most)).alias("held"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if found["full"] == full:
+            break
+        full = found["full"]
+        level = (SHARE * sums["all"] - found["held"]) / found["weight"] if found["weight"] else None
+    target = most if level is None else F.least(most, F.lit(level) * F.col("weight"))
+    return weighed.select("source", "source_size", "n", F.round(target, 6).alias("target"))
 
 
 def _hash(text: Column) -> Column:
@@ -76,38 +94,29 @@ def _starts(counts: DataFrame) -> DataFrame:
     return joined.select("source", "_class", "_bucket", (F.col("_before") + F.col("_within")).alias("_start"))
 
 
-def copies(sized: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def copies(sized: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """Rows of sized (id_col, source, size and others) with source_size, target and copies, which replace columns of these names.
 
-    sized should be a written table: it is read three times.
+    ties: columns that order rows of one id and size. sized should be a written table: it is read three times.
     """
     sized = sized.drop("source_size", "target", "copies")
     sources = written(targets(sized), "mix-sources")
     found = sources.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     buckets = max(1, -(-(found["n"] or 0) // GROUP_ROWS))
-    rows = sized.withColumn("_class", F.floor(F.log(F.col("size") + 1) * 4)).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
+    rows = sized.withColumn("_class", F.floor(F.log(F.col("size") + 1) * STEPS)).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
     group = ["source", "_class", "_bucket"]
     counts = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
     starts = _starts(counts)
-    inside = Window.partitionBy(*group).orderBy("_hash", id_col, "size")
+    inside = Window.partitionBy(*group).orderBy("_hash", id_col, "size", *ties)
     placed = rows.withColumn("_place", F.row_number().over(inside))
     right = starts.select(*[F.col(c).alias(f"{c}_g") for c in group], "_start")
     joined = placed.join(right, placed["source"].eqNullSafe(right["source_g"]) & (placed["_class"] == right["_class_g"]) & (placed["_bucket"] == right["_bucket_g"]))
     joined = _with_sources(joined, sources.drop("n"), found["k"] or 0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    offset = _hash(F.concat(F.lit("offset:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 28))
     at = joined.select(*sized.columns, "source_size", "target", (F.col("_start") + F.col("_place")).alias("_rank"), rate.alias("_rate"))
-    first = _hash(F.concat(F.lit("offset:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 28))
-
-    def crossed(offset: Column) -> Column:
-        return F.floor(F.col("_rank") * F.col("_rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("_rate") + offset)
-
-    ways = [(F.lit(float(k)) + first) / OFFSETS for k in range(OFFSETS)]
-    sums = at.groupBy("source", "target").agg(*[F.sum(crossed(w) * F.col("size")).alias(f"_{k}") for k, w in enumerate(ways)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(OFFSETS)]))["k"]
-    chosen = sums.select("source", nearest.alias("_way"))
-    out = _with_sources(at, chosen, found["k"] or 0)
-    offset = (F.col("_way").cast("double") + first) / OFFSETS
-    return out.withColumn("copies", crossed(offset).cast("long")).drop("_rank", "_rate", "_way")
+    crossed = F.floor(F.col("_rank") * F.col("_rate") + offset) - F.floor((F.col("_rank") - 1) * F.col("_rate") + offset)
+    return at.withColumn("copies", crossed.cast("long")).drop("_rank", "_rate")
 
 
 def sized(docs: DataFrame, *columns: str) -> DataFrame:
@@ -123,11 +132,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Documents, each as often as the mix takes it. Only ids, sources and sizes are shuffled by the sampling."""
-    chosen = copies(written(sized(docs, "doc_id"), "mix-sizes")).filter("copies > 0")
-    # rows that share an id share its copies out evenly
-    by_id = chosen.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.sum("copies").alias("_mix_sum"), F.count("*").alias("_mix_n"))
-    times = docs.join(by_id, docs["doc_id"].eqNullSafe(by_id["_mix_id"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    each = times.withColumn("_mix_times", F.floor(F.col("_mix_sum") / F.col("_mix_n")) + F.when(nth <= F.col("_mix_sum") % F.col("_mix_n"), 1).otherwise(0))
-    return each.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """Documents, each row as often as the mix takes it. Only numbers of rows, ids, sources and sizes are shuffled by the
+    sampling; rows are numbered in a written table, so each has its own copies, whatever ids and sources it shares."""
+    own = written(docs.select(F.monotonically_increasing_id().alias("_mix_row"), *[F.col(c) for c in docs.columns if c != "_mix_row"]), "mix-rows")
+    tie = F.xxhash64("text").alias("_mix_tie")
+    chosen = copies(written(sized(own, "doc_id", "_mix_row", tie), "mix-sizes"), ties=("_mix_tie", "_mix_row")).filter("copies > 0")
+    times = own.join(chosen.select(F.col("_mix_row").alias("_row"), F.col("copies").cast("int").alias("_mix_times")), F.col("_mix_row") == F.col("_row"))
+    return times.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))).select(*docs.columns)

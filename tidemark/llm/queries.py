@@ -125,22 +125,14 @@ WITH RECURSIVE sized AS (
 ), targets AS (
   SELECT source, source_size, round(least(2.0 * source_size, weight * (SELECT max(value) FROM level)), 6)::DOUBLE AS target FROM weighed
 ), hashed AS (
-  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT AS h, floor(ln(size + 1) * 4)::BIGINT AS class FROM sized
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT AS h, floor(ln(size + 1) * {mixing.STEPS})::BIGINT AS class FROM sized
 ), ranked AS (
   SELECT d.doc_id, d.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY class, h % (SELECT greatest(1, ceil(count(*) / {mixing.GROUP_ROWS}.0))::BIGINT FROM sized), h, d.doc_id, d.size) AS place,
-    ('0x' || substr(md5('offset:' || coalesce(t.source, '')), 1, 7))::BIGINT / 268435456.0::DOUBLE AS start
+    ('0x' || substr(md5('offset:' || coalesce(t.source, '')), 1, 7))::BIGINT / 268435456.0::DOUBLE AS shift
   FROM hashed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
-), ways AS (
-  SELECT *, (k + start) / {mixing.OFFSETS} AS shift FROM ranked, range({mixing.OFFSETS}) AS r(k)
-), crossed AS (
-  SELECT *, (floor(place * rate + shift) - floor((place - 1) * rate + shift))::BIGINT AS copies FROM ways
-), chosen AS (
-  SELECT source, arg_min(k, (off, k)) AS k FROM (
-    SELECT source, k, abs(sum(copies * size) - max(target)) AS off FROM crossed GROUP BY source, k) GROUP BY source
 )
-SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken
-FROM crossed c JOIN chosen w ON c.source IS NOT DISTINCT FROM w.source AND c.k = w.k"""
+SELECT doc_id, size, source_size, target, (floor(place * rate + shift) - floor((place - 1) * rate + shift))::BIGINT * size AS taken FROM ranked"""
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
