@@ -19,6 +19,8 @@ from tidemark.llm import bpe, chat, class_lm, fingerprints, langid, media, mixin
 from tidemark.llm import components as components_module
 from tidemark.llm.common import fold, written
 
+RANKED = bpe.load_ranks(public_tokenizers.path(queries.RANKS))
+WHOLE = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKED, special_tokens={})
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, copies int, rep long, `value` long"
 CONVERSATIONS = "conv_id long, turn long, role string, text string, position int, message string"
 
@@ -110,6 +112,7 @@ def test_op2(spark, folder, monkeypatch, head):
         assert r["held_out"] == (fold(r["doc_id"], 7) == 2)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(w in counts for w in own), total)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in own), rel=1e-9)
+        assert r["perplexity"] == pytest.approx(10 ** (-r["score"] / len(own)))
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
@@ -153,11 +156,89 @@ def test_op2_every_word_has_a_class_as_predecessor(spark, folder, monkeypatch, h
         assert r["score"] == pytest.approx(want, rel=1e-9)
 
 
+def _likelihood(bigrams, own):
+    """Sum of N log N over class bigrams, less that over their sums by row and by column."""
+    import numpy as np
+
+    table = np.zeros((class_lm.STATES, class_lm.COLUMNS))
+    for (v, w), n in bigrams.items():
+        table[class_lm.START if v is None else own[v], own[w]] += n
+    return sum(class_lm._g(x).sum() * sign for x, sign in ((table, 1), (table.sum(0), -1), (table.sum(1), -1))), table
+
+
+def test_op2_sweep_is_exchange(spark):
+    """A sweep moves each word to the class of the greatest likelihood, as trying all classes does; words follow themselves."""
+    import numpy as np
+
+    rng = random.Random(13)
+    bigrams = Counter((rng.choice([None, *range(12)]), rng.randrange(12)) for _ in range(400))
+    bigrams.update({(3, 3): 9, (5, 5): 20})
+    own = [rng.randrange(class_lm.CLASSES) if w % 3 else class_lm.OTHER for w in range(12)]
+    rows = np.zeros((12, class_lm.WIDTH), np.int64)
+    for (v, w), n in bigrams.items():
+        rows[w, class_lm.START if v is None else own[v]] += n
+        if v is not None:
+            rows[v, class_lm.STATES + own[w]] += n
+            rows[v, -1] += n * (v == w)
+    first = class_lm.move(rows[:1], np.array(own[:1]), _likelihood(bigrams, own)[1])
+    tried = [_likelihood(bigrams, [c, *own[1:]])[0] for c in range(class_lm.CLASSES)]
+    assert tried[first[0]] == pytest.approx(max(tried))
+    # one word after another: the table is kept up to date, though the rows are those of the pass
+    start, now = _likelihood(bigrams, own)[0], list(own)
+    for w in range(12):
+        fresh = np.zeros(class_lm.WIDTH, np.int64)
+        for (v, x), n in bigrams.items():
+            if x == w:
+                fresh[class_lm.START if v is None else now[v]] += n
+            if v == w:
+                fresh[class_lm.STATES + now[x]] += n
+                fresh[-1] += n * (x == w)
+        tried = [_likelihood(bigrams, [*now[:w], c, *now[w + 1 :]])[0] for c in range(class_lm.CLASSES)]
+        now[w] = int(class_lm.move(fresh[None], np.array([now[w]]), _likelihood(bigrams, now)[1])[0])
+        assert tried[now[w]] == pytest.approx(max(tried))
+    assert _likelihood(bigrams, now)[0] > start
+
+
+def test_op2_sweeps_take_all_words(spark, folder, monkeypatch):
+    """The word x class table of a pass is brute force's, and sweeps raise the likelihood beyond the words they start from."""
+    import numpy as np
+
+    monkeypatch.setattr(class_lm, "CORE", 16)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    head = class_lm.pick_head(class_lm.word_counts(docs))
+    ids = class_lm.encoded(docs, head, F.lit(True))
+    words = {w: i for i, w in enumerate(head.blob.split(b"\n"))}
+    bigrams = Counter()
+    for d in documents():
+        own = [words[w] for w in class_lm.tokens(d[1] or "")]
+        bigrams.update(zip([None, *own], own, strict=False))
+    n = len(words)
+    classes = np.append(np.arange(n) % class_lm.CLASSES, class_lm.OTHER)
+    want = Counter()
+    for (v, w), k in bigrams.items():
+        want[w * class_lm.WIDTH + (class_lm.START if v is None else classes[v])] += k
+        want[n * class_lm.WIDTH + (class_lm.START if v is None else classes[v]) * class_lm.COLUMNS + classes[w]] += k
+        if v is not None:
+            want[v * class_lm.WIDTH + class_lm.STATES + classes[w]] += k
+            if v == w:
+                want[v * class_lm.WIDTH + class_lm.WIDTH - 1] += k
+    assert {r["code"]: r["n"] for r in class_lm.class_counts(ids, classes).collect()} == dict(want)
+    after = class_lm.sweep(ids, classes)
+    assert _likelihood(bigrams, after)[0] > _likelihood(bigrams, classes)[0]
+    assert (class_lm.sweep(ids, classes) == after).all() and (after[16:n] != classes[16:n]).any()
+    assert set(class_lm.head_classes(ids, head)[:n]) <= set(range(class_lm.CLASSES))
+
+
+def test_op2_long_words_have_ids():
+    long = b"x" * 5000
+    assert class_lm.tokens("A " + long.decode() + " b") == [b"a", class_lm._key(long), b"b", b""]
+    assert len(class_lm._key(long)) == 33 and class_lm._key(long) != class_lm._key(long + b"x")
+
+
 def test_op3(spark, folder):
-    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
     text = {d[0]: d[1] or "" for d in documents()}
     for r in rows(spark, folder, "op3_bpe"):
-        ids = whole.encode_ordinary(text[r["doc_id"]])
+        ids = WHOLE.encode_ordinary(text[r["doc_id"]])
         assert r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
@@ -167,6 +248,29 @@ def test_op3(spark, folder):
     assert all(bytes(r["decoded"]).decode() == text[r["doc_id"]] for r in back.collect())
 
 
+@pytest.mark.parametrize("leaf", range(1, 65))
+def test_op3_at_every_size_of_leaves(leaf):
+    """The tree against the library, on texts whose pieces and merges run over every boundary."""
+    rng = random.Random(leaf)
+    own = bpe.Codec(RANKED, public_tokenizers.PATTERN, leaf=leaf, merge_leaf=rng.choice([1, 2, 3, 8, 16]))
+    bits = [*"aab'  \n\t\r ~re'sé中٣1.👍xxx̀\u3000", "'re", "'ll", "  ", "xxxx"]
+    for k in range(25):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 200)))
+        text = rng.choice("xa-= \n") * rng.randint(1, 500) if k % 5 == 0 else "".join(rng.choice("ethinsaor") for _ in range(300)) if k % 5 == 1 else text
+        ids = own.encode(text)
+        assert ids == WHOLE.encode_ordinary(text)
+        assert own.decode(ids) == text.encode()
+
+
+def test_op3_refuses_what_it_cannot_know():
+    with pytest.raises(ValueError, match="ahead"):
+        bpe.Codec(RANKED, r"\w+|\W+")
+    own = bpe.Codec(RANKED, r"\w+|\W+", ahead=1, leaf=3)
+    assert own.encode("one  two!?three") == [i for p in ("one", "  ", "two", "!?", "three") for i in WHOLE._core_bpe.encode_single_piece(p.encode())]
+    with pytest.raises(ValueError, match="no id 99999999"):
+        own.decode([1, 99_999_999])
+
+
 def test_op4(spark, folder):
     docs = sorted(documents(), key=lambda d: (d[0], d[1] or ""))
     got = defaultdict(list)
@@ -486,10 +590,9 @@ def test_pipeline(spark, folder):
     for k, ids in by_source.items():
         rate = min(2 * total[k], level * weight[k]) / total[k]
         assert all(math.floor(rate - 1e-6) <= times[i] <= math.ceil(rate + 1e-6) for i in ids)
-    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path(queries.RANKS)), special_tokens={})
     want = []
     for r in third.collect():
-        ids = encoding.encode_ordinary(r["text"])
+        ids = WHOLE.encode_ordinary(r["text"])
         want.append((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest()))
     final = corpus_pipeline.run(spark, folder)
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -4,21 +4,27 @@ P(w | v) = MIX * P(c(w) | h(v)) * P(w | c(w)) + (1 - MIX) * P_base(w), with h(v)
 training didn't have share one state, with the classes' shares of all tokens, and a text begins in a state of its own.
 P_base is the add-one unigram model. Classes come from exchange clustering on counts over all training documents:
 
-1. Words are counted (one shuffle, with sums per task before it). HEAD words at most, the most frequent, have ids; how
-   many that is, is bounded, whatever the corpus, and so is what is broadcast. Any other word has at most a share of
-   about 1 / HEAD of the tokens, so joins on it have no hot key.
-2. The bigrams among CORE words form a CORE x CORE table. Exchange sweeps on the driver move each word to the class
-   that raises the bigram likelihood the most, until none moves or SWEEPS are done.
-3. The other words with ids are put in classes by the exchange criterion on both sides, with core words' classes as
-   states, on the driver (a HEAD x states and a HEAD x classes table, in batches, two sweeps). All bigrams are then
-   counted again with these classes. Words without ids get theirs by the same criterion from what precedes and follows
-   them, in parallel, by one shuffle; bigrams of two such words are joined with both classes. So transitions are
-   counts over all bigrams, each by the classes of both its words.
+1. Words are counted (one shuffle, with sums per task before it). The HEAD most frequent have ids, and texts are written
+   once as ids, so each later pass is arithmetic on arrays. How many words have ids is bounded, whatever the corpus, and so is
+   what is broadcast. Any other word has at most a share of about 1 / HEAD of the tokens, however long it is, so joins on
+   it have no hot key.
+2. Distributed exchange over all words with ids. In each of SWEEPS sweeps a pass over all bigrams counts, for each word,
+   the classes before and after it (the word x class table, summed by one shuffle). The table is dealt to BLOCKS tasks by
+   word; each takes its words in order of falling count and moves each to the class that raises the bigram likelihood the
+   most, against its own copy of the class bigram table, which it keeps up to date. The driver gets one class a word.
+   The first sweep starts from classes of the CORE most frequent words, which the same exchange on the driver gives;
+   all these words may move in the sweeps like any other.
+3. Words without ids get their class by the same criterion from what precedes and follows them, in parallel, by one
+   shuffle; bigrams of two such words are joined with both classes. So transitions are counts over all bigrams, each by
+   the classes of both its words.
 4. Scoring sums bigrams of two words with ids in place. Words without ids are joined with their counts and classes by
    word, once for the terms of the word and of the next one, and once more for two in a row; terms are summed by row.
 
 Words that training didn't have get the mass that each class keeps for one unseen word. Tokens are [^\\x20\\x09-\\x0D]+
-after lower-casing A-Z, then one end.
+after lower-casing A-Z, then one end. A word of more than LONGEST bytes goes by a digest of it, whatever its count.
+
+To the driver: at most HEAD words with counts, CORE * CORE sums and HEAD classes a sweep (about 4 MB, 50 MB and 1 MB). To each task: the
+words with ids (up to 8 MB), their classes and counts. A task of a sweep holds HEAD * WIDTH sums of 4 bytes (36 MB).
 
 Defined results: a null text counts as empty and has the end alone; without training rows every token has the base
 probability 1 / 1; repeated rows are scored each; other columns are ignored; an empty table gives an empty result.
@@ -27,29 +33,37 @@ probability 1 / 1; repeated rows are scored each; other columns are ignored; an
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_col, lower_words, text_slices, written
 
-HEAD, CORE, CLASSES, SWEEPS, LONGEST = 131_072, 2048, 32, 6, 64
+HEAD, CORE, CLASSES, CORE_SWEEPS, SWEEPS, BLOCKS, LONGEST = 131_072, 2048, 32, 6, 3, 16, 64
 MIX, ALPHA, DELTA = 0.95, 0.5, 1.0
-#: States: CLASSES, then a word without a known class, then the start.
-OTHER, START, STATES = CLASSES, CLASSES + 1, CLASSES + 2
+#: States: CLASSES, then a word without a known class, then the start. Columns: CLASSES, then a word without a known class.
+OTHER, START, STATES, COLUMNS = CLASSES, CLASSES + 1, CLASSES + 2, CLASSES + 1
+#: A word's row in the word x class table: states before it, classes after it, and how often it follows itself.
+WIDTH = STATES + COLUMNS + 1
 END = b""
 #: Entries that a task's tables of words may hold before they are passed on.
 FLUSH = 300_000
 
 
+def _key(word: bytes) -> bytes:
+    """The word, or 33 bytes that stand for a long one (no word begins with a space)."""
+    return word if len(word) <= LONGEST else b" " + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+
+
 def tokens(text: str) -> list[bytes]:
-    return [*lower_words(text), END]
+    own = [*lower_words(text), END]
+    return [_key(w) for w in own] if max(map(len, own)) > LONGEST else own
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -93,9 +107,9 @@ def _ids(blob: bytes, n: int) -> dict[bytes, int]:
 
 
 def pick_head(counts: DataFrame) -> Head:
-    """At most HEAD words of at most LONGEST bytes: all above a count, found from a histogram of about 4,000 steps."""
+    """At most HEAD words: all above a count, found from a histogram of about 4,000 steps."""
     step = F.floor(F.log2("n") * 64)
-    short = counts.filter((F.length("word") <= LONGEST) & (F.col("word") != F.lit(END)))
+    short = counts.filter(F.col("word") != F.lit(END))
     steps = sorted(((r["s"], r["k"]) for r in short.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect()), reverse=True)
     least, held = None, 0
     for s, k in steps:
@@ -110,33 +124,95 @@ def pick_head(counts: DataFrame) -> Head:
     return Head(b"\n".join(w for _, w in rows), np.array([n for n, _ in rows], np.int64))
 
 
-def core_bigrams(docs: DataFrame, head: Head, text: str = "text") -> np.ndarray:
-    """CORE x CORE counts over all rows; each task sums its own table, and only sums are shuffled."""
+def encoded(docs: DataFrame, head: Head, train: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, doc_id, train, ids, rare) of each row: ids as bytes of int32, -1 for words without an id, which are in rare."""
     blob, n = head.blob, len(head.counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, table = _ids(blob, n).get, np.zeros(CORE * CORE, np.int64)
-        for _, texts in text_slices(batches, text):
-            pairs = []
+        get = _ids(blob, n).get
+        for part, texts in text_slices(batches, text):
+            ids, rare = [], []
             for t in texts:
                 own = tokens(t)
-                ids = np.fromiter(map(get, own, repeat(CORE)), np.int64, len(own))
-                a, b = ids[:-1], ids[1:]
-                keep = (a < CORE) & (b < CORE)
-                pairs.append(a[keep] * CORE + b[keep])
-            if pairs:
-                codes, k = np.unique(np.concatenate(pairs), return_counts=True)
-                table[codes] += k
-        codes = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(table[codes], pa.int64())], names=["code", "n"])
+                found = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+                ids.append(found.tobytes())
+                rare.append([own[i] for i in np.flatnonzero(found < 0)])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "train", "ids", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias(text))
+    return written(rows.mapInArrow(run, "row long, doc_id long, train boolean, ids binary, rare array<binary>"), "encoded")
+
+
+@dataclass
+class _Tokens:
+    """The tokens of a batch of rows, one after another: ids, prev (-1 for none and for words without an id), first, last, row."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> _Tokens:
+        size = np.array([len(x) // 4 for x in column.to_pylist()]) if column.null_count else np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 4
+        ids = np.frombuffer(b"".join(x.as_buffer() for x in column), np.int32).astype(np.int64)
+        ends = np.cumsum(size)
+        first, last = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        first[ends - size], last[ends - 1] = True, True  # each row has the end at least
+        return cls(ids, first, last, np.repeat(np.arange(len(size)), size))
+
+    def states(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state before, class) of each token; classes: id -> class, the last entry for -1."""
+        c = classes[self.ids]
+        before = np.empty_like(c)
+        before[1:] = c[:-1]
+        before[self.first] = START
+        return before, c
+
+    def second(self, rare: np.ndarray) -> np.ndarray:
+        """Which of the words without ids (places in rare, their places among the tokens) follow another one."""
+        return np.flatnonzero((np.diff(rare) == 1) & ~self.first[rare[1:]]) + 1 if len(rare) else rare
+
 
-    got = docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CORE * CORE, np.int64)
+def _id_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, _Tokens]]:
+    """Batches of at most 1,024 rows with their tokens."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            yield part, _Tokens.of(part.column(column))
+
+
+def _sums(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(code, n) of the entries that aren't 0."""
+    codes = np.flatnonzero(table)
+    for at in range(0, len(codes), FLUSH):
+        some = codes[at : at + FLUSH]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], names=["code", "n"])
+
+
+def _summed(ids: DataFrame, run) -> DataFrame:
+    return ids.select("ids").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def core_bigrams(ids: DataFrame) -> np.ndarray:
+    """CORE x CORE counts over all rows; each task sums its own table, and only sums are shuffled."""
+    core = CORE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(core * core, np.int32)
+        for _, t in _id_slices(batches, 0):
+            a, b = t.ids[:-1], t.ids[1:]
+            keep = (a >= 0) & (a < core) & (b >= 0) & (b < core) & ~t.first[1:]
+            np.add.at(table, a[keep] * core + b[keep], 1)
+        yield from _sums(table)
+
+    got = _summed(ids, run).toArrow()
+    out = np.zeros(core * core, np.int64)
     out[got["code"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(CORE, CORE)
+    return out.reshape(core, core)
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = CORE_SWEEPS) -> np.ndarray:
     """Class of each word: exchange clustering of a bigram table, from classes dealt by rank."""
     n = len(bigrams)
     own = np.arange(n) % classes
@@ -178,83 +254,136 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return own
 
 
-def head_counts(docs: DataFrame, head: Head, core: np.ndarray, text: str = "text") -> DataFrame:
-    """(code, n) of words with ids: code is id * STATES + preceding state or, from n * STATES on, id * CLASSES + the class
-    of a following core word. States are those of core words."""
-    blob, n = head.blob, len(head.counts)
-    states = _states(n, core[:n])
+def class_counts(ids: DataFrame, classes: np.ndarray) -> DataFrame:
+    """(code, n): the word x class table, code = id * WIDTH + place in the word's row, and behind it the class bigram table.
+
+    classes: id -> class, OTHER where there is none; the last entry is for words without an id.
+    """
+    n = len(classes) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, table = _ids(blob, n).get, np.zeros(n * (STATES + CLASSES), np.int32)
-        for _, texts in text_slices(batches, text):
-            held = []
-            for t in texts:
-                own = tokens(t)
-                ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
-                h = states[ids]
-                known = ids >= 0
-                held.append(ids[known] * STATES + np.concatenate([[START], h[:-1]])[known])
-                known = known[:-1] & (h[1:] < CLASSES)
-                held.append(n * STATES + ids[:-1][known] * CLASSES + h[1:][known])
-            if held:
-                codes, k = np.unique(np.concatenate(held), return_counts=True)
-                table[codes] += k.astype(np.int32)
-        codes = np.flatnonzero(table)
-        for at in range(0, len(codes), FLUSH):
-            some = codes[at : at + FLUSH]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(table[some], pa.int64())], names=["code", "n"])
+        table, pairs = np.zeros(n * WIDTH, np.int32), np.zeros(STATES * COLUMNS, np.int64)
+        for _, t in _id_slices(batches, 0):
+            before, c = t.states(classes)
+            pairs += np.bincount(before * COLUMNS + c, minlength=STATES * COLUMNS)
+            known = t.ids >= 0
+            np.add.at(table, t.ids[known] * WIDTH + before[known], 1)
+            follows = known[:-1] & ~t.last[:-1]
+            a, b = t.ids[:-1][follows], t.ids[1:][follows]
+            np.add.at(table, a * WIDTH + STATES + c[1:][follows], 1)
+            np.add.at(table, a[a == b] * WIDTH + WIDTH - 1, 1)
+        yield from _sums(table)
+        for out in _sums(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + n * WIDTH, pa.int64()), out.column(1)], names=["code", "n"])
+
+    return _summed(ids, run)
+
+
+def move(rows: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """One sweep over some words: rows of the word x class table in the order in which they move, their classes, and the
+    class bigram table (STATES x COLUMNS) with all words in it. Returns the new classes."""
+    table, own = table.astype(np.float64), own.copy()
+    every = np.arange(CLASSES)
+    g = _g(table)
+    starts, ends = table.sum(1), table.sum(0)
+
+    def shift(a: int, sign: float, before: np.ndarray, after: np.ndarray, s: float) -> None:
+        table[:, a] += sign * before
+        table[a] += sign * after
+        table[a, a] += sign * s
+        starts[:] += sign * before
+        starts[a] += sign * (after.sum() + s)
+        ends[:] += sign * after
+        ends[a] += sign * (before.sum() + s)
+        g[:, a], g[a] = _g(table[:, a]), _g(table[a])
+
+    for w, row in enumerate(rows):
+        a, s = int(own[w]), float(row[-1])
+        before, after = row[:STATES].astype(np.float64), row[STATES:-1].astype(np.float64)
+        if not before.any() and not after.any():
+            continue
+        before[a] -= s  # of the word's bigrams with itself
+        after[a] -= s
+        shift(a, -1, before, after, s)
+        h, c = np.flatnonzero(before), np.flatnonzero(after)
+        # the word's row and column join those of each class; where they cross, all come together
+        gain = (_g(table[h, :CLASSES] + before[h, None]) - g[h, :CLASSES]).sum(0) + (_g(table[:CLASSES, c] + after[c]) - g[:CLASSES, c]).sum(1)
+        x, y, d = before[:CLASSES], after[:CLASSES], table[every, every]
+        gain += _g(d + x + y + s) - _g(d + x) - _g(d + y) + g[every, every]
+        p, q = before.sum() + s, after.sum() + s
+        # the same for the sums of rows and columns: of the class itself, and of the states and classes beside the word
+        gain -= _g(starts[:CLASSES] + x + q) - _g(starts[:CLASSES] + x) + _g(ends[:CLASSES] + y + p) - _g(ends[:CLASSES] + y)
+        b = a if a < CLASSES and gain[a] >= gain.max() - 1e-9 else int(gain.argmax())
+        shift(b, 1, before, after, s)
+        own[w] = b
+    return own
 
-    return docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+def sweep(ids: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """New classes of all words with ids: the word x class table, dealt to BLOCKS tasks."""
+    n, blocks = len(classes) - 1, BLOCKS
+    counts = written(class_counts(ids, classes), "sweep")
+    table = np.zeros(STATES * COLUMNS, np.int64)
+    for r in counts.filter(F.col("code") >= n * WIDTH).collect():  # at most STATES * COLUMNS rows
+        table[r["code"] - n * WIDTH] = r["n"]
+    table = table.reshape(STATES, COLUMNS)
+
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        codes, k = cells["code"].to_numpy(), cells["n"].to_numpy()
+        words, at = np.unique(codes // WIDTH, return_inverse=True)  # ids fall with counts
+        rows = np.zeros((len(words), WIDTH), np.int64)
+        rows[at, codes % WIDTH] = k
+        return pa.table({"word": pa.array(words, pa.int64()), "class": pa.array(move(rows, classes[words], table), pa.int64())})
+
+    own = counts.filter(F.col("code") < n * WIDTH).withColumn("block", F.floor(F.col("code") / WIDTH) % blocks)
+    got = own.groupBy("block").applyInArrow(run, "word long, class long").toArrow()
+    out = classes.copy()
+    out[got["word"].to_numpy()] = got["class"].to_numpy()
+    return out
 
-def pair_counts(docs: DataFrame, head: Head, own: np.ndarray, text: str = "text") -> DataFrame:
+
+def head_classes(ids: DataFrame, head: Head) -> np.ndarray:
+    """id -> class after all sweeps; a last entry, OTHER, for words without an id."""
+    n = len(head.counts)
+    classes = np.full(n + 1, OTHER, np.int64)
+    if not n:
+        return classes
+    m = min(n, CORE)
+    classes[:m] = exchange(core_bigrams(ids)[:m, :m])
+    for _ in range(SWEEPS):
+        classes = sweep(ids, classes)
+    classes[:n][classes[:n] == OTHER] = 0
+    return classes
+
+
+def transitions(ids: DataFrame, classes: np.ndarray) -> DataFrame:
     """(prev, word, code, n) over all bigrams, with the classes of all words with ids. For a word with an id both words are
-    null and code is state * CLASSES + class; for one without, word is set and code is state * (CLASSES + 1) + class of the
-    next word, CLASSES where that has no id or is missing; for two without ids in a row, both are set. A preceding word
+    null and code is state * COLUMNS + class; for one without, word is set and code is state * COLUMNS + class of the
+    next word, OTHER where that has no id or is missing; for two without ids in a row, both are set. A preceding word
     without an id is OTHER in codes."""
-    blob, n = head.blob, len(head.counts)
-    states = _states(n, own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, table, rest, pairs = _ids(blob, n).get, np.zeros(STATES * CLASSES, np.int64), Counter(), Counter()
+    def summed(prev: pa.Array, words: pa.Array, codes: np.ndarray) -> pa.RecordBatch:
+        table = pa.table({"prev": prev, "word": words, "code": pa.array(codes, pa.int64())})
+        got = table.group_by(["prev", "word", "code"]).aggregate([([], "count_all")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(got.column(c).to_pylist(), kind) if got.column(c).num_chunks != 1 else got.column(c).chunk(0) for c, kind in zip(("prev", "word", "code", "count_all"), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["prev", "word", "code", "n"])
 
-        def flush() -> pa.RecordBatch:
-            words = [*(w for w, _ in rest), *(w for _, w in pairs)]
-            before = [*repeat(None, len(rest)), *(v for v, _ in pairs)]
-            codes = [*(c for _, c in rest), *repeat(0, len(pairs))]
-            out = pa.RecordBatch.from_arrays([pa.array(before, pa.binary()), pa.array(words, pa.binary()), pa.array(codes, pa.int64()), pa.array([*rest.values(), *pairs.values()], pa.int64())], names=["prev", "word", "code", "n"])
-            rest.clear()
-            pairs.clear()
-            return out
-
-        for _, texts in text_slices(batches, text):
-            for t in texts:
-                toks = tokens(t)
-                ids = np.fromiter(map(get, toks, repeat(-1)), np.int64, len(toks))
-                c = states[ids]
-                h = np.concatenate([[START], c[:-1]])
-                known = ids >= 0
-                table += np.bincount(h[known] * CLASSES + c[known], minlength=STATES * CLASSES)
-                rare = np.flatnonzero(~known)
-                if len(rare):
-                    codes = h * (CLASSES + 1) + np.concatenate([c[1:], [CLASSES]])
-                    rest.update(zip(map(toks.__getitem__, rare.tolist()), codes[rare].tolist(), strict=True))
-                    both = rare[h[rare] == OTHER].tolist()
-                    pairs.update((toks[i - 1], toks[i]) for i in both)
-            if len(rest) + len(pairs) > FLUSH:
-                yield flush()
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(STATES * COLUMNS, np.int64)
+        for part, t in _id_slices(batches, 0):
+            before, c = t.states(classes)
+            known = t.ids >= 0
+            table += np.bincount(before[known] * COLUMNS + c[known], minlength=STATES * COLUMNS)
+            rare, words = np.flatnonzero(~known), part.column(1).flatten()
+            if len(rare):
+                after = np.where(t.last[rare], OTHER, c[np.minimum(rare + 1, len(c) - 1)])
+                yield summed(pa.nulls(len(rare), pa.binary()), words, before[rare] * COLUMNS + after)
+                second = t.second(rare)
+                if len(second):
+                    yield summed(words.take(pa.array(second - 1)), words.take(pa.array(second)), np.zeros(len(second), np.int64))
         codes = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.binary()), pa.array(codes, pa.int64()), pa.array(table[codes], pa.int64())], names=["prev", "word", "code", "n"])
 
-    return written(docs.select(text).mapInArrow(run, "prev binary, word binary, code long, n long").groupBy("prev", "word", "code").agg(F.sum("n").alias("n")), "states")
-
-
-def _states(n: int, own: np.ndarray) -> np.ndarray:
-    """id -> state: the class where own has one, else OTHER, as the last entry, for id -1, is."""
-    out = np.full(n + 1, OTHER, np.int64)
-    out[: len(own)] = own
-    return out
+    return written(ids.select("ids", "rare").mapInArrow(run, "prev binary, word binary, code long, n long").groupBy("prev", "word", "code").agg(F.sum("n").alias("n")), "states")
 
 
 def gains(counts: np.ndarray, states: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -263,39 +392,6 @@ def gains(counts: np.ndarray, states: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _g(now + n[:, None]) - _g(now)
 
 
-def head_classes(rows: DataFrame, head: Head, core: np.ndarray) -> np.ndarray:
-    """Class of each word with an id, by the exchange criterion over preceding states and following core words."""
-    n = len(head.counts)
-    own = np.zeros(n, np.int64)
-    own[: min(n, CORE)] = core[: min(n, CORE)]
-    got = rows.toArrow().sort_by("code")
-    codes, k = got["code"].to_numpy(), got["n"].to_numpy()
-    cut = int(np.searchsorted(codes, n * STATES))
-    sides = []
-    for part, m, width in ((codes[:cut], k[:cut], STATES), (codes[cut:] - n * STATES, k[cut:], CLASSES)):
-        words, other = part // width, part % width
-        counts, first = np.zeros((width, CLASSES)), words < CORE  # state before, or class after, x own class
-        np.add.at(counts, (other[first], own[words[first]]), m[first])
-        sides.append((words, other, m, np.searchsorted(words, np.arange(n + 1)), counts))
-    for sweep in range(2):
-        for at in range(CORE, n, 512):
-            to = min(n, at + 512)
-            gain, entries = np.zeros((to - at, CLASSES)), []
-            for words, other, m, begin, counts in sides:
-                e = slice(begin[at], begin[to])
-                w, h, k = words[e] - at, other[e], m[e].astype(np.float64)
-                entries.append((counts, w, h, k))
-                if sweep:
-                    np.add.at(counts, (h, own[at + w]), -k)
-                total, sizes = np.bincount(w, k, to - at), counts.sum(0)
-                np.add.at(gain, w, gains(counts, h, k))
-                gain -= _g(sizes + total[:, None]) - _g(sizes)
-            own[at:to] = gain.argmax(1)
-            for counts, w, h, k in entries:
-                np.add.at(counts, (h, own[at + w]), k)
-    return own
-
-
 def rest_classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
     """(word, n, class) of words without ids; rows with a null word hold sums n for state * CLASSES + class in `class`, of
     bigrams that have one such word."""
@@ -312,7 +408,7 @@ def rest_classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             codes, k = lists.flatten().to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(zero_copy_only=False)
             word = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             total = np.bincount(word, k, batch.num_rows).astype(np.int64)
-            h, c = codes // (CLASSES + 1), codes % (CLASSES + 1)
+            h, c = codes // COLUMNS, codes % COLUMNS
             gain, sides = np.zeros((batch.num_rows, CLASSES)), []
             for table, width, w, x, m in ((counts, STATES, word, h, k), (after, CLASSES, word[c < CLASSES], c[c < CLASSES], k[c < CLASSES])):
                 keys, at = np.unique(w * width + x, return_inverse=True)
@@ -339,8 +435,7 @@ class Model:
     """What scoring needs: all of bounded size but `rest`, a table (word, n, class)."""
 
     head: Head
-    own: np.ndarray
-    states: np.ndarray
+    states: np.ndarray  # id -> class, and OTHER for -1
     total: int
     distinct: int
     transition: np.ndarray  # states x classes
@@ -348,22 +443,24 @@ class Model:
     unseen: np.ndarray  # state -> probability of an unseen word by classes
     rest: DataFrame
 
+    @property
+    def own(self) -> np.ndarray:
+        return self.states[:-1]
+
     @property
     def base_room(self) -> float:
         return float(self.total + self.distinct + 1)
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Classes and probabilities from all rows of docs."""
-    counts = written(word_counts(docs, text), "counts")
+def fit(ids: DataFrame, counts: DataFrame, head: Head) -> Model:
+    """Classes and probabilities from training rows of encoded()."""
     size = counts.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    head = pick_head(counts)
-    core = exchange(core_bigrams(docs, head, text))
-    own = head_classes(head_counts(docs, head, core, text), head, core)
-    rows = pair_counts(docs, head, own, text)
+    classes = head_classes(ids, head)
+    own = classes[:-1]
+    rows = transitions(ids, classes)
     table = np.zeros((STATES, CLASSES))
     for r in rows.filter("word is null").collect():  # at most STATES * CLASSES rows
-        table[r["code"] // CLASSES, r["code"] % CLASSES] += r["n"]
+        table[r["code"] // COLUMNS, r["code"] % COLUMNS] += r["n"]
     both = rest_classes(rows, table)
     sums = both.filter("word is null").groupBy("class").agg(F.sum("n").alias("n")).collect()
     rest = both.filter("word is not null")
@@ -380,47 +477,58 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     room = table.sum(0) + DELTA * (members + 1)
     table[OTHER] = table.sum(0)
     transition = (table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * CLASSES)
-    return Model(head, own, _states(len(head.counts), own), size["n"] or 0, size["v"], transition, room, transition @ (DELTA / room), rest)
+    return Model(head, classes, size["n"] or 0, size["v"], transition, room, transition @ (DELTA / room), rest)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Model:
+    """A model of all rows of docs."""
+    counts = written(word_counts(docs, text), "counts")
+    head = pick_head(counts)
+    return fit(encoded(docs, head, F.lit(True), id_col, text), counts, head)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each row; scores are log10 probabilities."""
-    blob, n, states, base_room = model.head.blob, len(model.head.counts), model.states, model.base_room
-    base = (model.head.counts + 1) / base_room
-    emission = (model.head.counts + DELTA) / model.room[model.own] if n else np.zeros(0)
-    own, transition = model.own, model.transition
+    """score_encoded() of each row of docs."""
+    return score_encoded(encoded(docs, model.head, F.lit(False), id_col, text), model)
+
+
+def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, n_known, base_score, score) of each row of encoded(); scores are log10 probabilities."""
+    n, states, base_room = len(model.head.counts), model.states, model.base_room
+    base = np.append((model.head.counts + 1) / base_room, 1.0)  # the last entry, for id -1, isn't used
+    emission = np.append((model.head.counts + DELTA) / model.room[model.own] if n else np.zeros(0), 1.0)
+    transition = np.concatenate([model.transition, np.ones((STATES, 1))], axis=1)
     names = ["row", "doc_id", "prev", "word", "state", "next", "next_in_class", "next_base", "n", "n_known", "base", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = _ids(blob, n).get
-        log_base = np.log10(base)
-        for part, texts in text_slices(batches, text):
-            out: list[tuple] = []
-            for row, doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                toks = tokens(t)
-                ids = np.fromiter(map(get, toks, repeat(-1)), np.int64, len(toks))
-                h = np.concatenate([[START], states[ids[:-1]]])
-                known = ids >= 0
-                k = ids[known]
-                sure = known & (h != OTHER)
-                own_k = ids[sure]
-                p = MIX * transition[h[sure], own[own_k]] * emission[own_k] + (1 - MIX) * base[own_k]
-                out.append((row, doc, None, None, None, None, None, None, len(toks), len(k), float(log_base[k].sum()), float(np.log10(p).sum())))
-                rare = np.flatnonzero(~known)
-                after = np.concatenate([ids[1:], [-1]])[rare].tolist()
-                for (w, s, x), m in Counter(zip(map(toks.__getitem__, rare.tolist()), h[rare].tolist(), after, strict=True)).items():
-                    out.append((row, None, None, w, s, *((int(own[x]), float(emission[x]), float(base[x])) if x >= 0 else (None, None, None)), m, 0, 0.0, 0.0))
-                both = rare[h[rare] == OTHER].tolist()
-                out += [(row, None, v, w, None, None, None, None, m, 0, 0.0, 0.0) for (v, w), m in Counter((toks[i - 1], toks[i]) for i in both).items()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        for part, t in _id_slices(batches, 2):
+            k, (before, c) = part.num_rows, t.states(states)
+            row, known = part.column(0).to_numpy(), t.ids >= 0
+            sure = known & (before != OTHER)
+            p = MIX * transition[before, c] * emission[t.ids] + (1 - MIX) * base[t.ids]
+            sums = lambda x: np.bincount(t.row, x, minlength=k)
+            own = [np.bincount(t.row, minlength=k), sums(known).astype(np.int64), sums(np.where(known, np.log10(base[t.ids]), 0.0)), sums(np.where(sure, np.log10(p), 0.0))]
+            none = lambda kind, m: pa.nulls(m, kind)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none(pa.binary(), k), none(pa.binary(), k), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), *map(pa.array, own)], names=names)
+            rare, words = np.flatnonzero(~known), part.column(3).flatten()
+            second = t.second(rare)
+            for at, one in ((np.arange(len(rare)), True), (second, False)):
+                if m := len(at):
+                    place = rare[at]
+                    after = np.where(t.last[place], -1, t.ids[np.minimum(place + 1, len(t.ids) - 1)])
+                    gone = (after < 0) | (not one)
+                    zero = np.zeros(m)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row[t.row[place]]), none(pa.int64(), m), none(pa.binary(), m) if one else words.take(pa.array(at - 1)), words.take(pa.array(at)),
+                         pa.array(before[place]) if one else none(pa.int64(), m), pa.array(states[after], mask=gone), pa.array(emission[after], mask=gone), pa.array(base[after], mask=gone),
+                         pa.array(np.ones(m, np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)],
+                        names=names,
+                    )
 
     schema = "row long, doc_id long, prev binary, word binary, state long, next long, next_in_class double, next_base double, n long, n_known long, base double, score double"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(run, schema)
-    rows = written(rows, "scored")
+    rows = written(ids.select("row", "doc_id", "ids", "rare").mapInArrow(run, schema), "scored")
     array = lambda x: F.array(*[F.lit(float(v)) for v in np.ravel(x)])
-    cells, rest = array(transition), model.rest
+    cells, rest = array(model.transition), model.rest
     single = rows.filter("word is not null and prev is null").select("row", "word", "state", "next", "next_in_class", "next_base", F.col("n").alias("times"), F.lit(True).alias("one"))
     double = rows.filter("prev is not null").select("row", "prev", "word", F.col("n").alias("times"))
     double = double.join(rest.select(F.col("word").alias("prev"), F.col("class").alias("before")), "prev", "left")
@@ -443,7 +551,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns: train on folds other than 2 of 7, score all."""
-    model = train(docs.filter(fold_col(F.col(id_col), 7) != 2))
-    scored = score(docs, model, id_col)
-    return scored.select("doc_id", (fold_col(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    """The contract's columns and perplexity, 10 ** (-score / n_tokens): train on folds other than 2 of 7, score all."""
+    train = fold_col(F.col(id_col), 7) != 2
+    counts = written(word_counts(docs.filter(train)), "counts")
+    head = pick_head(counts)
+    ids = encoded(docs, head, train, id_col)
+    model = fit(ids.filter("train"), counts, head)
+    return score_encoded(ids, model).select(
+        "doc_id", (fold_col(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
