@@ -1,7 +1,9 @@
 """Chat formatting: conversations are rebuilt from an event log, then rendered.
 
-Events: (conv_id, message, seq, kind, role, text). `open` starts a message, `delta` appends streamed text, `edit` and
-`regenerate` replace what a message has so far, `drop` takes the message away. Events are folded in order of seq:
+Events: (conv_id, message, seq, kind, role, text). `open` starts a message and `delta` appends streamed text.
+`regenerate` drops what a message has so far and begins a new stream with its text, to which later deltas are appended.
+`edit` puts its text in place of what the message has and ends the stream: later deltas, which still belong to that
+stream, don't count until the next regeneration. `drop` takes the message away. Events are folded in order of seq:
 first within chunks of CHUNK sequence numbers of a message (so that a long stream is not gathered at once), then over
 the chunks. Messages are rendered in chunks of MESSAGES and joined in order of message number.
 
@@ -51,17 +53,19 @@ def fold_events(events: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> Data
         F.min_by("role", F.struct((kind != "open").alias("later"), "seq", "role")).alias("role"),
         F.bool_or(kind == "drop").alias("dropped"),
     )
-    resets = F.transform(F.col("e"), lambda x, i: F.when(x["kind"].isin(*_RESETS), i).otherwise(-1))
-    last = F.array_max(resets)
-    tail = F.filter(F.col("e"), lambda x, i: (i >= last) & (x["kind"] != "drop"))
-    parts = parts.select(*keys, "message", "chunk", "role", "dropped", (last >= 0).alias("reset"), F.array_join(F.transform(tail, lambda x: x["text"]), "").alias("text"))
-    whole = parts.groupBy(*keys, "message").agg(
-        F.array_sort(F.collect_list(F.struct("chunk", "reset", "text"))).alias("p"),
+    # what counts begins with the last regeneration or edit, and of the latter's stream nothing that follows it does
+    parts = parts.withColumn("at", F.array_max(F.transform("e", lambda x, i: F.when(x["kind"].isin(*_RESETS), i).otherwise(-1))))
+    parts = parts.withColumn("ended", (F.col("at") >= 0) & (F.get(F.col("e"), F.col("at"))["kind"] == "edit"))
+    tail = F.filter(F.col("e"), lambda x, i: (i >= F.col("at")) & (x["kind"] != "drop") & (~F.col("ended") | (i == F.col("at"))))
+    own = F.struct("chunk", (F.col("at") >= 0).alias("reset"), F.array_join(F.transform(tail, lambda x: x["text"]), "").alias("text"), "ended")
+    whole = parts.select(*keys, "message", "chunk", "role", "dropped", own.alias("own")).groupBy(*keys, "message").agg(
+        F.array_sort(F.collect_list("own")).alias("p"),
         F.min_by("role", F.struct("chunk", "role")).alias("role"),
         F.bool_or("dropped").alias("dropped"),
-    )
-    last_part = F.array_max(F.transform(F.col("p"), lambda x, i: F.when(x["reset"], i).otherwise(-1)))
-    text = F.array_join(F.transform(F.filter(F.col("p"), lambda x, i: i >= last_part), lambda x: x["text"]), "")
+    )
+    whole = whole.withColumn("at", F.array_max(F.transform("p", lambda x, i: F.when(x["reset"], i).otherwise(-1))))
+    whole = whole.withColumn("ended", (F.col("at") >= 0) & F.get(F.col("p"), F.col("at"))["ended"])
+    text = F.array_join(F.transform(F.filter("p", lambda x, i: (i >= F.col("at")) & (~F.col("ended") | (i == F.col("at")))), lambda x: x["text"]), "")
     return whole.filter(~F.col("dropped")).select(*keys, "message", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
 
 
@@ -105,7 +109,9 @@ def loss_text(segments: Column) -> Column:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log for stored conversations: each row opens a message and streams its text in two deltas.
+    """A log for stored conversations, such as a chat service would have: a third of the messages are streamed in two
+    deltas; a third are streamed in part, regenerated and streamed anew; a third are streamed in part and edited while
+    the rest of the stream is on its way. Which one a message is follows from its conversation, turn and text.
 
     A message is (turn, occurrence): rows of one conversation and turn are numbered in order of role and text. Rows are
     partitioned by conversation and part, which serves all that follows but the joining of parts.
@@ -116,7 +122,12 @@ def events_of(conversations: DataFrame) -> DataFrame:
     rows = rows.repartition("conv_id", "part").withColumn("nth", nth)
     half = (F.char_length("text") / 2).cast("int")
     event = lambda seq, kind, piece: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), piece.alias("text"))
-    log = F.array(event(0, "open", F.lit("")), event(1, "delta", F.left("text", half)), event(2, "delta", F.substring(F.col("text"), half + 1, F.char_length("text"))))
+    begin, end, none = F.left("text", half), F.substring(F.col("text"), half + 1, F.char_length("text")), F.lit("")
+    streamed = F.array(event(0, "open", none), event(1, "delta", begin), event(2, "delta", end))
+    again = F.array(event(0, "open", none), event(1, "delta", end), event(2, "regenerate", none), event(3, "delta", begin), event(4, "delta", end))
+    edited = F.array(event(0, "open", none), event(1, "delta", begin), event(2, "edit", F.col("text")), event(3, "delta", end))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(3))
+    log = F.when(way == 0, streamed).when(way == 1, again).otherwise(edited)
     return rows.select("conv_id", "part", F.struct("turn", "nth").alias("message"), "role", F.inline(log))
 
 
