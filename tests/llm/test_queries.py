@@ -271,24 +271,51 @@ def test_op3_refuses_what_it_cannot_know():
         own.decode([1, 99_999_999])
 
 
+def xxhash64(data, seed=42):
+    import xxhash
+
+    n = xxhash.xxh64(data, seed=seed).intdigest()
+    return n - (1 << 64) if n >> 63 else n
+
+
+def merkle(text):
+    """A fingerprint and its leaves, node by node: brute force for the column functions."""
+    hexed = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    nodes = []
+    for line in text.replace("\x1d", "\x1d0").replace("\x1e", "\x1d1").split("\n"):
+        leaves, now = [], []
+        for i, w in enumerate(words := line.split(" ")):
+            now.append(w)
+            if (w and xxhash64(w.encode()) % fingerprints.LEAF_WORDS == 0) or i % fingerprints.MOST_WORDS == fingerprints.MOST_WORDS - 1 or i == len(words) - 1:
+                leaves.append(" ".join(now))
+                now = []
+        hashes = [hexed(x) for x in leaves]
+        nodes.append((hexed("".join(hashes)), [h[:8] for h in hashes]))
+    sections = [nodes[i : i + fingerprints.SECTION] for i in range(0, len(nodes), fingerprints.SECTION)]
+    tops = [hexed("".join(h for h, _ in s)) for s in sections]
+    root = hexed("".join(tops) + hexed(text))[:32]
+    shape = "/".join(".".join("".join(x) for _, x in s) for s in sections)
+    inner = "/".join(t[:8] + "".join(h[:8] for h, _ in s) for t, s in zip(tops, sections, strict=True))
+    return f"{root}:{shape}|{inner}", {x for _, own in nodes for x in own}
+
+
+def dice(a, b):
+    (p, x), (q, y) = merkle(a), merkle(b)
+    return 1.0 if p[:32] == q[:32] else 2 * len(x & y) / (len(x) + len(y))
+
+
 def test_op4(spark, folder):
+    """Each row against the tree built node by node; rows that share an id stand in order of their text."""
     docs = sorted(documents(), key=lambda d: (d[0], d[1] or ""))
     got = defaultdict(list)
     for r in rows(spark, folder, "op4_fingerprints"):
-        got[r["doc_id"]].append(r)
-    prints = defaultdict(set)
+        got[r["doc_id"]].append((r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)))
+    want = defaultdict(list)
     for k, d in enumerate(docs):
         text, after = d[1] or "", docs[(k + 1) % len(docs)][1] or ""
-        take = len(text) // 4
-        edited = text[: len(text) - take] + after[:take]
-        assert hashlib.sha256(edited.encode()).hexdigest() in {r["edited_sha256"] for r in got[d[0]]}
-        r = got[d[0]][0]
-        prints[text].add(r["fingerprint"])
-        assert r["n_chars"] == len(text) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        if edited == text:
-            assert r["near_edited"] == 1
-    assert all(len(p) == 1 for p in prints.values())
-    assert len({next(iter(p)) for p in prints.values()}) == len(prints)
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        want[d[0]].append((len(text), hashlib.sha256(edited.encode()).hexdigest(), merkle(text)[0], merkle(edited)[0], round(dice(text, edited), 9), round(dice(text, after), 9)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_edits_are_located(spark):
@@ -299,6 +326,20 @@ def test_edits_are_located(spark):
     assert [(d["section"], d["paragraph"]) for d in row["d"]] == [(1, 3)] and 0.5 < row["n"] < 1
 
 
+def test_descent_finds_what_lines_tell(spark):
+    """Places of edits, against a comparison of all lines; texts of different lengths and equal ones among them."""
+    rng, pairs = random.Random(21), []
+    for _ in range(40):
+        lines = [f"line {rng.randint(0, 5)}" for _ in range(rng.randint(1, 40))]
+        other = [x if rng.random() < 0.9 else f"changed {rng.randint(0, 3)}" for x in lines][: rng.choice([None, len(lines), max(1, len(lines) - 3)])]
+        pairs.append(("\n".join(lines), "\n".join(other)))
+    made = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.differing(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("d"))
+    for r in made.collect():
+        a, b = r["a"].split("\n"), r["b"].split("\n")
+        want = [divmod(i, fingerprints.SECTION) for i in range(max(len(a), len(b))) if a[i : i + 1] != b[i : i + 1]]
+        assert [(d["section"], d["paragraph"]) for d in r["d"]] == want
+
+
 @pytest.mark.parametrize(("a", "b"), [("one two\nend", "one two  \nend"), ("x\n\ny", "x\n   \ny"), ("one\x1e", "one"), ("one two three four five six", "one two\x1ethree four\x1efive six")])
 def test_edits_of_blanks_have_a_place(spark, a, b):
     pair = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b"))
@@ -352,6 +393,33 @@ def test_events_are_folded(spark):
     assert shown["formatted"] == "<s>[user] hello </s>\n<s>[assistant] best </s>\n"
 
 
+def test_fold_is_a_state_machine(spark):
+    """Random logs against events taken one by one; streams are longer than a chunk."""
+    rng, log, want = random.Random(22), [], {}
+    for message in range(60):
+        state, open_, seq, ended = "", True, 0, False
+        for _ in range(rng.randint(0, 25)):
+            seq += rng.choice([1, 2, 700])
+            kind, text = rng.choices(["delta", "edit", "regenerate"], [8, 1, 1])[0], rng.choice(["a", "bc", "", None, "d"])
+            log.append((1, message, seq, kind, "user", text))
+            if kind == "delta":
+                state += "" if ended else text or ""
+            else:
+                state, ended = text or "", kind == "edit"
+            open_ = False
+        if not open_:
+            want[message] = state
+    rng.shuffle(log)
+    got = chat.fold_events(spark.createDataFrame(log, "conv_id long, message long, seq long, kind string, role string, text string"))
+    assert {r["message"]: r["text"] for r in got.collect()} == want
+
+
+def test_log_has_all_kinds_of_events(spark, folder):
+    rows_ = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    kinds = {r["kind"]: r["count"] for r in chat.events_of(rows_).groupBy("kind").count().collect()}
+    assert set(kinds) == {"open", "delta", "edit", "regenerate"} and min(kinds.values()) > 10
+
+
 def test_op7(spark, folder):
     got = rows(spark, folder, "op7_mixing")
     assert len(got) == len(documents())

@@ -6,7 +6,10 @@ ends beyond the next such word. A node's hash is the SHA-256 of its children's;
 covers the whole text. So equal roots mean equal texts, and a differing section or paragraph tells where an edit is.
 
 A fingerprint is text: 32 hex digits of the root, then sections set off by `/`, paragraphs by `.`, and 8 hex digits
-for each leaf. likeness() is the Dice coefficient of two fingerprints' sets of leaves.
+for each leaf; behind `|` the inner nodes, for each section its hash and those of its paragraphs, 8 hex digits each.
+likeness() is the Dice coefficient of two fingerprints' sets of leaves. differing() descends from the root: equal roots
+end it, equal sections are skipped by their hash, and of differing ones the paragraphs' hashes are compared; two nodes
+that differ have the same 8 digits with a chance of 2 to the -32.
 
 Next documents: rows are cut into buckets by quantiles of the id, which are ids themselves, so each bucket's first
 row is known and is sent to the bucket before as well. Each bucket is sorted by itself; no window spans the table.
@@ -42,16 +45,16 @@ def fingerprint(text: Column) -> Column:
     def tree(ps: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: i % SECTION == 1)
         sections = F.transform(firsts, lambda i: F.slice(ps, i, SECTION))
-        nodes = F.transform(sections, lambda s: F.struct(F.sha2(F.array_join(F.transform(s, lambda p: p["hash"]), ""), 256).alias("hash"), F.array_join(F.transform(s, lambda p: p["leaves"]), ".").alias("leaves")))
-        # one pass over nodes: hashes before the bar, leaves behind it
-        return F.transform(F.array(nodes), lambda n: F.concat(F.left(F.sha2(F.concat(F.array_join(F.transform(n, lambda x: x["hash"]), ""), F.sha2(text, 256)), 256), F.lit(32)), F.lit(":"), F.array_join(F.transform(n, lambda x: x["leaves"]), "/")))[0]
+        nodes = F.transform(sections, lambda s: F.struct(F.sha2(F.array_join(F.transform(s, lambda p: p["hash"]), ""), 256).alias("hash"), F.array_join(F.transform(s, lambda p: p["leaves"]), ".").alias("leaves"), F.array_join(F.transform(s, lambda p: F.left(p["hash"], F.lit(DIGITS))), "").alias("inner")))
+        # one pass over nodes: the root, leaves, inner nodes
+        return F.transform(F.array(nodes), lambda n: F.concat(F.left(F.sha2(F.concat(F.array_join(F.transform(n, lambda x: x["hash"]), ""), F.sha2(text, 256)), 256), F.lit(32)), F.lit(":"), F.array_join(F.transform(n, lambda x: x["leaves"]), "/"), F.lit("|"), F.array_join(F.transform(n, lambda x: F.concat(F.left(x["hash"], F.lit(DIGITS)), x["inner"])), "/")))[0]
 
     return F.transform(F.array(paragraphs), tree)[0]
 
 
 def leaves(fp: Column) -> Column:
     """The distinct leaf hashes of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(F.substring(fp, 34, 1 << 30), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.substring(F.substring_index(fp, "|", 1), 34, 1 << 30), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,16 +68,20 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing(a: Column, b: Column) -> Column:
-    """array<struct<section, paragraph>> (from 0) of the paragraphs in which two fingerprints differ."""
-    sections = lambda fp: F.split(F.substring(fp, 34, 1 << 30), "/")
+    """array<struct<section, paragraph>> (from 0) of the paragraphs in which two fingerprints differ, found by descent."""
+    none = F.array().cast("array<struct<section:int,paragraph:int>>")
+    sections = lambda fp: F.split(F.substring_index(fp, "|", -1), "/")
+    children = lambda node: F.regexp_extract_all(F.substring(F.coalesce(node, F.lit("")), DIGITS + 1, 1 << 30), F.lit(f".{{{DIGITS}}}"), F.lit(0))
 
     def inside(s: Column, x: Column, y: Column) -> Column:
-        paragraphs = F.zip_with(F.split(F.coalesce(x, F.lit("")), "\\."), F.split(F.coalesce(y, F.lit("")), "\\."), lambda p, q: ~p.eqNullSafe(q))
+        paragraphs = F.zip_with(children(x), children(y), lambda p, q: ~p.eqNullSafe(q))
         places = F.transform(paragraphs, lambda d, i: F.struct(s.alias("section"), i.alias("paragraph"), d.alias("differs")))
         return F.transform(F.filter(places, lambda p: p["differs"]), lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")))
 
     pairs = F.zip_with(sections(a), sections(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.flatten(F.transform(pairs, lambda p, s: F.when(p["x"].eqNullSafe(p["y"]), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(inside(s, p["x"], p["y"]))))
+    same = lambda p: F.left(p["x"], F.lit(DIGITS)).eqNullSafe(F.left(p["y"], F.lit(DIGITS)))
+    found = F.flatten(F.transform(pairs, lambda p, s: F.when(same(p), none).otherwise(inside(s, p["x"], p["y"]))))
+    return F.when(F.left(a, F.lit(32)) == F.left(b, F.lit(32)), none).otherwise(found)
 
 
 def with_next(rows: DataFrame, columns: tuple[str, ...], buckets: int, id_col: str = "doc_id") -> DataFrame:
