@@ -4,14 +4,13 @@
    by 16 bytes of the set's digest, so rows that share an id but not a text are nodes of their own.
 2. Inverted lists of retained values: two sets with Jaccard 0.75 share at least OVERLAP of SKETCH retained values but
    for a chance of about 4e-5 at the threshold itself, and less above. In order of rarity, such sets share one of
-   their first m - t + 1 values (m retained, t = m * OVERLAP / SKETCH) and two of their first m - t + 2, so only those
-   enter lists, and values that one node alone retains drop out. No list, partner or candidate is capped.
+   their first m - t + 1 values (m retained, t = m * OVERLAP / SKETCH), so only those enter lists, and values that one
+   node alone retains drop out. No list, partner or candidate is capped.
 3. Stars: in each list the node whose values are the most common is the leader; each node is compared with the
    leader of most of its lists: an estimate from the union's sketch filters, the whole sets decide.
-4. Components of these links are found. Only lists that still hold several components go on. A list of more than BLOCK
-   members is split by the second value that its pairs have to share, and what is still longer is cut into blocks of
-   BLOCK members. Pairs of blocks are compared within a task, first on sketches alone: overlap and union estimate
-   filter pairs of two components, and members without a partner drop out. For the others the whole sets are
+4. Components of these links are found. Only lists that still hold several components go on; they are cut into
+   blocks of BLOCK members, and pairs of blocks are compared within a task, first on sketches alone: overlap and union
+   estimate filter pairs of two components, and members without a partner drop out. For the others the whole sets are
    fetched and decide, and each task returns a spanning forest of its links. So every candidate pair is either within
    one component or decided on whole sets; no pairs are emitted, and no whole set is moved for a shared value alone.
 5. Components of all links, each with the smallest id of its nodes' rows.
@@ -38,8 +37,8 @@ from .shingles import jaccard_at_least, shingle_set, signature
 SKETCH, OVERLAP, PERCENT, BLOCK = 32, 14, 75, 1024
 #: Up to so many ids (8 bytes each) are broadcast to pick rows of documents; beyond, a shuffle does it.
 BROADCAST_IDS = 1_000_000
-#: A block within a list: list, its second value (null where the list isn't split), and the two blocks' numbers.
-_KEY = ("value", "second", "i", "j")
+#: A pair of blocks of a list.
+_KEY = ("value", "i", "j")
 
 
 def _signatures(sets: list[np.ndarray]) -> pa.Array:
@@ -126,27 +125,37 @@ class _Block:
         self.need = -(-self.short * OVERLAP // SKETCH)
         self.mark = np.zeros(len(self.values), np.int32)
 
-    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(i, members of another group that the filters leave as possible links of i)."""
+    def _partners(self, i: int, among: np.ndarray) -> np.ndarray:
+        """Those of `among` (a mask) in another group that the filters leave as possible links of i."""
+        fit = among & (self.group != self.group[i]) & (100 * np.minimum(self.size, self.size[i]) >= PERCENT * np.maximum(self.size, self.size[i]))
+        if not self.same:
+            fit &= self.side != self.side[i]
+        near = np.flatnonzero(fit)
+        if len(near):
+            need = np.minimum(self.need[near], self.need[i])
+            near = near[(self.sketch[near, :, None] == self.sketch[i]).any(axis=2).sum(axis=1) >= need] if len(near) <= 16 else near[self._shared(i)[near] >= need]
+        return near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
+
+    def _shared(self, i: int) -> np.ndarray:
+        """How many retained values each member shares with i."""
+        own = self.short_flat[self.short_starts[i] : self.short_starts[i] + self.short[i]]
+        self.mark[own] = 1
+        shared = np.add.reduceat(self.mark[self.short_flat], self.short_starts)
+        self.mark[own] = 0
+        return shared
+
+    def possible(self) -> np.ndarray:
+        """Members with a possible link. A member that has one is only compared with those that have none yet."""
+        found = np.zeros(len(self.size), bool)
         for i in range(len(self.size)):
-            if not self.same and self.side[i]:
-                continue
-            fit = (self.group != self.group[i]) & (100 * np.minimum(self.size, self.size[i]) >= PERCENT * np.maximum(self.size, self.size[i]))
-            if self.same:
-                fit[: i + 1] = False
-            else:
-                fit &= self.side == 1
-            if not fit.any():
-                continue
-            own = self.short_flat[self.short_starts[i] : self.short_starts[i] + self.short[i]]
-            self.mark[own] = 1
-            shared = np.add.reduceat(self.mark[self.short_flat], self.short_starts)
-            self.mark[own] = 0
-            near = np.flatnonzero(fit & (shared >= np.minimum(self.need, self.need[i])))
-            if len(near):
-                near = near[self._estimates(i, near) >= OVERLAP / SKETCH]
-            if len(near):
-                yield i, near
+            near = self._partners(i, ~found)
+            if not found[i] and not len(near):
+                near = self._partners(i, found)
+            found[near] = True
+            found[i] |= len(near) > 0
+            if found.all():
+                break
+        return np.flatnonzero(found)
 
     def _estimates(self, i: int, near: np.ndarray) -> np.ndarray:
         """union_estimate() of member i and each of near."""
@@ -158,24 +167,23 @@ class _Block:
         return (again & (rank < SKETCH)).sum(axis=1) / np.maximum(1, np.minimum(SKETCH, values))
 
     def links(self) -> list[tuple[int, int]]:
-        """A spanning forest of the links, decided on whole sets."""
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (p := parent.get(x, x)) != x:
-                parent[x] = parent.get(p, p)
-                x = p
-            return x
-
+        """A spanning forest of the links, decided on whole sets. Linked groups become one, and aren't compared again."""
         out = []
-        for i, near in self.partners():
+        after = np.ones(len(self.size), bool)
+        for i in range(len(self.size)):
+            after[i] = False
+            near = self._partners(i, after)
+            if not len(near):
+                continue
             own = self.flat[self.starts[i] : self.starts[i] + self.held[i]]
             self.mark[own] = 1
             for j in near:
+                if self.group[j] == self.group[i]:
+                    continue
                 both = int(self.mark[self.flat[self.starts[j] : self.starts[j] + self.held[j]]].sum())
-                if 100 * both >= PERCENT * (self.size[i] + self.size[j] - both) and (p := find(i)) != (q := find(int(j))):
-                    parent[p] = q
+                if 100 * both >= PERCENT * (self.size[i] + self.size[j] - both):
                     out.append((i, int(j)))
+                    self.group[self.group == self.group[j]] = self.group[i]
             self.mark[own] = 0
         return out
 
@@ -189,8 +197,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     """(key, rows) of each block of batches from _by_block."""
     key, held = None, []
     for batch in batches:
-        plain = [c.to_pylist() for c in batch.columns[:8]]
-        for *k, side, node, component, n, own in zip(*plain, batch.column(8), strict=True):
+        plain = [c.to_pylist() for c in batch.columns[:7]]
+        for *k, side, node, component, n, own in zip(*plain, batch.column(7), strict=True):
             if (k := tuple(k)) != key:
                 if len(held) > 1:
                     yield key, held
@@ -202,7 +210,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 def _block(key: tuple, rows: list[tuple], sets: list[np.ndarray]) -> _Block:
     side, _, component, n, _ = zip(*rows, strict=True)
-    return _Block(list(component), list(side), list(n), sets, key[2] == key[3])
+    return _Block(list(component), list(side), list(n), sets, key[1] == key[2])
 
 
 def _possible(rows: DataFrame) -> DataFrame:
@@ -210,16 +218,13 @@ def _possible(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _blocks(batches):
-            use: set[int] = set()
-            for i, near in _block(key, held, [np.sort(np.array(r[4].as_py(), np.int64).view(np.uint64)) for r in held]).partners():
-                use.add(i)
-                use.update(near.tolist())
-            if use:
-                some = [(*key, *held[i][:4]) for i in sorted(use)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+            use = _block(key, held, [r[4].values.to_numpy().view(np.uint64) for r in held]).possible()
+            if len(use):
+                some = [(*key, *held[i][:4]) for i in use]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)], names=[*_KEY, "side", "node", "component", "n"])
 
-    return _by_block(rows, "sketch").mapInArrow(run, "value long, second long, i int, j int, side int, node binary, component binary, n long")
+    return _by_block(rows, "sketch").mapInArrow(run, "value long, i int, j int, side int, node binary, component binary, n long")
 
 
 def _block_links(rows: DataFrame) -> DataFrame:
@@ -233,12 +238,6 @@ def _block_links(rows: DataFrame) -> DataFrame:
     return _by_block(rows, "own").mapInArrow(run, "a binary, b binary")
 
 
-def _mixed(placed: DataFrame, *keys: str) -> DataFrame:
-    """(keys, members) of those lists that hold several components."""
-    found = placed.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
-    return found.filter("lo != hi").select(*keys, "members")
-
-
 def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, sig, component_id, first) of every row; first: its text is the one of its group to stay.
 
@@ -253,8 +252,7 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     common = retained.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = retained.join(common, "value").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("h"), F.sum("df").alias("weight"))
     need = F.ceil(F.col("m") * OVERLAP / SKETCH).cast("int")
-    first = lambda more: F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + more)
-    listed = written(ranked.filter(F.size("h") >= need).select("node", "weight", first(1).alias("values"), first(2).alias("seconds")), "lists")
+    listed = written(ranked.filter(F.size("h") >= need).select("node", "weight", F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + 1).alias("values")), "lists")
     lists = listed.select("node", "weight", F.explode("values").alias("value"))
     sets = _sets(docs, classes.join(listed.select("node"), "node", "left_semi").select("node", "rep"), repeats, id_col, text)
     # stars
@@ -266,16 +264,13 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     links = written(_verified(pairs), "stars")
     # what is left between components
     parts = connected_components(links).withColumnRenamed("node", "_node")
-    placed = listed.select("node", "values", "seconds").join(parts, F.col("node") == F.col("_node"), "left").select("node", "values", "seconds", F.coalesce("component", "node").alias("component"))
+    placed = lists.join(parts, F.col("node") == F.col("_node"), "left").select("value", "node", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
-    members = placed.select("node", "component", "seconds", F.explode("values").alias("value")).join(written(_mixed(placed.select("component", F.explode("values").alias("value")), "value"), "mixed"), "value")
-    short = members.filter(F.col("members") <= BLOCK).select("value", F.lit(None).cast("long").alias("second"), "node", "component", "members")
-    split = members.filter(F.col("members") > BLOCK).select("value", F.explode(F.array_remove("seconds", F.col("value"))).alias("second"), "node", "component")
-    long = split.join(_mixed(split, "value", "second"), ["value", "second"]).select("value", "second", "node", "component", "members")
-    left = short.unionByName(long).join(classes.select("node", "n", "sketch"), "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo != hi").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    left = placed.join(mixed, "value").join(classes.select("node", "n", "sketch"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = left.select("value", "second", "node", "component", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("value", "second", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
+    spread = left.select("value", "node", "component", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
     possible = written(_possible(spread), "possible")
     more = _block_links(possible.join(sets, "node"))
     final = connected_components(links.union(written(more, "links"))).withColumnRenamed("node", "_node")
