@@ -39,6 +39,10 @@ PM = {
 }
 SIGMAS = {"speed": 0.08, "sfc": 0.10, "factor": 0.08, "interpolation": 0.10, "gap": 0.08, "fallback": 0.12}
 SOX_MULTIPLIER, DEFAULT_FUEL, DEFAULT_ENGINE = 2.0, "MGO", "medium_speed_diesel"
+# Where the document lacks a mode or a class: kW, g/kWh of main and auxiliary engine, t/t of sulphur, kg/t of NOx and PM.
+MISSING_AUX_KW, MISSING_SFC_MAIN, MISSING_SFC_AUX, MISSING_SULFUR, MISSING_NOX, MISSING_PM = 600.0, 0.0, 220.0, 0.001, 45.0, 1.0
+# Limits beyond which a scope's figures are doubted: hours and t CO2e of a call, t CO2e of a baseline.
+SANE_HOURS, SANE_CALL_T, SANE_BASELINE_T = 240.0, 500.0, 1.0
 # End of the fixed values.
 
 POLLUTANTS = ("co2_t", "ttw_co2e_t", "wtt_co2e_t", "wtw_co2e_t", "nox_kg", "sox_kg", "pm_kg")
@@ -70,26 +74,36 @@ def _lookup(values: dict[str, object], key: Column, default: object) -> Column:
 
 
 def add_factors(rows: DataFrame, factors: dict | None = None) -> DataFrame:
-    """Factors of each row's vessel_class and mode; literal maps of bounded size, so no join and no shuffle."""
+    """Factors of each row's vessel_class and mode; literal maps of bounded size, so no join and no shuffle.
+
+    Unknown classes have those of `unknown`, unknown fuels and engines those of the defaults, unknown modes MISSING_*.
+    Columns mcr_kw, ref_speed_kn, fuel_type, engine_family and aux_power_kw that rows have already come first, where set.
+    """
+    stated = {c: f"_own_{c}" for c in ("mcr_kw", "ref_speed_kn", "fuel_type", "engine_family", "aux_power_kw") if c in rows.columns}
+    rows = rows.withColumnsRenamed(stated)
     f = factors or registry()
     cls, mode = F.col("vessel_class"), F.col("mode")
     column = lambda k: {c: v[k] for c, v in f["vessels"].items()}
     own = rows
     for name, k in (("mcr_kw", 0), ("ref_speed_kn", 1), ("fuel_type", 2), ("engine_family", 3)):
-        own = own.withColumn(name, _lookup(column(k), cls, f["vessels"]["unknown"][k]))
+        value = _lookup(column(k), cls, f["vessels"]["unknown"][k])
+        own = own.withColumn(name, F.coalesce(stated[name], value) if name in stated else value)
     flat = lambda t: {f"{a}|{b}": x for a, inner in t.items() for b, x in inner.items()}
-    engine_mode = F.concat_ws("|", "engine_family", mode)
+    known = F.col("engine_family").isin(*f["nox"])
+    engine_mode = F.concat_ws("|", F.when(known, F.col("engine_family")).otherwise(DEFAULT_ENGINE), mode)
+    of_class = _lookup(flat(f["aux_kw"]), F.concat_ws("|", mode, F.lit("unknown")), MISSING_AUX_KW)
+    aux = F.create_map(*[F.lit(x) for k, v in flat(f["aux_kw"]).items() for x in (k, float(v))])
     own = own.withColumns({
-        "aux_power_kw": _lookup(flat(f["aux_kw"]), F.concat_ws("|", mode, cls), f["aux_kw"]["transit"]["unknown"]),
-        "sfc_main": _lookup({m: v[0] for m, v in f["modes"].items()}, mode, 0.0),
-        "sfc_aux": _lookup({m: v[1] for m, v in f["modes"].items()}, mode, 220.0),
-        "sulfur": _lookup({m: v[2] for m, v in f["modes"].items()}, mode, 0.001),
+        "aux_power_kw": F.coalesce(*([F.col(stated["aux_power_kw"])] if "aux_power_kw" in stated else []), F.try_element_at(aux, F.concat_ws("|", mode, cls)), of_class),
+        "sfc_main": _lookup({m: v[0] for m, v in f["modes"].items()}, mode, MISSING_SFC_MAIN),
+        "sfc_aux": _lookup({m: v[1] for m, v in f["modes"].items()}, mode, MISSING_SFC_AUX),
+        "sulfur": _lookup({m: v[2] for m, v in f["modes"].items()}, mode, MISSING_SULFUR),
         "co2_factor": _lookup({k: v[0] for k, v in f["fuels"].items()}, F.col("fuel_type"), f["fuels"][DEFAULT_FUEL][0]),
         "wtt_factor": _lookup({k: v[1] for k, v in f["fuels"].items()}, F.col("fuel_type"), f["fuels"][DEFAULT_FUEL][1]),
-        "nox_factor": _lookup(flat(f["nox"]), engine_mode, f["nox"][DEFAULT_ENGINE]["transit"]),
-        "pm_factor": _lookup(flat(f["pm"]), engine_mode, f["pm"][DEFAULT_ENGINE]["transit"]),
+        "nox_factor": _lookup(flat(f["nox"]), engine_mode, MISSING_NOX),
+        "pm_factor": _lookup(flat(f["pm"]), engine_mode, MISSING_PM),
     })
-    return own.withColumn("fallback_factor_flag", (cls == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE))
+    return own.drop(*stated.values()).withColumn("fallback_factor_flag", (cls == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE))
 
 
 def row_emissions(rows: DataFrame, sigmas: dict[str, float] | None = None) -> DataFrame:
@@ -122,7 +136,11 @@ def confidence(width: Column, fallback: Column) -> Column:
 
 
 def segment_totals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
-    """One row a segment: times, first and last known places, speeds, hours, ratios of flags, sums of pollutants."""
+    """One row a segment: times, first and last known places, speeds, hours, ratios of flags, sums of pollutants.
+
+    Where rows have them, call_id, port_key (AT_SEA where there is none) and vessel_class of the segment as well.
+    """
+    extra = {"call_id": F.max("call_id"), "port_key": F.coalesce(F.max("port_key"), F.lit("AT_SEA")), "vessel_class": F.min("vessel_class")} if {"call_id", "port_key", "vessel_class"} <= set(rows.columns) else {}
     order = F.struct("ts", tie)
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order))
@@ -133,6 +151,7 @@ def segment_totals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
         first("latitude").alias("lat_start"), last("latitude").alias("lat_end"), first("longitude").alias("lon_start"), last("longitude").alias("lon_end"),
         ratio("fallback_factor_flag").alias("fallback_usage_ratio"), ratio("ais_gap_flag").alias("gap_ratio"), ratio("speed_interpolated").alias("interpolated_ratio"),
         F.avg("rel_sigma").alias("rel_sigma"), F.sum("fuel_t").alias("fuel_t"), *[F.sum(m).alias(m) for m in POLLUTANTS],
+        *[c.alias(name) for name, c in extra.items()],
     )
 
 
@@ -149,8 +168,9 @@ def roll_up(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def monte_carlo(rows: DataFrame, metric: str, sigma: str, key: str, draws: int = 500) -> DataFrame:
-    """Interval from draws of a normal per row, seeded by the row's key, in SQL: Box-Muller over hashes, exact quantiles."""
-    unit = lambda salt, i: (F.pmod(F.xxhash64(F.col(key), F.lit(salt), i), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    """Interval from draws of a normal per row, seeded by the row's key: Box-Muller over md5, exact quantiles, in SQL."""
+    word = lambda salt, i: F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(salt), i.cast("string")).cast("binary")), 1, 12)
+    unit = lambda salt, i: (F.conv(word(salt, i), 16, 10).cast("double") + 1) / F.lit(float((1 << 48) + 1))
     normal = lambda i: F.sqrt(-2 * F.log(unit("a", i))) * F.cos(2 * 3.141592653589793 * unit("b", i))
     drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.greatest(F.lit(0.0), F.col(metric) * (1 + F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col(sigma))) * normal(i))))
     own = rows.withColumn("_draws", F.array_sort(drawn))
@@ -159,26 +179,68 @@ def monte_carlo(rows: DataFrame, metric: str, sigma: str, key: str, draws: int =
     return own.withColumns({f"{metric}_lower": F.when(zero, 0.0).otherwise(at(0.025)), f"{metric}_upper": F.when(zero, 0.0).otherwise(at(0.975))}).drop("_draws")
 
 
-def port_emissions(segments: DataFrame, bucket: str, keys: list[str]) -> DataFrame:
-    """By day or month of the segment's start, of rows deduplicated by segment."""
-    fmt = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}[bucket]
-    once = segments.dropDuplicates(["segment_id"])
-    return roll_up(once.withColumn("bucket", F.date_format("timestamp_start", fmt)), ["bucket", *keys])
+def call_linked(segments: DataFrame) -> DataFrame:
+    """Segments of a call, each once: the rows that an inventory counts."""
+    return segments.filter(F.coalesce(F.col("call_id").cast("string"), F.lit("")) != "").dropDuplicates(["segment_id"])
 
 
-def scope_diagnostics(segments: DataFrame, metric: str) -> DataFrame:
-    """Over per-call sums: number, mean, median, largest, and repeated segment ids."""
-    calls = segments.groupBy("call_id").agg(F.sum(metric).alias("v"))
-    ids = segments.agg((F.count("segment_id") - F.count_distinct("segment_id")).alias("repeated_ids"))
-    own = calls.agg(F.count("*").alias("calls"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.max("v").alias("largest"))
-    return own.crossJoin(F.broadcast(ids))  # one row by one row
+def by_bucket(rows: DataFrame, time: str, bucket: str, keys: list[str]) -> DataFrame:
+    """Sums and summed bounds by day or month and keys; the interval's width and the label follow from the sums."""
+    fmt = {"day": "yyyy-MM-dd", "month": "yyyy-MM"}[bucket]
+    sums = [F.sum(f"{m}{side}").alias(f"{m}{side}") for m in POLLUTANTS for side in ("", "_lower", "_upper")]
+    own = rows.filter(F.col(time).isNotNull()).withColumn("bucket", F.date_format(time, fmt)).groupBy("bucket", *keys).agg(
+        F.count("*").alias("rows"), F.sum("row_count").alias("row_count"), F.sum("duration_h").alias("duration_h"), F.avg("fallback_usage_ratio").alias("fallback_usage_ratio"), *sums,
+    )
+    t = F.col("wtw_co2e_t")
+    own = own.withColumn("ci_width_rel", F.when(t > 0, (F.col("wtw_co2e_t_upper") - F.col("wtw_co2e_t_lower")) / t).otherwise(1.0))
+    return own.withColumn("confidence_label", confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio")))
+
+
+def port_emissions(segments: DataFrame, daily: DataFrame, bucket: str, keys: list[str] | None = None) -> DataFrame:
+    """Emissions of each port by day or month: from its call-linked segments; a port that has none in the scope has its
+    daily rows instead (basis `daily_proxy`), which are never of high confidence."""
+    keys = ["port_key"] if keys is None else keys
+    linked = call_linked(segments)
+    counted = by_bucket(linked, "timestamp_start", bucket, keys).withColumn("basis", F.lit("call_linked"))
+    ports = linked.select(*keys).distinct()
+    rest = daily.join(ports, keys, "left_anti") if keys else daily.join(linked.select(F.lit(1).alias("_any")).limit(1), F.lit(True), "left_anti")
+    proxy = by_bucket(rest, "date", bucket, keys).withColumn("basis", F.lit("daily_proxy"))
+    capped = F.when(F.col("confidence_label") == "high", "medium").otherwise(F.col("confidence_label"))
+    return counted.unionByName(proxy.withColumn("confidence_label", capped))
+
+
+def scope_diagnostics(segments: DataFrame, metric: str, keys: list[str] | None = None, baseline: DataFrame | None = None) -> DataFrame:
+    """One row a scope (all, or each of keys): calls, hours, totals, mean, median and largest of per-call sums, repeated
+    segments, warnings, and sanity_status. baseline: rows with keys and the metric, whose median is what changes are
+    measured against; without any, a scope's baseline is unstable."""
+    keys = keys or []
+    call = F.coalesce(F.col("call_id").cast("string"), F.lit("")) != ""
+    once = segments.dropDuplicates(["segment_id"])
+    whole = segments.groupBy(*keys).agg(F.count("*").alias("raw_rows"), F.count_distinct("segment_id").alias("rows"))
+    sums = once.groupBy(*keys).agg(F.sum("duration_h").alias("total_duration_h"), F.sum(metric).alias("total_t"))
+    calls = once.filter(call).groupBy(*keys, "call_id").agg(F.sum(metric).alias("t"), F.sum("duration_h").alias("h")).groupBy(*keys)
+    calls = calls.agg(F.count("*").alias("calls"), F.avg("t").alias("mean_t"), F.median("t").alias("median_t"), F.max("t").alias("largest_t"), F.median("h").alias("median_duration_h"), F.max("h").alias("longest_h"))
+    parts = [sums, calls]
+    if baseline is not None:
+        parts.append(baseline.groupBy(*keys).agg(F.median(metric).alias("baseline_t")))
+    own = whole
+    for part in parts:  # one row a scope on either side
+        own = own.join(part, keys, "left") if keys else own.crossJoin(F.broadcast(part))
+    own = own.withColumn("calls", F.coalesce("calls", F.lit(0)))
+    weak = (F.col("baseline_t").isNull() | (F.col("baseline_t") < SANE_BASELINE_T)) if baseline is not None else F.lit(False)
+    tests = [(F.col("rows") == 0, "no segments"), (F.col("longest_h") > SANE_HOURS, "implausible call duration"), (F.col("largest_t") > SANE_CALL_T, "implausible call emissions"), (weak, "baseline too small")]
+    own = own.withColumn("repeated", F.col("raw_rows") - F.col("rows"))
+    own = own.withColumn("warnings", F.array_compact(F.array(*[F.when(t, F.lit(name)) for t, name in tests])))
+    status = F.when((F.col("rows") == 0) | weak, "unstable baseline").when(F.size("warnings") > 0, "warning").otherwise("checked")
+    return own.withColumn("sanity_status", status)
 
 
 def metrics(table: DataFrame, metric: str) -> DataFrame:
-    """Totals and intensities: kg a call, t a day, kg an hour."""
+    """Totals and intensities: kg a call, t a day, kg an hour. Without a call_id each row is a call."""
     total, hours = F.sum(metric), F.sum("duration_h")
+    calls = F.count_distinct("call_id") if "call_id" in table.columns else F.count("*")
     return table.agg(
-        total.alias("total_t"), F.try_divide(total * 1000, F.count_distinct("call_id")).alias("kg_per_call"),
+        total.alias("total_t"), calls.alias("calls"), F.try_divide(total * 1000, calls).alias("kg_per_call"),
         F.try_divide(total, F.count_distinct("date")).alias("t_per_day"), F.try_divide(total * 1000, hours).alias("kg_per_hour"),
     )
 
@@ -191,12 +253,15 @@ def bands(values: DataFrame, column: str, shares: tuple[float, float, float] = (
     return values.crossJoin(F.broadcast(cut)).withColumn("level", level).drop("_p")  # one row
 
 
-def estimate(spark: SparkSession, vessel_class: str, mode: str, hours: float, speed_kn: float) -> DataFrame:
-    """A scenario's emissions from stated assumptions, with bounds of 1.96 * 0.30."""
-    row = spark.range(1).select(F.lit(vessel_class).alias("vessel_class"), F.lit(mode).alias("mode"), F.lit(float(hours)).alias("duration_h"), F.lit(float(speed_kn)).alias("speed_kn"), F.lit(False).alias("speed_interpolated"), F.lit(False).alias("ais_gap_flag"))
+def estimate(spark: SparkSession, vessel_class: str = "unknown", mode: str = "transit", hours: float = 1.0, speed_kn: float = 10.0, fuel: str | None = None, mcr_kw: float | None = None, ref_speed_kn: float | None = None, engine: str | None = None, aux_kw: float | None = None) -> DataFrame:
+    """A scenario's emissions from stated assumptions, with bounds of 1.96 * 0.30. What isn't stated has the class's value;
+    negative hours and speeds count as 0, and an unknown fuel has the default fuel's factors."""
+    stated = {"fuel_type": fuel.upper() if fuel else None, "mcr_kw": mcr_kw, "ref_speed_kn": ref_speed_kn, "engine_family": engine, "aux_power_kw": aux_kw}
+    given = [F.lit(v if isinstance(v, str) else float(v)).alias(c) for c, v in stated.items() if v]
+    row = spark.range(1).select(F.lit(vessel_class).alias("vessel_class"), F.lit(mode).alias("mode"), F.lit(max(0.0, float(hours))).alias("duration_h"), F.lit(max(0.0, float(speed_kn))).alias("speed_kn"), F.lit(False).alias("speed_interpolated"), F.lit(False).alias("ais_gap_flag"), *given)
     own = row_emissions(add_factors(row))
     bounds = {f"{m}_{side}": F.greatest(F.lit(0.0), F.col(m) * (1 + sign * 1.96 * 0.30)) for m in POLLUTANTS for side, sign in (("lower", -1), ("upper", 1))}
-    return own.select("vessel_class", "mode", "duration_h", "speed_kn", "load_factor", "fuel_t", *POLLUTANTS).withColumns(bounds)
+    return own.select("vessel_class", "mode", "duration_h", "speed_kn", "fuel_type", "load_factor", "fuel_t", *POLLUTANTS).withColumns(bounds)
 
 
 def result_state(rows: int, total: float | None, evidence: int = 0, forecast_only: bool = False) -> str:

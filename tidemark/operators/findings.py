@@ -31,8 +31,13 @@ def uncertainty_summary(table: DataFrame) -> DataFrame:
 
 
 def call_trace(segments: DataFrame) -> DataFrame:
-    """One row a call: span, hours, segments and sums."""
-    return segments.groupBy("call_id").agg(F.min("timestamp_start").alias("start"), F.max("timestamp_end").alias("end"), F.sum("duration_h").alias("duration_h"), F.count_distinct("segment_id").alias("segments"), *[F.sum(m).alias(m) for m in POLLUTANTS])
+    """One row a call and vessel: span, hours, segments and sums; counted_once: no segment of it is there twice."""
+    extra = [F.min("vessel_class").alias("vessel_class")] if "vessel_class" in segments.columns else []
+    once = F.count_distinct("segment_id")
+    return segments.filter(F.coalesce(F.col("call_id").cast("string"), F.lit("")) != "").groupBy("call_id", "mmsi").agg(
+        F.min("timestamp_start").alias("start"), F.max("timestamp_end").alias("end"), F.sum("duration_h").alias("duration_h"), once.alias("segments"),
+        (F.count("*") == once).alias("counted_once"), F.sum("fuel_t").alias("fuel_t"), *extra, *[F.sum(m).alias(m) for m in POLLUTANTS],
+    )
 
 
 def filtered_count(rows: DataFrame, condition: F.Column, id_col: str, most: int = 50) -> DataFrame:

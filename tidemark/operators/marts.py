@@ -33,16 +33,39 @@ def arrivals(rows: DataFrame, keys: list[str], time: str, unit: str, once_a_vess
 
 
 def occupancy(visits: DataFrame, keys: list[str], unit: str = "hour", max_rows: int | None = None) -> DataFrame:
-    """Vessels and stays present in each hour (or day), both ends included; max_rows: no rows if more buckets would arise."""
-    first, last = F.date_trunc(unit, "arrival_time"), F.date_trunc(unit, "departure_time")
-    step = F.expr(f"interval 1 {unit}")
-    own = visits.select("mmsi", *keys, F.explode(F.sequence(first, last, step)).alias("bucket"))
-    if max_rows is not None:
-        width = 3_600_000_000 if unit == "hour" else 86_400_000_000
-        total = visits.agg(F.sum((micros(last) - micros(first)) / width + 1)).first()[0] or 0
-        if total > max_rows:
-            own = own.limit(0)
-    return own.groupBy(*keys, "bucket").agg(F.count_distinct("mmsi").alias("occupancy_vessels"), F.count("*").alias("occupancy_events"))
+    """Vessels and stays present in each hour (or day), both ends included; max_rows: no rows if more buckets would arise.
+
+    A stay is +1 in its first bucket and -1 after its last one; for vessels, overlapping stays of one vessel are merged
+    first. The changes are summed by bucket and then along the buckets of a group, so rows follow the number of stays and
+    of buckets, never their product; only groups' buckets stand in a window.
+    """
+    if unit == "hour":
+        number = lambda c: F.floor(micros(c) / F.lit(3_600_000_000)).cast("int")
+        back = lambda n: F.timestamp_seconds(n.cast("long") * 3600).cast(kind)
+    else:
+        number = lambda c: F.unix_date(F.to_date(c))
+        back = lambda n: F.date_from_unix_date(n).cast(kind)
+    kind = visits.schema["arrival_time"].dataType
+    own = visits.select("mmsi", *keys, number("arrival_time").alias("first"), number("departure_time").alias("last")).filter("last >= first")
+    if max_rows is not None and (own.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0) > max_rows:
+        own = own.limit(0)
+    vessel = Window.partitionBy("mmsi", *keys).orderBy("first", "last")
+    reach = F.max("last").over(vessel.rowsBetween(Window.unboundedPreceding, -1))
+    # a stay that begins within what the vessel's earlier ones reach only adds what lies beyond
+    added = F.when(reach.isNull() | (F.col("first") > reach), F.col("first")).otherwise(reach + 1)
+    spans = own.withColumn("begin", F.when(F.col("mmsi").isNotNull(), added))
+    change = lambda at, vessels, stays: F.struct(at.alias("at"), vessels.cast("long").alias("vessels"), F.lit(stays).cast("long").alias("stays"))
+    some = (F.col("begin") <= F.col("last")).cast("int")
+    changes = spans.select(*keys, F.inline(F.array(
+        change(F.col("first"), F.lit(0), 1), change(F.col("last") + 1, F.lit(0), -1),
+        change(F.coalesce("begin", "first"), F.coalesce(some, F.lit(0)), 0), change(F.col("last") + 1, -F.coalesce(some, F.lit(0)), 0),
+    )))
+    summed = changes.groupBy(*keys, "at").agg(F.sum("vessels").alias("vessels"), F.sum("stays").alias("stays"))
+    group = Window.partitionBy(*keys).orderBy("at") if keys else Window.partitionBy(F.lit(0)).orderBy("at")
+    run = group.rowsBetween(Window.unboundedPreceding, 0)
+    levels = summed.select(*keys, "at", F.lead("at").over(group).alias("next"), F.sum("vessels").over(run).alias("occupancy_vessels"), F.sum("stays").over(run).alias("occupancy_events"))
+    levels = levels.filter("occupancy_events > 0")
+    return levels.select(*keys, F.explode(F.sequence("at", F.col("next") - 1)).alias("n"), "occupancy_vessels", "occupancy_events").select(*keys, back(F.col("n")).alias("bucket"), "occupancy_vessels", "occupancy_events")
 
 
 def prefer_visits(proxy: DataFrame, visits: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,10 +101,10 @@ def capabilities(daily: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def dwell_flags(stays: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """short_dwell and long_dwell: below and above the port's quantiles."""
-    port = Window.partitionBy("port_key")
-    q = lambda p: F.percentile("dwell_minutes", p).over(port)
-    return stays.withColumns({"short_dwell": F.col("dwell_minutes") < q(low), "long_dwell": F.col("dwell_minutes") > q(high)})
+    """short_dwell and long_dwell: below and above the port's quantiles, which are aggregated once a port and joined."""
+    cuts = stays.groupBy(F.col("port_key").alias("_port")).agg(F.percentile("dwell_minutes", F.array(F.lit(low), F.lit(high))).alias("_cuts"))
+    own = stays.join(cuts, F.col("port_key").eqNullSafe(F.col("_port")), "left")
+    return own.withColumns({"short_dwell": F.col("dwell_minutes") < F.col("_cuts")[0], "long_dwell": F.col("dwell_minutes") > F.col("_cuts")[1]}).drop("_port", "_cuts")
 
 
 def port_day(stays: DataFrame, flags: list[str]) -> DataFrame:

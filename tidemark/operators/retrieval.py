@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .trajectory import with_rank
+
 #: Queries that travel with one scan.
 BLOCK = 4096
 EQUALITIES = ("mmsi", "imo", "locode", "destination", "port_name", "vessel_type", "nav_status", "flag")
@@ -35,10 +38,12 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     and leaves k rows a query and Arrow batch, so the shuffle doesn't grow with the corpus times the queries.
     """
     blocks = max(1, -(-queries.count() // BLOCK))
+    if blocks == 1:
+        return keep_ranked(_near(queries, corpus, k, query_id, item_id, vector), k, query_id, item_id)
     keyed = queries.withColumn("_block", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-    found = [_near(keyed.filter(F.col("_block") == b), corpus, k, query_id, item_id, vector) for b in range(blocks)]
-    rows = reduce(DataFrame.unionByName, found)
-    return keep_ranked(rows, k, query_id, item_id)
+    # one block after another, so the driver holds one block's vectors at a time
+    found = [written(keep_ranked(_near(keyed.filter(F.col("_block") == b), corpus, k, query_id, item_id, vector), k, query_id, item_id), "nearest") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def keep_ranked(rows: DataFrame, k: int, query_id: str, item_id: str) -> DataFrame:
@@ -103,8 +108,9 @@ def port_day_chunks(days: DataFrame, proxy_days: DataFrame) -> DataFrame:
 
 def window_chunks(visits: DataFrame, width: int = 5) -> DataFrame:
     """Chunks of `width` consecutive visits of a port, with the two most common vessel types (ties by name)."""
-    n = F.row_number().over(Window.partitionBy("port_key").orderBy("arrival_time", "call_id", "departure_time"))
-    own = visits.withColumn("chunk", F.floor((n - 1) / width))
+    ranked = with_rank(visits, ["port_key", "arrival_time", "call_id", "departure_time"])  # no window holds a port's history
+    first = ranked.groupBy(F.col("port_key").alias("_port")).agg(F.min("_rank").alias("_first"))
+    own = ranked.join(first, F.col("port_key").eqNullSafe(F.col("_port"))).withColumn("chunk", F.floor((F.col("_rank") - F.col("_first")) / width)).drop("_rank", "_first", "_port")
     kinds = own.groupBy("port_key", "chunk", "vessel_type_norm").agg(F.count("*").alias("k"))
     top = kinds.withColumn("r", F.row_number().over(Window.partitionBy("port_key", "chunk").orderBy(F.desc("k"), "vessel_type_norm"))).filter("r <= 2").groupBy("port_key", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "vessel_type_norm"))), lambda x: x["vessel_type_norm"]), ",").alias("top_types"))
     each = own.groupBy("port_key", "chunk").agg(F.count("*").alias("window_size"), F.min("arrival_time").alias("first_arrival"), F.max("arrival_time").alias("last_arrival"), F.avg("dwell_minutes").alias("mean_dwell"))

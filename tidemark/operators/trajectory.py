@@ -65,24 +65,30 @@ def position_jumps(rows: DataFrame, tie: str = "event_id", minutes: float = 30,
     return own.withColumn("jump_flag", F.coalesce((F.col("delta_h") * 60 <= minutes) & (F.col("step_km") >= km), F.lit(False)))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], last: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], last: list[str], keep_null: bool = True) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time: one exchange, one sort, no fan-out.
 
     last: columns whose largest values win where right rows share key and time. Left rows with a null key or time get
-    no match. The right rows' values come as columns `values`, null without a match.
+    no match, and take no part in the exchange; keep_null=False leaves them out, and what follows then has the rows
+    dealt by `by` already. The right rows' values come as columns `values`, null without a match.
     """
     deduped = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).groupBy(by, F.col(right_time).alias("_t")).agg(F.max_by(F.struct(*values), F.struct(*last)).alias("_right"))
-    own = left.select(F.col(by), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    whole = F.col(by).isNotNull() & F.col(left_time).isNotNull()
+    rest = [c for c in left.columns if c != by]
+    own = left.filter(whole).select(F.col(by), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"))
     both = own.unionByName(deduped.select(by, "_t", F.lit(0).alias("_side"), "_right"), allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_match", F.last("_right", ignorenulls=True).over(w)).filter("_side = 1")
-    matched = F.when(F.col(by).isNotNull() & F.col("_t").isNotNull(), F.col("_match"))
-    return found.select("_left.*", *[matched[v].alias(v) for v in values])
+    found = found.select(F.col(by), "_left.*", *[F.col("_match")[v].alias(v) for v in values]).select(*left.columns, *values)
+    if not keep_null:
+        return found
+    kinds = {f.name: f.dataType for f in right.schema}
+    return found.unionByName(left.filter(~whole).select("*", *[F.lit(None).cast(kinds[v]).alias(v) for v in values]))
 
 
-def attach_visits(positions: DataFrame, visits: DataFrame) -> DataFrame:
+def attach_visits(positions: DataFrame, visits: DataFrame, keep_null: bool = True) -> DataFrame:
     """Latest visit begun at or before each position; cleared where the position is past its departure."""
-    own = as_of(positions, visits, "mmsi", "ts", "arrival_time", ["call_id", "port_key", "arrival_time", "departure_time"], ["departure_time", "call_id"])
+    own = as_of(positions, visits, "mmsi", "ts", "arrival_time", ["call_id", "port_key", "arrival_time", "departure_time"], ["departure_time", "call_id"], keep_null)
     inside = F.col("ts") <= F.col("departure_time")
     cleared = {c: F.when(inside, F.col(c)) for c in ("call_id", "port_key", "arrival_time", "departure_time")}
     return own.withColumn("inside_call", F.coalesce(inside, F.lit(False))).withColumns(cleared)

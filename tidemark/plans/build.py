@@ -62,13 +62,11 @@ def build_inventory(positions: DataFrame, visits: DataFrame, folder: str, factor
     """Segments, daily and per-call emissions and evidence; the hash of the parameters."""
     used = factors or emissions.registry()
     digest = emissions.registry_hash(used)
-    rows = trajectory.lagged(positions)
-    rows = trajectory.repaired_intervals(emissions.assign_modes(trajectory.attach_visits(rows, visits)))
+    rows = trajectory.lagged(trajectory.attach_visits(positions, visits, keep_null=False))  # dealt by vessel once
+    rows = trajectory.repaired_intervals(emissions.assign_modes(rows))
     rows = emissions.row_emissions(emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used))
     cut = trajectory.segments(rows, call="call_id")
-    segments = emissions.with_evidence(emissions.segment_totals(cut), digest)
-    place = cut.groupBy("segment_id").agg(F.max("call_id").alias("call_id"), F.coalesce(F.max("port_key"), F.lit("AT_SEA")).alias("port_key"))
-    files.write_mart(segments.join(place, "segment_id"), f"{folder}/segments")
+    files.write_mart(emissions.with_evidence(emissions.segment_totals(cut), digest), f"{folder}/segments")
     written = positions.sparkSession.read.parquet(f"{folder}/segments")
     files.write_mart(emissions.roll_up(written.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]), f"{folder}/daily_port")
     files.write_mart(emissions.roll_up(written.filter("call_id is not null"), ["call_id", "mmsi"]), f"{folder}/calls")

@@ -8,18 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.clean import canonical_call, evidence_id
 from ..operators import emissions, findings, learning, marts, questions, retrieval
 from ..registry import register
-from .track_queries import _PARAMS, _ROWS, _r, _segments
+from .track_queries import _LABEL, _PARAMS, _ROWS, _r, _segments
 from .views import CALLS, DAILY, POS, positions, read, visits
 
 _FROM, _TO = "1998-01-01", "1998-03-31"
 _SEGMENT = "1_seg_000001"
 
 
-def _calls(spark: SparkSession, d: str) -> DataFrame:
-    """Segments with the vessel as their call: the star-schema tables have no call of an event."""
-    return _segments(spark, d).withColumn("call_id", F.col("mmsi"))
-
-
 @register("fi5_whole_days", f"WITH {CALLS} SELECT call_id, port_key, arrival_time::VARCHAR AS arrival FROM calls WHERE arrival_time >= TIMESTAMP '{_FROM}' AND arrival_time < TIMESTAMP '{_TO}' + INTERVAL 1 DAY")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = questions.dates_whole_days(visits(spark, d), "arrival_time", _FROM, _TO)
@@ -44,17 +39,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).filter(F.col("evidence_id") == wanted).select("segment_id", "mode", "row_count").limit(1)
 
 
-@register("ag24_call_emissions", f"""WITH {_ROWS}, a AS (SELECT mmsi, count(DISTINCT segment_id)::BIGINT AS segments, sum(wtw_co2e_t) AS w, sum(nox_kg) AS nox, least(0.95, greatest(0.05, avg(rel_sigma))) AS s, avg(fallback_usage_ratio) AS f FROM segs GROUP BY ALL),
+@register("ag24_call_emissions", f"""WITH {_ROWS}, a AS (SELECT call_id, mmsi, port_key, count(DISTINCT segment_id)::BIGINT AS segments, sum(wtw_co2e_t) AS w, sum(nox_kg) AS nox, least(0.95, greatest(0.05, avg(rel_sigma))) AS s, avg(fallback_usage_ratio) AS f FROM linked GROUP BY ALL),
 b AS (SELECT *, CASE WHEN w > 0 THEN (greatest(0, w * (1 + 1.96 * s)) - greatest(0, w * (1 - 1.96 * s))) / w ELSE 1 END AS ci FROM a)
-SELECT mmsi AS call_id, segments, round(w, 4) AS wtw_co2e_t, round(nox, 3) AS nox_kg, round(w * (1 + 1.96 * s), 4) AS wtw_co2e_t_upper, CASE WHEN ci <= 0.20 AND f <= 0.05 THEN 'high' WHEN ci <= 0.40 OR f <= 0.20 THEN 'medium' ELSE 'low' END AS confidence_label FROM b""")
+SELECT call_id, mmsi, port_key, segments, round(w, 4) AS wtw_co2e_t, round(nox, 3) AS nox_kg, round(w * (1 + 1.96 * s), 4) AS wtw_co2e_t_upper, {_LABEL} AS confidence_label FROM b""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return emissions.roll_up(_calls(spark, d), ["call_id"]).select("call_id", "segments", _r("wtw_co2e_t", 4), _r("nox_kg", 3), _r("wtw_co2e_t_upper", 4), "confidence_label")
+    own = emissions.roll_up(emissions.call_linked(_segments(spark, d)), ["call_id", "mmsi", "port_key"])
+    return own.select("call_id", "mmsi", "port_key", "segments", _r("wtw_co2e_t", 4), _r("nox_kg", 3), _r("wtw_co2e_t_upper", 4), "confidence_label")
 
 
-@register("ag26_call_trace", f"WITH {_ROWS} SELECT mmsi AS call_id, strftime(min(timestamp_start), '%Y-%m-%d %H:%M:%S') AS start, count(*)::BIGINT AS segments, round(sum(duration_h), 4) AS duration_h, round(sum(co2_t), 4) AS co2_t, round(sum(pm_kg), 3) AS pm_kg FROM segs GROUP BY mmsi")
+@register("ag26_call_trace", f"WITH {_ROWS} SELECT call_id, mmsi, min(vessel_class) AS vessel_class, strftime(min(timestamp_start), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(timestamp_end), '%Y-%m-%d %H:%M:%S') AS end, count(*)::BIGINT AS segments, round(sum(duration_h), 4) AS duration_h, round(sum(fuel_t), 4) AS fuel_t, round(sum(co2_t), 4) AS co2_t, round(sum(pm_kg), 3) AS pm_kg, true AS counted_once FROM linked GROUP BY call_id, mmsi")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = findings.call_trace(_calls(spark, d))
-    return own.select("call_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "segments", _r("duration_h", 4), _r("co2_t", 4), _r("pm_kg", 3))
+    own, time = findings.call_trace(_segments(spark, d)), lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return own.select("call_id", "mmsi", "vessel_class", time("start"), time("end"), "segments", _r("duration_h", 4), _r("fuel_t", 4), _r("co2_t", 4), _r("pm_kg", 3), "counted_once")
 
 
 @register("ag32_arrivals_hourly_by_type", f"WITH {CALLS} SELECT port_key, vessel_type_norm, strftime(date_trunc('hour', arrival_time), '%Y-%m-%d %H') AS hour, count(DISTINCT mmsi)::BIGINT AS arrivals_vessels, count(*)::BIGINT AS arrivals_events FROM calls GROUP BY ALL")

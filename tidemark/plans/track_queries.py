@@ -7,12 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import serialize
 from ..functions.clean import vessel_class
-from ..operators import emissions, findings, forecast, trajectory
+from ..operators import emissions, findings, forecast, marts, trajectory
 from ..registry import register
 from .views import CALLS, POS, positions, read, visits
 
-#: Events take place 9,125 days after the orders that stand for visits.
-_SHIFT = "interval 9125 days"
+#: Events are of one month and of few vessels, orders of many years and customers: visits near them are the same visits with
+#: arrivals 80 times and stays 20 times as dense, by vessels numbered modulo 15. Microseconds of the two starts.
+_EVENTS_BEGIN, _ORDERS_BEGIN = 1_704_067_200_000_000, 788_918_400_000_000
+_NEAR = f"""near AS (SELECT mmsi % 15 AS mmsi, port_key, vessel_type_norm, call_id, make_timestamp({_EVENTS_BEGIN} + (epoch_us(arrival_time) - {_ORDERS_BEGIN}) // 80) AS arrival_time,
+  make_timestamp({_EVENTS_BEGIN} + (epoch_us(arrival_time) - {_ORDERS_BEGIN}) // 80 + (epoch_us(departure_time) - epoch_us(arrival_time)) // 20) AS departure_time FROM calls)"""
+
+
+def _near_visits(spark: SparkSession, d: str) -> DataFrame:
+    """The visits of _NEAR. Starts are taken as the session's own, as times without a zone are."""
+    own = visits(spark, d)
+    at = lambda us: F.unix_micros(F.timestamp_micros(F.lit(us)))
+    zone = at(_EVENTS_BEGIN) - marts.micros(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    begin, end = marts.micros("arrival_time") + zone, marts.micros("departure_time") + zone
+    near = F.lit(_EVENTS_BEGIN) + F.floor((begin - _ORDERS_BEGIN) / F.lit(80)).cast("long")
+    stay = F.floor((end - begin) / F.lit(20)).cast("long")
+    time = lambda us: F.timestamp_micros(us - zone).cast("timestamp_ntz")
+    return own.withColumns({"mmsi": F.col("mmsi") % 15, "arrival_time": time(near), "departure_time": time(near + stay)})
+
+
 _HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1, greatest(0, pow(sin(radians(latitude - lag(latitude) OVER w) / 2), 2) + cos(radians(lag(latitude) OVER w)) * cos(radians(latitude)) * pow(sin(radians(longitude - lag(longitude) OVER w) / 2), 2)))))"
 _W = "WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id)"
 _INTERVALS = """raw AS (
@@ -63,31 +80,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.position_jumps(positions(spark, d)).select("event_id", "jump_flag")
 
 
-_SHIFTED = """shifted AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN NULL ELSE mmsi END AS vessel, ts - INTERVAL 9125 DAY AS t FROM pos), right_side AS (
-  SELECT mmsi AS m, arrival_time, arg_max(call_id, (departure_time, call_id)) AS call_id, max(departure_time) AS departure_time FROM calls GROUP BY ALL)"""
+_SHIFTED = f"""{_NEAR}, placed AS (SELECT *, CASE WHEN event_id % 11 = 0 THEN NULL ELSE mmsi END AS vessel, ts AS t FROM pos), right_side AS (
+  SELECT mmsi AS m, arrival_time, arg_max(call_id, (departure_time, call_id)) AS call_id, max(departure_time) AS departure_time FROM near GROUP BY ALL)"""
 
 
 @register("jo1_as_of_visit", f"""WITH {POS}, {CALLS}, {_SHIFTED}
-SELECT event_id, CASE WHEN t <= departure_time THEN call_id END AS call_id, coalesce(t <= departure_time, false) AS inside_call FROM shifted ASOF LEFT JOIN right_side ON shifted.vessel = right_side.m AND shifted.t >= right_side.arrival_time""")
+SELECT event_id, CASE WHEN t <= departure_time THEN call_id END AS call_id, coalesce(t <= departure_time, false) AS inside_call FROM placed ASOF LEFT JOIN right_side ON placed.vessel = right_side.m AND placed.t >= right_side.arrival_time""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = positions(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 11 != 0, F.col("mmsi"))).withColumn("ts", F.col("ts") - F.expr(_SHIFT))
-    return trajectory.attach_visits(own, visits(spark, d)).select("event_id", "call_id", "inside_call")
+    own = positions(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 11 != 0, F.col("mmsi")))
+    return trajectory.attach_visits(own, _near_visits(spark, d)).select("event_id", "call_id", "inside_call")
 
 
-@register("wi6_segments", f"""WITH {POS}, src AS (SELECT * FROM pos), {_INTERVALS}, n AS (SELECT *, (lag(mode) OVER w IS NULL OR mode <> lag(mode) OVER w OR coalesce(lag(duration_h) OVER w, 0) > 0.5)::INT AS new FROM timed {_W}),
+@register("wi6_segments", f"""WITH {POS}, {CALLS}, {_SHIFTED}, src AS (SELECT event_id, vessel AS mmsi, t AS ts, mode, CASE WHEN t <= departure_time THEN call_id END AS call_id FROM placed ASOF LEFT JOIN right_side ON placed.vessel = right_side.m AND placed.t >= right_side.arrival_time WHERE vessel IS NOT NULL), {_INTERVALS},
+n AS (SELECT *, (lag(mode) OVER w IS NULL OR mode <> lag(mode) OVER w OR coalesce(call_id, '') <> coalesce(lag(call_id) OVER w, '') OR coalesce(lag(duration_h) OVER w, 0) > 0.5)::INT AS new FROM timed {_W}),
 s AS (SELECT *, sum(new) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ord FROM n)
 SELECT mmsi || '_seg_' || lpad(ord::BIGINT::VARCHAR, 6, '0') AS segment_id, min(mode) AS mode, count(*)::BIGINT AS row_count, round(sum(duration_h), 6) AS duration_h FROM s GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = trajectory.segments(trajectory.repaired_intervals(positions(spark, d)))
+    own = positions(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 11 != 0, F.col("mmsi")))
+    own = trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False)
+    own = trajectory.segments(trajectory.repaired_intervals(own), call="call_id")
     return own.groupBy("segment_id").agg(F.min("mode").alias("mode"), F.count("*").alias("row_count"), F.round(F.sum("duration_h"), 6).alias("duration_h"))
 
 
 def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
     """Positions with visits, modes, intervals, factors and emissions; vessel types follow from vessel numbers."""
     kinds = F.element_at(F.array(*map(F.lit, ("oil tanker", "bulk carrier", "container ship", "passenger ship", "pilot", "yacht"))), (F.col("mmsi") % 6 + 1).cast("int"))
-    own = positions(spark, d).drop("mode").withColumn("ts", F.col("ts") - F.expr(_SHIFT)).withColumn("speed", F.when(F.col("event_id") % 11 != 0, F.col("speed") % 25))
-    own = trajectory.lagged(own).withColumn("speed_estimated_kn", F.least(F.col("speed_estimated_kn"), F.lit(25.0)))
-    own = emissions.assign_modes(trajectory.attach_visits(own, visits(spark, d)))
+    own = positions(spark, d).drop("mode").withColumn("speed", F.when(F.col("event_id") % 11 != 0, F.col("speed") % 25))
+    # the as-of join deals rows by vessel, and all that follows keeps to that
+    own = trajectory.lagged(trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False))
+    own = emissions.assign_modes(own.withColumn("speed_estimated_kn", F.least(F.col("speed_estimated_kn"), F.lit(25.0))))
     own = trajectory.repaired_intervals(own).withColumn("vessel_class", vessel_class(kinds))
     return emissions.row_emissions(emissions.add_factors(own))
 
@@ -101,12 +122,12 @@ def _flat(table: dict) -> dict:
     return {f"{a}|{b}": x for a, inner in table.items() for b, x in inner.items()}
 
 
-_ROWS = f"""{POS}, {CALLS}, lags AS (
-  SELECT mmsi, event_id, ts - INTERVAL 9125 DAY AS ts, CASE WHEN event_id % 11 <> 0 THEN speed % 25 END AS speed, latitude, longitude,
+_ROWS = f"""{POS}, {CALLS}, {_NEAR}, lags AS (
+  SELECT mmsi, event_id, ts, CASE WHEN event_id % 11 <> 0 THEN speed % 25 END AS speed, latitude, longitude,
     (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km FROM pos {_W}
 ), est AS (SELECT *, CASE WHEN km / nullif(CASE WHEN h > 0 THEN h END * 1.852, 0) IS NOT NULL THEN least(km / (h * 1.852), 25.0) ELSE 25.0 END AS speed_estimated_kn FROM lags
-), right_side AS (SELECT mmsi AS m, arrival_time, max(departure_time) AS departure_time, arg_max(call_id, (departure_time, call_id)) AS call_id FROM calls GROUP BY ALL
-), joined AS (SELECT e.*, arrival_time, departure_time, coalesce(ts <= departure_time, false) AS inside_call,
+), right_side AS (SELECT mmsi AS m, arrival_time, max(departure_time) AS departure_time, arg_max(call_id, (departure_time, call_id)) AS call_id, arg_max(port_key, (departure_time, call_id)) AS port_key FROM near GROUP BY ALL
+), joined AS (SELECT e.*, arrival_time, departure_time, CASE WHEN ts <= departure_time THEN call_id END AS call_id, CASE WHEN ts <= departure_time THEN port_key END AS port_key, coalesce(ts <= departure_time, false) AS inside_call,
     speed IS NULL AND speed_estimated_kn IS NOT NULL AS speed_interpolated, greatest(coalesce(speed, speed_estimated_kn, 0), 0) AS speed_kn
   FROM est e ASOF LEFT JOIN right_side r ON e.mmsi = r.m AND e.ts >= r.arrival_time
 ), src AS (SELECT *, CASE WHEN NOT inside_call THEN 'transit'
@@ -128,10 +149,11 @@ _ROWS = f"""{POS}, {CALLS}, lags AS (
 ), emitted AS (
   SELECT *, fuel_t * co2_factor AS co2_t, fuel_t * wtt_factor AS wtt_co2e_t, fuel_t * co2_factor + fuel_t * wtt_factor AS wtw_co2e_t, fuel_t * nox_factor AS nox_kg, fuel_t * sulfur * 2000 AS sox_kg, fuel_t * pm_factor AS pm_kg,
     least(0.95, greatest(0.05, sqrt(0.0228) + speed_interpolated::INT * 0.10 + (duration_h > 0.5)::INT * 0.08 + fallback::INT * 0.12)) AS rel_sigma FROM full_rows
-), cut AS (SELECT *, (lag(mode) OVER w IS NULL OR mode <> lag(mode) OVER w OR coalesce(lag(duration_h) OVER w, 0) > 0.5)::INT AS new FROM emitted {_W}
+), cut AS (SELECT *, (lag(mode) OVER w IS NULL OR mode <> lag(mode) OVER w OR coalesce(call_id, '') <> coalesce(lag(call_id) OVER w, '') OR coalesce(lag(duration_h) OVER w, 0) > 0.5)::INT AS new FROM emitted {_W}
 ), seg_rows AS (SELECT *, mmsi || '_seg_' || lpad((sum(new) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT::VARCHAR, 6, '0') AS segment_id FROM cut
-), segs AS (SELECT segment_id, mmsi, mode, min(ts) AS timestamp_start, count(*)::BIGINT AS row_count, sum(duration_h) AS duration_h, avg(fallback::INT) AS fallback_usage_ratio, avg(rel_sigma) AS rel_sigma, sum(fuel_t) AS fuel_t,
-    sum(co2_t) AS co2_t, sum(wtw_co2e_t) AS wtw_co2e_t, sum(nox_kg) AS nox_kg, sum(sox_kg) AS sox_kg, sum(pm_kg) AS pm_kg FROM seg_rows GROUP BY ALL)"""
+), segs AS (SELECT segment_id, mmsi, mode, max(call_id) AS call_id, coalesce(max(port_key), 'AT_SEA') AS port_key, min(vessel_class) AS vessel_class, min(ts) AS timestamp_start, max(ts) AS timestamp_end, count(*)::BIGINT AS row_count, sum(duration_h) AS duration_h, avg(fallback::INT) AS fallback_usage_ratio, avg(rel_sigma) AS rel_sigma, sum(fuel_t) AS fuel_t,
+    sum(co2_t) AS co2_t, sum(wtw_co2e_t) AS wtw_co2e_t, sum(nox_kg) AS nox_kg, sum(sox_kg) AS sox_kg, sum(pm_kg) AS pm_kg FROM seg_rows GROUP BY ALL), linked AS (SELECT * FROM segs WHERE call_id IS NOT NULL),
+daily_port AS (SELECT timestamp_start::DATE AS date, port_key, count(*)::BIGINT AS segments, sum(duration_h) AS duration_h, sum(row_count) AS row_count, avg(fallback_usage_ratio) AS f, least(0.95, greatest(0.05, avg(rel_sigma))) AS s, sum(co2_t) AS co2_t, sum(wtw_co2e_t) AS w, sum(nox_kg) AS nox_kg FROM segs GROUP BY ALL)"""
 
 
 @register("sfm_modes", f"WITH {_ROWS} SELECT event_id, mode, round(speed_kn, 6) AS speed_kn FROM emitted")
@@ -148,7 +170,14 @@ _PARAMS = "v1"
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return emissions.with_evidence(emissions.segment_totals(trajectory.segments(_inventory_rows(spark, d))), _PARAMS)
+    return emissions.with_evidence(emissions.segment_totals(trajectory.segments(_inventory_rows(spark, d), call="call_id")), _PARAMS)
+
+
+def _daily_port(segments: DataFrame) -> DataFrame:
+    return emissions.roll_up(segments.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"])
+
+
+_LABEL = "CASE WHEN ci <= 0.20 AND f <= 0.05 THEN 'high' WHEN ci <= 0.40 OR f <= 0.20 THEN 'medium' ELSE 'low' END"
 
 
 @register("ag20_segment_totals", f"""WITH {_ROWS} SELECT segment_id, mode, row_count, round(duration_h, 5) AS duration_h, round(wtw_co2e_t, 5) AS wtw_co2e_t, round(nox_kg, 4) AS nox_kg,
@@ -157,29 +186,40 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("segment_id", "mode", "row_count", _r("duration_h", 5), _r("wtw_co2e_t", 5), _r("nox_kg", 4), _r("wtw_co2e_t_lower", 5), "evidence_id")
 
 
-@register("ag21_daily_roll_up", f"""WITH {_ROWS}, a AS (SELECT timestamp_start::DATE AS date, mode, count(DISTINCT segment_id)::BIGINT AS segments, sum(wtw_co2e_t) AS w, least(0.95, greatest(0.05, avg(rel_sigma))) AS s, avg(fallback_usage_ratio) AS f FROM segs GROUP BY ALL),
-b AS (SELECT *, CASE WHEN w > 0 THEN (greatest(0, w * (1 + 1.96 * s)) - greatest(0, w * (1 - 1.96 * s))) / w ELSE 1 END AS ci FROM a)
-SELECT date::VARCHAR AS date, mode, segments, round(w, 4) AS wtw_co2e_t, round(w * (1 + 1.96 * s), 4) AS wtw_co2e_t_upper, CASE WHEN ci <= 0.20 AND f <= 0.05 THEN 'high' WHEN ci <= 0.40 OR f <= 0.20 THEN 'medium' ELSE 'low' END AS confidence_label FROM b""")
+@register("ag21_daily_roll_up", f"""WITH {_ROWS}, b AS (SELECT *, CASE WHEN w > 0 THEN (greatest(0, w * (1 + 1.96 * s)) - greatest(0, w * (1 - 1.96 * s))) / w ELSE 1 END AS ci FROM daily_port)
+SELECT date::VARCHAR AS date, port_key, segments, round(w, 4) AS wtw_co2e_t, round(nox_kg, 3) AS nox_kg, round(w * (1 + 1.96 * s), 4) AS wtw_co2e_t_upper, {_LABEL} AS confidence_label FROM b""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = emissions.roll_up(_segments(spark, d).withColumn("date", F.to_date("timestamp_start")), ["date", "mode"])
-    return own.select(F.col("date").cast("string").alias("date"), "mode", "segments", _r("wtw_co2e_t", 4), _r("wtw_co2e_t_upper", 4), "confidence_label")
+    own = _daily_port(_segments(spark, d))
+    return own.select(F.col("date").cast("string").alias("date"), "port_key", "segments", _r("wtw_co2e_t", 4), _r("nox_kg", 3), _r("wtw_co2e_t_upper", 4), "confidence_label")
 
 
-@register("ag23_port_emissions_monthly", f"WITH {_ROWS} SELECT strftime(timestamp_start, '%Y-%m') AS bucket, mode, count(*)::BIGINT AS segments, round(sum(co2_t), 4) AS co2_t, round(sum(sox_kg), 3) AS sox_kg, round(sum(pm_kg), 3) AS pm_kg FROM segs GROUP BY ALL")
+@register("ag23_port_emissions_monthly", f"""WITH {_ROWS}, r AS (
+  SELECT strftime(timestamp_start, '%Y-%m') AS bucket, port_key, 'call_linked' AS basis, wtw_co2e_t AS w, co2_t, fallback_usage_ratio AS f, greatest(0, wtw_co2e_t * (1 - 1.96 * rel_sigma)) AS lo, greatest(0, wtw_co2e_t * (1 + 1.96 * rel_sigma)) AS hi FROM linked
+  UNION ALL SELECT strftime(date, '%Y-%m'), port_key, 'daily_proxy', w, co2_t, f, greatest(0, w * (1 - 1.96 * s)), greatest(0, w * (1 + 1.96 * s)) FROM daily_port WHERE port_key NOT IN (SELECT port_key FROM linked)
+), g AS (SELECT bucket, port_key, basis, count(*)::BIGINT AS rows, sum(w) AS w, sum(co2_t) AS co2_t, sum(lo) AS lo, sum(hi) AS hi, avg(f) AS f FROM r GROUP BY ALL), b AS (SELECT *, CASE WHEN w > 0 THEN (hi - lo) / w ELSE 1 END AS ci FROM g), l AS (SELECT *, {_LABEL} AS label FROM b)
+SELECT bucket, port_key, basis, rows, round(co2_t, 4) AS co2_t, round(w, 4) AS wtw_co2e_t, round(lo, 4) AS wtw_co2e_t_lower, CASE WHEN basis = 'daily_proxy' AND label = 'high' THEN 'medium' ELSE label END AS confidence_label FROM l""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return emissions.port_emissions(_segments(spark, d), "month", ["mode"]).select("bucket", "mode", "segments", _r("co2_t", 4), _r("sox_kg", 3), _r("pm_kg", 3))
+    segments = _segments(spark, d)
+    own = emissions.port_emissions(segments, _daily_port(segments), "month")
+    return own.select("bucket", "port_key", "basis", "rows", _r("co2_t", 4), _r("wtw_co2e_t", 4), _r("wtw_co2e_t_lower", 4), "confidence_label")
 
 
-@register("ag25_scope_diagnostics", f"WITH {_ROWS}, c AS (SELECT mmsi, sum(wtw_co2e_t) AS v FROM segs GROUP BY ALL) SELECT count(*)::BIGINT AS calls, round(avg(v), 4) AS mean, round(median(v), 4) AS median, round(max(v), 4) AS largest, 0::BIGINT AS repeated_ids FROM c")
+@register("ag25_scope_diagnostics", f"""WITH {_ROWS}, c AS (SELECT port_key, call_id, sum(wtw_co2e_t) AS t, sum(duration_h) AS h FROM linked GROUP BY ALL), p AS (SELECT port_key, count(*)::BIGINT AS calls, avg(t) AS mean_t, median(t) AS median_t, max(t) AS largest_t, max(h) AS longest FROM c GROUP BY ALL),
+base AS (SELECT port_key, median(w) AS b FROM daily_port GROUP BY ALL), w AS (SELECT port_key, count(*)::BIGINT AS rows, sum(duration_h) AS h, sum(wtw_co2e_t) AS t FROM segs GROUP BY ALL)
+SELECT port_key, rows, coalesce(calls, 0) AS calls, round(h, 4) AS total_duration_h, round(t, 4) AS total_t, round(mean_t, 4) AS mean_t, round(median_t, 4) AS median_t, 0::BIGINT AS repeated,
+  concat_ws(',', CASE WHEN longest > 240 THEN 'implausible call duration' END, CASE WHEN largest_t > 500 THEN 'implausible call emissions' END, CASE WHEN b < 1 THEN 'baseline too small' END) AS warnings,
+  CASE WHEN b < 1 THEN 'unstable baseline' WHEN longest > 240 OR largest_t > 500 THEN 'warning' ELSE 'checked' END AS sanity_status
+FROM w LEFT JOIN p USING (port_key) LEFT JOIN base USING (port_key)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = emissions.scope_diagnostics(_segments(spark, d).withColumn("call_id", F.col("mmsi")), "wtw_co2e_t")
-    return own.select("calls", _r("mean", 4), _r("median", 4), _r("largest", 4), "repeated_ids")
+    segments = _segments(spark, d)
+    own = emissions.scope_diagnostics(segments, "wtw_co2e_t", ["port_key"], _daily_port(segments))
+    return own.select("port_key", "rows", "calls", _r("total_duration_h", 4), _r("total_t", 4), _r("mean_t", 4), _r("median_t", 4), "repeated", F.array_join("warnings", ",").alias("warnings"), "sanity_status")
 
 
-@register("ag28_metrics", f"WITH {_ROWS} SELECT round(sum(co2_t), 3) AS total_t, round(sum(co2_t) * 1000 / count(DISTINCT mmsi), 3) AS kg_per_call, round(sum(co2_t) / count(DISTINCT timestamp_start::DATE), 4) AS t_per_day, round(sum(co2_t) * 1000 / sum(duration_h), 4) AS kg_per_hour FROM segs")
+@register("ag28_metrics", f"WITH {_ROWS} SELECT round(sum(co2_t), 3) AS total_t, count(DISTINCT call_id)::BIGINT AS calls, round(sum(co2_t) * 1000 / count(DISTINCT call_id), 3) AS kg_per_call, round(sum(co2_t) / count(DISTINCT timestamp_start::DATE), 4) AS t_per_day, round(sum(co2_t) * 1000 / sum(duration_h), 4) AS kg_per_hour FROM linked")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = _segments(spark, d).withColumn("call_id", F.col("mmsi")).withColumn("date", F.to_date("timestamp_start"))
-    return emissions.metrics(own, "co2_t").select(_r("total_t", 3), _r("kg_per_call", 3), _r("t_per_day", 4), _r("kg_per_hour", 4))
+    own = emissions.call_linked(_segments(spark, d)).withColumn("date", F.to_date("timestamp_start"))
+    return emissions.metrics(own, "co2_t").select(_r("total_t", 3), "calls", _r("kg_per_call", 3), _r("t_per_day", 4), _r("kg_per_hour", 4))
 
 
 @register("ag29_level_bands", f"WITH {_ROWS}, p AS (SELECT quantile_cont(wtw_co2e_t, [0.25, 0.5, 0.75]) AS q FROM segs) SELECT segment_id, CASE WHEN wtw_co2e_t <= q[1] THEN 'Low' WHEN wtw_co2e_t <= q[2] THEN 'Moderate' WHEN wtw_co2e_t <= q[3] THEN 'High' ELSE 'Very High' END AS level FROM segs, p")
@@ -187,10 +227,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return emissions.bands(_segments(spark, d), "wtw_co2e_t").select("segment_id", "level")
 
 
-@register("ag22_monte_carlo_interval")
+@register("ag22_monte_carlo_interval", f"""WITH {_ROWS}, t AS (SELECT timestamp_start::DATE::VARCHAR AS date, sum(wtw_co2e_t) AS w, least(0.95, greatest(0.05, avg(rel_sigma))) AS s FROM segs GROUP BY ALL),
+n AS (SELECT date, w, s, (('0x' || substr(md5(date || '|a|' || i), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657e0 AS a, (('0x' || substr(md5(date || '|b|' || i), 1, 12))::BIGINT::DOUBLE + 1) / 281474976710657e0 AS b FROM t, range(1, 501) AS r(i)),
+v AS (SELECT date, w, greatest(0, w * (1 + s * sqrt(-2 * ln(a)) * cos(2 * 3.141592653589793e0 * b))) AS v FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY v) AS k FROM v)
+SELECT date, round(any_value(w), 4) AS wtw_co2e_t, round(max(v) FILTER (WHERE k = 13), 4) AS wtw_co2e_t_lower, round(max(v) FILTER (WHERE k = 488), 4) AS wtw_co2e_t_upper FROM o GROUP BY date""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = emissions.roll_up(_segments(spark, d).withColumn("date", F.to_date("timestamp_start").cast("string")), ["date"])
-    return emissions.monte_carlo(own.select("date", "wtw_co2e_t", "rel_sigma_weighted"), "wtw_co2e_t", "rel_sigma_weighted", "date")
+    own = emissions.monte_carlo(own.select("date", "wtw_co2e_t", "rel_sigma_weighted"), "wtw_co2e_t", "rel_sigma_weighted", "date")
+    return own.select("date", _r("wtw_co2e_t", 4), _r("wtw_co2e_t_lower", 4), _r("wtw_co2e_t_upper", 4))
 
 
 @register("ce1_estimate", """SELECT 'tanker' AS vessel_class, 'manoeuvring' AS mode, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6, 6) AS fuel_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114, 6) AS co2_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114 * (1 + 1.96 * 0.30), 6) AS co2_t_upper""")
