@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import evidence_id
+from ..functions.clean import VESSEL_CLASSES, evidence_id
 
 # The factor registry (kW, knots, g/kWh, t/t, kg/t, relative standard deviations).
 VESSELS = {
@@ -57,6 +57,12 @@ def registry_hash(factors: dict) -> str:
     return hashlib.sha256(json.dumps(factors, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def class_of(vessel_type: str) -> str:
+    """vessel_class() of one type, on the driver."""
+    key = vessel_type.strip().lower()
+    return VESSEL_CLASSES.get(key) or next((c for t, c in VESSEL_CLASSES.items() if t in key), "unknown")
+
+
 def assign_modes(rows: DataFrame) -> DataFrame:
     """mode from speed and the visit's window; speed_kn: reported, else estimated, else 0."""
     speed = F.greatest(F.coalesce("speed", "speed_estimated_kn", F.lit(0.0)), F.lit(0.0))
@@ -223,7 +229,7 @@ def scope_diagnostics(segments: DataFrame, metric: str, keys: list[str] | None =
     parts = [sums, calls]
     if baseline is not None:
         parts.append(baseline.groupBy(*keys).agg(F.median(metric).alias("baseline_t")))
-    own = whole
+    own = whole if keys else segments.agg(F.count("segment_id").alias("raw_rows"), F.count_distinct("segment_id").alias("rows"))
     for part in parts:  # one row a scope on either side
         own = own.join(part, keys, "left") if keys else own.crossJoin(F.broadcast(part))
     own = own.withColumn("calls", F.coalesce("calls", F.lit(0)))

@@ -20,14 +20,15 @@ def port_filter(rows: DataFrame, port: str, codes: tuple[str, ...] = ("port_key"
 
 
 def port_filter_loose(rows: DataFrame, token: str, codes: tuple[str, ...]) -> DataFrame:
-    """Codes that contain the token, letters and digits only."""
+    """Codes that contain the token, letters and digits only, or the token as it is typed in any case."""
     import re
 
-    bare = re.sub("[^A-Z0-9]", "", token.upper())
-    test: Column = F.lit(False)
+    bare, low = re.sub("[^A-Z0-9]", "", token.upper()), token.strip().lower()
+    test: Column = F.lit(not low)
     for c in codes:
-        test = test | F.regexp_replace(F.upper(c), "[^A-Z0-9]", "").contains(bare)
-    return rows.filter(test)
+        test = test | F.lower(c).contains(low) if low else test
+        test = test | F.regexp_replace(F.upper(c), "[^A-Z0-9]", "").contains(bare) if bare else test
+    return rows.filter(F.coalesce(test, F.lit(False)))
 
 
 def dates(rows: DataFrame, column: str, start: str | None = None, end: str | None = None, last_weeks: int | None = None) -> DataFrame:

@@ -9,34 +9,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import emissions, forecast, questions, trajectory
-from .router import NAMES, NEEDS, Question, metric_column, parse
+from ..storage import written
+from .ports import Catalog
+from .router import NAMES, NEEDS, Question, metric_column, parse, unsupported_hits
 
 
 @dataclass
 class Answer:
-    """status: ok, no_data or unsupported; state: for emissions."""
+    """status: ok, no_data or unsupported; state: for emissions. table is computed once and read from the shared folder."""
 
     intent: str
     status: str
     table: DataFrame | None = None
     state: str | None = None
     notes: list[str] = field(default_factory=list)
+    port: str | None = None
+    diagnostics: dict[str, object] = field(default_factory=dict)
 
 
 class Engine:
-    """tables by name: arrivals_daily, arrivals_hourly, dwell_time, congestion_daily, positions, segments, port_names."""
+    """tables by name: arrivals_daily, arrivals_hourly, dwell_time, congestion_daily, positions, segments, daily_port, port_catalog.
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark, self.tables = spark, tables
+    Without a port_catalog the ports of arrivals_daily are the catalog, and without that every token stands for itself.
+    """
 
-    def ask(self, text: str, today: dt.date | None = None) -> Answer:
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
+        self.spark, self.tables, self._catalog = spark, tables, None
+
+    @property
+    def catalog(self) -> Catalog | None:
+        if self._catalog is None and ("port_catalog" in self.tables or "arrivals_daily" in self.tables):
+            rows = self.tables.get("port_catalog")
+            if rows is None:
+                rows = self.tables["arrivals_daily"].groupBy("port_key").agg(F.sum("arrivals_vessels").alias("arrivals_total"))
+            self._catalog = Catalog.of(rows)
+        return self._catalog
+
+    def ask(self, text: str, today: dt.date | None = None, port: str | None = None) -> Answer:
+        """port: a filter that comes before the question's own ports."""
         q = parse(text, today)
         if q.intent == "G":
-            return Answer("G", "unsupported", notes=["needs terminal operations data"])
+            return Answer("G", "unsupported", notes=["needs terminal operations data", *unsupported_hits(text)])
         missing = [t for t in NEEDS[q.intent] if t not in self.tables and t != "events"]
         if missing and q.assumptions is None:
             return Answer(q.intent, "no_data", notes=[f"missing: {', '.join(missing)}"])
-        return {"A": self._describe, "B": self._pattern, "C": self._forecast, "D": self._compare, "E": self._diagnose, "F": self._anomaly, "H": self._emissions}[q.intent](q)
+        notes = []
+        if (q.ports or port) and self.catalog is not None and self.catalog.ports:
+            scope = self.catalog.scope(q, port)
+            several = [r for source, _, r, known in scope.candidates if known and source != "scan"]
+            q.ports = list(dict.fromkeys(several)) or ([scope.port] if scope.port else [])
+            notes += [scope.note] if scope.note else []
+        elif port:
+            q.ports = [port, *(p for p in q.ports if p != port)]
+        answer = {"A": self._describe, "B": self._pattern, "C": self._forecast, "D": self._compare, "E": self._diagnose, "F": self._anomaly, "H": self._emissions}[q.intent](q)
+        answer.port, answer.notes = q.port, answer.notes + notes
+        return answer
 
     def _scoped(self, name: str, date: str, q: Question) -> DataFrame:
         rows = self.tables[name]
@@ -47,6 +74,7 @@ class Engine:
         return questions.dates(rows, date, q.date_from, q.date_to, q.last_weeks)
 
     def _done(self, q: Question, table: DataFrame) -> Answer:
+        table = written(table, "answer")  # an aggregate's worth of rows, so that no answer is computed twice
         return Answer(q.intent, "ok" if not table.isEmpty() else "no_data", table, notes=[NAMES[q.intent]])
 
     def _describe(self, q: Question) -> Answer:
@@ -110,26 +138,38 @@ class Engine:
     def _emissions(self, q: Question) -> Answer:
         low = q.text.lower()
         if q.assumptions is not None:
-            a = q.assumptions
-            return Answer("H", "ok", emissions.estimate(self.spark, a["vessel_class"], a["mode"], a["hours"], a["speed_kn"]), "COMPUTED")
+            given = dict(q.assumptions)
+            kind = str(given.pop("vessel_type"))
+            table = written(emissions.estimate(self.spark, emissions.class_of(kind), **given), "answer")
+            total = table.first()[metric_column("CO2e", q.boundary)]
+            return Answer("H", "ok", table, emissions.result_state(1, total), diagnostics={"assumptions": q.assumptions, "sanity_status": "checked"})
         if not q.call_id and any(w in low for w in ("predict", "forecast", "next")) and not (q.date_from and q.date_from != q.target_date):
             return Answer("H", "no_data", state="FORECAST_ONLY", notes=["emissions are computed for the past only"])
-        rows = self.tables["segments"]
-        column = metric_column(q.pollutants[0], q.boundary)
+        rows, metric = self.tables["segments"], metric_column(q.pollutants[0], q.boundary)
+        if q.date_from and q.date_to and q.date_from > q.date_to:
+            return Answer("H", "no_data", state="NOT_COMPUTABLE", notes=["the range ends before it begins"])
         if q.call_id:
-            rows = match_call(rows, q.call_id)
-            if rows.select("call_id").distinct().limit(2).count() != 1:
-                return Answer("H", "no_data", state="NOT_COMPUTABLE", notes=["no such call, or several"])
-            table = emissions.roll_up(rows.dropDuplicates(["segment_id"]), ["call_id"])
+            rows = match_call(rows.filter(F.col("mmsi").cast("string") == q.mmsi) if q.mmsi else rows, q.call_id)
+            found = [r["call_id"] for r in rows.select("call_id").distinct().limit(10).collect()]
+            if len(found) != 1:
+                return Answer("H", "no_data", state="NOT_COMPUTABLE", notes=["several calls" if found else "no such call"], diagnostics={"candidates": found, "sanity_status": "warning" if found else "checked"})
+            table, state = emissions.roll_up(emissions.call_linked(rows), ["call_id"]), None
         else:
+            daily = self.tables.get("daily_port")
+            daily = emissions.roll_up(rows.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]) if daily is None else daily
             if q.port:
-                rows = questions.port_filter_loose(rows, q.port, ("port_key",))
+                rows, daily = (questions.port_filter_loose(x, q.port, ("port_key",)) for x in (rows, daily))
             if q.date_from and q.date_to:
-                rows = questions.dates_whole_days(rows, "timestamp_start", q.date_from, q.date_to)
-            table = emissions.port_emissions(rows, "month" if "monthly" in low or "per month" in low else "day", ["port_key"])
-        total = table.agg(F.count("*").alias("n"), F.sum(column).alias("t")).first()
-        state = emissions.result_state(total["n"], total["t"])
-        return Answer("H", "ok" if state.startswith("COMPUTED") else "no_data", table, state)
+                rows, daily = questions.dates_whole_days(rows, "timestamp_start", q.date_from, q.date_to), daily.filter(F.col("date").between(F.lit(q.date_from).cast("date"), F.lit(q.date_to).cast("date")))
+            monthly = "monthly" in low or "per month" in low
+            # the rule holds for the scope as a whole: daily rows only where no call is in it
+            table = emissions.port_emissions(emissions.with_intervals(rows), daily, "month" if monthly else "day", [] if not q.port else ["port_key"])
+        table = written(table, "answer")
+        total = table.agg(F.count("*").alias("n"), F.sum(metric).alias("t")).first()
+        checks = emissions.scope_diagnostics(rows, metric, baseline=self.tables.get("daily_port")).first()
+        diagnostics = {**checks.asDict(), "total": total["t"], "mode": ",".join(r[0] for r in table.select("basis").distinct().collect()) if "basis" in table.columns else "call"}
+        state = emissions.result_state(total["n"], total["t"], evidence=checks["raw_rows"])
+        return Answer("H", "ok" if state.startswith("COMPUTED") else "no_data", table, state, [str(w) for w in checks["warnings"]], diagnostics=diagnostics)
 
 
 def match_call(rows: DataFrame, call: str) -> DataFrame:
