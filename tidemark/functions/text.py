@@ -14,11 +14,18 @@ def fixed_chunks(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s, i: F.struct(i.alias("chunk_no"), F.substring(text, s + 1, F.lit(size)).alias("chunk")))
 
 
+#: Elements that go with what is in them, one after another, and entities in the order in which they are read.
+HIDDEN = ("script", "style", "noscript", "header", "footer")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def html_text(html: Column) -> Column:
     """Visible text: scripts, styles, headers and footers go with what is in them, then comments and tags; blanks squeezed."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|header|footer)\b[^>]*>.*?</\1\s*>", " ")
+    bare = html
+    for tag in HIDDEN:
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     bare = F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 

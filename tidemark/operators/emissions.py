@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import VESSEL_CLASSES, evidence_id
+from . import questions
 
 # The factor registry (kW, knots, g/kWh, t/t, kg/t, relative standard deviations).
 VESSELS = {
@@ -187,7 +188,7 @@ def monte_carlo(rows: DataFrame, metric: str, sigma: str, key: str, draws: int =
 
 def call_linked(segments: DataFrame) -> DataFrame:
     """Segments of a call, each once: the rows that an inventory counts."""
-    return segments.filter(F.coalesce(F.col("call_id").cast("string"), F.lit("")) != "").dropDuplicates(["segment_id"])
+    return questions.call_linked(segments).dropDuplicates(["segment_id"])
 
 
 def by_bucket(rows: DataFrame, time: str, bucket: str, keys: list[str]) -> DataFrame:

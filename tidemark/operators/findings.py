@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from .emissions import POLLUTANTS
 
 
-def findings(series: DataFrame, date: str, value: str) -> DataFrame:
-    """(finding, date, value): highest, lowest, largest rise and largest drop to the bucket before; earliest on ties.
+def findings(series: DataFrame, date: str, value: str, target: str | None = None, most: int = 5) -> DataFrame:
+    """(finding, date, value): highest, lowest (where it is another bucket), largest rise and largest drop to the bucket
+    before (the value of the bucket), selected (the bucket nearest to target); earliest on ties, `most` at most.
 
     series has one row a bucket, so that it is a chart's worth of rows.
     """
     change = F.col(value) - F.lag(value).over(Window.orderBy(date))
-    own = series.select(F.col(date).alias("date"), F.col(value).cast("double").alias("value"), change.cast("double").alias("change"))
+    own = series.select(F.col(date).alias("date"), F.col(value).cast("double").alias("value"), change.cast("double").alias("change")).filter(F.col("value").isNotNull())
     late = -F.unix_date(F.col("date").cast("date"))
-    pick = lambda c, sign: F.max_by(F.struct("date", F.col(c).alias("value")), F.when(F.col(c).isNotNull(), F.struct(sign * F.col(c), late)))
-    got = own.agg(pick("value", 1).alias("highest"), pick("value", -1).alias("lowest"), pick("change", 1).alias("largest rise"), pick("change", -1).alias("largest drop"))
-    rows = F.array(*[F.struct(F.lit(n).alias("finding"), F.col(f"`{n}`.date").alias("date"), F.col(f"`{n}`.value").alias("value")) for n in got.columns])
-    return got.select(F.inline(rows)).filter(F.col("value").isNotNull())
+    row = F.struct("date", "value")
+    pick = lambda test, by: F.max_by(row, F.when(test, F.struct(by, late)))
+    parts = {
+        "highest": pick(F.lit(True), F.col("value")), "lowest": pick(F.lit(True), -F.col("value")),
+        "largest rise": pick(F.col("change") > 0, F.col("change")), "largest drop": pick(F.col("change") < 0, -F.col("change")),
+    }
+    if target is not None:
+        parts["selected"] = pick(F.lit(True), -F.abs(F.datediff(F.col("date").cast("date"), F.lit(target).cast("date"))))
+    got = own.agg(*[c.alias(n) for n, c in parts.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("finding"), F.col(f"`{n}`.date").alias("date"), F.col(f"`{n}`.value").alias("value")) for n in parts])
+    kept = F.filter(rows, lambda x: x["value"].isNotNull() & ~((x["finding"] == "lowest") & (x["date"] == F.col("highest.date"))))
+    return got.select(F.inline(F.slice(kept, 1, most)))
 
 
 def uncertainty_summary(table: DataFrame) -> DataFrame:

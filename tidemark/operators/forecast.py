@@ -64,6 +64,23 @@ def backtest(rows: DataFrame, keys: list[str], test_days: int = 28, least_histor
     return tested.groupBy(*keys).agg(F.avg(err).alias("mae"), F.avg(err / F.greatest(F.abs("value"), F.lit(1.0)) * 100).alias("mape"), F.count("*").alias("days"))
 
 
+def mean_errors(tested: DataFrame) -> DataFrame:
+    """One row: the means of backtest()'s errors over series."""
+    return tested.agg(F.count("*").alias("series"), F.avg("mae").alias("mean_mae"), F.avg("mape").alias("mean_mape"))
+
+
+def for_date(rows: DataFrame, keys: list[str], day: str, days: int, least: int = 14) -> DataFrame:
+    """(keys, date, prediction, lower, upper, basis) of each series on one day: observed where the day is in the series (the
+    bounds are its value), model where it is at most `days` ahead and the series has `least` rows, else analog."""
+    t = F.lit(day).cast("date")
+    bounds = lambda c: [F.col(c).alias(n) for n in ("prediction", "lower", "upper")]
+    seen = rows.filter(F.col("date") == t).select(*keys, "date", *bounds("value"), F.lit("observed").alias("basis"))
+    ahead = forecast(rows, keys, days, least=least).filter(F.col("date") == t).select(*keys, "date", "prediction", "lower", "upper", F.lit("model").alias("basis"))
+    found = seen.unionByName(ahead.join(seen.select(*keys), keys, "left_anti"))
+    like = seasonal_analog(rows, keys, day).select(*keys, t.alias("date"), "prediction", "lower", "upper", F.lit("analog").alias("basis"))
+    return found.unionByName(like.join(found.select(*keys), keys, "left_anti"))
+
+
 #: Tiers of likeness to a date, and how many days each needs.
 _TIERS = (1, 2, 3, 3, 5, 5, 1)
 

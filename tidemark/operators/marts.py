@@ -115,6 +115,13 @@ def port_day(stays: DataFrame, flags: list[str]) -> DataFrame:
     )
 
 
+def joined_days(days: DataFrame, *others: DataFrame) -> DataFrame:
+    """Days of ports with what other tables, of one row a port and day, say of them."""
+    for other in others:
+        days = days.join(other, ["port_key", "date"], "left")
+    return days
+
+
 def most_frequent(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The most frequent value; of several the smallest."""
     return rows.groupBy(*keys).agg(F.mode(value, True).alias(value))

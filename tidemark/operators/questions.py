@@ -59,6 +59,11 @@ def weekday_filter(rows: DataFrame, column: str, day: str) -> DataFrame:
     return rows.filter(n == WEEKDAYS.index(day))
 
 
+def call_linked(rows: DataFrame) -> DataFrame:
+    """Rows with a call id that says something."""
+    return rows.filter(F.coalesce(F.col("call_id").cast("string"), F.lit("")) != "")
+
+
 def by_day(daily: DataFrame) -> DataFrame:
     return daily.groupBy("date").agg(F.sum("arrivals_vessels").alias("arrivals"))
 

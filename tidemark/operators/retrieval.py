@@ -77,6 +77,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def ranked(rows: DataFrame, query_id: str, order: list[str]) -> DataFrame:
+    """rank from 1 of each query's results."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order)))
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids, each once however often an id is there; Spark picks the join by size."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
+
+
 def merge_ranked(a: DataFrame, b: DataFrame, k: int, tie: str) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).orderBy("distance", tie).limit(k)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.clean import first_present
 from ..functions.geo import angle_between, haversine_km, planar_km
 from ..storage import written
 from .marts import micros
@@ -49,14 +50,25 @@ def repaired_intervals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
     return own.withColumn("ais_gap_flag", F.col("duration_h") > 0.5)
 
 
-def suspicious_jumps(rows: DataFrame, tie: str = "event_id", max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5) -> DataFrame:
-    """Steps of up to max_minutes that are long, or fast and not short; distances on a plane."""
+def suspicious_jumps(rows: DataFrame, tie: str = "event_id", max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5, mmsi: object = None, start: str | None = None, end: str | None = None, port: tuple[str, ...] = ()) -> DataFrame:
+    """Steps of up to max_minutes that are long, or fast and not short; distances on a plane. All such steps are returned.
+
+    Columns are added: previous place, minutes, jump_km, implied_kn, rule (distance_threshold where the step is long, else
+    speed_threshold) and port, the first of the columns in `port` that says something. Rows without vessel, time or place
+    are no steps; mmsi and whole days from start to end narrow the rows first.
+    """
+    rows = rows.filter(F.col("mmsi").isNotNull() & F.col("ts").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    rows = rows if mmsi is None else rows.filter(F.col("mmsi") == F.lit(mmsi))
+    rows = rows if start is None else rows.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    rows = rows if end is None else rows.filter(F.col("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+    rows = rows.withColumn("port", first_present(*[F.col(c) for c in port]) if port else F.lit(None).cast("string"))
     w = track(tie)
+    rows = rows.withColumns({"prev_latitude": F.lag("latitude").over(w), "prev_longitude": F.lag("longitude").over(w)})
     minutes = (micros("ts") - micros(F.lag("ts").over(w))) / F.lit(60e6)
-    own = rows.select("*", minutes.alias("minutes"), planar_km(F.lag("latitude").over(w), F.lag("longitude").over(w), F.col("latitude"), F.col("longitude")).alias("jump_km"))
+    own = rows.select("*", minutes.alias("minutes"), planar_km(F.col("prev_latitude"), F.col("prev_longitude"), F.col("latitude"), F.col("longitude")).alias("jump_km"))
     own = own.withColumn("implied_kn", F.try_divide(F.col("jump_km"), F.col("minutes") / 60.0) / 1.852)
     far, fast = F.col("jump_km") >= km, (F.col("jump_km") >= least_km) & (F.col("implied_kn") >= knots)
-    return own.filter((F.col("minutes") > 0) & (F.col("minutes") <= max_minutes) & (far | fast)).withColumn("rule", F.when(far & fast, "distance+speed").when(far, "distance").otherwise("speed"))
+    return own.filter((F.col("minutes") > 0) & (F.col("minutes") <= max_minutes) & (far | fast)).withColumn("rule", F.when(far, "distance_threshold").otherwise("speed_threshold"))
 
 
 def position_jumps(rows: DataFrame, tie: str = "event_id", minutes: float = 30, km: float = 80) -> DataFrame:
@@ -106,7 +118,11 @@ def segments(rows: DataFrame, tie: str = "event_id", call: str | None = None) ->
     return own.withColumn("segment_id", F.concat(F.col("mmsi").cast("string"), F.lit("_seg_"), F.lpad(F.col("segment_ord").cast("string"), 6, "0")))
 
 
-def recent_points(rows: DataFrame, mmsi: object, n: int = 10, tie: str = "event_id") -> DataFrame:
+def recent_points(rows: DataFrame, mmsi: object, n: int = 10, tie: str = "event_id", start: str | None = None, end: str | None = None) -> DataFrame:
+    """A vessel's last n rows, of whole days from start to end."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    rows = rows if start is None else rows.filter(day >= F.lit(start))
+    rows = rows if end is None else rows.filter(day <= F.lit(end))
     return rows.filter(F.col("mmsi") == F.lit(mmsi)).orderBy(F.desc("ts"), F.desc(tie)).limit(n)
 
 

@@ -12,7 +12,8 @@ from ..operators import learning, marts, trajectory
 from ..registry import register
 from .engine import Engine
 from .router import parse
-from .views import positions, read, visits
+from .track_queries import _segments
+from .views import CALLS, positions, read, visits
 
 _NUMERIC = ["latitude", "longitude", "speed", "hour"]
 #: The reference's features, but for the two of the course, which the tables don't have.
@@ -44,7 +45,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return learning.anomaly_scores(rows.select("event_id", "ts", *_ANOMALY), "event_id", _ANOMALY, ["ts", "event_id"])
 
 
-@register("qa4_fuzzy_names")
+@register("qa4_fuzzy_names", "SELECT replace(n_name, '_', '-') AS name, n_name AS match FROM nation")
 def _(spark: SparkSession, d: str) -> DataFrame:
     ports = [r[0] for r in read(spark, d, "nation").select("n_name").orderBy("n_name").collect()]  # the catalog of ports
     return learning.closest_name(read(spark, d, "nation").select(F.regexp_replace("n_name", "_", "-").alias("name")), ports, "name")
@@ -64,7 +65,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return b.join(other, "item_id").select("item_id", ungrounded(F.col("text"), F.col("other")).alias("ungrounded"))
 
 
-_QUESTIONS = ("How many arrivals were there in March 1996?", "Which weekday is busiest?", "Forecast arrivals for the next 2 weeks", "Compare Monday and Friday arrivals", "Show top ports", "What is the average dwell time?", "Any unusual spike in arrivals?", "What is the TEU throughput?", "Estimate emissions of a tanker manoeuvring for 2 hours at 6 knots")
+#: Questions with the intents that a reader gives them.
+_ASKED = {
+    "A": ("How many arrivals were there in March 1996?", "Show top ports", "What is the average dwell time?", "Arrivals at NATION_6 on 1996-03-05", "Peak day of arrivals", "Occupancy at Riga", "List dwell of tanker calls", "What was the total at LV RIX?"),
+    "B": ("Which weekday is busiest?", "Compare Monday and Friday arrivals", "What is the busiest hour?", "Is there a seasonal pattern?", "How do weekday arrivals usually look?"),
+    "C": ("Forecast arrivals for the next 2 weeks", "What congestion do you expect at Gdansk?", "Predict arrivals for 40 weeks", "Arrivals on the coming Friday"),
+    "D": ("Compare Riga and Gdansk", "Riga vs Klaipeda", "Does Riga have more than Gdansk?"),
+    "E": ("Why was dwell so long on 1996-03-05?", "What is the breakdown by type?", "Which types dominated in May 1996?"),
+    "F": ("Any unusual spike in arrivals?", "Show suspicious jumps", "Is there an anomaly at Riga?", "Find teleport events"),
+    "G": ("What is the TEU throughput?", "Berth  utilization in May", "truck turn-time at the gate", "How long is the gate-queue?", "berth-level delays"),
+    "H": ("Estimate emissions of a tanker manoeuvring for 2 hours at 6 knots", "CO2 by month", "Show NOx at Riga", "Well-to-wake totals", "Predict carbon next week"),
+}
+#: Questions to the engine, each with its intent, status and state; a status may be a condition in SQL, as rows decide it.
+_ANSWERED = (
+    ("How many arrivals were there in March 1996?", "A", "EXISTS (SELECT 1 FROM calls WHERE arrival_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31')", None),
+    ("Arrivals at nation_6", "A", "EXISTS (SELECT 1 FROM calls)", None),
+    ("Arrivals at atlantis", "A", "EXISTS (SELECT 1 FROM calls)", None),
+    ("Which weekday is busiest?", "B", "EXISTS (SELECT 1 FROM calls)", None),
+    ("What is the busiest hour?", "B", "EXISTS (SELECT 1 FROM calls)", None),
+    ("Forecast arrivals for the next 2 weeks", "C", "(SELECT count(DISTINCT arrival_date) FROM calls) >= 14", None),
+    ("Compare Monday and Friday arrivals", "B", "EXISTS (SELECT 1 FROM calls)", None),
+    ("Compare NATION_6 and nation_2", "D", "EXISTS (SELECT 1 FROM calls)", None),
+    ("Show top ports", "A", "EXISTS (SELECT 1 FROM calls)", None),
+    ("What is the average dwell time?", "A", "EXISTS (SELECT 1 FROM calls)", None),
+    ("What is the TEU throughput?", "G", "unsupported", None),
+    ("Estimate emissions of a tanker manoeuvring for 2 hours at 6 knots", "H", "true", "COMPUTED"),
+    ("Estimate emissions for a cargo at berth for 5 hours", "H", "true", "COMPUTED"),
+    ("Predict carbon emissions next Friday", "H", "false", "FORECAST_ONLY"),
+    ("Emissions of call id 999-999-999", "H", "false", "NOT_COMPUTABLE"),
+    ("Show CO2e emissions monthly", "H", "EXISTS (SELECT 1 FROM events)", "COMPUTED"),
+)
+_text = lambda t: "NULL" if t is None else "'" + t.replace("'", "''") + "'"
+_STATUS = lambda c: f"'{c}'" if c == "unsupported" else f"CASE WHEN {c} THEN 'ok' ELSE 'no_data' END"
 
 
 def engine(spark: SparkSession, d: str) -> Engine:
@@ -73,16 +105,17 @@ def engine(spark: SparkSession, d: str) -> Engine:
     daily = marts.arrivals(visits(spark, d), ["port_key", "vessel_type_norm"], "arrival_time", "day")
     whole = marts.arrivals(visits(spark, d), ["port_key"], "arrival_time", "day")
     hourly = marts.arrivals(visits(spark, d), ["port_key"], "arrival_time", "hour")
-    return Engine(spark, {"arrivals_daily": daily, "arrivals_hourly": hourly, "dwell_time": stays, "congestion_daily": marts.congestion(whole, stays), "positions": positions(spark, d)})
+    tables = {"arrivals_daily": daily, "arrivals_hourly": hourly, "dwell_time": stays, "congestion_daily": marts.congestion(whole, stays), "positions": positions(spark, d), "segments": _segments(spark, d)}
+    return Engine(spark, tables)
 
 
-@register("qa5_ask")
+@register("qa5_ask", f"WITH {CALLS} " + " UNION ALL ".join(f"SELECT {_text(q)} AS question, '{i}' AS intent, {_STATUS(c)} AS status, {_text(s)} AS state" for q, i, c, s in _ANSWERED))
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = engine(spark, d)
-    rows = [(q, a.intent, a.status, a.state) for q in _QUESTIONS for a in [own.ask(q, dt.date(1999, 1, 1))]]
+    rows = [(q, a.intent, a.status, a.state) for q, *_ in _ANSWERED for a in [own.ask(q, dt.date(1999, 1, 1))]]
     return spark.createDataFrame(rows, "question string, intent string, status string, state string")
 
 
-@register("qa1_intents")
+@register("qa1_intents", "SELECT * FROM (VALUES " + ", ".join(f"({_text(q)}, '{i}')" for i, qs in _ASKED.items() for q in qs) + ") AS t(question, intent)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(q, parse(q).intent) for q in _QUESTIONS], "question string, intent string")
+    return spark.createDataFrame([(q, parse(q).intent) for qs in _ASKED.values() for q in qs], "question string, intent string")

@@ -165,6 +165,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return questions.congestion_by_day(_index(spark, d)).select(_day(), _r("mean_index"), "arrivals", _r("median_dwell"))
 
 
+@register("ag16_congestion_peak", f"""WITH {CALLS}, {DAILY}, {CONGESTION}, m AS (SELECT date, avg(congestion_index) AS i FROM congestion GROUP BY ALL) SELECT round(avg(i), 6) AS overall_mean, round(max(i), 6) AS peak_index, arg_min(date, (-i, date))::VARCHAR AS peak_date FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return questions.congestion_peak(_index(spark, d)).select(_r("overall_mean"), _r("peak_index"), F.col("peak_date").cast("string").alias("peak_date"))
+
+
+@register("jo5_port_day_with_proxies", f"""WITH {CALLS}, p AS (SELECT port_key, arrival_date AS date, count(*)::BIGINT AS arrivals FROM calls GROUP BY ALL), k AS (SELECT port_key, arrival_date AS date, vessel_type_norm, count(*) AS n FROM calls GROUP BY ALL),
+m AS (SELECT port_key, date, arg_min(vessel_type_norm, (-n, vessel_type_norm)) AS top_type FROM k GROUP BY ALL), o AS (SELECT n_name AS port_key, o_orderdate::DATE AS date, count(*)::BIGINT AS positions FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT port_key, date::VARCHAR AS date, arrivals, top_type, positions FROM p LEFT JOIN m USING (port_key, date) LEFT JOIN o USING (port_key, date)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    stays = _stays(spark, d)
+    modes = marts.most_frequent(stays.withColumn("date", F.col("arrival_date")), ["port_key", "date"], "vessel_type_norm").withColumnRenamed("vessel_type_norm", "top_type")
+    orders = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    proxy = orders.groupBy(F.col("n_name").alias("port_key"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("positions"))
+    own = marts.joined_days(marts.port_day(stays, []), modes, proxy)
+    return own.select("port_key", _day(), "arrivals", "top_type", "positions")
+
+
 @register("ag17_compare_ports", f"""WITH {CALLS}, {DAILY}, {CONGESTION},
 a AS (SELECT port_key, sum(arrivals_vessels)::BIGINT AS arrivals FROM daily GROUP BY ALL),
 t AS (SELECT port_key, vessel_type_norm, median(dwell_minutes) AS m FROM calls GROUP BY ALL), w AS (SELECT port_key, round(median(m), 6) AS dwell FROM t GROUP BY ALL),

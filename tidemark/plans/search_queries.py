@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, text
 from ..operators import marts, retrieval
 from ..registry import register
+from ..sources import files
 from .views import CALLS, POS, read, visits
 
 #: The stated query set: every row whose id is divisible by this.
@@ -61,11 +62,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", clean.vessel_class(kinds).alias("vessel_class"))
 
 
-@register("pr24_html_text")
+def _html_sql(column: str) -> str:
+    """html_text() as SQL."""
+    out = column
+    for tag in text.HIDDEN:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for entity, char in text.ENTITIES:
+        out = f"replace({out}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+@register("pr24_html_text", f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
+@register("sc13_page_chunks", f"""WITH t AS (SELECT page_id, url, {_html_sql('html')} AS text FROM pages) SELECT page_id, url, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM t, unnest(range(0, length(text), 1000)) AS r(s)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = files.page_chunks(read(spark, d, "pages"), "page_id")
+    return own.select("page_id", "url", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
 @register("ar1_fixed_chunks", """SELECT doc_id, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM documents, unnest(range(0, length(text), 1000)) AS t(s)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "documents").select("doc_id", F.inline(text.fixed_chunks(F.col("text"), 1200, 200)))
@@ -96,50 +114,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("query_id", "rank", "vec_id", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
-@register("tk6_filtered_top_k", f"""WITH {_TOP.format(more='AND e.label IN (1, 3) AND e.vec_id % 50 <> 0')} SELECT query_id, rank, vec_id FROM top""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    corpus = read(spark, d, "embeddings").filter(F.col("label").isin(1, 3) & (F.col("vec_id") % _EVERY != 0))
-    return retrieval.top_k(_queries(spark, d), corpus, 5).select("query_id", "rank", "vec_id")
-
-
-@register("ag36_hit_at_k", f"""WITH {_TOP.format(more='AND e.vec_id % 50 <> 0')}, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    vectors = read(spark, d, "embeddings")
-    found = retrieval.top_k(_queries(spark, d), vectors.filter(F.col("vec_id") % _EVERY != 0), 5)
-    labelled = found.join(vectors.select("vec_id", "label"), "vec_id").join(vectors.filter(F.col("vec_id") % _EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
-    return retrieval.hit_at_k(labelled, [], F.col("label") == F.col("query_label")).select(_r("hit_rate"), "queries")
-
-
-@register("rt4_strict_gate", f"""WITH {_TOP.format(more='AND e.vec_id % 50 <> 0')}, t AS (SELECT distance FROM top WHERE query_id = 0) SELECT count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM t""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    vectors = read(spark, d, "embeddings")
-    found = retrieval.top_k(_queries(spark, d).filter("query_id = 0"), vectors.filter(F.col("vec_id") % _EVERY != 0), 5)
-    return retrieval.strict_gate(found).select("n", _r("nearest", 5), "answer")
-
-
-# The three queries above keep their SQL, which leaves out every fiftieth row; the ones below search all rows.
-
-
 def _others(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
     """The k nearest rows to each query but its own: of k + 1 nearest, those that aren't the query."""
     found = retrieval.top_k(_queries(spark, d), read(spark, d, "embeddings"), k + 1).filter(F.col("vec_id") != F.col("query_id"))
     return retrieval.keep_ranked(found, k, "query_id", "vec_id")
 
 
-@register("tk6_filtered_top_k_all", f"""WITH {_TOP.format(more='AND e.label IN (1, 3)')} SELECT query_id, rank, vec_id FROM top""")
+@register("tk6_filtered_top_k", f"""WITH {_TOP.format(more='AND e.label IN (1, 3)')} SELECT query_id, rank, vec_id FROM top""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     corpus = read(spark, d, "embeddings").filter(F.col("label").isin(1, 3))
     return retrieval.top_k(_queries(spark, d), corpus, 5).select("query_id", "rank", "vec_id")
 
 
-@register("ag36_hit_at_k_all", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')}, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""")
+@register("ag36_hit_at_k", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')}, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     labels = read(spark, d, "embeddings").select("vec_id", "label")
     labelled = _others(spark, d).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
     return retrieval.hit_at_k(labelled, [], F.col("label") == F.col("query_label")).select(_r("hit_rate"), "queries")
 
 
-@register("rt4_strict_gate_all", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')} SELECT q.vec_id AS query_id, count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM embeddings q LEFT JOIN top ON query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
+@register("rt4_strict_gate", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')} SELECT q.vec_id AS query_id, count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM embeddings q LEFT JOIN top ON query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     found = _queries(spark, d).select("query_id").join(_others(spark, d), "query_id", "left")
     return retrieval.strict_gate(found, keys=["query_id"]).select("query_id", "n", _r("nearest", 5), "answer")

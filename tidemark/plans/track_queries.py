@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import serialize
 from ..functions.clean import vessel_class
-from ..operators import emissions, findings, forecast, marts, trajectory
+from ..operators import emissions, findings, forecast, marts, serving, trajectory
 from ..registry import register
 from .views import CALLS, POS, positions, read, visits
 
@@ -67,12 +69,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.repaired_intervals(positions(spark, d)).select("event_id", _r("duration_h"), "ais_gap_flag")
 
 
-@register("wi12_suspicious_jumps", f"""WITH {POS}, d AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS minutes, sqrt(pow((latitude - lag(latitude) OVER w) * 111, 2) + pow((longitude - lag(longitude) OVER w) * 111, 2)) AS km FROM pos {_W}),
+@register("wi4_rolling_of_derived", f"""WITH {POS}, c AS (SELECT *, (event_id * 37) % 360 AS course FROM pos), d AS (SELECT *, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h,
+  CASE WHEN lag(course) OVER w IS NOT NULL THEN least(abs(course - lag(course) OVER w), 360 - abs(course - lag(course) OVER w)) END::DOUBLE AS cc FROM c {_W}), e AS (SELECT *, km / (CASE WHEN h > 0 THEN h END * 1.852) AS kn FROM d)
+SELECT event_id, """ + ", ".join(f"round(avg(kn) OVER w{n}, 5) AS speed_estimated_kn_mean_{n}, round(avg(cc) OVER w{n}, 5) AS course_change_mean_{n}" for n in (5, 10)) + " FROM e WINDOW " + ", ".join(f"w{n} AS (PARTITION BY mmsi ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 10)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = trajectory.lagged(positions(spark, d).withColumn("course", (F.col("event_id") * 37) % 360), course="course")
+    own = trajectory.rolling(trajectory.rolling(own, "speed_estimated_kn", (5, 10), std=False), "course_change", (5, 10), std=False)
+    return own.select("event_id", *[_r(f"{c}_mean_{n}", 5) for n in (5, 10) for c in ("speed_estimated_kn", "course_change")])
+
+
+@register("wi12_suspicious_jumps", f"""WITH {POS}, d AS (SELECT event_id, lag(latitude) OVER w AS prev_latitude, mode AS port, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS minutes, sqrt(pow((latitude - lag(latitude) OVER w) * 111, 2) + pow((longitude - lag(longitude) OVER w) * 111, 2)) AS km FROM pos {_W}),
 k AS (SELECT *, km / nullif(minutes / 60, 0) / 1.852 AS kn FROM d)
-SELECT event_id, round(minutes, 6) AS minutes, round(km, 6) AS jump_km, CASE WHEN km >= 20 AND km >= 5 AND kn >= 40 THEN 'distance+speed' WHEN km >= 20 THEN 'distance' ELSE 'speed' END AS rule
+SELECT event_id, round(prev_latitude, 6) AS prev_latitude, port, round(minutes, 6) AS minutes, round(km, 6) AS jump_km, CASE WHEN km >= 20 THEN 'distance_threshold' ELSE 'speed_threshold' END AS rule
 FROM k WHERE minutes > 0 AND minutes <= 30 AND (km >= 20 OR (km >= 5 AND kn >= 40))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return trajectory.suspicious_jumps(positions(spark, d)).select("event_id", _r("minutes"), _r("jump_km"), "rule")
+    rows = positions(spark, d).withColumn("locode_norm", F.lit(""))
+    return trajectory.suspicious_jumps(rows, port=("locode_norm", "mode")).select("event_id", _r("prev_latitude"), "port", _r("minutes"), _r("jump_km"), "rule")
 
 
 @register("wi11_position_jumps", f"""WITH {POS}, d AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS m, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km FROM pos {_W}) SELECT event_id, coalesce(m > 0 AND m <= 30 AND km >= 80, false) AS jump_flag FROM d""")
@@ -304,6 +316,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return forecast.backtest(_series(spark, d), ["port_key"]).select("port_key", _r("mae"), _r("mape", 5), "days")
 
 
+@register("ag37_backtest_mean", f"""WITH {_SERIES}, {_STEP}, e AS (SELECT *, abs(value - prediction) AS err, row_number() OVER (PARTITION BY port_key ORDER BY date DESC) AS rn FROM p), m AS (SELECT port_key, avg(err) AS mae, avg(err / greatest(abs(value), 1) * 100) AS mape FROM e WHERE rn <= 28 GROUP BY ALL)
+SELECT count(*)::BIGINT AS series, round(avg(mae), 6) AS mean_mae, round(avg(mape), 5) AS mean_mape FROM m""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return forecast.mean_errors(forecast.backtest(_series(spark, d), ["port_key"])).select("series", _r("mean_mae"), _r("mean_mape", 5))
+
+
+@register("fc6_for_date", f"""{_GROWN}, l AS (SELECT max(date) AS last FROM s), t AS (SELECT last AS day FROM l UNION ALL SELECT last + 5 FROM l)
+SELECT port_key, 'observed' AS basis, date::VARCHAR AS date, round(value, 6) AS prediction FROM s JOIN t ON date = day
+UNION ALL SELECT port_key, 'model', day::DATE::VARCHAR, round(prediction, 6) FROM f JOIN t ON (f.last + step::INT)::DATE = day WHERE step > 0 AND NOT EXISTS (SELECT 1 FROM s WHERE s.port_key = f.port_key AND s.date = day)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = _series(spark, d)
+    last = rows.agg(F.max("date")).first()[0]  # one date
+    found = [forecast.for_date(rows, ["port_key"], str(day), 28) for day in (last, last + dt.timedelta(days=5))]
+    own = found[0].unionByName(found[1]).filter(F.col("basis").isin("observed", "model"))
+    return own.select("port_key", "basis", F.col("date").cast("string").alias("date"), _r("prediction"))
+
+
 @register("wi17_even_sample", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rk, count(*) OVER () AS n FROM events), k AS (SELECT DISTINCT floor(g * ((SELECT max(n) FROM r) - 1)::DOUBLE / 99)::BIGINT AS rk FROM range(100) AS t(g)) SELECT event_id FROM r JOIN k USING (rk)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.even_sample(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 100).select("event_id")
@@ -314,24 +343,51 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.time_split(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "is_test")
 
 
-@register("fi18_recent_points", """SELECT event_id FROM events WHERE user_id = 8 ORDER BY ts DESC, event_id DESC LIMIT 10""")
+@register("fi18_recent_points", """SELECT event_id FROM events WHERE user_id = 8 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 10""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.recent_points(positions(spark, d), 8, start="2024-01-05", end="2024-01-20").select("event_id")
+
+
+_COURSED = f"""{POS}, c AS (SELECT *, (event_id * 37) % 360 AS course FROM pos), d AS (SELECT mmsi, event_id, ts, speed, speed - lag(speed) OVER w AS ds, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km,
+  CASE WHEN lag(course) OVER w IS NOT NULL THEN least(abs(course - lag(course) OVER w), 360 - abs(course - lag(course) OVER w)) END::DOUBLE AS cc FROM c {_W}), a AS (SELECT *, ds / CASE WHEN h > 0 THEN h END AS acc FROM d)"""
+
+
+def _coursed(spark: SparkSession, d: str) -> DataFrame:
+    return trajectory.lagged(positions(spark, d).withColumn("course", (F.col("event_id") * 37) % 360), course="course")
+
+
+@register("ag38_rule_thresholds", f"""WITH {_COURSED} SELECT round(quantile_cont(abs(acc), 0.99), 4) AS spike_kn_h, round(quantile_cont(cc, 0.95), 4) AS jitter_deg, 80.0::DOUBLE AS jump_km, 30.0::DOUBLE AS jump_minutes FROM a""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return serving.thresholds(_coursed(spark, d)).select(_r("spike_kn_h", 4), _r("jitter_deg", 4), "jump_km", "jump_minutes")
+
+
+_LAST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS age FROM a) WHERE age <= 10)"
+
+
+@register("ml4_rule_flags", f"""WITH {_COURSED}, {_LAST}, g AS (SELECT mmsi, count(*)::BIGINT AS points, max(abs(acc)) AS acc, stddev_samp(cc) AS cc, bool_or(coalesce(km > 80 AND h * 60 <= 30, false)) AS j FROM l GROUP BY ALL)
+SELECT mmsi, points, CASE WHEN points >= 5 THEN 'ok' ELSE 'not_enough_data' END AS status, CASE WHEN points >= 5 THEN concat_ws(',', CASE WHEN acc > 25 THEN 'speed_spike' END, CASE WHEN cc > 35 THEN 'course_jitter' END, CASE WHEN j THEN 'position_jump' END) ELSE '' END AS flags FROM g""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return trajectory.recent_points(positions(spark, d), 8).select("event_id")
+    own = serving.rule_flags(serving.last_points(_coursed(spark, d)))
+    return own.select("mmsi", "points", "status", F.array_join("flags", ",").alias("flags"))
 
 
-@register("ag38_rule_thresholds", f"""WITH {POS}, d AS (SELECT speed - lag(speed) OVER w AS ds, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h FROM pos {_W}) SELECT round(quantile_cont(abs(ds / nullif(CASE WHEN h > 0 THEN h END, 0)), 0.99), 4) AS acceleration_p99, count(ds)::BIGINT AS n FROM d""")
+@register("ml5_eta_confidence", f"""WITH {_COURSED}, {_LAST}, n AS (SELECT mmsi, count(*) AS points FROM l GROUP BY ALL), p AS (SELECT l.mmsi, ts, CASE WHEN points >= 5 THEN greatest(0, speed * 10 - 100) END AS minutes FROM l JOIN n USING (mmsi) WHERE age = 1)
+SELECT mmsi, CASE WHEN minutes IS NULL THEN 'not_enough_data' ELSE 'ok' END AS status, round(minutes, 4) AS eta_minutes, strftime(make_timestamp(epoch_us(ts) + trunc(minutes * 60e6)::BIGINT), '%Y-%m-%d %H:%M:%S') AS eta, round(greatest(0, least(1, 1 - 45 / greatest(minutes, 60))), 6) AS confidence FROM p""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = trajectory.lagged(positions(spark, d))
-    return own.agg(F.round(F.percentile(F.abs("acceleration"), 0.99), 4).alias("acceleration_p99"), F.count("acceleration").alias("n"))
+    points = serving.last_points(positions(spark, d)).filter("_age = 1")
+    guess = F.when(F.col("_points") >= serving.LEAST, F.greatest(F.lit(0.0), F.col("speed") * 10 - 100))  # in place of a model's
+    own = serving.confident(points.withColumn("minutes", guess), 45.0)
+    return own.select("mmsi", "status", _r("eta_minutes", 4), F.date_format("eta", "yyyy-MM-dd HH:mm:ss").alias("eta"), _r("confidence"))
 
 
-@register("wi13_findings", f"""WITH {_ROWS}, d AS (SELECT timestamp_start::DATE AS date, round(sum(wtw_co2e_t), 6) AS v FROM segs GROUP BY ALL), c AS (SELECT *, round(v - lag(v) OVER (ORDER BY date), 6) AS ch FROM d)
-SELECT finding, date::VARCHAR AS date, round(value, 4) AS value FROM (
-  SELECT 'highest' AS finding, arg_min(date, (-v, date)) AS date, max(v) AS value FROM c UNION ALL SELECT 'lowest', arg_min(date, (v, date)), min(v) FROM c
-  UNION ALL SELECT 'largest rise', arg_min(date, (-ch, date)) FILTER (WHERE ch IS NOT NULL), max(ch) FROM c UNION ALL SELECT 'largest drop', arg_min(date, (ch, date)) FILTER (WHERE ch IS NOT NULL), min(ch) FROM c)""")
+@register("wi13_findings", f"""WITH {_ROWS}, d AS (SELECT timestamp_start::DATE AS date, round(sum(wtw_co2e_t), 6) AS v FROM segs GROUP BY ALL), c AS (SELECT *, round(v - lag(v) OVER (ORDER BY date), 6) AS ch FROM d),
+f AS (SELECT 1 AS k, 'highest' AS finding, arg_min(date, (-v, date)) AS date FROM c UNION ALL SELECT 2, 'lowest', arg_min(date, (v, date)) FROM c
+  UNION ALL SELECT 3, 'largest rise', arg_min(date, (-ch, date)) FILTER (WHERE ch > 0) FROM c UNION ALL SELECT 4, 'largest drop', arg_min(date, (ch, date)) FILTER (WHERE ch < 0) FROM c
+  UNION ALL SELECT 5, 'selected', arg_min(date, (abs(date - DATE '2024-01-12'), date)) FROM c)
+SELECT finding, date::VARCHAR AS date, round(v, 4) AS value FROM f JOIN d USING (date)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     days = _segments(spark, d).groupBy(F.to_date("timestamp_start").alias("date")).agg(F.round(F.sum("wtw_co2e_t"), 6).alias("v"))
-    return findings.findings(days, "date", "v").select("finding", F.col("date").cast("string").alias("date"), _r("value", 4))
+    return findings.findings(days, "date", "v", target="2024-01-12").select("finding", F.col("date").cast("string").alias("date"), _r("value", 4))
 
 
 @register("ag27_uncertainty_summary", f"""WITH {_ROWS} SELECT 'wtw_co2e_t' AS metric, round(sum(wtw_co2e_t), 3) AS point, round(sum(greatest(0, wtw_co2e_t * (1 - 1.96 * rel_sigma))), 3) AS lower, round(sum(greatest(0, wtw_co2e_t * (1 + 1.96 * rel_sigma))), 3) AS upper FROM segs

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -27,15 +30,29 @@ def kind_of(columns: list[str]) -> str | None:
 
 def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """All columns as text, named by the header; nothing is inferred."""
-    header = spark.read.text(path).limit(1).collect()
-    if not header:
+    headers = _headers(spark, path)
+    if not headers:
         return spark.createDataFrame([], StructType([]))
-    names = [n.strip().strip('"') for n in header[0][0].split(",")]
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", False).csv(path)
+    rows = None
+    for header, files in headers.items():
+        schema = StructType([StructField(n, StringType()) for n in next(csv.reader([header], skipinitialspace=True))])
+        own = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", False).csv(files)
+        own = own.withColumnsRenamed({c: c.strip() for c in own.columns})
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     return rows if limit is None else rows.limit(limit)
 
 
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a path by their first line, which a parser then reads: a folder's files may differ in their columns."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()  # one row a file
+    out: dict[str, list[str]] = {}
+    for name in sorted(r["path"] for r in found):
+        first = spark.read.text(name).first()
+        if first is not None and first[0].strip():
+            out.setdefault(first[0].lstrip("\ufeff"), []).append(name)
+    return out
+
+
 def with_columns(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Missing columns are added as null text."""
     return rows.select("*", *[F.lit(None).cast("string").alias(n) for n in names if n not in rows.columns])
@@ -88,7 +105,16 @@ def read_document(spark: SparkSession, path: str) -> tuple[dict, str]:
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, length, modificationTime) of files, without reading them."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return found.select("path", "length", "modificationTime")
+    return found.select("path", "length", "modificationTime").orderBy("path")
+
+
+def page_chunks(pages: DataFrame, key: str, size: int = 1200, overlap: int = 200, html: str = "html", status: str | None = None) -> DataFrame:
+    """(key, url, chunk_no, chunk) of pages' visible text. With a status column only pages of status 200 count: a page that
+    couldn't be fetched is left out, as one without text is."""
+    from ..functions.text import fixed_chunks, html_text
+
+    own = pages if status is None else pages.filter(F.col(status) == 200)
+    return own.filter(F.col(html).isNotNull()).select(key, "url", F.inline(fixed_chunks(html_text(F.col(html)), size, overlap)))
 
 
 def plain_text_chunks(spark: SparkSession, folder: str, pattern: str, size: int = 1200, overlap: int = 200) -> DataFrame:
@@ -104,12 +130,20 @@ def profile(rows: DataFrame, time: str, distinct: tuple[str, ...] = ()) -> DataF
     return rows.agg(F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct])
 
 
-def export(rows: DataFrame, folder: str, stamp: str) -> tuple[str, str]:
-    """A small result as one CSV and one JSON file; their folders."""
-    csv, doc = f"{folder}/{stamp}-csv", f"{folder}/{stamp}-json"
-    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(csv)
-    rows.coalesce(1).write.mode("overwrite").json(doc)
-    return csv, doc
+def export(rows: DataFrame, folder: str, stamp: str, fallback: str | None = None) -> tuple[str | None, str | None]:
+    """A small result as one CSV and one JSON file; their folders. Where the folder can't be written, those of the fallback;
+    where neither can, (None, None)."""
+    for base in (folder, fallback):
+        if base is None:
+            continue
+        table, document = f"{base}/{stamp}-csv", f"{base}/{stamp}-json"
+        try:
+            rows.coalesce(1).write.mode("overwrite").option("header", True).csv(table)
+            rows.coalesce(1).write.mode("overwrite").json(document)
+        except (Py4JJavaError, PySparkException):
+            continue
+        return table, document
+    return None, None
 
 
 def positions_from_raw(raw: DataFrame) -> DataFrame:
