@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from . import marts
+
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
@@ -127,6 +130,13 @@ def compare_ports(ports: list[str], daily: DataFrame, stays: DataFrame, index: D
     return a.join(d, "port_key", "left").join(c, "port_key", "left")
 
 
+def compare_ports_of(ports: list[str], visits: DataFrame) -> DataFrame:
+    """compare_ports() from visits alone: those of the ports are written once, and the three tables are built from them."""
+    own = written(visits.filter(F.col("port_key").isin(ports)).select("mmsi", "port_key", "vessel_type_norm", "arrival_time", "departure_time"), "compared")
+    daily, stays = marts.arrivals(own, ["port_key"], "arrival_time", "day"), marts.dwell(own)
+    return compare_ports(ports, daily, stays, marts.congestion(daily, stays))
+
+
 def diagnose(daily_by_type: DataFrame, stays: DataFrame, port: str, day: str) -> DataFrame:
     """One port and day: arrivals by type with that type's dwell."""
     own = daily_by_type.filter((F.col("port_key") == port) & (F.col("date") == F.lit(day).cast("date"))).groupBy("vessel_type_norm").agg(F.sum("arrivals_vessels").alias("arrivals"))

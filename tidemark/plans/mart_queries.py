@@ -188,7 +188,7 @@ t AS (SELECT port_key, vessel_type_norm, median(dwell_minutes) AS m FROM calls G
 cd AS (SELECT port_key, date, avg(congestion_index) AS m FROM congestion GROUP BY ALL), c AS (SELECT port_key, round(avg(m), 6) AS congestion FROM cd GROUP BY ALL)
 SELECT port_key, arrivals, dwell, congestion FROM a LEFT JOIN w USING (port_key) LEFT JOIN c USING (port_key) WHERE port_key IN ('NATION_6', 'NATION_2', 'NATION_18')""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = questions.compare_ports(_PORTS, _daily(spark, d), _stays(spark, d), _index(spark, d))
+    own = questions.compare_ports_of(_PORTS, visits(spark, d))
     return own.select("port_key", "arrivals", _r("dwell"), _r("congestion"))
 
 

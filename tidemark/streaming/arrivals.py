@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,28 +22,31 @@ def sessions(stream: DataFrame, time: str = "ts", gap: str = "30 minutes", late:
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), "mmsi").agg(F.count("*").alias("rows")).select("mmsi", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows")
 
 
-def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20, late: str = "2 hours") -> DataFrame:
-    """Far steps within a short time; the state of a vessel is its last position, and goes six hours (of the rows' time) after it."""
+def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5, late: str = "2 hours") -> DataFrame:
+    """trajectory.suspicious_jumps() of a stream: steps of up to max_minutes that are long, or fast and not short, with their
+    rule. The state of a vessel is its latest position, and goes six hours (of the rows' time) after it; rows of one batch
+    are ordered by time, and a row that is older than the state is compared with it and doesn't replace it."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get if state.exists else None
         rows = pd.concat(list(frames)).sort_values("ts")
-        out = []
-        for ts, lat, lon in rows[["ts", "latitude", "longitude"]].itertuples(index=False):
-            at = ts.timestamp()
-            if last is not None:
-                minutes, far = (at - last[0]) / 60, 111 * ((lat - last[1]) ** 2 + (lon - last[2]) ** 2) ** 0.5
-                if 0 < minutes <= max_minutes and far >= km:
-                    out.append((key[0], ts, minutes, far))
-            if last is None or at >= last[0]:
-                last = (at, float(lat), float(lon))
+        at = rows["ts"].map(pd.Timestamp.timestamp).to_numpy(float)
+        lat, lon = rows["latitude"].to_numpy(float), rows["longitude"].to_numpy(float)
+        last = state.get if state.exists else (np.nan, np.nan, np.nan)
+        before = [np.concatenate([[x], own[:-1]]) for x, own in zip(last, (at, lat, lon), strict=True)]
+        minutes, far = (at - before[0]) / 60, 111 * np.hypot(lat - before[1], lon - before[2])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            fast = (far >= least_km) & (far / (minutes / 60) / 1.852 >= knots)
+        found = (minutes > 0) & (minutes <= max_minutes) & ((far >= km) | fast)
+        if not state.exists or at[-1] >= last[0]:
+            last = (float(at[-1]), float(lat[-1]), float(lon[-1]))
         state.update(last)
         state.setTimeoutTimestamp(max(int(last[0] * 1000), state.getCurrentWatermarkMs()) + 6 * 3600 * 1000)
-        if out:
-            yield pd.DataFrame(out, columns=["mmsi", "ts", "minutes", "jump_km"])
+        if found.any():
+            rule = np.where(far >= km, "distance_threshold", "speed_threshold")
+            yield pd.DataFrame({"mmsi": key[0], "ts": rows["ts"].to_numpy()[found], "minutes": minutes[found], "jump_km": far[found], "rule": rule[found]})
 
     own = stream.select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "latitude", "longitude").withWatermark("ts", late)
-    return own.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, ts timestamp, minutes double, jump_km double", "at double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, ts timestamp, minutes double, jump_km double, rule string", "at double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
