@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,6 +200,16 @@ def test_build_from_raw(spark, tmp_path):
     assert len(build.build_inventory(own, files.visits_from_raw(files.read_feeds(spark, [str(visits)])["visits"]), str(tmp_path / "inventory"))) == 64
     calls = spark.read.parquet(str(tmp_path / "inventory/calls")).collect()
     assert [(c["call_id"], c["segments"]) for c in calls] == [("7_2021-01-01T00-00-00_LVRIX", 2)] and calls[0]["wtw_co2e_t"] > 0
+    assert {p.name for p in (tmp_path / "marts").iterdir()} >= {"events", "training_rows"}
+    assert not build.ensure_inventory(own, own.limit(0), str(tmp_path / "inventory"))  # all is there
+    document = tmp_path / "factors.json"
+    document.write_text(json.dumps({"version": "v9", "fuel_factors": {"HFO": {"co2_t_per_t_fuel": 10}}, "vessel_defaults": {"tanker": {"mcr_kw": 0, "fuel": "HFO"}}, "uncertainty_defaults": {"speed": 0.5}}))
+    stays = files.visits_from_raw(files.read_feeds(spark, [str(visits)])["visits"])
+    assert build.ensure_inventory(own, stays, str(tmp_path / "other"), str(document))
+    about = json.loads(spark.read.text(str(tmp_path / "other/params_version")).first()[0])
+    assert about["version"] == "v9" and len(about["document_sha256"]) == 64
+    row = spark.read.parquet(str(tmp_path / "other/segments")).filter("call_id is not null").first()
+    assert row["co2_t"] == pytest.approx(10 * row["fuel_t"]) and row["rel_sigma"] > 0.5  # the document's factors and deviations
     with pytest.raises(ValueError):
         other = tmp_path / "other.csv"
         other.write_text("a,b\n1,2\n")
@@ -230,3 +241,41 @@ def test_anomaly_quantiles_are_of_all_rows(spark):
     assert 20 <= sum(r["score"] >= 1 for r in got) <= 40
     assert 1000 <= sum(r["score"] == 0 for r in got) <= 1100
     assert {"acceleration", "speed_estimated_kn", "speed_std_3", "speed_std_5", "speed_std_10"} <= set(learning_queries._ANOMALY)
+
+
+def test_headers_with_commas_and_mixed_folders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"a, b",c\n1,2\n')
+    (tmp_path / "b.csv").write_text('c,d\n3,4\n')
+    got = files.read_csv(spark, str(tmp_path))
+    assert sorted(got.columns) == ["a, b", "c", "d"] and sorted((r["c"], r["d"]) for r in got.collect()) == [("2", None), ("3", "4")]
+    assert [r["path"].rsplit("/", 1)[1] for r in files.list_files(spark, str(tmp_path), "*.csv").collect()] == ["a.csv", "b.csv"]
+
+
+def test_records_of_either_feed(spark):
+    from tidemark.functions import serialize
+
+    point = spark.createDataFrame([("7.0", "2021-01-01T00:04:03.000Z", "54.1", "10.2", None, "se")], "MMSI string, timeposition string, LATITUDE string, longitude string, Speed string, Flag string")
+    row = serialize.records(point).first()
+    meta = json.loads(row["metadata"])
+    assert row["id"].startswith("7_2021-01-01T00-04-03") and (meta["mmsi"], meta["speed"], meta["port_name"]) == ("7", -1.0, "unknown")
+    visit = spark.createDataFrame([("Riga", "LV RIX", "2021-01-01T00:00:00.000Z", "7")], "portName string, PORTLOCODE string, portArrival string, vesselMMSI string")
+    assert json.loads(serialize.records(visit).first()["metadata"])["country_prefix"] == "LV"
+    assert serialize.records(spark.createDataFrame([(1,)], "x int")) is None
+
+
+@pytest.mark.parametrize("raw, want", [("2021-02-03T04:05:06.000Z", "2021-02-03 04:05:06"), ("03.02.2021 04:05", "2021-02-03 04:05:00"), ("3 Feb 2021", "2021-02-03 00:00:00"), ("20210203", "2021-02-03 00:00:00"), ("2021/02/03 04:05", "2021-02-03 04:05:00"), ("soon", None), (None, None)])
+def test_forms_of_times(spark, raw, want):
+    assert one(spark, F.date_format(clean.timestamp(F.lit(raw).cast("string")), "yyyy-MM-dd HH:mm:ss")) == want
+
+
+def test_exports_fall_back(spark, tmp_path):
+    rows = spark.range(2)
+    (tmp_path / "file").write_text("x")
+    table, document = files.export(rows, str(tmp_path / "file"), "s", str(tmp_path / "good"))
+    assert table.startswith(str(tmp_path / "good")) and spark.read.json(document).count() == 2
+    assert files.export(rows, str(tmp_path / "file"), "s") == (None, None)
+
+
+def test_pages_that_failed_are_left_out(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>abc</p>", 200), (2, "v", "<p>no</p>", 404), (3, "w", None, 200)], "page_id long, url string, html string, status int")
+    assert [tuple(r) for r in files.page_chunks(pages, "page_id", 2, 0, status="status").collect()] == [(1, "u", 0, "ab"), (1, "u", 1, "c")]

@@ -19,6 +19,13 @@ VESSEL_CLASSES = {
 }
 
 
+#: Forms of times beside those that a cast reads.
+FORMS = (
+    "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
+    "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d, yyyy HH:mm", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd'T'HHmmss", "yyyyMMdd",
+)
+
+
 def _map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -80,8 +87,9 @@ def number_comma(value: Column) -> Column:
 
 
 def timestamp(value: Column) -> Column:
-    """UTC timestamp of ISO-8601 text, or null."""
-    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSX")))
+    """UTC timestamp of a time's text, or null: ISO-8601, then the other forms in FORMS, day before month."""
+    text = F.trim(value)
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(form)) for form in FORMS])
 
 
 def date_text(value: Column) -> Column:

@@ -54,6 +54,25 @@ def registry() -> dict:
     return {"vessels": VESSELS, "fuels": FUELS, "modes": MODES, "aux_kw": AUX_KW, "nox": NOX, "pm": PM, "sigmas": SIGMAS}
 
 
+def from_document(document: dict) -> dict:
+    """registry() from a factor document: vessel_defaults, fuel_factors, mode_defaults, nox_ and pm_kg_per_t_fuel_by_engine_mode,
+    uncertainty_defaults. Parts that the document lacks are the built-in ones; `version` is carried along."""
+    own = registry()
+    modes = document.get("mode_defaults", {})
+    main, aux, sulfur = (modes.get(k, {}) for k in ("sfc_main_g_per_kwh", "sfc_aux_g_per_kwh", "sulfur_fraction"))
+    parts = {
+        "vessels": {c: (v.get("mcr_kw", 8000), v.get("ref_speed_kn", 12.0), v.get("fuel", DEFAULT_FUEL), v.get("engine_family", DEFAULT_ENGINE)) for c, v in document.get("vessel_defaults", {}).items()},
+        "fuels": {k: (v.get("co2_t_per_t_fuel", FUELS[DEFAULT_FUEL][0]), v.get("wtt_co2e_t_per_t_fuel", FUELS[DEFAULT_FUEL][1])) for k, v in document.get("fuel_factors", {}).items()},
+        "modes": {m: (main.get(m, MISSING_SFC_MAIN), aux.get(m, MISSING_SFC_AUX), sulfur.get(m, MISSING_SULFUR)) for m in {**main, **aux, **sulfur}},
+        "aux_kw": modes.get("aux_power_kw", {}), "nox": document.get("nox_kg_per_t_fuel_by_engine_mode", {}), "pm": document.get("pm_kg_per_t_fuel_by_engine_mode", {}),
+        "sigmas": {**own["sigmas"], **{k: v for k, v in document.get("uncertainty_defaults", {}).items() if k in own["sigmas"]}},
+    }
+    out = {k: v or own[k] for k, v in parts.items()}
+    for needed, default in (("vessels", "unknown"), ("fuels", DEFAULT_FUEL)):
+        out[needed] = {default: own[needed][default], **out[needed]}
+    return {**out, "version": str(document.get("version", "unknown"))}
+
+
 def registry_hash(factors: dict) -> str:
     return hashlib.sha256(json.dumps(factors, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import code_of_destination, vessel_class
+from ..functions.clean import code_of_destination, eta_minutes, hour_of_day, vessel_class
 from ..operators import emissions, marts, retrieval, trajectory
 from ..sources import files
 
@@ -35,7 +35,10 @@ def build_marts(spark: SparkSession, paths: list[str], folder: str) -> Built:
         daily.append(marts.arrivals(proxied, keys, "ts", "day", once_a_vessel=True).withColumn("source_kind", F.lit("positions")))
         hourly.append(marts.arrivals(proxied, keys, "ts", "hour", once_a_vessel=True).withColumn("source_kind", F.lit("positions")))
         tied = trajectory.lagged(positions.withColumn("event_id", F.xxhash64("mmsi", "ts", "latitude", "longitude")), course="course")
-        files.write_mart(trajectory.rolling(tied, "speed"), f"{folder}/events")
+        for column, widths in (("speed", (3, 5, 10)), ("speed_estimated_kn", (5, 10)), ("course_change", (5, 10))):
+            tied = trajectory.rolling(tied, column, widths, std=column == "speed")
+        files.write_mart(tied, f"{folder}/events")
+        files.write_mart(training_rows(positions), f"{folder}/training_rows")
     if visits is not None:
         daily.append(marts.arrivals(visits, keys, "arrival_time", "day").withColumn("source_kind", F.lit("visits")))
         hourly.append(marts.arrivals(visits, keys, "arrival_time", "hour").withColumn("source_kind", F.lit("visits")))
@@ -58,22 +61,55 @@ def build_marts(spark: SparkSession, paths: list[str], folder: str) -> Built:
     return Built(folder, document)
 
 
-def build_inventory(positions: DataFrame, visits: DataFrame, folder: str, factors: dict | None = None) -> str:
-    """Segments, daily and per-call emissions and evidence; the hash of the parameters."""
+def build_inventory(positions: DataFrame, visits: DataFrame, folder: str, factors: dict | str | None = None) -> str:
+    """Segments, daily and per-call emissions, evidence and the parameters' version; the hash of the parameters.
+
+    factors: a registry, or the path of a factor document.
+    """
+    checksum = None
+    if isinstance(factors, str):
+        document, checksum = files.read_document(positions.sparkSession, factors)
+        factors = emissions.from_document(document)
     used = factors or emissions.registry()
     digest = emissions.registry_hash(used)
     rows = trajectory.lagged(trajectory.attach_visits(positions, visits, keep_null=False))  # dealt by vessel once
     rows = trajectory.repaired_intervals(emissions.assign_modes(rows))
-    rows = emissions.row_emissions(emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used))
+    rows = emissions.row_emissions(emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used), used.get("sigmas"))
     cut = trajectory.segments(rows, call="call_id")
     files.write_mart(emissions.with_evidence(emissions.segment_totals(cut), digest), f"{folder}/segments")
     written = positions.sparkSession.read.parquet(f"{folder}/segments")
     files.write_mart(emissions.roll_up(written.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]), f"{folder}/daily_port")
     files.write_mart(emissions.roll_up(written.filter("call_id is not null"), ["call_id", "mmsi"]), f"{folder}/calls")
     files.write_mart(written.select("evidence_id", "segment_id", "mmsi", "call_id", "port_key", "timestamp_start", "timestamp_end", "row_count", *emissions.POLLUTANTS), f"{folder}/evidence")
+    about = {"version": used.get("version", "built-in"), "hash": digest, "document_sha256": checksum, "interval": "analytic"}
+    positions.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/params_version")
     return digest
 
 
+def ensure_inventory(positions: DataFrame, visits: DataFrame, folder: str, factors: dict | str | None = None) -> bool:
+    """Build the inventory unless all its tables are there whole; whether it was built."""
+    spark = positions.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    marks = [there(f"{folder}/{name}/_SUCCESS") for name in ("segments", "daily_port", "calls", "evidence", "params_version")]
+    if all(m.getFileSystem(conf).exists(m) for m in marks):
+        return False
+    build_inventory(positions, visits, folder, factors)
+    return True
+
+
+def training_rows(positions: DataFrame, destinations: DataFrame | None = None) -> DataFrame:
+    """Rows that models learn from: features of lagged(), rolling() and the clock, the destination as label and minutes to
+    the ETA (null unless positive); rows without a destination drop out. destinations: (destination_norm) to keep."""
+    tied = positions if "event_id" in positions.columns else positions.withColumn("event_id", F.xxhash64("mmsi", "ts", "latitude", "longitude"))
+    own = trajectory.lagged(tied, course="course")
+    for column, widths in (("speed", (3, 5, 10)), ("speed_estimated_kn", (5, 10)), ("course_change", (5, 10))):
+        own = trajectory.rolling(own, column, widths, std=column == "speed")
+    own = own.withColumns({"hour": hour_of_day(F.col("ts")), "weekday": F.weekday("ts"), "eta_minutes": eta_minutes(F.col("ts"), F.col("eta")) if "eta" in own.columns else F.lit(None).cast("double")})
+    own = own.filter(F.col("destination_norm").isNotNull() & (F.col("destination_norm") != "UNKNOWN"))
+    return own if destinations is None else own.join(F.broadcast(destinations.select("destination_norm").distinct().limit(80)), "destination_norm", "left_semi")
+
+
 def build_chunks(stays: DataFrame, proxy_days: DataFrame, folder: str) -> dict[str, int]:
     """The three chunking strategies as JSON lines, and how many each has."""
     days = marts.port_day(stays, [])

@@ -11,6 +11,7 @@ from ..functions import serialize
 from ..functions.clean import vessel_class
 from ..operators import emissions, findings, forecast, marts, serving, trajectory
 from ..registry import register
+from . import build
 from .views import CALLS, POS, positions, read, visits
 
 #: Events are of one month and of few vessels, orders of many years and customers: visits near them are the same visits with
@@ -412,3 +413,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @register("pr17_visit_records", f"""WITH {CALLS} SELECT 'Vessel ' || mmsi || ' called at ' || port_key || ', arriving ' || strftime(arrival_time, '%Y-%m-%d %H:%M') || ' and departing ' || strftime(departure_time, '%Y-%m-%d %H:%M') || '.' AS text FROM calls""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return serialize.visit_records(visits(spark, d)).select("text")
+
+
+@register("pr16_position_metadata", f"""WITH {POS} SELECT event_id, mmsi::VARCHAR AS mmsi, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_full, latitude, round(speed, 6) AS speed, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 360 END::DOUBLE AS course, 'UNKNOWN' AS flag_norm, mode AS nav_status_norm,
+  CASE WHEN event_id % 5 = 0 THEN 'SEGOT' ELSE 'UNKNOWN' END AS destination_norm, 'UNK' AS country_prefix FROM pos""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = positions(spark, d).withColumns({"course": F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 360), "nav_status": F.upper("mode"), "destination": F.when(F.col("event_id") % 5 == 0, "se got"), "source_file": F.col("event_id").cast("string")})
+    m = F.col("metadata")
+    names = ("mmsi", "timestamp_full", "latitude", "course", "flag_norm", "nav_status_norm", "destination_norm", "country_prefix")
+    return serialize.position_records(rows).select(m["source_file"].cast("long").alias("event_id"), *[m[c].alias(c) for c in names], F.round(m["speed"], 6).alias("speed"))
+
+
+@register("pr17_visit_metadata", f"""WITH {CALLS} SELECT call_id, mmsi::VARCHAR AS mmsi, strftime(arrival_time, '%Y-%m-%dT%H:%M:%S') AS arrival_full, strftime(departure_time, '%Y-%m-%dT%H:%M:%S') AS departure_full, port_key AS port_name, lower(port_key) AS port_name_norm, 'NA' AS country_prefix, 'RIGA' AS destination_norm, NULL::DOUBLE AS speed FROM calls""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = visits(spark, d).withColumns({"locode_norm": F.upper(F.left("port_key", F.lit(5))), "destination_arrival": F.lit("riga!"), "source_file": F.col("call_id")})
+    m = F.col("metadata")
+    names = ("mmsi", "arrival_full", "departure_full", "port_name", "port_name_norm", "country_prefix", "destination_norm", "speed")
+    return serialize.visit_records(rows).select(m["source_file"].alias("call_id"), *[m[c].alias(c) for c in names])
+
+
+@register("sk1_training_rows", f"""WITH {POS}, p AS (SELECT *, CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN' ELSE mode END AS destination_norm FROM pos), d AS (SELECT *, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h FROM p {_W}),
+e AS (SELECT *, km / (CASE WHEN h > 0 THEN h END * 1.852) AS kn FROM d), r AS (SELECT *, avg(kn) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m5 FROM e)
+SELECT event_id, destination_norm, round(m5, 5) AS speed_estimated_kn_mean_5, round(hour(ts) + minute(ts) / 60e0, 6) AS hour, (isodow(ts) - 1)::INT AS weekday, CASE WHEN event_id % 3 > 0 THEN (event_id % 3) * 60.0 END::DOUBLE AS eta_minutes FROM r WHERE destination_norm <> 'UNKNOWN'""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = positions(spark, d).withColumns({"course": (F.col("event_id") * 37) % 360, "destination_norm": F.when(F.col("event_id") % 4 == 0, "UNKNOWN").otherwise(F.col("mode")), "eta": F.col("ts") + F.make_interval(hours=(F.col("event_id") % 3).cast("int"))})
+    return build.training_rows(rows).select("event_id", "destination_norm", _r("speed_estimated_kn_mean_5", 5), _r("hour"), "weekday", "eta_minutes")
