@@ -214,15 +214,16 @@ def test_op2_sweeps_take_all_words(spark, folder, monkeypatch):
         bigrams.update(zip([None, *own], own, strict=False))
     n = len(words)
     classes = np.append(np.arange(n) % class_lm.CLASSES, class_lm.OTHER)
-    want = Counter()
+    want = np.zeros((n, class_lm.WIDTH), np.int64)
     for (v, w), k in bigrams.items():
-        want[w * class_lm.WIDTH + (class_lm.START if v is None else classes[v])] += k
-        want[n * class_lm.WIDTH + (class_lm.START if v is None else classes[v]) * class_lm.COLUMNS + classes[w]] += k
+        want[w, class_lm.START if v is None else classes[v]] += k
         if v is not None:
-            want[v * class_lm.WIDTH + class_lm.STATES + classes[w]] += k
-            if v == w:
-                want[v * class_lm.WIDTH + class_lm.WIDTH - 1] += k
-    assert {r["code"]: r["n"] for r in class_lm.class_counts(ids, classes).collect()} == dict(want)
+            want[v, class_lm.STATES + classes[w]] += k
+            want[v, -1] += k * (v == w)
+    tables = class_lm.whole_tables(class_lm.class_counts(ids, classes).toArrow().to_batches(), n)
+    for block, (rows_, pairs) in tables.items():
+        assert (rows_ == want[block :: class_lm.BLOCKS]).all() and (pairs == _likelihood(bigrams, classes)[1]).all()
+    assert len(tables) == class_lm.BLOCKS
     after = class_lm.sweep(ids, classes)
     assert _likelihood(bigrams, after)[0] > _likelihood(bigrams, classes)[0]
     assert (class_lm.sweep(ids, classes) == after).all() and (after[16:n] != classes[16:n]).any()
@@ -351,24 +352,43 @@ def test_op5_ledger(spark, folder, tmp_path):
     got = {(r["source"], r["lang"], r["version"]): (r["documents"], r["tokens"]) for r in rows(spark, folder, "op5_token_counts")}
     want: dict = defaultdict(lambda: [0, 0])
     for d in documents():
-        for version, n in (("words-1", len(tokens(d[1])) - 1), ("chars-1", len(d[1] or ""))):
+        for version, n in (("words-1", len(tokens(d[1])) - 1), ("chars-1", len(d[1] or "")), ("bytes-1", len((d[1] or "").encode()))):
             want[d[3], d[2], version][0] += 1
             want[d[3], d[2], version][1] += n
     assert got == {k: tuple(v) for k, v in want.items()}
     ledger = token_ledger.TokenLedger(spark, str(tmp_path / "ledger"))
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    added = token_ledger.inserts(token_ledger.counted(docs, "words-1"))
-    assert ledger.totals().count() == 0
+    counts = token_ledger.counts(spark.read.parquet(f"{folder}/documents.parquet"))
+    added = token_ledger.inserts(token_ledger.counted(counts, "words-1"))
+    assert ledger.totals().count() == 0 and ledger.compact() == 0
     assert ledger.commit("a", added) and not ledger.commit("a", added)
     before = {tuple(r) for r in ledger.totals().collect()}
-    assert ledger.commit("b", token_ledger.deletes(token_ledger.counted(docs, "words-1")))
+    assert ledger.commit("b", token_ledger.deletes(token_ledger.counted(counts, "words-1")))
     assert ledger.totals().count() == 0 and ledger.batches() == ["a", "b"]
     assert ledger.commit("c", added) and {tuple(r) for r in ledger.totals().collect()} == before
-    ledger.has = lambda batch_id: False  # as for a writer that looked before another one's rename
+    ledger.has = lambda batch_id: False  # as for a writer that looked before another one's commit
     assert not ledger.commit("c", added) and {tuple(r) for r in ledger.totals().collect()} == before
-    assert ledger.batches() == ["a", "b", "c"] and not list((tmp_path / "ledger").glob("**/_staged*"))
+    del ledger.has
+    assert ledger.batches() == ["a", "b", "c"] and len(list((tmp_path / "ledger").glob("data-*"))) == 3
     with pytest.raises(ValueError):
         ledger.commit("../x", added)
+    # a base replaces the batches, and their ids stay known
+    assert ledger.compact() == 3 and ledger.compact() == 0 and ledger.batches() == ["a", "b", "c"]
+    assert not ledger.commit("b", added) and {tuple(r) for r in ledger.totals().collect()} == before
+    assert ledger.commit("d", added) and ledger.compact() == 1
+    assert {tuple(r) for r in ledger.totals().collect()} == {(*t[:3], 2 * t[3], 2 * t[4]) for t in before}
+    assert not list((tmp_path / "ledger").glob("data-*")) and len(list((tmp_path / "ledger").glob("base-*"))) == 1
+
+
+def test_op5_counts_by_ranks(spark, folder, tmp_path):
+    """A tokenizer version from a rank file, and its revision to another one, against the library's counts."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ledger = token_ledger.TokenLedger(spark, str(tmp_path / "ledger"))
+    own = token_ledger.bpe_counted(docs, "multi-50k", public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+    assert ledger.commit("bpe", token_ledger.inserts(own))
+    want: dict = defaultdict(int)
+    for d in documents():
+        want[d[3], d[2]] += len(WHOLE.encode_ordinary(d[1] or ""))
+    assert {(r["source"], r["lang"]): r["tokens"] for r in ledger.totals().collect()} == dict(want)
 
 
 def test_op6(spark, folder):
@@ -626,6 +646,84 @@ def test_rows_of_one_id_train_as_one(spark):
     assert (langid.fit(often.orderBy(F.col("doc_id").desc())).weights == model.weights).all()
 
 
+def test_op10_is_kernel_ridge(spark):
+    """Predictions against kernels, landmarks and the ridge system written out for whole texts."""
+    import numpy as np
+
+    rng = random.Random(31)
+    rows = [(i, sentences(rng, ("de", "fr", "en")[i % 3], 25), ("de", "fr", "en")[i % 3]) for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=20)
+
+    def grams(t):
+        raw = b" " + t.encode().lower() + b" "
+        return {hash_of(raw[i : i + n], n) for n in range(1, langid.ORDERS + 1) for i in range(len(raw) - n + 1)}
+
+    def hash_of(g, n):
+        return ((int.from_bytes(g, "big") * int(langid._ODD[n - 1]) + (n - 1) * 40503) % (1 << 32)) >> (32 - langid.DIMS_BITS)
+
+    def kernel(x, y):
+        return len(x & y) / math.sqrt(len(x) * len(y))
+
+    sets = [grams(r[1]) for r in rows]
+    marks = sorted(range(60), key=lambda i: (rows[i][2], rows[i][0]))[:: 60 // 20]
+    k_nm = np.array([[kernel(sets[i], sets[j]) for j in marks] for i in range(60)])
+    target = np.array([[float(r[2] == c) for c in ("de", "en", "fr")] for r in rows])
+    system = k_nm.T @ k_nm + langid.RIDGE * 60 / len(marks) * k_nm[marks] + 1e-8 * np.eye(len(marks))
+    alpha = np.linalg.solve(system, k_nm.T @ target)
+    tried = [sentences(rng, language, 15) for language in ("de", "en", "fr") * 5]
+    out = np.array([[kernel(grams(t), sets[j]) for j in marks] for t in tried]) @ alpha
+    labels, scores, outputs = model.predict(tried)
+    assert labels == [("de", "en", "fr")[k] for k in out.argmax(axis=1)]
+    assert outputs == pytest.approx(out.max(axis=1).tolist(), abs=1e-3)
+    e = np.exp(langid.SHARPNESS * (out - out.max(axis=1, keepdims=True)))
+    assert scores == pytest.approx((e / e.sum(axis=1, keepdims=True)).max(axis=1).tolist(), abs=1e-2)
+
+
+@pytest.mark.parametrize("languages", [1, 2, 3])
+def test_language_stage_rejects_what_was_not_learned(spark, languages):
+    """Texts of no learned language go, with as few as one language; texts without a letter go; others stay."""
+    rng, names = random.Random(32), ("de", "fr", "en")[:languages]
+    rows = [(i, sentences(rng, names[i % languages], 30), names[i % languages], "s", 1) for i in range(30)]
+    rows += [(100, "Привет как дела сегодня хорошая погода", None, "s", 1), (101, "的一是不了人我在有他这为之大来以个中上们", None, "s", 1), (102, "12 34", None, "s", 1), (103, None, None, "s", 1), (None, rows[0][1], None, None, None)]
+    left = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, PLAIN), "")
+    assert {r["doc_id"] for r in left.collect()} == {None, *range(30)}
+
+
+def test_stages_on_empty_tables(spark, empty):
+    docs = spark.read.parquet(f"{empty}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, empty).count() == 0
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_stages_take_rows_one_by_one(spark):
+    """Null ids, ids of several texts and sources, repeated rows: each stage's words by source are those of its rows."""
+    rng = random.Random(33)
+    rows = [(i % 30, sentences(rng, ("de", "fr")[i % 2], rng.randint(20, 60)), ("de", "fr")[i % 2], f"s{i // 30}", 1) for i in range(60)]
+    rows += [(None, rows[k][1] + " ein ein", "de", None, 1) for k in range(5)] + [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, PLAIN)
+    assert corpus_pipeline.STAGES[0][1](spark, docs, "").count() == len(rows)
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert kept.count() == len(rows) - 2
+    mixed_rows = corpus_pipeline.STAGES[2][1](spark, kept, "").collect()
+    size, words_of = defaultdict(int), defaultdict(int)
+    for r in kept.collect():
+        size[r["source"]] += len(r["text"].split())
+    for r in mixed_rows:
+        words_of[r["source"]] += len(r["text"].split())
+    order = sorted(size, key=lambda s: (s is None, s))
+    weight, budget, full = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(size.values()), set()
+    while True:
+        level = (budget - sum(2 * size[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        if not (over := {s for s in order if s not in full and level * weight[s] > 2 * size[s]}):
+            break
+        full |= over
+    for s in order:
+        target = 2 * size[s] if s in full else level * weight[s]
+        assert abs(words_of[s] - target) <= 62  # a document's words: one whole copy more or less
+    assert corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(mixed_rows, PLAIN), "").count() == len(mixed_rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     compare(ALL[name](spark, DATA), connection(), queries.oracle_sql()[name])

@@ -9,9 +9,9 @@ P_base is the add-one unigram model. Classes come from exchange clustering on co
    what is broadcast. Any other word has at most a share of about 1 / HEAD of the tokens, however long it is, so joins on
    it have no hot key.
 2. Distributed exchange over all words with ids. In each of SWEEPS sweeps a pass over all bigrams counts, for each word,
-   the classes before and after it (the word x class table, summed by one shuffle). The table is dealt to BLOCKS tasks by
-   word; each takes its words in order of falling count and moves each to the class that raises the bigram likelihood the
-   most, against its own copy of the class bigram table, which it keeps up to date. The driver gets one class a word.
+   the classes before and after it: the word x class table, of which each task sums its part and sends it, by BLOCKS blocks of
+   words, to the tasks that sum the parts. Each of these takes its words in order of falling count and moves each to the class that raises the bigram
+   likelihood the most, against its own copy of the class bigram table, which it keeps up to date. The driver gets one class a word.
    The first sweep starts from classes of the CORE most frequent words, which the same exchange on the driver gives;
    all these words may move in the sweeps like any other.
 3. Words without ids get their class by the same criterion from what precedes and follows them, in parallel, by one
@@ -37,6 +37,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,10 @@ OTHER, START, STATES, COLUMNS = CLASSES, CLASSES + 1, CLASSES + 2, CLASSES + 1
 #: A word's row in the word x class table: states before it, classes after it, and how often it follows itself.
 WIDTH = STATES + COLUMNS + 1
 END = b""
+#: Of the tables' own type, without which additions at places are twenty times as slow.
+_ONE = np.int32(1)
+#: Words of a block in one row of the word x class table, as it is shuffled.
+CHUNK = 64
 #: Entries that a task's tables of words may hold before they are passed on.
 FLUSH = 300_000
 
@@ -134,7 +139,7 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str = "doc_id",
             ids, rare = [], []
             for t in texts:
                 own = tokens(t)
-                found = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+                found = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
                 ids.append(found.tobytes())
                 rare.append([own[i] for i in np.flatnonzero(found < 0)])
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "train", "ids", "rare"])
@@ -203,7 +208,7 @@ def core_bigrams(ids: DataFrame) -> np.ndarray:
         for _, t in _id_slices(batches, 0):
             a, b = t.ids[:-1], t.ids[1:]
             keep = (a >= 0) & (a < core) & (b >= 0) & (b < core) & ~t.first[1:]
-            np.add.at(table, a[keep] * core + b[keep], 1)
+            np.add.at(table, a[keep] * core + b[keep], _ONE)
         yield from _sums(table)
 
     got = _summed(ids, run).toArrow()
@@ -255,11 +260,13 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = CORE_SWE
 
 
 def class_counts(ids: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(code, n): the word x class table, code = id * WIDTH + place in the word's row, and behind it the class bigram table.
+    """(block, chunk, codes, counts): each task's part of the word x class table, sparse, for CHUNK words of a block in a row;
+    rows of chunk -1 hold the class bigram table of the task, for each block.
 
-    classes: id -> class, OTHER where there is none; the last entry is for words without an id.
+    classes: id -> class, OTHER where there is none; the last entry is for words without an id. Word i is word i // BLOCKS
+    of block i % BLOCKS, and codes are word in the chunk * WIDTH + place in the word's row.
     """
-    n = len(classes) - 1
+    n, blocks = len(classes) - 1, BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pairs = np.zeros(n * WIDTH, np.int32), np.zeros(STATES * COLUMNS, np.int64)
@@ -267,16 +274,39 @@ def class_counts(ids: DataFrame, classes: np.ndarray) -> DataFrame:
             before, c = t.states(classes)
             pairs += np.bincount(before * COLUMNS + c, minlength=STATES * COLUMNS)
             known = t.ids >= 0
-            np.add.at(table, t.ids[known] * WIDTH + before[known], 1)
+            np.add.at(table, t.ids[known] * WIDTH + before[known], _ONE)
             follows = known[:-1] & ~t.last[:-1]
             a, b = t.ids[:-1][follows], t.ids[1:][follows]
-            np.add.at(table, a * WIDTH + STATES + c[1:][follows], 1)
-            np.add.at(table, a[a == b] * WIDTH + WIDTH - 1, 1)
-        yield from _sums(table)
-        for out in _sums(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(out.column(0).to_numpy() + n * WIDTH, pa.int64()), out.column(1)], names=["code", "n"])
-
-    return _summed(ids, run)
+            np.add.at(table, a * WIDTH + STATES + c[1:][follows], _ONE)
+            np.add.at(table, a[a == b] * WIDTH + WIDTH - 1, _ONE)
+        rows: list[tuple] = [(b, -1, b"", pairs.tobytes()) for b in range(blocks)]
+        words = table.reshape(n, WIDTH)
+        for b in range(blocks):
+            own = words[b::blocks]
+            for k in range(-(-len(own) // CHUNK)):
+                part = own[k * CHUNK : (k + 1) * CHUNK].ravel()
+                if len(found := np.flatnonzero(part)):
+                    rows.append((b, k, found.astype(np.uint16).tobytes(), part[found].tobytes()))
+        for at in range(0, len(rows), 256):
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names=["block", "chunk", "codes", "counts"])
+
+    return ids.select("ids").mapInArrow(run, "block int, chunk int, codes binary, counts binary")
+
+
+def whole_tables(batches: Iterator[pa.RecordBatch], n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """block -> (its words x WIDTH, class bigram table): sums of class_counts() rows of n words with ids."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, chunk, codes, counts in zip(*(c.to_pylist() if i < 2 else c for i, c in enumerate(batch.columns)), strict=True):
+            if block not in out:
+                out[block] = (np.zeros(len(range(block, n, BLOCKS)) * WIDTH, np.int64), np.zeros(STATES * COLUMNS, np.int64))
+            words, pairs = out[block]
+            if chunk < 0:
+                pairs += np.frombuffer(counts.as_buffer(), np.int64)
+            else:
+                words[np.frombuffer(codes.as_buffer(), np.uint16).astype(np.int64) + chunk * CHUNK * WIDTH] += np.frombuffer(counts.as_buffer(), np.int32)
+    return {b: (words.reshape(-1, WIDTH), pairs.reshape(STATES, COLUMNS)) for b, (words, pairs) in out.items()}
 
 
 def move(rows: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -320,23 +350,15 @@ def move(rows: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def sweep(ids: DataFrame, classes: np.ndarray) -> np.ndarray:
-    """New classes of all words with ids: the word x class table, dealt to BLOCKS tasks."""
+    """New classes of all words with ids: the word x class table, summed and moved in BLOCKS blocks, each in one task."""
     n, blocks = len(classes) - 1, BLOCKS
-    counts = written(class_counts(ids, classes), "sweep")
-    table = np.zeros(STATES * COLUMNS, np.int64)
-    for r in counts.filter(F.col("code") >= n * WIDTH).collect():  # at most STATES * COLUMNS rows
-        table[r["code"] - n * WIDTH] = r["n"]
-    table = table.reshape(STATES, COLUMNS)
-
-    def run(key: tuple, cells: pa.Table) -> pa.Table:
-        codes, k = cells["code"].to_numpy(), cells["n"].to_numpy()
-        words, at = np.unique(codes // WIDTH, return_inverse=True)  # ids fall with counts
-        rows = np.zeros((len(words), WIDTH), np.int64)
-        rows[at, codes % WIDTH] = k
-        return pa.table({"word": pa.array(words, pa.int64()), "class": pa.array(move(rows, classes[words], table), pa.int64())})
-
-    own = counts.filter(F.col("code") < n * WIDTH).withColumn("block", F.floor(F.col("code") / WIDTH) % blocks)
-    got = own.groupBy("block").applyInArrow(run, "word long, class long").toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (rows, table) in whole_tables(batches, n).items():
+            words = np.arange(block, n, blocks)  # ids fall with counts
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(move(rows, classes[words], table), pa.int64())], names=["word", "class"])
+
+    got = class_counts(ids, classes).repartition(blocks, "block").mapInArrow(run, "word long, class long").toArrow()
     out = classes.copy()
     out[got["word"].to_numpy()] = got["class"].to_numpy()
     return out
