@@ -68,31 +68,33 @@ class Model:
         norm = np.sqrt(rows.sum(axis=1, dtype=np.int64)).astype(np.float32)
         return rows.astype(np.float32) @ self.weights / norm[:, None]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Languages and scores from 0 to 1; und and 0 without a letter."""
-        labels, scores = ["und"] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Languages, scores from 0 to 1 and the languages' ridge outputs; und, 0 and 0 without a letter.
+
+        An output is near 1 for a text like the language's training texts and near 0 for one that shares few n-grams with
+        them, however many languages there are; a score is a share among the languages that are known.
+        """
+        labels, scores, outputs = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         use = [i for i, t in enumerate(texts) if self.languages and _LETTER(t)]
         for at in range(0, len(use), 64):
             some = use[at : at + 64]
             out = self.scores([texts[i] for i in some])
             e = np.exp(SHARPNESS * (out - out.max(axis=1, keepdims=True)))
             best, share = out.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1)
-            for i, b, s in zip(some, best, share, strict=True):
-                labels[i], scores[i] = self.languages[b], float(s)
-        return labels, scores
+            for i, b, s, o in zip(some, best, share, out.max(axis=1), strict=True):
+                labels[i], scores[i], outputs[i] = self.languages[b], float(s), float(o)
+        return labels, scores, outputs
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """labelled: training rows only. The driver gets one count a language and `sample` rows' n-gram numbers (at most DIMS each)."""
+    """labelled: training rows only. The driver gets `sample` rows' n-gram numbers (at most DIMS each); the languages are those
+    of the sample, so at most as many."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model([], np.zeros((DIMS, 0), np.float32))
-    languages = sorted(counts)
-    weight = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, float(n))])[F.col(lang)]
+    counts = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").cast("double").alias("_n"))
     unit = (F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 52) - 1)) + 1) / F.lit(float(1 << 52))
     # smallest unit * count: as many rows of each language, however rare it is
-    chosen = rows.select(F.col(id_col).alias("id"), (unit * weight).alias("key")).orderBy("key", "id").limit(sample).collect()
+    weighed = rows.select(F.col(id_col).alias("id"), F.col(lang).alias("_own"), unit.alias("_unit")).join(counts, F.col("_own") == F.col("_lang"))
+    chosen = weighed.select("id", (F.col("_unit") * F.col("_n")).alias("key")).orderBy("key", "id").limit(sample).collect()
     ids = [r["id"] for r in chosen if r["id"] is not None]
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,6 +112,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
     got = sorted({(r["id"], r["lang"]): np.frombuffer(r["grams"], np.int32) for r in single.collect()}.items())
     if not got:
         return Model([], np.zeros((DIMS, 0), np.float32))
+    languages = sorted({k[1] for k, _ in got})
     target = np.array([[float(k[1] == c) for c in languages] for k, _ in got])
     # landmarks: every step-th row of those in order of language and id
     order = sorted(range(len(got)), key=lambda i: (got[i][0][1], got[i][0][0]))[:: max(1, len(got) // landmarks)]
@@ -124,17 +127,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of docs, with lang_pred and score (which replace columns of these names), for every row.
+    """All columns of docs, with lang_pred, score and output (which replace columns of these names), for every row.
 
     The model is of a bounded size and travels with the task.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    docs = docs.drop("lang_pred", "score", "output")
+    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("output")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
-            labels, scores = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+            labels, scores, outputs = model.predict(texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(outputs, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "output"])
 
     return docs.mapInArrow(run, schema)
 
