@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, class_lm, fingerprints, langid, license_scan, media, mixing, near_dedup, token_ledger
-from .common import read, shared_dir
+from .common import read, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,21 +38,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger's life over all documents: totals by source, language and tokenizer version.
 
     Estimates (a quarter of n_chars) are inserted, then revised to exact counts; one tokenizer version is inserted and
-    wholly deleted, another inserted; every batch is sent twice, as after a lost acknowledgement.
+    wholly deleted, others inserted; every batch is sent twice, as after a lost acknowledgement, and batches are compacted
+    in between.
     """
-    docs = read(spark, sf_dir, "documents")
+    rows = written(token_ledger.counts(read(spark, sf_dir, "documents"), "n_chars"), "token-counts")  # the texts are read once
     estimate = F.floor(F.coalesce(F.col("n_chars"), F.lit(0)) / 4)
     ledger = token_ledger.TokenLedger(spark, shared_dir(spark, "ledger"))
     batches = [
-        ("1-estimates", token_ledger.inserts(token_ledger.counted(docs, "words-1", estimate))),
-        ("2-exact", token_ledger.revisions(docs, "words-1", estimate)),
-        ("3-alnum", token_ledger.inserts(token_ledger.counted(docs, "alnum-1"))),
-        ("4-chars", token_ledger.inserts(token_ledger.counted(docs, "chars-1"))),
-        ("5-retire-alnum", token_ledger.deletes(token_ledger.counted(docs, "alnum-1"))),
+        ("1-estimates", token_ledger.inserts(token_ledger.counted(rows, "words-1", estimate))),
+        ("2-exact", token_ledger.revisions(rows, "words-1", estimate)),
+        ("3-alnum", token_ledger.inserts(token_ledger.counted(rows, "alnum-1"))),
+        ("4-chars", token_ledger.inserts(token_ledger.counted(rows, "chars-1"))),
+        ("5-bytes", token_ledger.inserts(token_ledger.counted(rows, "bytes-1"))),
+        ("6-retire-alnum", token_ledger.deletes(token_ledger.counted(rows, "alnum-1"))),
     ]
     for _ in range(2):
         for batch_id, changes in batches:
             ledger.commit(batch_id, changes)
+        ledger.compact()
     return ledger.totals()
 
 
@@ -90,6 +93,7 @@ _OP5 = f"""
 SELECT source, lang, version, sum(documents)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM (
   SELECT source, lang, 'words-1' AS version, 1 AS documents, {_WORD_COUNT} AS tokens FROM documents
   UNION ALL SELECT source, lang, 'chars-1', 1, coalesce(length(text), 0) FROM documents
+  UNION ALL SELECT source, lang, 'bytes-1', 1, coalesce(strlen(text), 0) FROM documents
 ) GROUP BY ALL"""
 
 _OP6 = """

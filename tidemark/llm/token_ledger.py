@@ -2,22 +2,32 @@
 
 A change is signed: an insert adds a document's count to its (source, lang, tokenizer version), a delete takes it
 away, and a revision takes the old count away and adds the new one. A batch of changes is rolled up, partly before the
-shuffle, and written as one small table named by the batch's id; totals are the sum over the batches' tables. The
-commit is one rename, so a batch is in whole or not at all, and a batch whose id is in already is left alone.
+shuffle, and written as one small table in a folder of its own; totals are the sum over the batches' tables.
 
-Defined results: null sources, languages and versions are groups of their own; a null count is 0; groups whose
+A batch is committed by one small file, named by the batch's id, that says where its table is, and that is created only
+where there is none: a batch is in whole or not at all, and one whose id is in already is left alone, whoever sent it.
+No folder is renamed, so this holds on object stores as well. compact() sums all batches into one base, which names the
+batches that it holds, so that reading doesn't grow with the number of batches and their ids stay known.
+
+Tokenizers by version: words, letters-and-digits, characters and bytes (byte-level tokens without merges) are columns;
+bpe_counted() counts by any rank file of byte-level BPE (bpe.py).
+
+Defined results: null sources, languages and versions are groups of their own; a null text or count is 0; groups whose
 documents all went are not returned; repeated rows count each time; other columns are ignored; an empty ledger has no
 totals.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import SPACE_CLASS, delete
 
 KEYS = ("source", "lang", "version")
@@ -28,13 +38,25 @@ TOKENIZERS = {
     "words-1": lambda text: F.regexp_count(text, F.lit(SPACE_CLASS)),
     "alnum-1": lambda text: F.regexp_count(text, F.lit("[A-Za-z0-9]+")),
     "chars-1": lambda text: F.char_length(text),
+    "bytes-1": lambda text: F.octet_length(text),
 }
 
 
-def counted(docs: DataFrame, version: str, count: Column | None = None) -> DataFrame:
-    """(source, lang, version, tokens) of each row of documents."""
-    own = TOKENIZERS[version](F.col("text")) if count is None else count
-    return docs.select("source", "lang", F.lit(version).alias("version"), F.coalesce(own, F.lit(0)).cast("long").alias("tokens"))
+def counts(docs: DataFrame, *columns: str) -> DataFrame:
+    """source, lang, the given columns, and a column for each version of TOKENIZERS: one scan of the texts for all."""
+    own = [F.coalesce(f(F.col("text")), F.lit(0)).cast("long").alias(v) for v, f in TOKENIZERS.items()]
+    return docs.select("source", "lang", *columns, *own)
+
+
+def counted(rows: DataFrame, version: str, count: Column | None = None) -> DataFrame:
+    """(source, lang, version, tokens) of each row of counts(), or of rows with a count of their own."""
+    own = F.col(f"`{version}`") if count is None else count
+    return rows.select("source", "lang", F.lit(version).alias("version"), F.coalesce(own, F.lit(0)).cast("long").alias("tokens"))
+
+
+def bpe_counted(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
+    """The same by a rank file; version should name it."""
+    return bpe.counts(docs, path, pattern, ("source", "lang")).select("source", "lang", F.lit(version).alias("version"), "tokens")
 
 
 def inserts(rows: DataFrame) -> DataFrame:
@@ -45,55 +67,104 @@ def deletes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sign", F.lit(-1))
 
 
-def revisions(docs: DataFrame, version: str, old: Column, new: Column | None = None) -> DataFrame:
-    """For each row a delete of its old count and an insert of its new one, from one scan."""
-    fresh = TOKENIZERS[version](F.col("text")) if new is None else new
+def revisions(rows: DataFrame, version: str, old: Column, new: Column | None = None) -> DataFrame:
+    """For each row of counts() a delete of its old count and an insert of its new one."""
+    fresh = F.col(f"`{version}`") if new is None else new
     both = F.array(F.struct(F.lit(-1).alias("sign"), F.coalesce(old, F.lit(0)).cast("long").alias("tokens")), F.struct(F.lit(1).alias("sign"), F.coalesce(fresh, F.lit(0)).cast("long").alias("tokens")))
-    return docs.select("source", "lang", F.lit(version).alias("version"), F.inline(both))
+    return rows.select("source", "lang", F.lit(version).alias("version"), F.inline(both))
+
+
+def _rolled(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*KEYS).agg(F.sum("documents").cast("long").alias("documents"), F.sum("tokens").cast("long").alias("tokens")).filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
 
 class TokenLedger:
-    """Batches of changes under one folder of a file system that all machines share."""
+    """Batches of changes under one folder of a file system that all machines share.
+
+    commits/<batch id>: the name of the batch's folder; bases/<number>: the name of a base's folder and the ids in it.
+    Any number of writers may commit; compact() is for one at a time.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self._to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._to_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _folder(self, batch_id: str) -> str:
-        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,199}", batch_id):
-            raise ValueError("a batch id has letters, digits, '_', '.' and '-'")
-        return f"{self.path}/batch={batch_id}"
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._at(folder)):
+            return []
+        return sorted(n for s in self._fs.listStatus(self._at(folder)) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _create(self, name: str, text: str) -> bool:
+        """A small file; False where there is one."""
+        try:
+            out = self._fs.create(self._at(name), False)
+        except Py4JJavaError as failed:
+            if "AlreadyExists" in failed.java_exception.getClass().getName() or self._fs.exists(self._at(name)):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _base(self) -> dict:
+        """The newest base: number, folder (None for none), batches."""
+        numbers = self._names("bases")
+        return {"number": int(numbers[-1]), **json.loads(self._read(f"bases/{numbers[-1]}"))} if numbers else {"number": 0, "folder": None, "batches": []}
 
     def has(self, batch_id: str) -> bool:
-        return self._fs.exists(self._to_path(self._folder(batch_id)))
+        return self._fs.exists(self._at(f"commits/{batch_id}")) or batch_id in self._base()["batches"]
 
     def batches(self) -> list[str]:
-        if not self._fs.exists(self._to_path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._to_path(self.path))]
-        return sorted(n[6:] for n in names if n.startswith("batch="))
+        return sorted({*self._names("commits"), *self._base()["batches"]})
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Roll the changes (KEYS, tokens, sign) up and commit them; False where the batch is in already."""
-        folder = self._folder(batch_id)
+        if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]{0,199}", batch_id):
+            raise ValueError("a batch id has letters, digits, '_', '.' and '-'")
         if self.has(batch_id):
             return False
-        name = f"_staged-{batch_id}-{uuid.uuid4().hex[:12]}"  # each writer stages by itself
-        staged = f"{self.path}/{name}"
-        rolled = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
-        rolled.filter((F.col("documents") != 0) | (F.col("tokens") != 0)).write.mode("overwrite").parquet(staged)
-        moved = self._fs.rename(self._to_path(staged), self._to_path(folder))
-        nested = f"{folder}/{name}"
-        if moved and not self._fs.exists(self._to_path(nested)):
+        folder = f"data-{batch_id}-{uuid.uuid4().hex[:12]}"  # each writer writes by itself
+        signed = changes.select(*KEYS, F.col("sign").alias("documents"), (F.col("sign") * F.col("tokens")).alias("tokens"))
+        _rolled(signed).write.parquet(f"{self.path}/{folder}")
+        if self._create(f"commits/{batch_id}", folder):
             return True
-        # another writer was first; some file systems then move into its folder, where readers skip the name
-        delete(self.spark, nested if moved else staged)
+        delete(self.spark, f"{self.path}/{folder}")  # another writer was first
         return False
 
+    def _rows(self, base: dict, batches: list[str]) -> DataFrame:
+        found = ([base["folder"]] if base["folder"] else []) + [self._read(f"commits/{b}") for b in batches]
+        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/{f}" for f in found]) if found else self.spark.createDataFrame([], _SCHEMA)
+
     def totals(self) -> DataFrame:
-        """(source, lang, version, documents, tokens) over all batches."""
-        found = [self._folder(b) for b in self.batches()]
-        rows = self.spark.read.schema(_SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], _SCHEMA)
-        summed = rows.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return summed.filter((F.col("documents") != 0) | (F.col("tokens") != 0))
+        """(source, lang, version, documents, tokens) over the base and all batches that it lacks."""
+        base = self._base()
+        held = set(base["batches"])
+        return _rolled(self._rows(base, [b for b in self._names("commits") if b not in held]))
+
+    def compact(self) -> int:
+        """Sum all batches into a new base, then delete what it replaces; how many batches were summed."""
+        base = self._base()
+        held = set(base["batches"])
+        fresh = [b for b in self._names("commits") if b not in held]
+        if not fresh:
+            return 0
+        old = [f for f in (base["folder"], *(self._read(f"commits/{b}") for b in fresh)) if f]
+        folder = f"base-{uuid.uuid4().hex[:12]}"
+        _rolled(self._rows(base, fresh)).coalesce(1).write.parquet(f"{self.path}/{folder}")  # groups, not documents
+        if not self._create(f"bases/{base['number'] + 1:012d}", json.dumps({"folder": folder, "batches": sorted({*held, *fresh})})):
+            delete(self.spark, f"{self.path}/{folder}")
+            return 0
+        for name in (*(f"commits/{b}" for b in fresh), *old):
+            delete(self.spark, f"{self.path}/{name}")
+        return len(fresh)
