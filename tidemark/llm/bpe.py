@@ -31,7 +31,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, pairwise
 
 import pyarrow as pa
 import regex
@@ -43,7 +43,9 @@ from .common import text_slices
 
 #: Code points of a leaf, bytes of a piece's leaf, tokens by which a window moves on at most, ids of a decoding leaf, pieces
 #: that a worker remembers.
-LEAF, MERGE_LEAF, WINDOW, DECODE_LEAF, REMEMBERED = 512, 64, 32, 512, 400_000
+LEAF, MERGE_LEAF, WINDOW, DECODE_LEAF, REMEMBERED = 1024, 64, 32, 512, 400_000
+#: Bytes that are merged by lists rather than by a heap, and a rank above all.
+SHORT, _NONE = 96, 1 << 60
 #: Public splitting patterns, with how many code points beyond its end a match may look at. Runs of spaces
 #: look at the space that they leave and at what follows it; an apostrophe looks at the two letters of a contraction.
 LOOKS_AHEAD = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": 2}
@@ -94,6 +96,23 @@ class Codec:
 
     def merge(self, raw: bytes) -> list[int]:
         """Single bytes merged by rank, the lowest first and of equal ones the leftmost."""
+        return self._merge_short(raw) if len(raw) <= SHORT else self._merge_long(raw)
+
+    def _merge_short(self, raw: bytes) -> list[int]:
+        """By the least of all neighbours' ranks, which lists find fast where there are few."""
+        rank, starts = self.ranks.get, list(range(len(raw) + 1))
+        ranks = [rank(raw[i : i + 2], _NONE) for i in range(len(raw) - 1)]
+        while ranks and (least := min(ranks)) < _NONE:
+            i = ranks.index(least)
+            del starts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(raw[starts[i - 1] : starts[i + 1]], _NONE)
+            if i < len(ranks):
+                ranks[i] = rank(raw[starts[i] : starts[i + 2]], _NONE)
+        return [self.ranks[raw[a:b]] for a, b in pairwise(starts)]
+
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """By a heap of neighbours' ranks."""
         rank, n = self.ranks.get, len(raw)
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part's end is the next one's start
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
