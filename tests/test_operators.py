@@ -279,3 +279,52 @@ def test_exports_fall_back(spark, tmp_path):
 def test_pages_that_failed_are_left_out(spark):
     pages = spark.createDataFrame([(1, "u", "<p>abc</p>", 200), (2, "v", "<p>no</p>", 404), (3, "w", None, 200)], "page_id long, url string, html string, status int")
     assert [tuple(r) for r in files.page_chunks(pages, "page_id", 2, 0, status="status").collect()] == [(1, "u", 0, "ab"), (1, "u", 1, "c")]
+
+
+def test_isolation_scores_are_path_lengths():
+    """Scores of whole batches against each row's walk down each tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)), [[9.0, 9.0, 9.0], [np.nan, 0.0, 0.0]]])
+    median, center, scale = np.zeros(3), np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+    forest = learning.IsolationForest(trees=20, sample=64).fit(x, median, center, scale)
+    got = forest.score(x)
+    for i in (0, 5, 300, 301):
+        row = (np.where(np.isnan(x[i]), median, x[i]) - center) / scale
+        total = 0.0
+        for feature, cut, depth in forest.nodes:
+            at = 1
+            while feature[at] >= 0:
+                at = 2 * at + int(row[feature[at]] >= cut[at])
+            total += depth[at]
+        usual = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+        assert got[i] == pytest.approx(-(2 ** (-total / 20 / usual)))
+    assert got.argmin() == 300
+
+
+def test_destinations_and_arrival_times_against_plain_figures(spark):
+    """Ranks and probabilities of classes, held-out accuracy, and errors of minutes, recomputed row by row."""
+    import random
+
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, float(i % 3) + rng.random() / 2, "abc"[i % 3], float(i % 3) * 100 + 50) for i in range(240)], "event_id long, x double, label string, minutes double")
+    train, test = rows.filter("event_id < 180"), rows.filter("event_id >= 180")
+    model = learning.fit_destination(train, "label", ["x"], [], trees=5)
+    found = learning.top_classes(model, test, "event_id", "label", 2).collect()
+    by_row: dict = {}
+    for r in found:
+        by_row.setdefault(r["event_id"], []).append((r["rank"], r["probability"], r["label"]))
+    assert len(by_row) == 60 and all(len(v) == 2 for v in by_row.values())
+    for own in by_row.values():
+        (_, first, _), (_, second, _) = sorted(own)
+        assert 1 + 1e-9 >= first >= second >= 0 and first + second <= 1 + 1e-9
+    from tidemark.operators import serving
+
+    accuracy = serving.top_k_accuracy(learning.top_classes(model, test, "event_id", "label", 2), test, "event_id", "label", 1).first()
+    hits = sum(min(by_row[i])[2] == "abc"[i % 3] for i in range(180, 240))
+    assert (accuracy["accuracy"], accuracy["rows"]) == (hits / 60, 60) and hits >= 57
+    eta = learning.fit_eta(train, "minutes", ["x"], iterations=5)
+    errors = [abs(r["prediction"] - r["minutes"]) for r in eta.transform(test).collect()]
+    got = learning.eta_errors(eta, test, "minutes").first()
+    assert got["mae"] == pytest.approx(sum(errors) / 60) and got["rmse"] == pytest.approx((sum(e * e for e in errors) / 60) ** 0.5) and got["mae"] < 10
