@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete, shared_dir, written
+from ..storage import delete, discard, mark, release, shared_dir, written
 
-__all__ = ["SPACE_CLASS", "delete", "fold", "fold_col", "lower_words", "read", "shared_dir", "text_slices", "written"]
+__all__ = ["SPACE_CLASS", "delete", "discard", "fold", "fold_col", "lower_words", "mark", "read", "release", "shared_dir", "text_slices", "written"]
 
 #: Code points that separate words in the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
