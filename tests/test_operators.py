@@ -328,3 +328,34 @@ def test_destinations_and_arrival_times_against_plain_figures(spark):
     errors = [abs(r["prediction"] - r["minutes"]) for r in eta.transform(test).collect()]
     got = learning.eta_errors(eta, test, "minutes").first()
     assert got["mae"] == pytest.approx(sum(errors) / 60) and got["rmse"] == pytest.approx((sum(e * e for e in errors) / 60) ** 0.5) and got["mae"] < 10
+
+
+def _pages(content):
+    if b"broken" in content:
+        raise ValueError
+    return content.decode().split("\f")
+
+
+def test_documents_with_pages(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"first  page\fsecond")
+    (tmp_path / "b.pdf").write_bytes(b"broken")
+    (tmp_path / "c.txt").write_bytes(b"other")
+    got = files.page_text_chunks(spark, str(tmp_path), _pages, size=6, overlap=0)
+    assert sorted((r["page"], r["chunk_no"], r["chunk"]) for r in got.collect()) == [(1, 0, "first "), (1, 1, "page"), (2, 0, "second")]
+
+
+def test_settings_and_profiles(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text("x:\n  y: [1, 2]\n")
+    (tmp_path / "a.json").write_text('{"x": 3}')
+    assert files.read_config(spark, str(tmp_path / "a.yaml")) == {"x": {"y": [1, 2]}} and files.read_config(spark, str(tmp_path / "a.json")) == {"x": 3}
+    rows = spark.createDataFrame([(k, dt.date(2024, 1, 1 + k)) for k in range(9)], "n int, day date")
+    got = files.profile_document({"t": (rows, "day"), "u": (rows.select("n"), None)})
+    assert (got["t"]["rows"], got["t"]["first"], got["t"]["last"], len(got["t"]["samples"]), got["u"]["columns"]) == (9, "2024-01-01", "2024-01-09", 5, ["n"])
+
+
+def test_bounds_of_requests():
+    emissions.check_estimate(240, 60, 1, 1, 0)
+    for wrong in ({"hours": 0}, {"hours": 241}, {"speed_kn": -1}, {"mcr_kw": 0}, {"aux_kw": -1}):
+        with pytest.raises(ValueError, match=next(iter(wrong))):
+            emissions.check_estimate(**wrong)
+    assert router.pollutants_of("NOx, CO2 ,") == ["NOx", "CO2"] and router.pollutants_of("") == ["CO2e", "NOx", "SOx", "PM"]

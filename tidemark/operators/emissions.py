@@ -290,6 +290,13 @@ def estimate(spark: SparkSession, vessel_class: str = "unknown", mode: str = "tr
     return own.select("vessel_class", "mode", "duration_h", "speed_kn", "fuel_type", "load_factor", "fuel_t", *POLLUTANTS).withColumns(bounds)
 
 
+def check_estimate(hours: float = 1.0, speed_kn: float = 10.0, mcr_kw: float | None = None, ref_speed_kn: float | None = None, aux_kw: float | None = None) -> None:
+    """ValueError for a request out of bounds: hours in (0, 240], knots in [0, 60], powers and reference speeds above 0."""
+    for name, value, ok in (("hours", hours, 0 < hours <= SANE_HOURS), ("speed_kn", speed_kn, 0 <= speed_kn <= 60), ("mcr_kw", mcr_kw, mcr_kw is None or mcr_kw > 0), ("ref_speed_kn", ref_speed_kn, ref_speed_kn is None or ref_speed_kn > 0), ("aux_kw", aux_kw, aux_kw is None or aux_kw >= 0)):
+        if not ok:
+            raise ValueError(f"{name} is out of bounds: {value}")
+
+
 def result_state(rows: int, total: float | None, evidence: int = 0, forecast_only: bool = False) -> str:
     """COMPUTED, COMPUTED_ZERO, NOT_COMPUTABLE, RETRIEVAL_ONLY or FORECAST_ONLY."""
     if forecast_only:

@@ -108,6 +108,27 @@ def event_chunks(visits: DataFrame) -> DataFrame:
     return visits.select(F.concat_ws("_", F.lit("event"), "call_id").alias("id"), text.alias("text"), F.col("port_key").alias("port"), F.date_format("arrival_time", "yyyy-MM-dd").alias("date"), F.col("vessel_type_norm").alias("vessel_type"))
 
 
+def flagged_event_chunks(visits: DataFrame) -> DataFrame:
+    """event_chunks() with metadata, of visits with short_dwell and long_dwell: what kind of event, whether it is unusual and how."""
+    kind = F.when(F.coalesce("long_dwell", F.lit(False)), "long dwell").when(F.coalesce("short_dwell", F.lit(False)), "short dwell").otherwise("none")
+    text = F.format_string("Vessel %s called at %s on %s and stayed %.1f hours. Unusual: %s.", F.col("mmsi").cast("string"), F.col("port_key"), F.date_format("arrival_time", "yyyy-MM-dd"), F.col("dwell_minutes") / 60, kind)
+    return _events(visits, "visit", "call_id", text, F.col("port_key"), F.date_format("arrival_time", "yyyy-MM-dd"), kind)
+
+
+def position_event_chunks(rows: DataFrame) -> DataFrame:
+    """The same of positions with jump_flag and destination_norm."""
+    kind = F.when(F.coalesce("jump_flag", F.lit(False)), "position jump").otherwise("none")
+    text = F.format_string("Vessel %s was at %.5f, %.5f on %s moving at %.1f knots. Unusual: %s.", F.col("mmsi").cast("string"), F.col("latitude"), F.col("longitude"), F.date_format("ts", "yyyy-MM-dd"), F.coalesce(F.col("speed").cast("double"), F.lit(-1.0)), kind)
+    return _events(rows, "position", "event_id", text, F.col("destination_norm"), F.date_format("ts", "yyyy-MM-dd"), kind)
+
+
+def _events(rows: DataFrame, event: str, key: str, text: Column, port: Column, date: Column, kind: Column) -> DataFrame:
+    code = F.col("locode_norm") if "locode_norm" in rows.columns else F.lit("")
+    vessel = F.col("vessel_type_norm") if "vessel_type_norm" in rows.columns else F.lit(None).cast("string")
+    own = rows.select(F.concat_ws("_", F.lit(event), F.col(key).cast("string")).alias("id"), text.alias("text"), port.alias("port"), code.alias("locode"), date.alias("date"), F.coalesce(vessel, F.lit("unknown")).alias("vessel_type"), kind.alias("anomaly_kind"), F.col("mmsi").cast("string").alias("mmsi"))
+    return own.select("*", (F.col("anomaly_kind") != "none").alias("anomaly"), F.lit(event).alias("event_type"), F.lit("events").alias("strategy"))
+
+
 def port_day_chunks(days: DataFrame, proxy_days: DataFrame) -> DataFrame:
     """One chunk a port and day of visits, and of positions for days without visits (an anti-join)."""
     seen = days.select(F.concat_ws("_", F.lit("portday"), "port_key", F.col("date").cast("string")).alias("id"), F.format_string("%s on %s: %d arrivals of %d vessels.", F.col("port_key"), F.col("date").cast("string"), F.col("arrivals"), F.col("vessels")).alias("text"), "port_key", "date")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence, marts, questions, retrieval, serving
 from ..registry import register
 from . import ports
-from .views import CALLS, positions, read, visits
+from .views import CALLS, POS, positions, read, visits
 
 _EVERY = 50
 _SLOTS = f"""slots AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % {evidence.DIMENSIONS} AS slot FROM benchmark, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t(w)),
@@ -144,3 +144,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = visits(spark, d).withColumn("call_id", F.when(~F.col("call_id").like("%-1"), F.col("call_id")).otherwise(F.lit("")))
     return questions.call_linked(rows).groupBy("port_key").agg(F.count("*").alias("visits"))
+
+
+@register("pr21_event_metadata", f"""WITH {CALLS}, f AS (SELECT *, dwell_minutes < quantile_cont(dwell_minutes, 0.1) OVER (PARTITION BY port_key) AS s, dwell_minutes > quantile_cont(dwell_minutes, 0.9) OVER (PARTITION BY port_key) AS l FROM calls)
+SELECT 'visit_' || call_id AS id, port_key AS port, arrival_date::VARCHAR AS date, vessel_type_norm AS vessel_type, CASE WHEN l THEN 'long dwell' WHEN s THEN 'short dwell' ELSE 'none' END AS anomaly_kind, s OR l AS anomaly, mmsi::VARCHAR AS mmsi, 'visit' AS event_type FROM f""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    own = retrieval.flagged_event_chunks(marts.dwell_flags(marts.dwell(visits(spark, d))))
+    return own.select("id", "port", "date", "vessel_type", "anomaly_kind", "anomaly", "mmsi", "event_type")
+
+
+@register("pr21_position_events", f"""WITH {POS} SELECT 'position_' || event_id AS id, 'Vessel ' || mmsi || ' was at ' || printf('%.5f', latitude) || ', ' || printf('%.5f', longitude) || ' on ' || strftime(ts, '%Y-%m-%d') || ' moving at ' || printf('%.1f', round(speed, 0)) || ' knots. Unusual: ' || CASE WHEN event_id % 7 = 0 THEN 'position jump' ELSE 'none' END || '.' AS text, mode AS port, event_id % 7 = 0 AS anomaly FROM pos""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = positions(spark, d).withColumns({"speed": F.round("speed", 0), "jump_flag": F.col("event_id") % 7 == 0, "destination_norm": F.col("mode")})
+    return retrieval.position_event_chunks(rows).select("id", "text", "port", "anomaly")

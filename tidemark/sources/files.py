@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,6 +104,18 @@ def read_document(spark: SparkSession, path: str) -> tuple[dict, str]:
     return json.loads(raw), hashlib.sha256(raw).hexdigest()
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A JSON or YAML document of settings; YAML needs its library on the driver."""
+    raw = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    if path.lower().endswith(".json"):
+        return json.loads(raw)
+    try:
+        import yaml
+    except ImportError as missing:
+        raise ValueError("YAML can't be read here; give the settings as JSON") from missing
+    return yaml.safe_load(raw) or {}
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, length, modificationTime) of files, without reading them."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
@@ -125,6 +139,35 @@ def plain_text_chunks(spark: SparkSession, folder: str, pattern: str, size: int
     return found.select("path", F.inline(fixed_chunks(F.regexp_replace("text", r"\s+", " "), size, overlap)))
 
 
+def page_text_chunks(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]], pattern: str = "*.pdf", size: int = 1200, overlap: int = 200) -> DataFrame:
+    """(path, page from 1, chunk_no, chunk) of documents with pages. pages: a file's bytes -> the texts of its pages, such as a
+    PDF library gives them; a file that it can't read is left out. Each file is read by one task."""
+    from ..functions.text import fixed_chunks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found = pages(content.as_py())
+                except Exception:  # whatever a parser makes of a broken file
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(1, len(found) + 1), pa.int32()), pa.array(found, pa.string())], names=["path", "page", "text"])
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInArrow(run, "path string, page int, text string")
+    return found.select("path", "page", F.inline(fixed_chunks(F.trim(F.regexp_replace("text", r"\s+", " ")), size, overlap)))
+
+
+def profile_document(tables: dict[str, tuple[DataFrame, str | None]], samples: int = 5) -> dict:
+    """For each table (rows, time column or None): its columns, first rows as text, number of rows and coverage."""
+    out = {}
+    for name, (rows, time) in tables.items():
+        span = [F.min(time).cast("string").alias("first"), F.max(time).cast("string").alias("last")] if time else []
+        seen = rows.agg(F.count("*").alias("rows"), *span).first().asDict()
+        few = rows.limit(samples).select([F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns]).collect()
+        out[name] = {"columns": rows.columns, "samples": [r.asDict() for r in few], **seen}
+    return out
+
+
 def profile(rows: DataFrame, time: str, distinct: tuple[str, ...] = ()) -> DataFrame:
     """One row: number of rows, coverage, distinct values."""
     return rows.agg(F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct])
