@@ -93,6 +93,28 @@ def test_op1(spark, folder):
     assert got[209]["base_labels"] == "reserved" and 0 <= got[209]["score"] <= 1
 
 
+def test_op1_whole_notices(spark):
+    """A notice counts with all its key phrases in place, whatever differs between them; not with one phrase gone or moved."""
+    from tidemark.llm import license_scan
+
+    long = [t for t in license_scan.EXTRA if len(t.notice.split()) > 40]
+    assert len(long) == 4
+    rows = []
+    for k, t in enumerate(long):
+        ws = t.notice.upper().split()
+        inside = {i for p in t.keys for at in range(len(ws)) if ws[at : at + len(p.split())] == p.upper().split() for i in range(at, at + len(p.split()))}
+        spare = next(i for i in range(len(ws)) if i not in inside)
+        last = max(at for at in range(len(ws)) if any(ws[at : at + len(p.split())] == p.upper().split() for p in t.keys))
+        rows += [(10 * k, "/* " + ", ".join(ws) + " */"), (10 * k + 1, " ".join(["other" if i == spare else w for i, w in enumerate(ws)]))]
+        rows += [(10 * k + 2, " ".join(w for i, w in enumerate(ws) if i not in inside)), (10 * k + 3, " ".join(ws[:last] + ["new"] + ws[last:]))]
+    got = {r["doc_id"]: r for r in license_scan.digest(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for k, t in enumerate(long):
+        assert t.label in got[10 * k]["labels"].split(",") and got[10 * k]["score"] == 1.0
+        assert t.label in got[10 * k + 1]["labels"].split(",")
+        found = license_scan.license_scan(spark.createDataFrame([rows[4 * k + 2], rows[4 * k + 3]], "doc_id long, text string")).collect()
+        assert not any(n["end"] - n["start"] > 40 for r in found for n in r["notices"])
+
+
 def tokens(t):
     return [*(t or "").encode().lower().split(), b""]
 
