@@ -159,7 +159,10 @@ def eta_minutes(ts: Column, eta: Column) -> Column:
 
 def name_token(value: Column) -> Column:
     """Accents folded, blanks squeezed, lower case, a leading `port of` dropped."""
-    plain = F.translate(F.lower(F.trim(value)), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžćčłńśźżąęāēīūļķģņőű", "aaaaaaceeeeiiiinoooooouuuuyyszccl" + "nszzaeaeiulkgnou")
+    plain = F.translate(
+        F.lower(F.trim(value)), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžćčłńśźżąęāēīūļķģņőű",
+        "aaaaaaceeeeiiiinoooooouuuuyyszccl" + "nszzaeaeiulkgnou",
+    )
     return F.regexp_replace(F.regexp_replace(plain, r"\s+", " "), "^port of ", "")
 
 

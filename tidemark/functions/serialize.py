@@ -47,22 +47,33 @@ def position_records(rows: DataFrame) -> DataFrame:
     number -1, and a position has no port."""
     own = _whole(rows).filter(F.col("mmsi").isNotNull() & F.col("ts").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     vessel = F.col("mmsi").cast("string")
-    text = F.format_string("Vessel %s at %s was at %.5f, %.5f moving at %.1f knots.", vessel, F.date_format("ts", "yyyy-MM-dd HH:mm"), F.col("latitude"), F.col("longitude"), F.coalesce(F.col("speed").cast("double"), F.lit(-1.0)))
+    text = F.format_string(
+        "Vessel %s at %s was at %.5f, %.5f moving at %.1f knots.", vessel, F.date_format("ts", "yyyy-MM-dd HH:mm"),
+        F.col("latitude"), F.col("longitude"), F.coalesce(F.col("speed").cast("double"), F.lit(-1.0)),
+    )
     none = [F.lit("unknown").alias(c) for c in ("port_name", "port_name_norm", "locode", "locode_norm")]
     metadata = F.struct(
         F.lit("position").alias("event_kind"), vessel.alias("mmsi"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_full"),
         F.col("latitude"), F.col("longitude"), *map(_number, NUMBERS), *_shared(own, text), *none, F.lit("UNK").alias("country_prefix"),
     )
-    return own.select(id_safe(position_id(vessel, F.col("ts"), F.col("latitude"), F.col("longitude"))).alias("id"), text.alias("text"), metadata.alias("metadata"))
+    return own.select(
+        id_safe(position_id(vessel, F.col("ts"), F.col("latitude"), F.col("longitude"))).alias("id"), text.alias("text"),
+        metadata.alias("metadata"),
+    )
 
 
 def visit_records(rows: DataFrame) -> DataFrame:
     """(id, text, metadata) of visits; rows without vessel or arrival drop out; a visit has no place, speed or course."""
-    own = _whole(rows, "locode_norm", "port_name", "destination_arrival", "destination_departure").filter(F.col("mmsi").isNotNull() & F.col("arrival_time").isNotNull())
+    own = _whole(
+        rows, "locode_norm", "port_name", "destination_arrival", "destination_departure",
+    ).filter(F.col("mmsi").isNotNull() & F.col("arrival_time").isNotNull())
     vessel = F.col("mmsi").cast("string")
     own = own.withColumn("destination", F.coalesce("destination_departure", "destination_arrival", "destination"))
     left = F.coalesce(F.date_format("departure_time", "yyyy-MM-dd HH:mm"), F.lit("unknown"))
-    text = F.format_string("Vessel %s called at %s, arriving %s and departing %s.", vessel, F.col("port_key"), F.date_format("arrival_time", "yyyy-MM-dd HH:mm"), left)
+    text = F.format_string(
+        "Vessel %s called at %s, arriving %s and departing %s.", vessel, F.col("port_key"),
+        F.date_format("arrival_time", "yyyy-MM-dd HH:mm"), left,
+    )
     time = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("unknown"))
     name = F.coalesce("port_name", "port_key")
     metadata = F.struct(
@@ -93,4 +104,9 @@ def records(raw: DataFrame) -> DataFrame | None:
 def evidence_line(records: DataFrame) -> DataFrame:
     """id and one short line of evidence."""
     m = F.col("metadata")
-    return records.select("id", F.concat_ws(" | ", m["event_kind"], m["date"], F.concat(F.lit("mmsi "), m["mmsi"]), F.left("text", F.lit(80))).alias("line"))
+    return records.select(
+        "id",
+        F.concat_ws(
+            " | ", m["event_kind"], m["date"], F.concat(F.lit("mmsi "), m["mmsi"]), F.left("text", F.lit(80)),
+        ).alias("line"),
+    )

@@ -87,7 +87,9 @@ def assign_modes(rows: DataFrame) -> DataFrame:
     """mode from speed and the visit's window; speed_kn: reported, else estimated, else 0."""
     speed = F.greatest(F.coalesce("speed", "speed_estimated_kn", F.lit(0.0)), F.lit(0.0))
     own = rows.withColumn("speed_interpolated", F.col("speed").isNull() & F.col("speed_estimated_kn").isNotNull()).withColumn("speed_kn", speed)
-    near = lambda c, before, after: (F.col("ts") >= F.col(c) - F.expr(f"interval {before} hours")) & (F.col("ts") <= F.col(c) + F.expr(f"interval {after} hours"))
+    near = lambda c, before, after: (
+        F.col("ts") >= F.col(c) - F.expr(f"interval {before} hours")
+    ) & (F.col("ts") <= F.col(c) + F.expr(f"interval {after} hours"))
     v, inside = F.col("speed_kn"), F.coalesce("inside_call", F.lit(False))
     moving = v.between(0.5, 8.0) & F.coalesce(near("arrival_time", 2, 1) | near("departure_time", 1, 2), F.lit(False))
     mode = F.when(~inside, "transit").when(moving, "manoeuvring").when(v <= 0.5, "berth").when(v <= 2.0, "anchorage").otherwise("transit")
@@ -129,17 +131,34 @@ def add_factors(rows: DataFrame, factors: dict | None = None) -> DataFrame:
         "nox_factor": _lookup(flat(f["nox"]), engine_mode, MISSING_NOX),
         "pm_factor": _lookup(flat(f["pm"]), engine_mode, MISSING_PM),
     })
-    return own.drop(*stated.values()).withColumn("fallback_factor_flag", (cls == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE))
+    return own.drop(*stated.values()).withColumn(
+        "fallback_factor_flag",
+        (cls == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE),
+    )
 
 
 def row_emissions(rows: DataFrame, sigmas: dict[str, float] | None = None) -> DataFrame:
     """Fuel, pollutants and relative standard deviation of rows with factors, speed_kn and duration_h."""
     s = sigmas or SIGMAS
-    load = F.when(F.col("mode").isin("transit", "manoeuvring"), F.least(F.lit(1.0), F.greatest(F.lit(0.2), F.pow(F.col("speed_kn") / F.col("ref_speed_kn"), 3)))).otherwise(0.0)
-    fuel = F.greatest(F.lit(0.0), (F.col("mcr_kw") * F.col("load_factor") * F.col("sfc_main") + F.col("aux_power_kw") * F.col("sfc_aux")) * F.col("duration_h") / 1e6)
+    load = F.when(
+        F.col("mode").isin("transit", "manoeuvring"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.2), F.pow(F.col("speed_kn") / F.col("ref_speed_kn"), 3))),
+    ).otherwise(0.0)
+    fuel = F.greatest(
+        F.lit(0.0),
+        (
+            F.col("mcr_kw") * F.col("load_factor") * F.col("sfc_main") + F.col("aux_power_kw") * F.col("sfc_aux")
+        ) * F.col("duration_h") / 1e6,
+    )
     own = rows.withColumn("load_factor", load).withColumn("fuel_t", fuel)
     t = F.col("fuel_t")
-    own = own.withColumns({"co2_t": t * F.col("co2_factor"), "ttw_co2e_t": t * F.col("co2_factor"), "wtt_co2e_t": t * F.col("wtt_factor"), "wtw_co2e_t": t * F.col("co2_factor") + t * F.col("wtt_factor"), "nox_kg": t * F.col("nox_factor"), "sox_kg": t * F.col("sulfur") * 1000.0 * SOX_MULTIPLIER, "pm_kg": t * F.col("pm_factor")})
+    own = own.withColumns(
+        {
+            "co2_t": t * F.col("co2_factor"), "ttw_co2e_t": t * F.col("co2_factor"), "wtt_co2e_t": t * F.col("wtt_factor"),
+            "wtw_co2e_t": t * F.col("co2_factor") + t * F.col("wtt_factor"), "nox_kg": t * F.col("nox_factor"),
+            "sox_kg": t * F.col("sulfur") * 1000.0 * SOX_MULTIPLIER, "pm_kg": t * F.col("pm_factor"),
+        }
+    )
     base = (s["speed"] ** 2 + s["sfc"] ** 2 + s["factor"] ** 2) ** 0.5
     flag = lambda c, k: F.coalesce(F.col(c), F.lit(False)).cast("double") * s[k]
     sigma = F.lit(base) + flag("speed_interpolated", "interpolation") + flag("ais_gap_flag", "gap") + flag("fallback_factor_flag", "fallback")
@@ -166,7 +185,10 @@ def segment_totals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
 
     Where rows have them, call_id, port_key (AT_SEA where there is none) and vessel_class of the segment as well.
     """
-    extra = {"call_id": F.max("call_id"), "port_key": F.coalesce(F.max("port_key"), F.lit("AT_SEA")), "vessel_class": F.min("vessel_class")} if {"call_id", "port_key", "vessel_class"} <= set(rows.columns) else {}
+    extra = {
+        "call_id": F.max("call_id"), "port_key": F.coalesce(F.max("port_key"), F.lit("AT_SEA")),
+        "vessel_class": F.min("vessel_class"),
+    } if {"call_id", "port_key", "vessel_class"} <= set(rows.columns) else {}
     order = F.struct("ts", tie)
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order))
@@ -183,26 +205,43 @@ def segment_totals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
 
 def with_evidence(segments: DataFrame, params_hash: str) -> DataFrame:
     own = with_intervals(segments)
-    return own.withColumn("confidence_label", confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio"))).withColumn("evidence_id", evidence_id(F.col("segment_id"), F.lit(params_hash)))
+    return own.withColumn(
+        "confidence_label", confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio")),
+    ).withColumn("evidence_id", evidence_id(F.col("segment_id"), F.lit(params_hash)))
 
 
 def roll_up(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Sums by keys with analytic intervals: distinct segments, hours, plain means of ratios and deviations."""
-    own = segments.groupBy(*keys).agg(F.count_distinct("segment_id").alias("segments"), F.sum("duration_h").alias("duration_h"), F.sum("row_count").alias("row_count"), F.avg("fallback_usage_ratio").alias("fallback_usage_ratio"), F.avg("rel_sigma").alias("rel_sigma_weighted"), *[F.sum(m).alias(m) for m in POLLUTANTS])
+    own = segments.groupBy(*keys).agg(
+        F.count_distinct("segment_id").alias("segments"), F.sum("duration_h").alias("duration_h"),
+        F.sum("row_count").alias("row_count"), F.avg("fallback_usage_ratio").alias("fallback_usage_ratio"),
+        F.avg("rel_sigma").alias("rel_sigma_weighted"), *[F.sum(m).alias(m) for m in POLLUTANTS],
+    )
     own = own.withColumn("_sigma", F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("rel_sigma_weighted"))))
-    return with_intervals(own, "_sigma").drop("_sigma").withColumn("confidence_label", confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio")))
+    return with_intervals(own, "_sigma").drop("_sigma").withColumn(
+        "confidence_label", confidence(F.col("ci_width_rel"), F.col("fallback_usage_ratio")),
+    )
 
 
 def monte_carlo(rows: DataFrame, metric: str, sigma: str, key: str, draws: int = 500) -> DataFrame:
     """Interval from draws of a normal per row, seeded by the row's key: Box-Muller over md5, exact quantiles, in SQL."""
-    word = lambda salt, i: F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(salt), i.cast("string")).cast("binary")), 1, 12)
+    word = lambda salt, i: F.substring(
+        F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(salt), i.cast("string")).cast("binary")), 1, 12,
+    )
     unit = lambda salt, i: (F.conv(word(salt, i), 16, 10).cast("double") + 1) / F.lit(float((1 << 48) + 1))
     normal = lambda i: F.sqrt(-2 * F.log(unit("a", i))) * F.cos(2 * 3.141592653589793 * unit("b", i))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(draws)), lambda i: F.greatest(F.lit(0.0), F.col(metric) * (1 + F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col(sigma))) * normal(i))))
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.lit(draws)),
+        lambda i: F.greatest(
+            F.lit(0.0), F.col(metric) * (1 + F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col(sigma))) * normal(i)),
+        ),
+    )
     own = rows.withColumn("_draws", F.array_sort(drawn))
     at = lambda p: F.element_at("_draws", F.lit(max(1, round(p * (draws - 1)) + 1)))
     zero = F.col(metric) <= 0
-    return own.withColumns({f"{metric}_lower": F.when(zero, 0.0).otherwise(at(0.025)), f"{metric}_upper": F.when(zero, 0.0).otherwise(at(0.975))}).drop("_draws")
+    return own.withColumns(
+        {f"{metric}_lower": F.when(zero, 0.0).otherwise(at(0.025)), f"{metric}_upper": F.when(zero, 0.0).otherwise(at(0.975))}
+    ).drop("_draws")
 
 
 def call_linked(segments: DataFrame) -> DataFrame:
@@ -245,7 +284,10 @@ def scope_diagnostics(segments: DataFrame, metric: str, keys: list[str] | None =
     whole = segments.groupBy(*keys).agg(F.count("*").alias("raw_rows"), F.count_distinct("segment_id").alias("rows"))
     sums = once.groupBy(*keys).agg(F.sum("duration_h").alias("total_duration_h"), F.sum(metric).alias("total_t"))
     calls = once.filter(call).groupBy(*keys, "call_id").agg(F.sum(metric).alias("t"), F.sum("duration_h").alias("h")).groupBy(*keys)
-    calls = calls.agg(F.count("*").alias("calls"), F.avg("t").alias("mean_t"), F.median("t").alias("median_t"), F.max("t").alias("largest_t"), F.median("h").alias("median_duration_h"), F.max("h").alias("longest_h"))
+    calls = calls.agg(
+        F.count("*").alias("calls"), F.avg("t").alias("mean_t"), F.median("t").alias("median_t"), F.max("t").alias("largest_t"),
+        F.median("h").alias("median_duration_h"), F.max("h").alias("longest_h"),
+    )
     parts = [sums, calls]
     if baseline is not None:
         parts.append(baseline.groupBy(*keys).agg(F.median(metric).alias("baseline_t")))
@@ -254,7 +296,10 @@ def scope_diagnostics(segments: DataFrame, metric: str, keys: list[str] | None =
         own = own.join(part, keys, "left") if keys else own.crossJoin(F.broadcast(part))
     own = own.withColumn("calls", F.coalesce("calls", F.lit(0)))
     weak = (F.col("baseline_t").isNull() | (F.col("baseline_t") < SANE_BASELINE_T)) if baseline is not None else F.lit(False)
-    tests = [(F.col("rows") == 0, "no segments"), (F.col("longest_h") > SANE_HOURS, "implausible call duration"), (F.col("largest_t") > SANE_CALL_T, "implausible call emissions"), (weak, "baseline too small")]
+    tests = [
+        (F.col("rows") == 0, "no segments"), (F.col("longest_h") > SANE_HOURS, "implausible call duration"),
+        (F.col("largest_t") > SANE_CALL_T, "implausible call emissions"), (weak, "baseline too small"),
+    ]
     own = own.withColumn("repeated", F.col("raw_rows") - F.col("rows"))
     own = own.withColumn("warnings", F.array_compact(F.array(*[F.when(t, F.lit(name)) for t, name in tests])))
     status = F.when((F.col("rows") == 0) | weak, "unstable baseline").when(F.size("warnings") > 0, "warning").otherwise("checked")
@@ -279,20 +324,39 @@ def bands(values: DataFrame, column: str, shares: tuple[float, float, float] = (
     return values.crossJoin(F.broadcast(cut)).withColumn("level", level).drop("_p")  # one row
 
 
-def estimate(spark: SparkSession, vessel_class: str = "unknown", mode: str = "transit", hours: float = 1.0, speed_kn: float = 10.0, fuel: str | None = None, mcr_kw: float | None = None, ref_speed_kn: float | None = None, engine: str | None = None, aux_kw: float | None = None) -> DataFrame:
+def estimate(
+    spark: SparkSession, vessel_class: str = "unknown", mode: str = "transit", hours: float = 1.0, speed_kn: float = 10.0,
+    fuel: str | None = None, mcr_kw: float | None = None, ref_speed_kn: float | None = None, engine: str | None = None,
+    aux_kw: float | None = None,
+) -> DataFrame:
     """A scenario's emissions from stated assumptions, with bounds of 1.96 * 0.30. What isn't stated has the class's value;
     negative hours and speeds count as 0, and an unknown fuel has the default fuel's factors."""
-    stated = {"fuel_type": fuel.upper() if fuel else None, "mcr_kw": mcr_kw, "ref_speed_kn": ref_speed_kn, "engine_family": engine, "aux_power_kw": aux_kw}
+    stated = {
+        "fuel_type": fuel.upper() if fuel else None, "mcr_kw": mcr_kw, "ref_speed_kn": ref_speed_kn, "engine_family": engine,
+        "aux_power_kw": aux_kw,
+    }
     given = [F.lit(v if isinstance(v, str) else float(v)).alias(c) for c, v in stated.items() if v]
-    row = spark.range(1).select(F.lit(vessel_class).alias("vessel_class"), F.lit(mode).alias("mode"), F.lit(max(0.0, float(hours))).alias("duration_h"), F.lit(max(0.0, float(speed_kn))).alias("speed_kn"), F.lit(False).alias("speed_interpolated"), F.lit(False).alias("ais_gap_flag"), *given)
+    row = spark.range(1).select(
+        F.lit(vessel_class).alias("vessel_class"), F.lit(mode).alias("mode"), F.lit(max(0.0, float(hours))).alias("duration_h"),
+        F.lit(max(0.0, float(speed_kn))).alias("speed_kn"), F.lit(False).alias("speed_interpolated"),
+        F.lit(False).alias("ais_gap_flag"), *given,
+    )
     own = row_emissions(add_factors(row))
     bounds = {f"{m}_{side}": F.greatest(F.lit(0.0), F.col(m) * (1 + sign * 1.96 * 0.30)) for m in POLLUTANTS for side, sign in (("lower", -1), ("upper", 1))}
     return own.select("vessel_class", "mode", "duration_h", "speed_kn", "fuel_type", "load_factor", "fuel_t", *POLLUTANTS).withColumns(bounds)
 
 
-def check_estimate(hours: float = 1.0, speed_kn: float = 10.0, mcr_kw: float | None = None, ref_speed_kn: float | None = None, aux_kw: float | None = None) -> None:
+def check_estimate(
+    hours: float = 1.0, speed_kn: float = 10.0, mcr_kw: float | None = None, ref_speed_kn: float | None = None,
+    aux_kw: float | None = None,
+) -> None:
     """ValueError for a request out of bounds: hours in (0, 240], knots in [0, 60], powers and reference speeds above 0."""
-    for name, value, ok in (("hours", hours, 0 < hours <= SANE_HOURS), ("speed_kn", speed_kn, 0 <= speed_kn <= 60), ("mcr_kw", mcr_kw, mcr_kw is None or mcr_kw > 0), ("ref_speed_kn", ref_speed_kn, ref_speed_kn is None or ref_speed_kn > 0), ("aux_kw", aux_kw, aux_kw is None or aux_kw >= 0)):
+    for name, value, ok in (
+        ("hours", hours, 0 < hours <= SANE_HOURS), ("speed_kn", speed_kn, 0 <= speed_kn <= 60),
+        ("mcr_kw", mcr_kw, mcr_kw is None or mcr_kw > 0),
+        ("ref_speed_kn", ref_speed_kn, ref_speed_kn is None or ref_speed_kn > 0),
+        ("aux_kw", aux_kw, aux_kw is None or aux_kw >= 0),
+    ):
         if not ok:
             raise ValueError(f"{name} is out of bounds: {value}")
 

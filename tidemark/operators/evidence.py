@@ -13,8 +13,14 @@ from pyspark.sql import functions as F
 from .retrieval import metadata_filter, top_k
 
 # Words that send a question to documents, and to traffic rows.
-DOC_WORDS = ("regulation", "compliance", "article", "requirement", "nis2", "isps", "solas", "directive", "law", "policy", "framework", "security level")
-TRAFFIC_WORDS = ("traffic", "anomaly", "vessel", "time", "mmsi", "imo", "ais", "position", "latitude", "longitude", "speed", "course", "heading", "destination", "eta", "nav status", "vessel type", "locode", "port", "arrival", "departure", "port call")
+DOC_WORDS = (
+    "regulation", "compliance", "article", "requirement", "nis2", "isps", "solas", "directive", "law", "policy", "framework",
+    "security level",
+)
+TRAFFIC_WORDS = (
+    "traffic", "anomaly", "vessel", "time", "mmsi", "imo", "ais", "position", "latitude", "longitude", "speed", "course",
+    "heading", "destination", "eta", "nav status", "vessel type", "locode", "port", "arrival", "departure", "port call",
+)
 # End of the fixed values.
 
 DIMENSIONS, STRICT = 64, 0.42
@@ -145,7 +151,12 @@ def embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A unit vector of hashed words, by functions alone: the plug for a model's vectors where there is no model."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
     slots = F.transform(words, lambda w: (F.conv(F.left(F.md5(w.cast("binary")), F.lit(8)), 16, 10).cast("long") % dimensions).cast("int"))
-    counts = F.transform(F.array(slots), lambda s: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))[0]
+    counts = F.transform(
+        F.array(slots),
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"),
+        ),
+    )[0]
     square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.when(square(v) > 0, x / F.sqrt(square(v))).otherwise(0.0)))[0]
 
@@ -223,7 +234,10 @@ def trace(find: Callable[[Filters], list[Evidence]] | None, filters: Filters, co
         status, reason = ("ok" if found else "no_hits"), None
     except Exception as failed:  # a question is answered without evidence rather than not at all
         found, status, reason = [], "error", str(failed)
-    return found, {"status": status, "reason": reason, "latency_ms": (time.perf_counter() - began) * 1000, "filters": filters.active(), "hits": len(found)}
+    return found, {
+        "status": status, "reason": reason, "latency_ms": (time.perf_counter() - began) * 1000, "filters": filters.active(),
+        "hits": len(found),
+    }
 
 
 def line(e: Evidence) -> str:
@@ -241,12 +255,19 @@ def refuses(evidence: list[Evidence], strict: bool = True, limit: float = STRICT
     return not evidence or (strict and (not near or min(near) > limit))
 
 
-def answer(question: str, evidence: list[Evidence], aggregate: dict[str, object] | None = None, strict: bool = True, limit: float = STRICT, write: Callable[[str, list[Evidence]], str] | None = None) -> dict[str, object]:
+def answer(
+    question: str, evidence: list[Evidence], aggregate: dict[str, object] | None = None, strict: bool = True,
+    limit: float = STRICT, write: Callable[[str, list[Evidence]], str] | None = None,
+) -> dict[str, object]:
     """answer, lines, caveats, refused: from an aggregate (kind, count, ids) if there is one, else from evidence that is near
     enough. write: a model's plug; without it the nearest chunks are quoted."""
     if aggregate is not None:
         what = "sudden jumps of position" if aggregate.get("kind") == "jumps" else "matching positions"
-        return {"answer": f"There are {aggregate.get('count', 0)} {what}.", "lines": [f"[count] {i}" for i in list(aggregate.get("ids", []))[:10]], "caveats": ["Counted over all rows."], "refused": False}
+        return {
+            "answer": f"There are {aggregate.get('count', 0)} {what}.",
+            "lines": [f"[count] {i}" for i in list(aggregate.get("ids", []))[:10]], "caveats": ["Counted over all rows."],
+            "refused": False,
+        }
     if refuses(evidence, strict, limit):
         return {"answer": REFUSAL, "lines": [], "caveats": ["Nothing near enough was found."], "refused": True}
     nearest = sorted(evidence, key=lambda e: (e.distance is None, e.distance or 0.0, e.id))
@@ -264,13 +285,23 @@ _READINGS = (
 def incident_answer(question: str, found: Retrieved, strategy: str = "") -> dict[str, object]:
     """answer, evidence, interpretation, suggested_check, and anomalies: how many chunks carry the flag."""
     if not found.evidence:
-        return {"answer": REFUSAL, "evidence": [], "anomalies": 0, "interpretation": "Nothing was found.", "suggested_check": "Widen dates or ports, or take another kind of chunk."}
+        return {
+            "answer": REFUSAL, "evidence": [], "anomalies": 0, "interpretation": "Nothing was found.",
+            "suggested_check": "Widen dates or ports, or take another kind of chunk.",
+        }
     flagged = sum(bool(e.metadata.get("anomaly")) for e in found.evidence)
     low = question.lower()
     reading = next((said for own, said in _READINGS if any(w in low for w in own)), "The chunks are the nearest that there are.")
     check = "Look at the flagged vessels and at the days around." if flagged else "Look at more days or ports to see whether this is usual."
-    shown = [f"[{e.id}] {e.metadata.get('port', '?')} {e.metadata.get('date', '?')} {'n/a' if e.distance is None else format(e.distance, '.4f')}" for e in found.evidence]
-    return {"answer": f"{len(shown)} chunks{f' of {strategy}' if strategy else ''} in {found.latency_ms:.1f} ms, {flagged} of them flagged.", "evidence": shown, "anomalies": flagged, "interpretation": reading, "suggested_check": check}
+    shown = [
+        f"[{e.id}] {e.metadata.get('port', '?')} {e.metadata.get('date', '?')} {
+            'n/a' if e.distance is None else format(e.distance, '.4f')
+        }" for e in found.evidence
+    ]
+    return {
+        "answer": f"{len(shown)} chunks{f' of {strategy}' if strategy else ''} in {found.latency_ms:.1f} ms, {flagged} of them flagged.",
+        "evidence": shown, "anomalies": flagged, "interpretation": reading, "suggested_check": check,
+    }
 
 
 def query_hit(port: Column, date: Column, anomaly: Column) -> Column:
@@ -288,6 +319,12 @@ def evaluation(found: DataFrame, keys: list[str], hit: Column, latency: str = "l
 
     found: a row a result, with the query's latency and flag; a query without results has one row of nulls.
     """
-    each = found.groupBy(*keys, "query_id").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.max(latency).alias("ms"), F.bool_or(F.coalesce(ungrounded, F.lit(False))).alias("bad"))
+    each = found.groupBy(*keys, "query_id").agg(
+        F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.max(latency).alias("ms"),
+        F.bool_or(F.coalesce(ungrounded, F.lit(False))).alias("bad"),
+    )
     share = lambda c: F.avg(F.col(c).cast("double"))
-    return each.groupBy(*keys).agg(share("hit").alias("hit_rate"), F.avg("ms").alias("mean_latency_ms"), share("bad").alias("ungrounded_rate"), F.count("*").alias("queries"))
+    return each.groupBy(*keys).agg(
+        share("hit").alias("hit_rate"), F.avg("ms").alias("mean_latency_ms"), share("bad").alias("ungrounded_rate"),
+        F.count("*").alias("queries"),
+    )

@@ -15,7 +15,9 @@ def findings(series: DataFrame, date: str, value: str, target: str | None = None
     series has one row a bucket, so that it is a chart's worth of rows.
     """
     change = F.col(value) - F.lag(value).over(Window.orderBy(date))
-    own = series.select(F.col(date).alias("date"), F.col(value).cast("double").alias("value"), change.cast("double").alias("change")).filter(F.col("value").isNotNull())
+    own = series.select(
+        F.col(date).alias("date"), F.col(value).cast("double").alias("value"), change.cast("double").alias("change"),
+    ).filter(F.col("value").isNotNull())
     late = -F.unix_date(F.col("date").cast("date"))
     row = F.struct("date", "value")
     pick = lambda test, by: F.max_by(row, F.when(test, F.struct(by, late)))
@@ -35,7 +37,14 @@ def uncertainty_summary(table: DataFrame) -> DataFrame:
     """(metric, point, lower, upper) summed over a table with bounds."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     sums = table.agg(*[total(f"{m}{s}").alias(f"{m}{s}") for m in POLLUTANTS for s in ("", "_lower", "_upper")])
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("point"), F.col(f"{m}_lower").alias("lower"), F.col(f"{m}_upper").alias("upper")) for m in POLLUTANTS])
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m).alias("metric"), F.col(m).alias("point"), F.col(f"{m}_lower").alias("lower"),
+                F.col(f"{m}_upper").alias("upper"),
+            ) for m in POLLUTANTS
+        ]
+    )
     return sums.select(F.inline(rows))
 
 

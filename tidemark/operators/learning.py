@@ -47,7 +47,9 @@ def fit_destination(rows: DataFrame, label: str, numeric: list[str], text: list[
 def top_classes(model: PipelineModel, rows: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
     """(key, rank, label, probability) of each row's k likeliest classes."""
     labels = next(s for s in model.stages if s.hasParam("outputCol") and s.isSet("outputCol") and s.getOutputCol() == "_label").labels
-    scored = model.transform(rows).select(key, F.posexplode(vector_to_array("probability")).alias("_i", "probability")).filter(F.col("_i") < len(labels))
+    scored = model.transform(rows).select(
+        key, F.posexplode(vector_to_array("probability")).alias("_i", "probability"),
+    ).filter(F.col("_i") < len(labels))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("probability"), "_i"))
     names = F.array(*map(F.lit, labels))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "rank", F.get(names, F.col("_i")).alias(label), "probability")

@@ -18,7 +18,9 @@ def micros(ts: str | Column) -> Column:
 def dwell(visits: DataFrame) -> DataFrame:
     """dwell_minutes of visits of more than 0 and at most 45 days; others drop out."""
     minutes = (micros("departure_time") - micros("arrival_time")) / F.lit(60e6)
-    return visits.withColumn("dwell_minutes", minutes).filter((F.col("dwell_minutes") > 0) & (F.col("dwell_minutes") <= MAX_DWELL_DAYS * 1440)).withColumn("arrival_date", F.to_date("arrival_time"))
+    return visits.withColumn("dwell_minutes", minutes).filter(
+        (F.col("dwell_minutes") > 0) & (F.col("dwell_minutes") <= MAX_DWELL_DAYS * 1440)
+    ).withColumn("arrival_date", F.to_date("arrival_time"))
 
 
 def arrivals(rows: DataFrame, keys: list[str], time: str, unit: str, once_a_vessel: bool = False) -> DataFrame:
@@ -54,7 +56,9 @@ def occupancy(visits: DataFrame, keys: list[str], unit: str = "hour", max_rows:
     # a stay that begins within what the vessel's earlier ones reach only adds what lies beyond
     added = F.when(reach.isNull() | (F.col("first") > reach), F.col("first")).otherwise(reach + 1)
     spans = own.withColumn("begin", F.when(F.col("mmsi").isNotNull(), added))
-    change = lambda at, vessels, stays: F.struct(at.alias("at"), vessels.cast("long").alias("vessels"), F.lit(stays).cast("long").alias("stays"))
+    change = lambda at, vessels, stays: F.struct(
+        at.alias("at"), vessels.cast("long").alias("vessels"), F.lit(stays).cast("long").alias("stays"),
+    )
     some = (F.col("begin") <= F.col("last")).cast("int")
     changes = spans.select(*keys, F.inline(F.array(
         change(F.col("first"), F.lit(0), 1), change(F.col("last") + 1, F.lit(0), -1),
@@ -63,9 +67,14 @@ def occupancy(visits: DataFrame, keys: list[str], unit: str = "hour", max_rows:
     summed = changes.groupBy(*keys, "at").agg(F.sum("vessels").alias("vessels"), F.sum("stays").alias("stays"))
     group = Window.partitionBy(*keys).orderBy("at") if keys else Window.partitionBy(F.lit(0)).orderBy("at")
     run = group.rowsBetween(Window.unboundedPreceding, 0)
-    levels = summed.select(*keys, "at", F.lead("at").over(group).alias("next"), F.sum("vessels").over(run).alias("occupancy_vessels"), F.sum("stays").over(run).alias("occupancy_events"))
+    levels = summed.select(
+        *keys, "at", F.lead("at").over(group).alias("next"), F.sum("vessels").over(run).alias("occupancy_vessels"),
+        F.sum("stays").over(run).alias("occupancy_events"),
+    )
     levels = levels.filter("occupancy_events > 0")
-    return levels.select(*keys, F.explode(F.sequence("at", F.col("next") - 1)).alias("n"), "occupancy_vessels", "occupancy_events").select(*keys, back(F.col("n")).alias("bucket"), "occupancy_vessels", "occupancy_events")
+    return levels.select(
+        *keys, F.explode(F.sequence("at", F.col("next") - 1)).alias("n"), "occupancy_vessels", "occupancy_events",
+    ).select(*keys, back(F.col("n")).alias("bucket"), "occupancy_vessels", "occupancy_events")
 
 
 def prefer_visits(proxy: DataFrame, visits: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,17 +95,25 @@ def congestion(daily: DataFrame, stays: DataFrame) -> DataFrame:
     port = Window.partitionBy("port_key")
     arrivals_ratio = F.try_divide(F.col("arrivals_vessels"), F.nullif(F.median("arrivals_vessels").over(port), F.lit(0)))
     dwell_ratio = F.try_divide(F.col("median_dwell_minutes"), F.nullif(F.median("median_dwell_minutes").over(port), F.lit(0)))
-    own = own.select("*", F.col("median_dwell_minutes").isNotNull().alias("has_dwell"), F.coalesce(arrivals_ratio, F.lit(0.0)).alias("arrivals_ratio"), dwell_ratio.alias("dwell_ratio"))
+    own = own.select(
+        "*", F.col("median_dwell_minutes").isNotNull().alias("has_dwell"),
+        F.coalesce(arrivals_ratio, F.lit(0.0)).alias("arrivals_ratio"), dwell_ratio.alias("dwell_ratio"),
+    )
     return own.withColumn("congestion_index", F.col("arrivals_ratio") + F.coalesce("dwell_ratio", F.lit(0.0)))
 
 
 def catalog(daily: DataFrame, keys: list[str]) -> DataFrame:
-    return daily.groupBy(*keys).agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.sum("arrivals_vessels").alias("arrivals_total"))
+    return daily.groupBy(*keys).agg(
+        F.min("date").alias("first_seen"), F.max("date").alias("last_seen"), F.sum("arrivals_vessels").alias("arrivals_total"),
+    )
 
 
 def capabilities(daily: DataFrame, stays: DataFrame) -> DataFrame:
     """One row: what there is to ask about."""
-    a = daily.agg(F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count_distinct("port_key").alias("ports"), (F.count("*") > 0).alias("has_port_calls"))
+    a = daily.agg(
+        F.min("date").alias("date_min"), F.max("date").alias("date_max"), F.count_distinct("port_key").alias("ports"),
+        (F.count("*") > 0).alias("has_port_calls"),
+    )
     return a.crossJoin(F.broadcast(stays.agg((F.count("dwell_minutes") > 0).alias("has_dwell"))))  # one row by one row
 
 
@@ -104,7 +121,9 @@ def dwell_flags(stays: DataFrame, low: float = 0.1, high: float = 0.9) -> DataFr
     """short_dwell and long_dwell: below and above the port's quantiles, which are aggregated once a port and joined."""
     cuts = stays.groupBy(F.col("port_key").alias("_port")).agg(F.percentile("dwell_minutes", F.array(F.lit(low), F.lit(high))).alias("_cuts"))
     own = stays.join(cuts, F.col("port_key").eqNullSafe(F.col("_port")), "left")
-    return own.withColumns({"short_dwell": F.col("dwell_minutes") < F.col("_cuts")[0], "long_dwell": F.col("dwell_minutes") > F.col("_cuts")[1]}).drop("_port", "_cuts")
+    return own.withColumns(
+        {"short_dwell": F.col("dwell_minutes") < F.col("_cuts")[0], "long_dwell": F.col("dwell_minutes") > F.col("_cuts")[1]}
+    ).drop("_port", "_cuts")
 
 
 def port_day(stays: DataFrame, flags: list[str]) -> DataFrame:

@@ -49,7 +49,11 @@ def dates(rows: DataFrame, column: str, start: str | None = None, end: str | Non
 
 def dates_whole_days(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
     """Range whose last day counts to its end."""
-    return rows.filter((F.col(column) >= F.lit(start).cast("timestamp_ntz")) & (F.col(column) < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")))
+    return rows.filter(
+        (F.col(column) >= F.lit(start).cast("timestamp_ntz")) & (
+            F.col(column) < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
+        )
+    )
 
 
 def weekday_filter(rows: DataFrame, column: str, day: str) -> DataFrame:
@@ -80,7 +84,9 @@ def top_ports(daily: DataFrame, n: int = 10) -> DataFrame:
 
 
 def by_weekday(daily: DataFrame) -> DataFrame:
-    return daily.groupBy(F.weekday("date").alias("weekday"), F.date_format("date", "EEEE").alias("day_name")).agg(F.sum("arrivals_vessels").alias("arrivals"))
+    return daily.groupBy(
+        F.weekday("date").alias("weekday"), F.date_format("date", "EEEE").alias("day_name"),
+    ).agg(F.sum("arrivals_vessels").alias("arrivals"))
 
 
 def busiest_weekday(daily: DataFrame) -> DataFrame:
@@ -91,7 +97,10 @@ def compare_weekdays(daily: DataFrame, a: str, b: str) -> DataFrame:
     """Totals of two weekdays, their ratio (denominator at least 1) and the winner (the second on a tie)."""
     of = lambda d: F.coalesce(F.sum(F.when(F.weekday("date") == WEEKDAYS.index(d), F.col("arrivals_vessels"))), F.lit(0))
     own = daily.agg(of(a).alias("total_a"), of(b).alias("total_b"))
-    return own.select("*", (F.col("total_a") / F.greatest("total_b", F.lit(1))).alias("ratio"), F.when(F.col("total_a") > F.col("total_b"), a).otherwise(b).alias("winner"))
+    return own.select(
+        "*", (F.col("total_a") / F.greatest("total_b", F.lit(1))).alias("ratio"),
+        F.when(F.col("total_a") > F.col("total_b"), a).otherwise(b).alias("winner"),
+    )
 
 
 def busiest_hour(hourly: DataFrame) -> DataFrame:
@@ -110,16 +119,25 @@ def vessel_stays(stays: DataFrame, mmsi: str) -> DataFrame:
 
 
 def stay_totals(stays: DataFrame) -> DataFrame:
-    return stays.agg(F.count("*").alias("stays"), (F.sum("dwell_minutes") / 60).alias("total_hours"), F.median("dwell_minutes").alias("median_minutes"))
+    return stays.agg(
+        F.count("*").alias("stays"), (F.sum("dwell_minutes") / 60).alias("total_hours"),
+        F.median("dwell_minutes").alias("median_minutes"),
+    )
 
 
 def congestion_by_day(index: DataFrame) -> DataFrame:
-    return index.groupBy("date").agg(F.avg("congestion_index").alias("mean_index"), F.sum("arrivals_vessels").alias("arrivals"), F.median("median_dwell_minutes").alias("median_dwell"))
+    return index.groupBy("date").agg(
+        F.avg("congestion_index").alias("mean_index"), F.sum("arrivals_vessels").alias("arrivals"),
+        F.median("median_dwell_minutes").alias("median_dwell"),
+    )
 
 
 def congestion_peak(index: DataFrame) -> DataFrame:
     days = congestion_by_day(index)
-    return days.agg(F.avg("mean_index").alias("overall_mean"), F.max("mean_index").alias("peak_index"), F.max_by("date", F.struct("mean_index", -F.unix_date("date"))).alias("peak_date"))
+    return days.agg(
+        F.avg("mean_index").alias("overall_mean"), F.max("mean_index").alias("peak_index"),
+        F.max_by("date", F.struct("mean_index", -F.unix_date("date"))).alias("peak_date"),
+    )
 
 
 def compare_ports(ports: list[str], daily: DataFrame, stays: DataFrame, index: DataFrame) -> DataFrame:
@@ -132,22 +150,34 @@ def compare_ports(ports: list[str], daily: DataFrame, stays: DataFrame, index: D
 
 def compare_ports_of(ports: list[str], visits: DataFrame) -> DataFrame:
     """compare_ports() from visits alone: those of the ports are written once, and the three tables are built from them."""
-    own = written(visits.filter(F.col("port_key").isin(ports)).select("mmsi", "port_key", "vessel_type_norm", "arrival_time", "departure_time"), "compared")
+    own = written(
+        visits.filter(F.col("port_key").isin(ports)).select(
+            "mmsi", "port_key", "vessel_type_norm", "arrival_time", "departure_time",
+        ),
+        "compared",
+    )
     daily, stays = marts.arrivals(own, ["port_key"], "arrival_time", "day"), marts.dwell(own)
     return compare_ports(ports, daily, stays, marts.congestion(daily, stays))
 
 
 def diagnose(daily_by_type: DataFrame, stays: DataFrame, port: str, day: str) -> DataFrame:
     """One port and day: arrivals by type with that type's dwell."""
-    own = daily_by_type.filter((F.col("port_key") == port) & (F.col("date") == F.lit(day).cast("date"))).groupBy("vessel_type_norm").agg(F.sum("arrivals_vessels").alias("arrivals"))
-    there = stays.filter((F.col("port_key") == port) & (F.col("arrival_date") == F.lit(day).cast("date"))).groupBy("vessel_type_norm").agg(F.median("dwell_minutes").alias("median_dwell"), F.count("*").alias("stays"))
+    own = daily_by_type.filter(
+        (F.col("port_key") == port) & (F.col("date") == F.lit(day).cast("date"))
+    ).groupBy("vessel_type_norm").agg(F.sum("arrivals_vessels").alias("arrivals"))
+    there = stays.filter(
+        (F.col("port_key") == port) & (F.col("arrival_date") == F.lit(day).cast("date"))
+    ).groupBy("vessel_type_norm").agg(F.median("dwell_minutes").alias("median_dwell"), F.count("*").alias("stays"))
     return own.join(there, "vessel_type_norm", "left")
 
 
 def spikes(daily: DataFrame, keys: list[str], value: str, before: int = 7, least: int = 3, sigmas: float = 2.0) -> DataFrame:
     """Rows above mean + sigmas * standard deviation (rounded to nine digits) of up to `before` earlier rows, where there are `least` or more."""
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(-before, -1)
-    own = daily.select("*", F.avg(value).over(w).alias("mean_before"), F.stddev_samp(value).over(w).alias("std_before"), F.count(value).over(w).alias("n_before"))
+    own = daily.select(
+        "*", F.avg(value).over(w).alias("mean_before"), F.stddev_samp(value).over(w).alias("std_before"),
+        F.count(value).over(w).alias("n_before"),
+    )
     return own.filter((F.col("n_before") >= least) & (F.col(value) > F.round(F.col("mean_before") + sigmas * F.col("std_before"), 9)))
 
 

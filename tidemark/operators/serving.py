@@ -28,19 +28,31 @@ def last_points(rows: DataFrame, n: int = LAST, tie: str = "event_id", start: st
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """One row: the limits that training gives the rules, from all rows of lagged() with a course."""
-    return rows.agg(F.percentile(F.abs("acceleration"), 0.99).alias("spike_kn_h"), F.percentile("course_change", 0.95).alias("jitter_deg"), F.lit(JUMP_KM).alias("jump_km"), F.lit(JUMP_MINUTES).alias("jump_minutes"))
+    return rows.agg(
+        F.percentile(F.abs("acceleration"), 0.99).alias("spike_kn_h"), F.percentile("course_change", 0.95).alias("jitter_deg"),
+        F.lit(JUMP_KM).alias("jump_km"), F.lit(JUMP_MINUTES).alias("jump_minutes"),
+    )
 
 
-def rule_flags(points: DataFrame, spike: float | Column = SPIKE_KN_H, jitter: float | Column = JITTER_DEG, jump_km: float = JUMP_KM, minutes: float = JUMP_MINUTES) -> DataFrame:
+def rule_flags(
+    points: DataFrame, spike: float | Column = SPIKE_KN_H, jitter: float | Column = JITTER_DEG, jump_km: float = JUMP_KM,
+    minutes: float = JUMP_MINUTES,
+) -> DataFrame:
     """(mmsi, points, status, flags) of vessels from last_points() of lagged() rows with a course: speed_spike for an
     acceleration beyond the limit, course_jitter for a deviation of course changes, position_jump for a far step."""
     far = (F.col("step_km") > jump_km) & (F.col("delta_h") * 60 <= minutes)
-    own = points.groupBy("mmsi").agg(F.max("_points").alias("points"), F.max(F.abs("acceleration")).alias("a"), F.stddev_samp("course_change").alias("c"), F.bool_or(F.coalesce(far, F.lit(False))).alias("j"))
+    own = points.groupBy("mmsi").agg(
+        F.max("_points").alias("points"), F.max(F.abs("acceleration")).alias("a"), F.stddev_samp("course_change").alias("c"),
+        F.bool_or(F.coalesce(far, F.lit(False))).alias("j"),
+    )
     limit = lambda x: F.lit(x) if isinstance(x, float) else x
     tests = ((F.col("a") > limit(spike), "speed_spike"), (F.col("c") > limit(jitter), "course_jitter"), (F.col("j"), "position_jump"))
     enough = F.col("points") >= LEAST
     flags = F.array_compact(F.array(*[F.when(t, F.lit(name)) for t, name in tests]))
-    return own.select("mmsi", "points", F.when(enough, "ok").otherwise("not_enough_data").alias("status"), F.when(enough, flags).otherwise(F.array().cast("array<string>")).alias("flags"))
+    return own.select(
+        "mmsi", "points", F.when(enough, "ok").otherwise("not_enough_data").alias("status"),
+        F.when(enough, flags).otherwise(F.array().cast("array<string>")).alias("flags"),
+    )
 
 
 def rescaled(raw: Column, q01: Column, q50: Column) -> Column:
@@ -83,9 +95,14 @@ def serve_destination(model: PipelineModel | None, points: DataFrame, names: lis
     why = F.when(F.col("_points") < LEAST, "not_enough_data").otherwise("skipped")
     rest = latest.filter(short).select("mmsi", why.alias("status"))
     if model is None:
-        return rest.select("*", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias(label), F.lit(None).cast("double").alias("probability"))
+        return rest.select(
+            "*", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias(label),
+            F.lit(None).cast("double").alias("probability"),
+        )
     named = latest.filter(~short).drop(label).withColumn(label, F.lit("?"))
-    found = top_classes(model, named, "mmsi", label, k).select("mmsi", F.lit("ok").alias("status"), F.col("rank").cast("int").alias("rank"), label, "probability")
+    found = top_classes(model, named, "mmsi", label, k).select(
+        "mmsi", F.lit("ok").alias("status"), F.col("rank").cast("int").alias("rank"), label, "probability",
+    )
     return found.unionByName(rest, allowMissingColumns=True)
 
 
@@ -95,7 +112,11 @@ def serve_eta(model: PipelineModel | None, points: DataFrame, names: list[str],
     latest = with_features(points.filter("_age = 1"), names)
     enough = F.col("_points") >= LEAST
     if model is None:
-        return latest.select("mmsi", F.when(enough, "skipped").otherwise("not_enough_data").alias("status"), F.lit(None).cast("double").alias("eta_minutes"), F.lit(None).cast("timestamp_ntz").alias("eta"), F.lit(None).cast("double").alias("confidence"))
+        return latest.select(
+            "mmsi", F.when(enough, "skipped").otherwise("not_enough_data").alias("status"),
+            F.lit(None).cast("double").alias("eta_minutes"), F.lit(None).cast("timestamp_ntz").alias("eta"),
+            F.lit(None).cast("double").alias("confidence"),
+        )
     return confident(model.transform(latest).withColumn("minutes", F.when(enough, F.greatest(F.lit(0.0), F.col("prediction")))), mae)
 
 
@@ -103,7 +124,10 @@ def confident(rows: DataFrame, mae: float) -> DataFrame:
     """(mmsi, status, eta_minutes, eta, confidence) from rows with mmsi, ts and predicted minutes (null: not enough data)."""
     trust = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.lit(float(mae)) / F.greatest("minutes", F.lit(ETA_FLOOR))))
     eta = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("minutes") * 60e6).cast("long")).cast("timestamp_ntz")
-    return rows.select("mmsi", F.when(F.col("minutes").isNull(), "not_enough_data").otherwise("ok").alias("status"), F.col("minutes").alias("eta_minutes"), eta.alias("eta"), F.when(F.col("minutes").isNotNull(), trust).alias("confidence"))
+    return rows.select(
+        "mmsi", F.when(F.col("minutes").isNull(), "not_enough_data").otherwise("ok").alias("status"),
+        F.col("minutes").alias("eta_minutes"), eta.alias("eta"), F.when(F.col("minutes").isNotNull(), trust).alias("confidence"),
+    )
 
 
 def top_k_accuracy(predictions: DataFrame, truth: DataFrame, key: str, label: str, k: int) -> DataFrame:

@@ -24,8 +24,15 @@ def lagged(rows: DataFrame, tie: str = "event_id", course: str | None = None) ->
     w = track(tie)
     prev = lambda c: F.lag(c).over(w)
     hours = (micros("ts") - micros(prev("ts"))) / F.lit(3.6e9)
-    own = rows.select("*", F.when(hours > 0, hours).alias("delta_h"), haversine_km(prev("latitude"), prev("longitude"), F.col("latitude"), F.col("longitude")).alias("step_km"), (F.col("speed") - prev("speed")).alias("_ds"), *([angle_between(F.col(course), prev(course)).alias("course_change")] if course else []))
-    own = own.withColumn("speed_estimated_kn", F.try_divide(F.col("step_km"), F.col("delta_h") * 1.852)).withColumn("acceleration", F.try_divide(F.col("_ds"), F.col("delta_h"))).drop("_ds")
+    own = rows.select(
+        "*", F.when(hours > 0, hours).alias("delta_h"),
+        haversine_km(prev("latitude"), prev("longitude"), F.col("latitude"), F.col("longitude")).alias("step_km"),
+        (F.col("speed") - prev("speed")).alias("_ds"),
+        *([angle_between(F.col(course), prev(course)).alias("course_change")] if course else []),
+    )
+    own = own.withColumn(
+        "speed_estimated_kn", F.try_divide(F.col("step_km"), F.col("delta_h") * 1.852),
+    ).withColumn("acceleration", F.try_divide(F.col("_ds"), F.col("delta_h"))).drop("_ds")
     return own.withColumn("course_rate", F.try_divide(F.col("course_change"), F.col("delta_h"))) if course else own
 
 
@@ -50,7 +57,10 @@ def repaired_intervals(rows: DataFrame, tie: str = "event_id") -> DataFrame:
     return own.withColumn("ais_gap_flag", F.col("duration_h") > 0.5)
 
 
-def suspicious_jumps(rows: DataFrame, tie: str = "event_id", max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5, mmsi: object = None, start: str | None = None, end: str | None = None, port: tuple[str, ...] = ()) -> DataFrame:
+def suspicious_jumps(
+    rows: DataFrame, tie: str = "event_id", max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5,
+    mmsi: object = None, start: str | None = None, end: str | None = None, port: tuple[str, ...] = (),
+) -> DataFrame:
     """Steps of up to max_minutes that are long, or fast and not short; distances on a plane. All such steps are returned.
 
     Columns are added: previous place, minutes, jump_km, implied_kn, rule (distance_threshold where the step is long, else
@@ -65,10 +75,15 @@ def suspicious_jumps(rows: DataFrame, tie: str = "event_id", max_minutes: float
     w = track(tie)
     rows = rows.withColumns({"prev_latitude": F.lag("latitude").over(w), "prev_longitude": F.lag("longitude").over(w)})
     minutes = (micros("ts") - micros(F.lag("ts").over(w))) / F.lit(60e6)
-    own = rows.select("*", minutes.alias("minutes"), planar_km(F.col("prev_latitude"), F.col("prev_longitude"), F.col("latitude"), F.col("longitude")).alias("jump_km"))
+    own = rows.select(
+        "*", minutes.alias("minutes"),
+        planar_km(F.col("prev_latitude"), F.col("prev_longitude"), F.col("latitude"), F.col("longitude")).alias("jump_km"),
+    )
     own = own.withColumn("implied_kn", F.try_divide(F.col("jump_km"), F.col("minutes") / 60.0) / 1.852)
     far, fast = F.col("jump_km") >= km, (F.col("jump_km") >= least_km) & (F.col("implied_kn") >= knots)
-    return own.filter((F.col("minutes") > 0) & (F.col("minutes") <= max_minutes) & (far | fast)).withColumn("rule", F.when(far, "distance_threshold").otherwise("speed_threshold"))
+    return own.filter(
+        (F.col("minutes") > 0) & (F.col("minutes") <= max_minutes) & (far | fast)
+    ).withColumn("rule", F.when(far, "distance_threshold").otherwise("speed_threshold"))
 
 
 def position_jumps(rows: DataFrame, tie: str = "event_id", minutes: float = 30, km: float = 80) -> DataFrame:
@@ -77,14 +92,19 @@ def position_jumps(rows: DataFrame, tie: str = "event_id", minutes: float = 30,
     return own.withColumn("jump_flag", F.coalesce((F.col("delta_h") * 60 <= minutes) & (F.col("step_km") >= km), F.lit(False)))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], last: list[str], keep_null: bool = True) -> DataFrame:
+def as_of(
+    left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, values: list[str], last: list[str],
+    keep_null: bool = True,
+) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time: one exchange, one sort, no fan-out.
 
     last: columns whose largest values win where right rows share key and time. Left rows with a null key or time get
     no match, and take no part in the exchange; keep_null=False leaves them out, and what follows then has the rows
     dealt by `by` already. The right rows' values come as columns `values`, null without a match.
     """
-    deduped = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).groupBy(by, F.col(right_time).alias("_t")).agg(F.max_by(F.struct(*values), F.struct(*last)).alias("_right"))
+    deduped = right.filter(F.col(by).isNotNull() & F.col(right_time).isNotNull()).groupBy(by, F.col(right_time).alias("_t")).agg(
+        F.max_by(F.struct(*values), F.struct(*last)).alias("_right")
+    )
     whole = F.col(by).isNotNull() & F.col(left_time).isNotNull()
     rest = [c for c in left.columns if c != by]
     own = left.filter(whole).select(F.col(by), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"))
@@ -100,7 +120,10 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time
 
 def attach_visits(positions: DataFrame, visits: DataFrame, keep_null: bool = True) -> DataFrame:
     """Latest visit begun at or before each position; cleared where the position is past its departure."""
-    own = as_of(positions, visits, "mmsi", "ts", "arrival_time", ["call_id", "port_key", "arrival_time", "departure_time"], ["departure_time", "call_id"], keep_null)
+    own = as_of(
+        positions, visits, "mmsi", "ts", "arrival_time", ["call_id", "port_key", "arrival_time", "departure_time"],
+        ["departure_time", "call_id"], keep_null,
+    )
     inside = F.col("ts") <= F.col("departure_time")
     cleared = {c: F.when(inside, F.col(c)) for c in ("call_id", "port_key", "arrival_time", "departure_time")}
     return own.withColumn("inside_call", F.coalesce(inside, F.lit(False))).withColumns(cleared)

@@ -52,9 +52,16 @@ def build_marts(spark: SparkSession, paths: list[str], folder: str) -> Built:
         files.write_mart(whole, f"{folder}/{name}")
     arrivals = spark.read.parquet(f"{folder}/arrivals_daily")
     files.write_mart(marts.catalog(arrivals, ["port_key", "source_kind"]), f"{folder}/port_catalog")
-    stays = spark.read.parquet(f"{folder}/dwell_time") if visits is not None else spark.createDataFrame([], "port_key string, arrival_date date, dwell_minutes double")
-    totals = lambda kind: arrivals.filter(F.col("source_kind") == kind).groupBy("port_key", "date").agg(F.sum("arrivals_vessels").alias("arrivals_vessels"), F.sum("arrivals_events").alias("arrivals_events"))
-    files.write_mart(marts.congestion(marts.prefer_visits(totals("positions"), totals("visits"), ["port_key", "date"]), stays), f"{folder}/congestion_daily")
+    stays = spark.read.parquet(f"{folder}/dwell_time") if visits is not None else spark.createDataFrame(
+        [], "port_key string, arrival_date date, dwell_minutes double",
+    )
+    totals = lambda kind: arrivals.filter(F.col("source_kind") == kind).groupBy("port_key", "date").agg(
+        F.sum("arrivals_vessels").alias("arrivals_vessels"), F.sum("arrivals_events").alias("arrivals_events"),
+    )
+    files.write_mart(
+        marts.congestion(marts.prefer_visits(totals("positions"), totals("visits"), ["port_key", "date"]), stays),
+        f"{folder}/congestion_daily",
+    )
     found = marts.capabilities(arrivals, stays).first().asDict()
     document = {k: str(v) if k.startswith("date") else v for k, v in found.items()}
     spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/capabilities")
@@ -74,13 +81,21 @@ def build_inventory(positions: DataFrame, visits: DataFrame, folder: str, factor
     digest = emissions.registry_hash(used)
     rows = trajectory.lagged(trajectory.attach_visits(positions, visits, keep_null=False))  # dealt by vessel once
     rows = trajectory.repaired_intervals(emissions.assign_modes(rows))
-    rows = emissions.row_emissions(emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used), used.get("sigmas"))
+    rows = emissions.row_emissions(
+        emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used), used.get("sigmas"),
+    )
     cut = trajectory.segments(rows, call="call_id")
     files.write_mart(emissions.with_evidence(emissions.segment_totals(cut), digest), f"{folder}/segments")
     written = positions.sparkSession.read.parquet(f"{folder}/segments")
     files.write_mart(emissions.roll_up(written.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]), f"{folder}/daily_port")
     files.write_mart(emissions.roll_up(written.filter("call_id is not null"), ["call_id", "mmsi"]), f"{folder}/calls")
-    files.write_mart(written.select("evidence_id", "segment_id", "mmsi", "call_id", "port_key", "timestamp_start", "timestamp_end", "row_count", *emissions.POLLUTANTS), f"{folder}/evidence")
+    files.write_mart(
+        written.select(
+            "evidence_id", "segment_id", "mmsi", "call_id", "port_key", "timestamp_start", "timestamp_end", "row_count",
+            *emissions.POLLUTANTS,
+        ),
+        f"{folder}/evidence",
+    )
     about = {"version": used.get("version", "built-in"), "hash": digest, "document_sha256": checksum, "interval": "analytic"}
     positions.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/params_version")
     return digest
@@ -105,9 +120,16 @@ def training_rows(positions: DataFrame, destinations: DataFrame | None = None) -
     own = trajectory.lagged(tied, course="course")
     for column, widths in (("speed", (3, 5, 10)), ("speed_estimated_kn", (5, 10)), ("course_change", (5, 10))):
         own = trajectory.rolling(own, column, widths, std=column == "speed")
-    own = own.withColumns({"hour": hour_of_day(F.col("ts")), "weekday": F.weekday("ts"), "eta_minutes": eta_minutes(F.col("ts"), F.col("eta")) if "eta" in own.columns else F.lit(None).cast("double")})
+    own = own.withColumns(
+        {
+            "hour": hour_of_day(F.col("ts")), "weekday": F.weekday("ts"),
+            "eta_minutes": eta_minutes(F.col("ts"), F.col("eta")) if "eta" in own.columns else F.lit(None).cast("double"),
+        }
+    )
     own = own.filter(F.col("destination_norm").isNotNull() & (F.col("destination_norm") != "UNKNOWN"))
-    return own if destinations is None else own.join(F.broadcast(destinations.select("destination_norm").distinct().limit(80)), "destination_norm", "left_semi")
+    return own if destinations is None else own.join(
+        F.broadcast(destinations.select("destination_norm").distinct().limit(80)), "destination_norm", "left_semi",
+    )
 
 
 def build_chunks(stays: DataFrame, proxy_days: DataFrame, folder: str) -> dict[str, int]:

@@ -61,7 +61,10 @@ class Engine:
             notes += [scope.note] if scope.note else []
         elif port:
             q.ports = [port, *(p for p in q.ports if p != port)]
-        answer = {"A": self._describe, "B": self._pattern, "C": self._forecast, "D": self._compare, "E": self._diagnose, "F": self._anomaly, "H": self._emissions}[q.intent](q)
+        answer = {
+            "A": self._describe, "B": self._pattern, "C": self._forecast, "D": self._compare, "E": self._diagnose,
+            "F": self._anomaly, "H": self._emissions,
+        }[q.intent](q)
         answer.port, answer.notes = q.port, answer.notes + notes
         return answer
 
@@ -121,7 +124,12 @@ class Engine:
 
     def _compare(self, q: Question) -> Answer:
         ports = [p.upper() for p in q.ports] or [r["port_key"] for r in questions.top_ports(self.tables["arrivals_daily"], 5).collect()]
-        return self._done(q, questions.compare_ports(ports, self.tables["arrivals_daily"], self.tables["dwell_time"], self.tables["congestion_daily"]))
+        return self._done(
+            q,
+            questions.compare_ports(
+                ports, self.tables["arrivals_daily"], self.tables["dwell_time"], self.tables["congestion_daily"],
+            ),
+        )
 
     def _diagnose(self, q: Question) -> Answer:
         daily = self.tables["arrivals_daily"]
@@ -152,7 +160,10 @@ class Engine:
             rows = match_call(rows.filter(F.col("mmsi").cast("string") == q.mmsi) if q.mmsi else rows, q.call_id)
             found = [r["call_id"] for r in rows.select("call_id").distinct().limit(10).collect()]
             if len(found) != 1:
-                return Answer("H", "no_data", state="NOT_COMPUTABLE", notes=["several calls" if found else "no such call"], diagnostics={"candidates": found, "sanity_status": "warning" if found else "checked"})
+                return Answer(
+                    "H", "no_data", state="NOT_COMPUTABLE", notes=["several calls" if found else "no such call"],
+                    diagnostics={"candidates": found, "sanity_status": "warning" if found else "checked"},
+                )
             table, state = emissions.roll_up(emissions.call_linked(rows), ["call_id"]), None
         else:
             daily = self.tables.get("daily_port")
@@ -160,16 +171,24 @@ class Engine:
             if q.port:
                 rows, daily = (questions.port_filter_loose(x, q.port, ("port_key",)) for x in (rows, daily))
             if q.date_from and q.date_to:
-                rows, daily = questions.dates_whole_days(rows, "timestamp_start", q.date_from, q.date_to), daily.filter(F.col("date").between(F.lit(q.date_from).cast("date"), F.lit(q.date_to).cast("date")))
+                rows, daily = questions.dates_whole_days(rows, "timestamp_start", q.date_from, q.date_to), daily.filter(
+                    F.col("date").between(F.lit(q.date_from).cast("date"), F.lit(q.date_to).cast("date"))
+                )
             monthly = "monthly" in low or "per month" in low
             # the rule holds for the scope as a whole: daily rows only where no call is in it
             table = emissions.port_emissions(emissions.with_intervals(rows), daily, "month" if monthly else "day", [] if not q.port else ["port_key"])
         table = written(table, "answer")
         total = table.agg(F.count("*").alias("n"), F.sum(metric).alias("t")).first()
         checks = emissions.scope_diagnostics(rows, metric, baseline=self.tables.get("daily_port")).first()
-        diagnostics = {**checks.asDict(), "total": total["t"], "mode": ",".join(r[0] for r in table.select("basis").distinct().collect()) if "basis" in table.columns else "call"}
+        diagnostics = {
+            **checks.asDict(), "total": total["t"],
+            "mode": ",".join(r[0] for r in table.select("basis").distinct().collect()) if "basis" in table.columns else "call",
+        }
         state = emissions.result_state(total["n"], total["t"], evidence=checks["raw_rows"])
-        return Answer("H", "ok" if state.startswith("COMPUTED") else "no_data", table, state, [str(w) for w in checks["warnings"]], diagnostics=diagnostics)
+        return Answer(
+            "H", "ok" if state.startswith("COMPUTED") else "no_data", table, state, [str(w) for w in checks["warnings"]],
+            diagnostics=diagnostics,
+        )
 
 
 def match_call(rows: DataFrame, call: str) -> DataFrame:

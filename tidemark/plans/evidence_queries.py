@@ -29,10 +29,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.filter("weight > 0").select("item_id", "slot", _r("weight"))
 
 
-@register("rt15_unit_vectors", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS square, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+@register(
+    "rt15_unit_vectors",
+    "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS square, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "embeddings").select("vec_id", evidence.unit(F.col("embedding")).alias("u"))
-    return own.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"), F.round(F.col("u")[0], 6).alias("first"))
+    return own.select(
+        "vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"),
+        F.round(F.col("u")[0], 6).alias("first"),
+    )
 
 
 @register("tk7_documents_top_k", f"""WITH {_SLOTS}, dots AS (SELECT q.item_id AS query_id, v.item_id, sum(q.weight * v.weight) AS dot FROM vectors q JOIN vectors v USING (slot) WHERE q.item_id % {_EVERY} = 0 GROUP BY ALL),
@@ -50,11 +56,20 @@ _CHUNKS = f"""{CALLS}, days AS (SELECT port_key AS port, arrival_date AS date, c
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     days = marts.port_day(marts.dwell(visits(spark, d)), [])
-    own = days.select(F.concat_ws("_", F.lit("portday"), "port_key", F.col("date").cast("string")).alias("id"), F.col("port_key").alias("port"), F.concat(F.lit("NA"), F.substring("port_key", 8, 9)).alias("locode"), "date", "arrivals")
-    return own.select("id", "port", "locode", "date", (F.col("arrivals") > 1).alias("anomaly"), F.when(F.col("arrivals") % 2 == 0, "Tanker").otherwise("cargo").alias("vessel_type"))
-
-
-@register("fi11_chunk_filter", f"WITH {_CHUNKS} SELECT id FROM chunks WHERE (contains(port, 'NATION_1') OR locode = 'NATION_1') AND lower(vessel_type) = 'cargo' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND NOT anomaly")
+    own = days.select(
+        F.concat_ws("_", F.lit("portday"), "port_key", F.col("date").cast("string")).alias("id"), F.col("port_key").alias("port"),
+        F.concat(F.lit("NA"), F.substring("port_key", 8, 9)).alias("locode"), "date", "arrivals",
+    )
+    return own.select(
+        "id", "port", "locode", "date", (F.col("arrivals") > 1).alias("anomaly"),
+        F.when(F.col("arrivals") % 2 == 0, "Tanker").otherwise("cargo").alias("vessel_type"),
+    )
+
+
+@register(
+    "fi11_chunk_filter",
+    f"WITH {_CHUNKS} SELECT id FROM chunks WHERE (contains(port, 'NATION_1') OR locode = 'NATION_1') AND lower(vessel_type) = 'cargo' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND NOT anomaly",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     f = evidence.ChunkFilters(" nation_1 ", "Cargo", False, "1996-01-01", "1999-12-31")
     return _chunks(spark, d).filter(f.matches()).select("id")
@@ -65,9 +80,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).filter(evidence.ChunkFilters("nation_1", "CARGO").pushed()).select("id")
 
 
-@register("fi19_metadata_condition", f"WITH {CALLS} SELECT call_id FROM calls WHERE port_key = 'NATION_6' AND arrival_date::VARCHAR >= '1996-06-01' AND vessel_type_norm = '1-URGENT'")
+@register(
+    "fi19_metadata_condition",
+    f"WITH {CALLS} SELECT call_id FROM calls WHERE port_key = 'NATION_6' AND arrival_date::VARCHAR >= '1996-06-01' AND vessel_type_norm = '1-URGENT'",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = visits(spark, d).withColumns({"locode": F.col("port_key"), "vessel_type": F.lower("vessel_type_norm"), "date": F.date_format("arrival_time", "yyyy-MM-dd")})
+    rows = visits(spark, d).withColumns(
+        {
+            "locode": F.col("port_key"), "vessel_type": F.lower("vessel_type_norm"),
+            "date": F.date_format("arrival_time", "yyyy-MM-dd"),
+        }
+    )
     f = evidence.Filters(locode=" nation_6 ", vessel_type=" 1-Urgent", date_from="1996-06-01")
     return rows.filter(f.condition()).select("call_id")
 
@@ -94,20 +117,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).select("id", _hit().alias("hit"))
 
 
-@register("ag36_evaluation", f"WITH {_FOUND}, q AS (SELECT vessel_type, query_id, bool_or(hit) AS hit, max(latency_ms) AS ms, bool_or(anomaly) AS bad FROM hits GROUP BY ALL) SELECT vessel_type, round(avg(hit::INT), 6) AS hit_rate, round(avg(ms), 6) AS mean_latency_ms, round(avg(bad::INT), 6) AS ungrounded_rate, count(*)::BIGINT AS queries FROM q GROUP BY ALL")
+@register(
+    "ag36_evaluation",
+    f"WITH {_FOUND}, q AS (SELECT vessel_type, query_id, bool_or(hit) AS hit, max(latency_ms) AS ms, bool_or(anomaly) AS bad FROM hits GROUP BY ALL) SELECT vessel_type, round(avg(hit::INT), 6) AS hit_rate, round(avg(ms), 6) AS mean_latency_ms, round(avg(bad::INT), 6) AS ungrounded_rate, count(*)::BIGINT AS queries FROM q GROUP BY ALL",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = evidence.evaluation(_found(spark, d), ["vessel_type"], _hit())
     return own.select("vessel_type", _r("hit_rate"), _r("mean_latency_ms"), _r("ungrounded_rate"), "queries")
 
 
-@register("wi16_relevance_ranks", f"WITH {_FOUND} SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY latency_ms, id)::INT AS rank, hit FROM hits")
+@register(
+    "wi16_relevance_ranks",
+    f"WITH {_FOUND} SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY latency_ms, id)::INT AS rank, hit FROM hits",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.ranked(_found(spark, d).withColumn("hit", _hit()), "query_id", ["latency_ms", "id"]).select("id", "rank", "hit")
 
 
-@register("jo10_candidates", f"WITH {CALLS} SELECT call_id, port_key FROM calls WHERE call_id IN (SELECT o_orderkey || '-1' FROM orders WHERE o_orderkey % {_EVERY} = 0)")
+@register(
+    "jo10_candidates",
+    f"WITH {CALLS} SELECT call_id, port_key FROM calls WHERE call_id IN (SELECT o_orderkey || '-1' FROM orders WHERE o_orderkey % {_EVERY} = 0)",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    ids = read(spark, d, "orders").filter(F.col("o_orderkey") % _EVERY == 0).select(F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).alias("call_id"))
+    ids = read(spark, d, "orders").filter(F.col("o_orderkey") % _EVERY == 0).select(
+        F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).alias("call_id")
+    )
     return retrieval.by_ids(visits(spark, d), ids, "call_id").select("call_id", "port_key")
 
 
@@ -133,14 +167,23 @@ SELECT * FROM typed""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     names = read(spark, d, "nation").select("n_name")
     arrivals = visits(spark, d).groupBy("port_key").agg(F.count("*").alias("arrivals_total"))
-    catalog = ports.Catalog.of(names.join(arrivals, F.col("n_name") == F.col("port_key"), "left").select(F.col("n_name").alias("port_key"), "arrivals_total"))
+    catalog = ports.Catalog.of(
+        names.join(
+            arrivals, F.col("n_name") == F.col("port_key"), "left",
+        ).select(F.col("n_name").alias("port_key"), "arrivals_total")
+    )
     n = F.col("n_name")
-    tokens = names.select(F.lower(n).alias("token")).union(names.filter(F.length(n) == 9).select(F.concat(F.lit("Port of  "), n))).union(names.select(F.replace(n, F.lit("NAT"), F.lit("NATT"))))
+    tokens = names.select(F.lower(n).alias("token")).union(
+        names.filter(F.length(n) == 9).select(F.concat(F.lit("Port of  "), n))
+    ).union(names.select(F.replace(n, F.lit("NAT"), F.lit("NATT"))))
     tokens = tokens.union(spark.createDataFrame([(t,) for t in ("Göteborg", "Klaipėda", "Kotka", "lv rix", "Atlantis")], "token string"))
     return ports.resolved(tokens, catalog)
 
 
-@register("fi16_call_linked", f"WITH {CALLS} SELECT port_key, count(*)::BIGINT AS visits FROM calls WHERE l_even GROUP BY ALL".replace("l_even", "call_id NOT LIKE '%-1'"))
+@register(
+    "fi16_call_linked",
+    f"WITH {CALLS} SELECT port_key, count(*)::BIGINT AS visits FROM calls WHERE l_even GROUP BY ALL".replace("l_even", "call_id NOT LIKE '%-1'"),
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = visits(spark, d).withColumn("call_id", F.when(~F.col("call_id").like("%-1"), F.col("call_id")).otherwise(F.lit("")))
     return questions.call_linked(rows).groupBy("port_key").agg(F.count("*").alias("visits"))
@@ -153,7 +196,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("id", "port", "date", "vessel_type", "anomaly_kind", "anomaly", "mmsi", "event_type")
 
 
-@register("pr21_position_events", f"""WITH {POS} SELECT 'position_' || event_id AS id, 'Vessel ' || mmsi || ' was at ' || printf('%.5f', latitude) || ', ' || printf('%.5f', longitude) || ' on ' || strftime(ts, '%Y-%m-%d') || ' moving at ' || printf('%.1f', round(speed, 0)) || ' knots. Unusual: ' || CASE WHEN event_id % 7 = 0 THEN 'position jump' ELSE 'none' END || '.' AS text, mode AS port, event_id % 7 = 0 AS anomaly FROM pos""")
+@register(
+    "pr21_position_events",
+    f"""WITH {POS} SELECT 'position_' || event_id AS id, 'Vessel ' || mmsi || ' was at ' || printf('%.5f', latitude) || ', ' || printf('%.5f', longitude) || ' on ' || strftime(ts, '%Y-%m-%d') || ' moving at ' || printf('%.1f', round(speed, 0)) || ' knots. Unusual: ' || CASE WHEN event_id % 7 = 0 THEN 'position jump' ELSE 'none' END || '.' AS text, mode AS port, event_id % 7 = 0 AS anomaly FROM pos""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = positions(spark, d).withColumns({"speed": F.round("speed", 0), "jump_flag": F.col("event_id") % 7 == 0, "destination_norm": F.col("mode")})
     return retrieval.position_event_chunks(rows).select("id", "text", "port", "anomaly")

@@ -51,14 +51,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return learning.closest_name(read(spark, d, "nation").select(F.regexp_replace("n_name", "_", "-").alias("name")), ports, "name")
 
 
-@register("rt10_relevance", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS w FROM benchmark) SELECT a.item_id, least(len(list_intersect(a.w, b.w)), 2)::INT AS relevance FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+@register(
+    "rt10_relevance",
+    """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) AS w FROM benchmark) SELECT a.item_id, least(len(list_intersect(a.w, b.w)), 2)::INT AS relevance FROM t a JOIN t b ON b.item_id = a.item_id + 1""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = read(spark, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     return b.join(other, "item_id").select("item_id", token_overlap(F.col("text"), F.col("other")).alias("relevance"))
 
 
-@register("ev1_ungrounded", """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]{2,}')) AS w FROM benchmark) SELECT a.item_id, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) > 0 AS ungrounded FROM t a JOIN t b ON b.item_id = a.item_id + 1""")
+@register(
+    "ev1_ungrounded",
+    """WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(text, '[A-Z][A-Za-z0-9]{2,}')) AS w FROM benchmark) SELECT a.item_id, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) > 0 AS ungrounded FROM t a JOIN t b ON b.item_id = a.item_id + 1""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     b = read(spark, d, "benchmark")
     other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
@@ -105,7 +111,10 @@ def engine(spark: SparkSession, d: str) -> Engine:
     daily = marts.arrivals(visits(spark, d), ["port_key", "vessel_type_norm"], "arrival_time", "day")
     whole = marts.arrivals(visits(spark, d), ["port_key"], "arrival_time", "day")
     hourly = marts.arrivals(visits(spark, d), ["port_key"], "arrival_time", "hour")
-    tables = {"arrivals_daily": daily, "arrivals_hourly": hourly, "dwell_time": stays, "congestion_daily": marts.congestion(whole, stays), "positions": positions(spark, d), "segments": _segments(spark, d)}
+    tables = {
+        "arrivals_daily": daily, "arrivals_hourly": hourly, "dwell_time": stays,
+        "congestion_daily": marts.congestion(whole, stays), "positions": positions(spark, d), "segments": _segments(spark, d),
+    }
     return Engine(spark, tables)
 
 

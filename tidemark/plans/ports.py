@@ -80,7 +80,12 @@ class Catalog:
             d = r.asDict()
             code = (d.get("locode_norm") or "").upper()
             own = (d.get("source_kind") or "").lower() in ("port_call", "visits") and re.fullmatch("[A-Z]{5}", code) is not None
-            out.append(Port(str(d["port_key"]), code, d.get("port_label") or str(d["port_key"]), d.get("port_name_norm") or "", float(d.get("arrivals_total") or 0), own))
+            out.append(
+                Port(
+                    str(d["port_key"]), code, d.get("port_label") or str(d["port_key"]), d.get("port_name_norm") or "",
+                    float(d.get("arrivals_total") or 0), own,
+                )
+            )
         return cls(out)
 
     def _best(self, found: list[int], rank=lambda i: 0.0) -> str | None:
@@ -137,7 +142,9 @@ def scan(text: str) -> list[str]:
     ws, out = words(text), []
     for w, after in zip(ws, [*ws[1:], None], strict=True):
         pair = w.text + after.text if after and len(w.text) == 2 and len(after.text) == 3 and not w.stop else ""
-        out += [t.upper() for t in (w.text, pair) if len(t) == 5 and t.isalpha() and t[:2].upper() in COUNTRIES and t.upper() not in NO_PORTS and is_code(t)]
+        out += [
+            t.upper() for t in (w.text, pair) if len(t) == 5 and t.isalpha() and t[:2].upper() in COUNTRIES and t.upper() not in NO_PORTS and is_code(t)
+        ]
     low = plain(text)
     return list(dict.fromkeys([*out, *(a for a in ALIASES if a in low)]))[:MOST_SCANNED]
 
@@ -149,6 +156,12 @@ def resolved(tokens: DataFrame, catalog: Catalog, column: str = "token") -> Data
         for batch in batches:
             own = batch.column(0).to_pylist()
             memo = {t: catalog.resolve(t) for t in set(own)}
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([memo[t] for t in own], pa.string()), pa.array([catalog.known(memo[t]) for t in own], pa.bool_())], names=[column, "resolved", "known"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([memo[t] for t in own], pa.string()),
+                    pa.array([catalog.known(memo[t]) for t in own], pa.bool_()),
+                ],
+                names=[column, "resolved", "known"],
+            )
 
     return tokens.select(tokens[column].cast("string").alias(column)).mapInArrow(run, f"{column} string, resolved string, known boolean")

@@ -27,38 +27,65 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("pr3_identifier", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey::VARCHAR END AS identifier FROM orders""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0"))).when(F.col("o_orderkey") % 3 == 2, F.col("o_custkey").cast("string"))
+    raw = F.when(
+        F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0")),
+    ).when(F.col("o_orderkey") % 3 == 2, F.col("o_custkey").cast("string"))
     return read(spark, d, "orders").select("o_orderkey", clean.identifier(raw).alias("identifier"))
 
 
-@register("pr4_locode_and_key", """SELECT c_custkey, 'NA' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS locode, CASE WHEN c_custkey % 2 = 0 THEN 'NA' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') ELSE upper(c_mktsegment) END AS port_key FROM customer""")
+@register(
+    "pr4_locode_and_key",
+    """SELECT c_custkey, 'NA' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') AS locode, CASE WHEN c_custkey % 2 = 0 THEN 'NA' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') ELSE upper(c_mktsegment) END AS port_key FROM customer""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit("na "), F.lpad((F.col("c_custkey") % 1000).cast("string"), 3, "0"))
     code = clean.locode(raw)
-    return read(spark, d, "customer").select("c_custkey", code.alias("locode"), clean.port_key(F.when(F.col("c_custkey") % 2 == 0, code), F.col("c_mktsegment")).alias("port_key"))
+    return read(spark, d, "customer").select(
+        "c_custkey", code.alias("locode"),
+        clean.port_key(F.when(F.col("c_custkey") % 2 == 0, code), F.col("c_mktsegment")).alias("port_key"),
+    )
 
 
 @register("pr7_number", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value FROM events""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("event_id") % 4 == 0, "n/a").when(F.col("event_id") % 4 == 1, F.replace(F.col("value").cast("string"), F.lit("."), F.lit(","))).otherwise(F.col("value").cast("string"))
+    raw = F.when(F.col("event_id") % 4 == 0, "n/a").when(
+        F.col("event_id") % 4 == 1, F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")),
+    ).otherwise(F.col("value").cast("string"))
     return read(spark, d, "events").select("event_id", clean.number_comma(raw).alias("value"))
 
 
-@register("pr14_time_parts", """SELECT event_id, round(hour(ts) + minute(ts) / 60e0, 6) AS hour_of_day, (isodow(ts) - 1)::INT AS weekday FROM events""")
+@register(
+    "pr14_time_parts",
+    """SELECT event_id, round(hour(ts) + minute(ts) / 60e0, 6) AS hour_of_day, (isodow(ts) - 1)::INT AS weekday FROM events""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", F.round(clean.hour_of_day(F.col("ts")), 6).alias("hour_of_day"), F.weekday("ts").alias("weekday"))
+    return read(spark, d, "events").select(
+        "event_id", F.round(clean.hour_of_day(F.col("ts")), 6).alias("hour_of_day"), F.weekday("ts").alias("weekday"),
+    )
 
 
-@register("pr13_stable_id", f"""WITH {POS} SELECT event_id, mmsi || '_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '_' || printf('%.5f', latitude) || '_' || printf('%.5f', longitude) AS stable_id FROM pos""")
+@register(
+    "pr13_stable_id",
+    f"""WITH {POS} SELECT event_id, mmsi || '_' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '_' || printf('%.5f', latitude) || '_' || printf('%.5f', longitude) AS stable_id FROM pos""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     from .views import positions
 
-    return positions(spark, d).select("event_id", clean.position_id(F.col("mmsi").cast("string"), F.col("ts"), F.col("latitude"), F.col("longitude")).alias("stable_id"))
+    return positions(spark, d).select(
+        "event_id",
+        clean.position_id(F.col("mmsi").cast("string"), F.col("ts"), F.col("latitude"), F.col("longitude")).alias("stable_id"),
+    )
 
 
-@register("pr20_vessel_class", """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'tanker' WHEN 1 THEN 'cargo' WHEN 2 THEN 'container' WHEN 3 THEN 'passenger' WHEN 4 THEN 'unknown' ELSE 'tanker' END AS vessel_class FROM part""")
+@register(
+    "pr20_vessel_class",
+    """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'tanker' WHEN 1 THEN 'cargo' WHEN 2 THEN 'container' WHEN 3 THEN 'passenger' WHEN 4 THEN 'unknown' ELSE 'tanker' END AS vessel_class FROM part""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.element_at(F.array(*map(F.lit, ("Oil Tanker", "bulk carrier", " container ship", "passenger/ro-ro", "ferry", "crude oil tanker 2"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    kinds = F.element_at(
+        F.array(*map(F.lit, ("Oil Tanker", "bulk carrier", " container ship", "passenger/ro-ro", "ferry", "crude oil tanker 2"))),
+        (F.col("p_partkey") % 6 + 1).cast("int"),
+    )
     return read(spark, d, "part").select("p_partkey", clean.vessel_class(kinds).alias("vessel_class"))
 
 
@@ -78,13 +105,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("text"))
 
 
-@register("sc13_page_chunks", f"""WITH t AS (SELECT page_id, url, {_html_sql('html')} AS text FROM pages) SELECT page_id, url, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM t, unnest(range(0, length(text), 1000)) AS r(s)""")
+@register(
+    "sc13_page_chunks",
+    f"""WITH t AS (SELECT page_id, url, {_html_sql('html')} AS text FROM pages) SELECT page_id, url, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM t, unnest(range(0, length(text), 1000)) AS r(s)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = files.page_chunks(read(spark, d, "pages"), "page_id")
     return own.select("page_id", "url", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@register("ar1_fixed_chunks", """SELECT doc_id, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM documents, unnest(range(0, length(text), 1000)) AS t(s)""")
+@register(
+    "ar1_fixed_chunks",
+    """SELECT doc_id, (s // 1000)::INT AS chunk_no, md5(substr(text, (s + 1)::INT, 1200)) AS chunk_md5 FROM documents, unnest(range(0, length(text), 1000)) AS t(s)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "documents").select("doc_id", F.inline(text.fixed_chunks(F.col("text"), 1200, 200)))
     return own.select("doc_id", "chunk_no", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
@@ -126,20 +159,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(_queries(spark, d), corpus, 5).select("query_id", "rank", "vec_id")
 
 
-@register("ag36_hit_at_k", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')}, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""")
+@register(
+    "ag36_hit_at_k",
+    f"""WITH {
+        _TOP.format(more='AND e.vec_id <> q.vec_id')
+    }, h AS (SELECT query_id, bool_or(ql = el) AS hit FROM top GROUP BY ALL) SELECT round(avg(hit::INT), 6) AS hit_rate, count(*)::BIGINT AS queries FROM h""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     labels = read(spark, d, "embeddings").select("vec_id", "label")
-    labelled = _others(spark, d).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    labelled = _others(spark, d).join(labels, "vec_id").join(
+        labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id",
+    )
     return retrieval.hit_at_k(labelled, [], F.col("label") == F.col("query_label")).select(_r("hit_rate"), "queries")
 
 
-@register("rt4_strict_gate", f"""WITH {_TOP.format(more='AND e.vec_id <> q.vec_id')} SELECT q.vec_id AS query_id, count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM embeddings q LEFT JOIN top ON query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
+@register(
+    "rt4_strict_gate",
+    f"""WITH {
+        _TOP.format(more='AND e.vec_id <> q.vec_id')
+    } SELECT q.vec_id AS query_id, count(distance)::BIGINT AS n, round(min(distance), 5) AS nearest, count(distance) > 0 AND min(distance) <= 0.42 AS answer FROM embeddings q LEFT JOIN top ON query_id = q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     found = _queries(spark, d).select("query_id").join(_others(spark, d), "query_id", "left")
     return retrieval.strict_gate(found, keys=["query_id"]).select("query_id", "n", _r("nearest", 5), "answer")
 
 
-@register("rt7_event_chunks", f"""WITH {CALLS} SELECT 'event_' || call_id AS id, 'Vessel ' || mmsi || ' called at ' || port_key || ' on ' || strftime(arrival_time, '%Y-%m-%d') || ' and stayed ' || printf('%.1f', dwell_minutes / 60) || ' hours.' AS text, port_key AS port FROM calls""")
+@register(
+    "rt7_event_chunks",
+    f"""WITH {CALLS} SELECT 'event_' || call_id AS id, 'Vessel ' || mmsi || ' called at ' || port_key || ' on ' || strftime(arrival_time, '%Y-%m-%d') || ' and stayed ' || printf('%.1f', dwell_minutes / 60) || ' hours.' AS text, port_key AS port FROM calls""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.event_chunks(marts.dwell(visits(spark, d))).select("id", "text", "port")
 
@@ -150,7 +198,9 @@ SELECT 'portday_' || port_key || '_' || date AS id, port_key || ' on ' || date |
 UNION ALL SELECT 'aisday_' || port_key || '_' || date, port_key || ' on ' || date || ': ' || positions || ' positions.' FROM o ANTI JOIN p USING (port_key, date)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     days = marts.port_day(marts.dwell(visits(spark, d)), [])
-    orders = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"),
+    )
     proxy = orders.groupBy(F.col("n_name").alias("port_key"), F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("positions"))
     return retrieval.port_day_chunks(days, proxy).select("id", "text")
 
@@ -163,13 +213,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.window_chunks(marts.dwell(visits(spark, d))).select("port_key", "chunk", "window_size", _r("mean_dwell"), "top_types")
 
 
-@register("wi15_numbered_ids", """WITH n AS (SELECT event_id, event_type || '-' || user_id AS base, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT event_id, CASE WHEN k = 0 THEN base ELSE base || '__dup' || k END AS unique_id FROM n""")
+@register(
+    "wi15_numbered_ids",
+    """WITH n AS (SELECT event_id, event_type || '-' || user_id AS base, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) - 1 AS k FROM events) SELECT event_id, CASE WHEN k = 0 THEN base ELSE base || '__dup' || k END AS unique_id FROM n""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "events").withColumn("base", F.concat_ws("-", "event_type", F.col("user_id").cast("string")))
     return retrieval.numbered_ids(own, "base", ["ts", "event_id"]).select("event_id", "unique_id")
 
 
-@register("so1_union_by_name", """SELECT 'position' AS kind, event_id AS id, value AS speed, NULL::DOUBLE AS price FROM events UNION ALL SELECT 'visit', o_orderkey, NULL, o_totalprice FROM orders""")
+@register(
+    "so1_union_by_name",
+    """SELECT 'position' AS kind, event_id AS id, value AS speed, NULL::DOUBLE AS price FROM events UNION ALL SELECT 'visit', o_orderkey, NULL, o_totalprice FROM orders""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "events").select(F.lit("position").alias("kind"), F.col("event_id").alias("id"), F.col("value").alias("speed"))
     b = read(spark, d, "orders").select(F.lit("visit").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
@@ -186,13 +242,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("user_id", "event_type").dropDuplicates()
 
 
-@register("jo6_anti_join_days", """SELECT DISTINCT o_orderdate::DATE::VARCHAR AS date FROM orders WHERE o_orderdate::DATE NOT IN (SELECT l_shipdate::DATE FROM lineitem)""")
+@register(
+    "jo6_anti_join_days",
+    """SELECT DISTINCT o_orderdate::DATE::VARCHAR AS date FROM orders WHERE o_orderdate::DATE NOT IN (SELECT l_shipdate::DATE FROM lineitem)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    return days.join(read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct(), "date", "left_anti").select(F.col("date").cast("string").alias("date"))
+    return days.join(
+        read(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct(), "date", "left_anti",
+    ).select(F.col("date").cast("string").alias("date"))
 
 
-@register("jo7_semi_join", """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+@register(
+    "jo7_semi_join",
+    """SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     urgent = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
     return read(spark, d, "lineitem").join(urgent, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
@@ -205,15 +269,25 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.upsert(old, c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("state")), "id")
 
 
-@register("pv1_series_pivot", """SELECT date_trunc('day', ts)::DATE::VARCHAR AS date, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+@register(
+    "pv1_series_pivot",
+    """SELECT date_trunc('day', ts)::DATE::VARCHAR AS date, round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = read(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("date")).pivot("event_type", ["click", "view"]).agg(F.avg("value"))
     return own.select("date", _r("click"), _r("view"))
 
 
-@register("fi8_metadata_filter", f"""WITH {POS} SELECT event_id FROM pos WHERE mmsi = 8 AND strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20' AND latitude >= 54.5 AND longitude <= 12""")
+@register(
+    "fi8_metadata_filter",
+    f"""WITH {POS} SELECT event_id FROM pos WHERE mmsi = 8 AND strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20' AND latitude >= 54.5 AND longitude <= 12""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     from .views import positions
 
     own = positions(spark, d).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
-    return own.filter(retrieval.metadata_filter({"mmsi": 8, "date_from": "2024-01-05", "date_to": "2024-01-20", "lat_min": 54.5, "lon_max": 12.0})).select("event_id")
+    return own.filter(
+        retrieval.metadata_filter(
+            {"mmsi": 8, "date_from": "2024-01-05", "date_to": "2024-01-20", "lat_min": 54.5, "lon_max": 12.0}
+        )
+    ).select("event_id")

@@ -50,22 +50,35 @@ def _r(c: str, digits: int = 6) -> F.Column:
 @register("wi1_lag_features", f"""WITH {POS}, d AS (SELECT event_id, speed - lag(speed) OVER w AS ds, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 3.6e9 AS h, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km FROM pos {_W})
 SELECT event_id, round(CASE WHEN h > 0 THEN h END, 6) AS delta_h, round(km, 5) AS step_km, round(km / nullif(CASE WHEN h > 0 THEN h END * 1.852, 0), 4) AS speed_estimated_kn, round(ds / nullif(CASE WHEN h > 0 THEN h END, 0), 5) AS acceleration FROM d""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return trajectory.lagged(positions(spark, d)).select("event_id", _r("delta_h"), _r("step_km", 5), _r("speed_estimated_kn", 4), _r("acceleration", 5))
+    return trajectory.lagged(positions(spark, d)).select(
+        "event_id", _r("delta_h"), _r("step_km", 5), _r("speed_estimated_kn", 4), _r("acceleration", 5),
+    )
 
 
-@register("wi2_course_change", f"""WITH {POS}, c AS (SELECT *, (event_id * 37) % 360 AS course FROM pos) SELECT event_id, CASE WHEN lag(course) OVER w IS NOT NULL THEN least(abs(course - lag(course) OVER w), 360 - abs(course - lag(course) OVER w)) END::DOUBLE AS course_change FROM c {_W}""")
+@register(
+    "wi2_course_change",
+    f"""WITH {POS}, c AS (SELECT *, (event_id * 37) % 360 AS course FROM pos) SELECT event_id, CASE WHEN lag(course) OVER w IS NOT NULL THEN least(abs(course - lag(course) OVER w), 360 - abs(course - lag(course) OVER w)) END::DOUBLE AS course_change FROM c {_W}""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = trajectory.lagged(positions(spark, d).withColumn("course", (F.col("event_id") * 37) % 360), course="course")
     return own.select("event_id", F.col("course_change").cast("double").alias("course_change"))
 
 
-@register("wi3_rolling", "WITH " + POS + " SELECT event_id, " + ", ".join(f"round(avg(speed) OVER w{n}, 6) AS speed_mean_{n}, round(coalesce(stddev_samp(speed) OVER w{n}, 0), 6) AS speed_std_{n}" for n in (3, 5, 10)) + " FROM pos WINDOW " + ", ".join(f"w{n} AS (PARTITION BY mmsi ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 5, 10)))
+@register(
+    "wi3_rolling",
+    "WITH " + POS + " SELECT event_id, " + ", ".join(
+        f"round(avg(speed) OVER w{n}, 6) AS speed_mean_{n}, round(coalesce(stddev_samp(speed) OVER w{n}, 0), 6) AS speed_std_{n}" for n in (3, 5, 10)
+    ) + " FROM pos WINDOW " + ", ".join(f"w{n} AS (PARTITION BY mmsi ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 5, 10)),
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = trajectory.rolling(positions(spark, d), "speed")
     return own.select("event_id", *[_r(f"speed_{k}_{n}") for n in (3, 5, 10) for k in ("mean", "std")])
 
 
-@register("wi5_interval_repair", f"""WITH {POS}, src AS (SELECT * FROM pos), {_INTERVALS} SELECT event_id, round(duration_h, 6) AS duration_h, duration_h > 0.5 AS ais_gap_flag FROM timed""")
+@register(
+    "wi5_interval_repair",
+    f"""WITH {POS}, src AS (SELECT * FROM pos), {_INTERVALS} SELECT event_id, round(duration_h, 6) AS duration_h, duration_h > 0.5 AS ais_gap_flag FROM timed""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.repaired_intervals(positions(spark, d)).select("event_id", _r("duration_h"), "ais_gap_flag")
 
@@ -85,10 +98,15 @@ SELECT event_id, round(prev_latitude, 6) AS prev_latitude, port, round(minutes,
 FROM k WHERE minutes > 0 AND minutes <= 30 AND (km >= 20 OR (km >= 5 AND kn >= 40))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = positions(spark, d).withColumn("locode_norm", F.lit(""))
-    return trajectory.suspicious_jumps(rows, port=("locode_norm", "mode")).select("event_id", _r("prev_latitude"), "port", _r("minutes"), _r("jump_km"), "rule")
+    return trajectory.suspicious_jumps(rows, port=("locode_norm", "mode")).select(
+        "event_id", _r("prev_latitude"), "port", _r("minutes"), _r("jump_km"), "rule",
+    )
 
 
-@register("wi11_position_jumps", f"""WITH {POS}, d AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS m, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km FROM pos {_W}) SELECT event_id, coalesce(m > 0 AND m <= 30 AND km >= 80, false) AS jump_flag FROM d""")
+@register(
+    "wi11_position_jumps",
+    f"""WITH {POS}, d AS (SELECT event_id, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60e6 AS m, CASE WHEN lag(latitude) OVER w IS NOT NULL THEN {_HAVERSINE} END AS km FROM pos {_W}) SELECT event_id, coalesce(m > 0 AND m <= 30 AND km >= 80, false) AS jump_flag FROM d""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.position_jumps(positions(spark, d)).select("event_id", "jump_flag")
 
@@ -112,12 +130,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     own = positions(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 11 != 0, F.col("mmsi")))
     own = trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False)
     own = trajectory.segments(trajectory.repaired_intervals(own), call="call_id")
-    return own.groupBy("segment_id").agg(F.min("mode").alias("mode"), F.count("*").alias("row_count"), F.round(F.sum("duration_h"), 6).alias("duration_h"))
+    return own.groupBy("segment_id").agg(
+        F.min("mode").alias("mode"), F.count("*").alias("row_count"), F.round(F.sum("duration_h"), 6).alias("duration_h"),
+    )
 
 
 def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
     """Positions with visits, modes, intervals, factors and emissions; vessel types follow from vessel numbers."""
-    kinds = F.element_at(F.array(*map(F.lit, ("oil tanker", "bulk carrier", "container ship", "passenger ship", "pilot", "yacht"))), (F.col("mmsi") % 6 + 1).cast("int"))
+    kinds = F.element_at(
+        F.array(*map(F.lit, ("oil tanker", "bulk carrier", "container ship", "passenger ship", "pilot", "yacht"))),
+        (F.col("mmsi") % 6 + 1).cast("int"),
+    )
     own = positions(spark, d).drop("mode").withColumn("speed", F.when(F.col("event_id") % 11 != 0, F.col("speed") % 25))
     # the as-of join deals rows by vessel, and all that follows keeps to that
     own = trajectory.lagged(trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False))
@@ -174,9 +197,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _inventory_rows(spark, d).select("event_id", "mode", _r("speed_kn"))
 
 
-@register("sfc_row_emissions", f"WITH {_ROWS} SELECT event_id, round(fuel_t, 6) AS fuel_t, round(co2_t, 6) AS co2_t, round(wtw_co2e_t, 6) AS wtw_co2e_t, round(nox_kg, 5) AS nox_kg, round(sox_kg, 5) AS sox_kg, round(pm_kg, 5) AS pm_kg, round(rel_sigma, 6) AS rel_sigma FROM emitted")
+@register(
+    "sfc_row_emissions",
+    f"WITH {_ROWS} SELECT event_id, round(fuel_t, 6) AS fuel_t, round(co2_t, 6) AS co2_t, round(wtw_co2e_t, 6) AS wtw_co2e_t, round(nox_kg, 5) AS nox_kg, round(sox_kg, 5) AS sox_kg, round(pm_kg, 5) AS pm_kg, round(rel_sigma, 6) AS rel_sigma FROM emitted",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _inventory_rows(spark, d).select("event_id", _r("fuel_t"), _r("co2_t"), _r("wtw_co2e_t"), _r("nox_kg", 5), _r("sox_kg", 5), _r("pm_kg", 5), _r("rel_sigma"))
+    return _inventory_rows(spark, d).select(
+        "event_id", _r("fuel_t"), _r("co2_t"), _r("wtw_co2e_t"), _r("nox_kg", 5), _r("sox_kg", 5), _r("pm_kg", 5),
+        _r("rel_sigma"),
+    )
 
 
 _PARAMS = "v1"
@@ -196,14 +225,20 @@ _LABEL = "CASE WHEN ci <= 0.20 AND f <= 0.05 THEN 'high' WHEN ci <= 0.40 OR f <=
 @register("ag20_segment_totals", f"""WITH {_ROWS} SELECT segment_id, mode, row_count, round(duration_h, 5) AS duration_h, round(wtw_co2e_t, 5) AS wtw_co2e_t, round(nox_kg, 4) AS nox_kg,
   round(greatest(0, wtw_co2e_t * (1 - 1.96 * rel_sigma)), 5) AS wtw_co2e_t_lower, substr(sha1(segment_id || '|v1'), 1, 24) AS evidence_id FROM segs""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).select("segment_id", "mode", "row_count", _r("duration_h", 5), _r("wtw_co2e_t", 5), _r("nox_kg", 4), _r("wtw_co2e_t_lower", 5), "evidence_id")
+    return _segments(spark, d).select(
+        "segment_id", "mode", "row_count", _r("duration_h", 5), _r("wtw_co2e_t", 5), _r("nox_kg", 4), _r("wtw_co2e_t_lower", 5),
+        "evidence_id",
+    )
 
 
 @register("ag21_daily_roll_up", f"""WITH {_ROWS}, b AS (SELECT *, CASE WHEN w > 0 THEN (greatest(0, w * (1 + 1.96 * s)) - greatest(0, w * (1 - 1.96 * s))) / w ELSE 1 END AS ci FROM daily_port)
 SELECT date::VARCHAR AS date, port_key, segments, round(w, 4) AS wtw_co2e_t, round(nox_kg, 3) AS nox_kg, round(w * (1 + 1.96 * s), 4) AS wtw_co2e_t_upper, {_LABEL} AS confidence_label FROM b""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = _daily_port(_segments(spark, d))
-    return own.select(F.col("date").cast("string").alias("date"), "port_key", "segments", _r("wtw_co2e_t", 4), _r("nox_kg", 3), _r("wtw_co2e_t_upper", 4), "confidence_label")
+    return own.select(
+        F.col("date").cast("string").alias("date"), "port_key", "segments", _r("wtw_co2e_t", 4), _r("nox_kg", 3),
+        _r("wtw_co2e_t_upper", 4), "confidence_label",
+    )
 
 
 @register("ag23_port_emissions_monthly", f"""WITH {_ROWS}, r AS (
@@ -226,16 +261,25 @@ FROM w LEFT JOIN p USING (port_key) LEFT JOIN base USING (port_key)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     segments = _segments(spark, d)
     own = emissions.scope_diagnostics(segments, "wtw_co2e_t", ["port_key"], _daily_port(segments))
-    return own.select("port_key", "rows", "calls", _r("total_duration_h", 4), _r("total_t", 4), _r("mean_t", 4), _r("median_t", 4), "repeated", F.array_join("warnings", ",").alias("warnings"), "sanity_status")
+    return own.select(
+        "port_key", "rows", "calls", _r("total_duration_h", 4), _r("total_t", 4), _r("mean_t", 4), _r("median_t", 4), "repeated",
+        F.array_join("warnings", ",").alias("warnings"), "sanity_status",
+    )
 
 
-@register("ag28_metrics", f"WITH {_ROWS} SELECT round(sum(co2_t), 3) AS total_t, count(DISTINCT call_id)::BIGINT AS calls, round(sum(co2_t) * 1000 / count(DISTINCT call_id), 3) AS kg_per_call, round(sum(co2_t) / count(DISTINCT timestamp_start::DATE), 4) AS t_per_day, round(sum(co2_t) * 1000 / sum(duration_h), 4) AS kg_per_hour FROM linked")
+@register(
+    "ag28_metrics",
+    f"WITH {_ROWS} SELECT round(sum(co2_t), 3) AS total_t, count(DISTINCT call_id)::BIGINT AS calls, round(sum(co2_t) * 1000 / count(DISTINCT call_id), 3) AS kg_per_call, round(sum(co2_t) / count(DISTINCT timestamp_start::DATE), 4) AS t_per_day, round(sum(co2_t) * 1000 / sum(duration_h), 4) AS kg_per_hour FROM linked",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = emissions.call_linked(_segments(spark, d)).withColumn("date", F.to_date("timestamp_start"))
     return emissions.metrics(own, "co2_t").select(_r("total_t", 3), "calls", _r("kg_per_call", 3), _r("t_per_day", 4), _r("kg_per_hour", 4))
 
 
-@register("ag29_level_bands", f"WITH {_ROWS}, p AS (SELECT quantile_cont(wtw_co2e_t, [0.25, 0.5, 0.75]) AS q FROM segs) SELECT segment_id, CASE WHEN wtw_co2e_t <= q[1] THEN 'Low' WHEN wtw_co2e_t <= q[2] THEN 'Moderate' WHEN wtw_co2e_t <= q[3] THEN 'High' ELSE 'Very High' END AS level FROM segs, p")
+@register(
+    "ag29_level_bands",
+    f"WITH {_ROWS}, p AS (SELECT quantile_cont(wtw_co2e_t, [0.25, 0.5, 0.75]) AS q FROM segs) SELECT segment_id, CASE WHEN wtw_co2e_t <= q[1] THEN 'Low' WHEN wtw_co2e_t <= q[2] THEN 'Moderate' WHEN wtw_co2e_t <= q[3] THEN 'High' ELSE 'Very High' END AS level FROM segs, p",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return emissions.bands(_segments(spark, d), "wtw_co2e_t").select("segment_id", "level")
 
@@ -251,7 +295,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("date", _r("wtw_co2e_t", 4), _r("wtw_co2e_t_lower", 4), _r("wtw_co2e_t_upper", 4))
 
 
-@register("ce1_estimate", """SELECT 'tanker' AS vessel_class, 'manoeuvring' AS mode, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6, 6) AS fuel_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114, 6) AS co2_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114 * (1 + 1.96 * 0.30), 6) AS co2_t_upper""")
+@register(
+    "ce1_estimate",
+    """SELECT 'tanker' AS vessel_class, 'manoeuvring' AS mode, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6, 6) AS fuel_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114, 6) AS co2_t, round((12000 * greatest(0.2, pow(6 / 13e0, 3)) * 195 + 1250 * 215) * 2 / 1e6 * 3.114 * (1 + 1.96 * 0.30), 6) AS co2_t_upper""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return emissions.estimate(spark, "tanker", "manoeuvring", 2, 6).select("vessel_class", "mode", _r("fuel_t"), _r("co2_t"), _r("co2_t_upper"))
 
@@ -275,7 +322,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return forecast.one_step(_series(spark, d), ["port_key"]).select("port_key", F.col("date").cast("string").alias("date"), _r("prediction"))
 
 
-@register("fc3_residual_std", f"WITH {_SERIES}, {_STEP} SELECT port_key, round(stddev_samp(value - prediction), 6) AS residual_std FROM p GROUP BY ALL")
+@register(
+    "fc3_residual_std",
+    f"WITH {_SERIES}, {_STEP} SELECT port_key, round(stddev_samp(value - prediction), 6) AS residual_std FROM p GROUP BY ALL",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return forecast.residual_std(_series(spark, d), ["port_key"]).select("port_key", _r("residual_std"))
 
@@ -287,17 +337,28 @@ f AS (SELECT port_key, last, h, 0 AS step, NULL::DOUBLE AS prediction FROM seed
   UNION ALL SELECT port_key, last, list_concat(h[2:], [greatest(0, 0.7e0 * h[1] + 0.3e0 * list_avg(h))]), step + 1, greatest(0, 0.7e0 * h[1] + 0.3e0 * list_avg(h)) FROM f WHERE step < 28)"""
 
 
-@register("fc2_recursive_forecast", f"""{_GROWN} SELECT f.port_key, step::INT AS step, (last + step::INT)::DATE::VARCHAR AS date, round(prediction, 6) AS prediction, round(greatest(0, prediction - 1.96 * r * sqrt(step)), 5) AS lower, round(prediction + 1.96 * r * sqrt(step), 5) AS upper FROM f JOIN sd USING (port_key) WHERE step > 0""")
+@register(
+    "fc2_recursive_forecast",
+    f"""{_GROWN} SELECT f.port_key, step::INT AS step, (last + step::INT)::DATE::VARCHAR AS date, round(prediction, 6) AS prediction, round(greatest(0, prediction - 1.96 * r * sqrt(step)), 5) AS lower, round(prediction + 1.96 * r * sqrt(step), 5) AS upper FROM f JOIN sd USING (port_key) WHERE step > 0""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.forecast(_series(spark, d), ["port_key"], 28, least=14).select("port_key", "step", F.col("date").cast("string").alias("date"), _r("prediction"), _r("lower", 5), _r("upper", 5))
+    return forecast.forecast(_series(spark, d), ["port_key"], 28, least=14).select(
+        "port_key", "step", F.col("date").cast("string").alias("date"), _r("prediction"), _r("lower", 5), _r("upper", 5),
+    )
 
 
-@register("fc5_weekday_forecast", f"""{_GROWN} SELECT port_key, round(avg(prediction), 6) AS prediction, count(*)::BIGINT AS days FROM f WHERE step > 0 AND isodow(last + step::INT) = 5 GROUP BY ALL""")
+@register(
+    "fc5_weekday_forecast",
+    f"""{_GROWN} SELECT port_key, round(avg(prediction), 6) AS prediction, count(*)::BIGINT AS days FROM f WHERE step > 0 AND isodow(last + step::INT) = 5 GROUP BY ALL""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return forecast.congestion_on_weekday(_series(spark, d), ["port_key"], 4).select("port_key", _r("prediction"), "days")
 
 
-@register("fc9_compare_forecasts", f"""{_GROWN} SELECT port_key, round(avg(prediction), 6) AS mean_prediction, round(max(prediction), 6) AS peak_prediction FROM f WHERE step > 0 GROUP BY ALL""")
+@register(
+    "fc9_compare_forecasts",
+    f"""{_GROWN} SELECT port_key, round(avg(prediction), 6) AS mean_prediction, round(max(prediction), 6) AS peak_prediction FROM f WHERE step > 0 GROUP BY ALL""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return forecast.compare(_series(spark, d), ["port_key"], 28).select("port_key", _r("mean_prediction"), _r("peak_prediction"))
 
@@ -308,7 +369,9 @@ k AS (SELECT port_key, CASE WHEN count(*) FILTER (WHERE tiers[1]) >= 1 THEN 1 WH
 r AS (SELECT port_key, tier, avg(value) AS prediction, count(*)::BIGINT AS samples, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM c JOIN k USING (port_key) WHERE tiers[tier] GROUP BY ALL)
 SELECT port_key, tier::INT AS tier, round(prediction, 6) AS prediction, samples, round(CASE WHEN samples = 1 THEN prediction * 0.8 ELSE lo END, 6) AS lower, round(CASE WHEN samples = 1 THEN prediction * 1.2 ELSE hi END, 6) AS upper FROM r""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return forecast.seasonal_analog(_series(spark, d), ["port_key"], "1999-06-16").select("port_key", "tier", _r("prediction"), "samples", _r("lower"), _r("upper"))
+    return forecast.seasonal_analog(_series(spark, d), ["port_key"], "1999-06-16").select(
+        "port_key", "tier", _r("prediction"), "samples", _r("lower"), _r("upper"),
+    )
 
 
 @register("fc8_backtest", f"""WITH {_SERIES}, {_STEP}, e AS (SELECT *, abs(value - prediction) AS err, row_number() OVER (PARTITION BY port_key ORDER BY date DESC) AS rn FROM p)
@@ -334,17 +397,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("port_key", "basis", F.col("date").cast("string").alias("date"), _r("prediction"))
 
 
-@register("wi17_even_sample", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rk, count(*) OVER () AS n FROM events), k AS (SELECT DISTINCT floor(g * ((SELECT max(n) FROM r) - 1)::DOUBLE / 99)::BIGINT AS rk FROM range(100) AS t(g)) SELECT event_id FROM r JOIN k USING (rk)""")
+@register(
+    "wi17_even_sample",
+    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rk, count(*) OVER () AS n FROM events), k AS (SELECT DISTINCT floor(g * ((SELECT max(n) FROM r) - 1)::DOUBLE / 99)::BIGINT AS rk FROM range(100) AS t(g)) SELECT event_id FROM r JOIN k USING (rk)""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.even_sample(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 100).select("event_id")
 
 
-@register("wi18_time_split", """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rk, count(*) OVER () AS n FROM events) SELECT event_id, rk >= floor(n * 0.8e0) AS is_test FROM r""")
+@register(
+    "wi18_time_split",
+    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rk, count(*) OVER () AS n FROM events) SELECT event_id, rk >= floor(n * 0.8e0) AS is_test FROM r""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.time_split(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "is_test")
 
 
-@register("fi18_recent_points", """SELECT event_id FROM events WHERE user_id = 8 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 10""")
+@register(
+    "fi18_recent_points",
+    """SELECT event_id FROM events WHERE user_id = 8 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 10""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.recent_points(positions(spark, d), 8, start="2024-01-05", end="2024-01-20").select("event_id")
 
@@ -357,7 +429,10 @@ def _coursed(spark: SparkSession, d: str) -> DataFrame:
     return trajectory.lagged(positions(spark, d).withColumn("course", (F.col("event_id") * 37) % 360), course="course")
 
 
-@register("ag38_rule_thresholds", f"""WITH {_COURSED} SELECT round(quantile_cont(abs(acc), 0.99), 4) AS spike_kn_h, round(quantile_cont(cc, 0.95), 4) AS jitter_deg, 80.0::DOUBLE AS jump_km, 30.0::DOUBLE AS jump_minutes FROM a""")
+@register(
+    "ag38_rule_thresholds",
+    f"""WITH {_COURSED} SELECT round(quantile_cont(abs(acc), 0.99), 4) AS spike_kn_h, round(quantile_cont(cc, 0.95), 4) AS jitter_deg, 80.0::DOUBLE AS jump_km, 30.0::DOUBLE AS jump_minutes FROM a""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return serving.thresholds(_coursed(spark, d)).select(_r("spike_kn_h", 4), _r("jitter_deg", 4), "jump_km", "jump_minutes")
 
@@ -398,7 +473,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.select("metric", _r("point", 3), _r("lower", 3), _r("upper", 3))
 
 
-@register("ag35_filtered_count", "SELECT count(*)::BIGINT AS n, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE user_id = 8 ORDER BY event_id LIMIT 50)) AS ids FROM events WHERE user_id = 8")
+@register(
+    "ag35_filtered_count",
+    "SELECT count(*)::BIGINT AS n, (SELECT string_agg(event_id, ',' ORDER BY event_id) FROM (SELECT event_id FROM events WHERE user_id = 8 ORDER BY event_id LIMIT 50)) AS ids FROM events WHERE user_id = 8",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = findings.filtered_count(positions(spark, d), F.col("mmsi") == 8, "event_id")
     return own.select("n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
@@ -410,7 +488,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return serialize.position_records(positions(spark, d).withColumn("speed", F.round("speed", 0))).select("id", "text")
 
 
-@register("pr17_visit_records", f"""WITH {CALLS} SELECT 'Vessel ' || mmsi || ' called at ' || port_key || ', arriving ' || strftime(arrival_time, '%Y-%m-%d %H:%M') || ' and departing ' || strftime(departure_time, '%Y-%m-%d %H:%M') || '.' AS text FROM calls""")
+@register(
+    "pr17_visit_records",
+    f"""WITH {CALLS} SELECT 'Vessel ' || mmsi || ' called at ' || port_key || ', arriving ' || strftime(arrival_time, '%Y-%m-%d %H:%M') || ' and departing ' || strftime(departure_time, '%Y-%m-%d %H:%M') || '.' AS text FROM calls""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return serialize.visit_records(visits(spark, d)).select("text")
 
@@ -418,15 +499,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @register("pr16_position_metadata", f"""WITH {POS} SELECT event_id, mmsi::VARCHAR AS mmsi, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_full, latitude, round(speed, 6) AS speed, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 360 END::DOUBLE AS course, 'UNKNOWN' AS flag_norm, mode AS nav_status_norm,
   CASE WHEN event_id % 5 = 0 THEN 'SEGOT' ELSE 'UNKNOWN' END AS destination_norm, 'UNK' AS country_prefix FROM pos""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = positions(spark, d).withColumns({"course": F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 360), "nav_status": F.upper("mode"), "destination": F.when(F.col("event_id") % 5 == 0, "se got"), "source_file": F.col("event_id").cast("string")})
+    rows = positions(spark, d).withColumns(
+        {
+            "course": F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 360), "nav_status": F.upper("mode"),
+            "destination": F.when(F.col("event_id") % 5 == 0, "se got"), "source_file": F.col("event_id").cast("string"),
+        }
+    )
     m = F.col("metadata")
     names = ("mmsi", "timestamp_full", "latitude", "course", "flag_norm", "nav_status_norm", "destination_norm", "country_prefix")
-    return serialize.position_records(rows).select(m["source_file"].cast("long").alias("event_id"), *[m[c].alias(c) for c in names], F.round(m["speed"], 6).alias("speed"))
-
-
-@register("pr17_visit_metadata", f"""WITH {CALLS} SELECT call_id, mmsi::VARCHAR AS mmsi, strftime(arrival_time, '%Y-%m-%dT%H:%M:%S') AS arrival_full, strftime(departure_time, '%Y-%m-%dT%H:%M:%S') AS departure_full, port_key AS port_name, lower(port_key) AS port_name_norm, 'NA' AS country_prefix, 'RIGA' AS destination_norm, NULL::DOUBLE AS speed FROM calls""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = visits(spark, d).withColumns({"locode_norm": F.upper(F.left("port_key", F.lit(5))), "destination_arrival": F.lit("riga!"), "source_file": F.col("call_id")})
+    return serialize.position_records(rows).select(
+        m["source_file"].cast("long").alias("event_id"), *[m[c].alias(c) for c in names], F.round(m["speed"], 6).alias("speed"),
+    )
+
+
+@register(
+    "pr17_visit_metadata",
+    f"""WITH {CALLS} SELECT call_id, mmsi::VARCHAR AS mmsi, strftime(arrival_time, '%Y-%m-%dT%H:%M:%S') AS arrival_full, strftime(departure_time, '%Y-%m-%dT%H:%M:%S') AS departure_full, port_key AS port_name, lower(port_key) AS port_name_norm, 'NA' AS country_prefix, 'RIGA' AS destination_norm, NULL::DOUBLE AS speed FROM calls""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = visits(spark, d).withColumns(
+        {
+            "locode_norm": F.upper(F.left("port_key", F.lit(5))), "destination_arrival": F.lit("riga!"),
+            "source_file": F.col("call_id"),
+        }
+    )
     m = F.col("metadata")
     names = ("mmsi", "arrival_full", "departure_full", "port_name", "port_name_norm", "country_prefix", "destination_norm", "speed")
     return serialize.visit_records(rows).select(m["source_file"].alias("call_id"), *[m[c].alias(c) for c in names])
@@ -436,5 +532,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 e AS (SELECT *, km / (CASE WHEN h > 0 THEN h END * 1.852) AS kn FROM d), r AS (SELECT *, avg(kn) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS m5 FROM e)
 SELECT event_id, destination_norm, round(m5, 5) AS speed_estimated_kn_mean_5, round(hour(ts) + minute(ts) / 60e0, 6) AS hour, (isodow(ts) - 1)::INT AS weekday, CASE WHEN event_id % 3 > 0 THEN (event_id % 3) * 60.0 END::DOUBLE AS eta_minutes FROM r WHERE destination_norm <> 'UNKNOWN'""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = positions(spark, d).withColumns({"course": (F.col("event_id") * 37) % 360, "destination_norm": F.when(F.col("event_id") % 4 == 0, "UNKNOWN").otherwise(F.col("mode")), "eta": F.col("ts") + F.make_interval(hours=(F.col("event_id") % 3).cast("int"))})
+    rows = positions(spark, d).withColumns(
+        {
+            "course": (F.col("event_id") * 37) % 360,
+            "destination_norm": F.when(F.col("event_id") % 4 == 0, "UNKNOWN").otherwise(F.col("mode")),
+            "eta": F.col("ts") + F.make_interval(hours=(F.col("event_id") % 3).cast("int")),
+        }
+    )
     return build.training_rows(rows).select("event_id", "destination_norm", _r("speed_estimated_kn_mean_5", 5), _r("hour"), "weekday", "eta_minutes")

@@ -17,10 +17,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a line shipped within 45 days after its order."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("departure_time"))
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("vessel_type_norm"), F.col("o_orderdate").alias("arrival_time"))
+    o = read(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderpriority").alias("vessel_type_norm"), F.col("o_orderdate").alias("arrival_time"),
+    )
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("port_key"))
-    own = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).filter((F.col("departure_time") > F.col("arrival_time")) & (F.col("departure_time") <= F.col("arrival_time") + F.expr("interval 45 days")))
+    own = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).filter(
+        (F.col("departure_time") > F.col("arrival_time")) & (
+            F.col("departure_time") <= F.col("arrival_time") + F.expr("interval 45 days")
+        )
+    )
     own = own.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     call = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return own.select(F.col("o_custkey").alias("mmsi"), "port_key", "vessel_type_norm", "arrival_time", "departure_time", call.alias("call_id"))
@@ -29,7 +35,10 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     lat, lon = F.lit(54.0) + (F.col("event_id") % 97) / 50.0, F.lit(10.0) + (F.col("event_id") % 89) / 25.0
-    return e.select(F.col("user_id").alias("mmsi"), "event_id", "ts", F.col("event_type").alias("mode"), F.col("value").alias("speed"), lat.alias("latitude"), lon.alias("longitude"))
+    return e.select(
+        F.col("user_id").alias("mmsi"), "event_id", "ts", F.col("event_type").alias("mode"), F.col("value").alias("speed"),
+        lat.alias("latitude"), lon.alias("longitude"),
+    )
 
 
 CALLS = """calls AS (

@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 # Column names of the two raw feeds.
-POSITION_COLUMNS = ("MMSI", "IMO", "Name", "Callsign", "Flag", "VesselType", "Latitude", "Longitude", "Speed", "Course", "Heading", "Draught", "NavStatus", "Destination", "TimePosition", "TimeETA")
-VISIT_COLUMNS = ("portID", "portName", "portLocode", "portArrival", "portDeparture", "vesselMMSI", "vesselIMO", "vesselName", "vesselType", "vesselDestinationArrival", "vesselDestinationDeparture")
+POSITION_COLUMNS = (
+    "MMSI", "IMO", "Name", "Callsign", "Flag", "VesselType", "Latitude", "Longitude", "Speed", "Course", "Heading", "Draught",
+    "NavStatus", "Destination", "TimePosition", "TimeETA",
+)
+VISIT_COLUMNS = (
+    "portID", "portName", "portLocode", "portArrival", "portDeparture", "vesselMMSI", "vesselIMO", "vesselName", "vesselType",
+    "vesselDestinationArrival", "vesselDestinationDeparture",
+)
 # End of the fixed values.
 
 LEAST_POSITION, LEAST_VISIT = 8, 6
@@ -68,7 +74,9 @@ def read_feeds(spark: SparkSession, paths: list[str]) -> dict[str, DataFrame]:
         kind = kind_of(rows.columns)
         if kind is None:
             continue
-        rows = with_columns(rows, POSITION_COLUMNS if kind == "positions" else VISIT_COLUMNS).withColumn("source_file", F.lit(path.rsplit("/", 1)[-1]))
+        rows = with_columns(
+            rows, POSITION_COLUMNS if kind == "positions" else VISIT_COLUMNS,
+        ).withColumn("source_file", F.lit(path.rsplit("/", 1)[-1]))
         out[kind] = out[kind].unionByName(rows, allowMissingColumns=True) if kind in out else rows
     return out
 
@@ -135,11 +143,16 @@ def plain_text_chunks(spark: SparkSession, folder: str, pattern: str, size: int
     """Overlapping chunks of text files, numbered."""
     from ..functions.text import fixed_chunks
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("content").cast("string").alias("text"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
+        "path", F.col("content").cast("string").alias("text"),
+    )
     return found.select("path", F.inline(fixed_chunks(F.regexp_replace("text", r"\s+", " "), size, overlap)))
 
 
-def page_text_chunks(spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]], pattern: str = "*.pdf", size: int = 1200, overlap: int = 200) -> DataFrame:
+def page_text_chunks(
+    spark: SparkSession, folder: str, pages: Callable[[bytes], list[str]], pattern: str = "*.pdf", size: int = 1200,
+    overlap: int = 200,
+) -> DataFrame:
     """(path, page from 1, chunk_no, chunk) of documents with pages. pages: a file's bytes -> the texts of its pages, such as a
     PDF library gives them; a file that it can't read is left out. Each file is read by one task."""
     from ..functions.text import fixed_chunks
@@ -151,9 +164,17 @@ def page_text_chunks(spark: SparkSession, folder: str, pages: Callable[[bytes],
                     found = pages(content.as_py())
                 except Exception:  # whatever a parser makes of a broken file
                     continue
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(1, len(found) + 1), pa.int32()), pa.array(found, pa.string())], names=["path", "page", "text"])
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInArrow(run, "path string, page int, text string")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path] * len(found), pa.string()), pa.array(range(1, len(found) + 1), pa.int32()),
+                        pa.array(found, pa.string()),
+                    ],
+                    names=["path", "page", "text"],
+                )
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content").mapInArrow(
+        run, "path string, page int, text string",
+    )
     return found.select("path", "page", F.inline(fixed_chunks(F.trim(F.regexp_replace("text", r"\s+", " ")), size, overlap)))
 
 
@@ -170,7 +191,10 @@ def profile_document(tables: dict[str, tuple[DataFrame, str | None]], samples: i
 
 def profile(rows: DataFrame, time: str, distinct: tuple[str, ...] = ()) -> DataFrame:
     """One row: number of rows, coverage, distinct values."""
-    return rows.agg(F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct])
+    return rows.agg(
+        F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"),
+        *[F.count_distinct(c).alias(f"distinct_{c}") for c in distinct],
+    )
 
 
 def export(rows: DataFrame, folder: str, stamp: str, fallback: str | None = None) -> tuple[str | None, str | None]:

@@ -14,12 +14,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def hourly_arrivals(stream: DataFrame, keys: list[str], time: str = "ts", late: str = "2 hours") -> DataFrame:
     """Rows and (approximately) vessels an hour; windows close `late` after the newest row."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 hour"), *keys).agg(F.count("*").alias("arrivals_events"), F.approx_count_distinct("mmsi").alias("arrivals_vessels")).select(*keys, F.col("window.start").alias("datetime_hour"), "arrivals_events", "arrivals_vessels")
+    return stream.withWatermark(time, late).groupBy(F.window(time, "1 hour"), *keys).agg(
+        F.count("*").alias("arrivals_events"), F.approx_count_distinct("mmsi").alias("arrivals_vessels"),
+    ).select(*keys, F.col("window.start").alias("datetime_hour"), "arrivals_events", "arrivals_vessels")
 
 
 def sessions(stream: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     """Runs of a vessel's rows without a gap."""
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), "mmsi").agg(F.count("*").alias("rows")).select("mmsi", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows")
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), "mmsi").agg(F.count("*").alias("rows")).select(
+        "mmsi", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "rows",
+    )
 
 
 def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20, knots: float = 40, least_km: float = 5, late: str = "2 hours") -> DataFrame:
@@ -46,7 +50,15 @@ def jumps(stream: DataFrame, max_minutes: float = 30, km: float = 20, knots: flo
         state.setTimeoutTimestamp(max(int(last[0] * 1000), state.getCurrentWatermarkMs()) + 6 * 3600 * 1000)
         if found.any():
             rule = np.where(far >= km, "distance_threshold", "speed_threshold")
-            yield pd.DataFrame({"mmsi": key[0], "ts": rows["ts"].to_numpy()[found], "minutes": minutes[found], "jump_km": far[found], "rule": rule[found]})
+            yield pd.DataFrame(
+                {
+                    "mmsi": key[0], "ts": rows["ts"].to_numpy()[found], "minutes": minutes[found], "jump_km": far[found],
+                    "rule": rule[found],
+                }
+            )
 
     own = stream.select("mmsi", F.col("ts").cast("timestamp").alias("ts"), "latitude", "longitude").withWatermark("ts", late)
-    return own.groupBy("mmsi").applyInPandasWithState(step, "mmsi long, ts timestamp, minutes double, jump_km double, rule string", "at double, lat double, lon double", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.groupBy("mmsi").applyInPandasWithState(
+        step, "mmsi long, ts timestamp, minutes double, jump_km double, rule string", "at double, lat double, lon double",
+        "append", GroupStateTimeout.EventTimeTimeout,
+    )
