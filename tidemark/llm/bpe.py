@@ -269,7 +269,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(i or []) for i in part.column(1).to_pylist()], pa.binary())], names=[id_col, "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([own.decode(i or []) for i in part.column(1).to_pylist()], pa.binary())],
+                    names=[id_col, "decoded"],
+                )
 
     return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} long, decoded binary")
 
@@ -284,9 +287,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             rows = []
             for t in texts:
                 ids = own.encode(t)
-                rows.append((len(ids), hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+                rows.append(
+                    (
+                        len(ids), hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest(),
+                        hashlib.sha256(own.decode(ids)).hexdigest(),
+                    )
+                )
             n, a, b = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -118,7 +118,9 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     nth = F.row_number().over(Window.partitionBy("conv_id", "part", "turn").orderBy("role", "text"))
-    rows = conversations.select("conv_id", part_of(F.col("turn")).alias("part"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    rows = conversations.select(
+        "conv_id", part_of(F.col("turn")).alias("part"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"),
+    )
     rows = rows.repartition("conv_id", "part").withColumn("nth", nth)
     half = (F.char_length("text") / 2).cast("int")
     event = lambda seq, kind, piece: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), piece.alias("text"))

@@ -142,9 +142,15 @@ def encoded(docs: DataFrame, head: Head, train: Column, id_col: str = "doc_id",
                 found = np.fromiter(map(get, own, repeat(-1)), np.int32, len(own))
                 ids.append(found.tobytes())
                 rare.append([own[i] for i in np.flatnonzero(found < 0)])
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["row", "doc_id", "train", "ids", "rare"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"), F.col(text).alias(text))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                names=["row", "doc_id", "train", "ids", "rare"],
+            )
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), train.alias("train"),
+        F.col(text).alias(text),
+    )
     return written(rows.mapInArrow(run, "row long, doc_id long, train boolean, ids binary, rare array<binary>"), "encoded")
 
 
@@ -159,7 +165,9 @@ class _Tokens:
 
     @classmethod
     def of(cls, column: pa.Array) -> _Tokens:
-        size = np.array([len(x) // 4 for x in column.to_pylist()]) if column.null_count else np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 4
+        size = np.array([len(x) // 4 for x in column.to_pylist()]) if column.null_count else np.diff(
+            np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        ) // 4
         ids = np.frombuffer(b"".join(x.as_buffer() for x in column), np.int32).astype(np.int64)
         ends = np.cumsum(size)
         first, last = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
@@ -289,7 +297,10 @@ def class_counts(ids: DataFrame, classes: np.ndarray) -> DataFrame:
                     rows.append((b, k, found.astype(np.uint16).tobytes(), part[found].tobytes()))
         for at in range(0, len(rows), 256):
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)], names=["block", "chunk", "codes", "counts"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(zip(*rows[at : at + 256], strict=True), kinds, strict=True)],
+                names=["block", "chunk", "codes", "counts"],
+            )
 
     return ids.select("ids").mapInArrow(run, "block int, chunk int, codes binary, counts binary")
 
@@ -305,7 +316,9 @@ def whole_tables(batches: Iterator[pa.RecordBatch], n: int) -> dict[int, tuple[n
             if chunk < 0:
                 pairs += np.frombuffer(counts.as_buffer(), np.int64)
             else:
-                words[np.frombuffer(codes.as_buffer(), np.uint16).astype(np.int64) + chunk * CHUNK * WIDTH] += np.frombuffer(counts.as_buffer(), np.int32)
+                words[
+                    np.frombuffer(codes.as_buffer(), np.uint16).astype(np.int64) + chunk * CHUNK * WIDTH
+                ] += np.frombuffer(counts.as_buffer(), np.int32)
     return {b: (words.reshape(-1, WIDTH), pairs.reshape(STATES, COLUMNS)) for b, (words, pairs) in out.items()}
 
 
@@ -356,7 +369,9 @@ def sweep(ids: DataFrame, classes: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, (rows, table) in whole_tables(batches, n).items():
             words = np.arange(block, n, blocks)  # ids fall with counts
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(move(rows, classes[words], table), pa.int64())], names=["word", "class"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(words, pa.int64()), pa.array(move(rows, classes[words], table), pa.int64())], names=["word", "class"],
+            )
 
     got = class_counts(ids, classes).repartition(blocks, "block").mapInArrow(run, "word long, class long").toArrow()
     out = classes.copy()
@@ -403,9 +418,20 @@ def transitions(ids: DataFrame, classes: np.ndarray) -> DataFrame:
                 if len(second):
                     yield summed(words.take(pa.array(second - 1)), words.take(pa.array(second)), np.zeros(len(second), np.int64))
         codes = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.binary()), pa.array(codes, pa.int64()), pa.array(table[codes], pa.int64())], names=["prev", "word", "code", "n"])
-
-    return written(ids.select("ids", "rare").mapInArrow(run, "prev binary, word binary, code long, n long").groupBy("prev", "word", "code").agg(F.sum("n").alias("n")), "states")
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(len(codes), pa.binary()), pa.nulls(len(codes), pa.binary()), pa.array(codes, pa.int64()),
+                pa.array(table[codes], pa.int64()),
+            ],
+            names=["prev", "word", "code", "n"],
+        )
+
+    return written(
+        ids.select("ids", "rare").mapInArrow(
+            run, "prev binary, word binary, code long, n long",
+        ).groupBy("prev", "word", "code").agg(F.sum("n").alias("n")),
+        "states",
+    )
 
 
 def gains(counts: np.ndarray, states: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -447,7 +473,10 @@ def rest_classes(rows: DataFrame, counts: np.ndarray) -> DataFrame:
             np.add.at(sums, own[w2] * CLASSES + x2, m2.astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(own, pa.int64())], names=["word", "n", "class"])
         codes = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.binary()), pa.array(sums[codes], pa.int64()), pa.array(codes, pa.int64())], names=["word", "n", "class"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(codes), pa.binary()), pa.array(sums[codes], pa.int64()), pa.array(codes, pa.int64())],
+            names=["word", "n", "class"],
+        )
 
     return written(each.mapInArrow(run, "word binary, n long, class long"), "rest")
 
@@ -529,9 +558,18 @@ def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
             sure = known & (before != OTHER)
             p = MIX * transition[before, c] * emission[t.ids] + (1 - MIX) * base[t.ids]
             sums = lambda x: np.bincount(t.row, x, minlength=k)
-            own = [np.bincount(t.row, minlength=k), sums(known).astype(np.int64), sums(np.where(known, np.log10(base[t.ids]), 0.0)), sums(np.where(sure, np.log10(p), 0.0))]
+            own = [
+                np.bincount(t.row, minlength=k), sums(known).astype(np.int64), sums(np.where(known, np.log10(base[t.ids]), 0.0)),
+                sums(np.where(sure, np.log10(p), 0.0)),
+            ]
             none = lambda kind, m: pa.nulls(m, kind)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), none(pa.binary(), k), none(pa.binary(), k), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), *map(pa.array, own)], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), part.column(1), none(pa.binary(), k), none(pa.binary(), k), none(pa.int64(), k),
+                    none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), *map(pa.array, own),
+                ],
+                names=names,
+            )
             rare, words = np.flatnonzero(~known), part.column(3).flatten()
             second = t.second(rare)
             for at, one in ((np.arange(len(rare)), True), (second, False)):
@@ -551,14 +589,22 @@ def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
     rows = written(ids.select("row", "doc_id", "ids", "rare").mapInArrow(run, schema), "scored")
     array = lambda x: F.array(*[F.lit(float(v)) for v in np.ravel(x)])
     cells, rest = array(model.transition), model.rest
-    single = rows.filter("word is not null and prev is null").select("row", "word", "state", "next", "next_in_class", "next_base", F.col("n").alias("times"), F.lit(True).alias("one"))
+    single = rows.filter("word is not null and prev is null").select(
+        "row", "word", "state", "next", "next_in_class", "next_base", F.col("n").alias("times"), F.lit(True).alias("one"),
+    )
     double = rows.filter("prev is not null").select("row", "prev", "word", F.col("n").alias("times"))
     double = double.join(rest.select(F.col("word").alias("prev"), F.col("class").alias("before")), "prev", "left")
     none = F.lit(None)
-    double = double.select("row", "word", F.coalesce("before", F.lit(OTHER)).alias("state"), none.cast("long").alias("next"), none.cast("double").alias("next_in_class"), none.cast("double").alias("next_base"), "times", F.lit(False).alias("one"))
+    double = double.select(
+        "row", "word", F.coalesce("before", F.lit(OTHER)).alias("state"), none.cast("long").alias("next"),
+        none.cast("double").alias("next_in_class"), none.cast("double").alias("next_base"), "times", F.lit(False).alias("one"),
+    )
     joined = single.union(double).join(rest, "word", "left")
     seen = F.col("class").isNotNull()
-    by_class = F.when(seen, F.get(cells, F.col("state") * CLASSES + F.col("class")) * (F.col("n") + DELTA) / F.get(array(model.room), F.col("class"))).otherwise(F.get(array(model.unseen), F.col("state")))
+    by_class = F.when(
+        seen,
+        F.get(cells, F.col("state") * CLASSES + F.col("class")) * (F.col("n") + DELTA) / F.get(array(model.room), F.col("class")),
+    ).otherwise(F.get(array(model.unseen), F.col("state")))
     plain = (F.coalesce("n", F.lit(0)) + 1) / F.lit(base_room)
     # a single row after another word without an id leaves its own term to the double row
     mine = F.when(F.col("one") & (F.col("state") == OTHER), 0.0).otherwise(F.log10(MIX * by_class + (1 - MIX) * plain))
@@ -568,7 +614,10 @@ def score_encoded(ids: DataFrame, model: Model) -> DataFrame:
         F.when(F.col("one"), F.col("times") * F.log10(plain)).otherwise(0.0).alias("base"), (F.col("times") * (mine + F.when(F.col("next").isNull(), 0.0).otherwise(F.log10(follow)))).alias("score"),
     )
     whole = rows.filter("word is null").select("row", "doc_id", "n", "n_known", "base", "score").union(terms)
-    sums = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    sums = whole.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("n_known").alias("n_known"),
+        F.sum("base").alias("base_score"), F.sum("score").alias("score"),
+    )
     return sums.drop("row")
 
 

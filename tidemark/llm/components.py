@@ -21,7 +21,12 @@ def _jumped(hooks: DataFrame) -> tuple[DataFrame, DataFrame]:
     made = None
     while True:
         on = hooks.select(F.col("from").alias("via"), F.col("to").alias("on"))
-        before, longer = hooks, written(hooks.join(on, F.col("to") == F.col("via"), "left").select("from", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "hooks")
+        before, longer = hooks, written(
+            hooks.join(on, F.col("to") == F.col("via"), "left").select(
+                "from", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved"),
+            ),
+            "hooks",
+        )
         discard(before if made is None else made)
         hooks, made = longer.select("from", "to"), longer
         if longer.filter("moved").isEmpty():
@@ -48,6 +53,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = moved.join(hooks, F.col("b") == F.col("from"), "left").select("a", _to("b").alias("b"))
         old = (own, labels, table)
         own = written(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-        labels = written(labels.join(hooks, F.col("component") == F.col("from"), "left").select("node", _to("component").alias("component")), "labels")
+        labels = written(
+            labels.join(hooks, F.col("component") == F.col("from"), "left").select("node", _to("component").alias("component")),
+            "labels",
+        )
         discard(*old)
     return labels

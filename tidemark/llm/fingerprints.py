@@ -33,7 +33,10 @@ def _paragraph(line: Column) -> Column:
     marked = F.array_join(F.transform(F.split(line, " "), lambda w, i: F.concat(w, F.when(ends(w, i), F.lit(_CUT)).otherwise(F.lit(" ")))), "")
     whole = F.transform(F.array(marked), lambda m: F.left(m, F.length(m) - 1))[0]  # without the mark after the last word
     hashes = F.transform(F.split(whole, _CUT), lambda leaf: F.sha2(leaf, 256))
-    return F.struct(F.sha2(F.array_join(hashes, ""), 256).alias("hash"), F.array_join(F.transform(hashes, lambda h: F.left(h, F.lit(DIGITS))), "").alias("leaves"))
+    return F.struct(
+        F.sha2(F.array_join(hashes, ""), 256).alias("hash"),
+        F.array_join(F.transform(hashes, lambda h: F.left(h, F.lit(DIGITS))), "").alias("leaves"),
+    )
 
 
 def fingerprint(text: Column) -> Column:
@@ -45,9 +48,25 @@ def fingerprint(text: Column) -> Column:
     def tree(ps: Column) -> Column:
         firsts = F.filter(F.sequence(F.lit(1), F.size(ps)), lambda i: i % SECTION == 1)
         sections = F.transform(firsts, lambda i: F.slice(ps, i, SECTION))
-        nodes = F.transform(sections, lambda s: F.struct(F.sha2(F.array_join(F.transform(s, lambda p: p["hash"]), ""), 256).alias("hash"), F.array_join(F.transform(s, lambda p: p["leaves"]), ".").alias("leaves"), F.array_join(F.transform(s, lambda p: F.left(p["hash"], F.lit(DIGITS))), "").alias("inner")))
+        nodes = F.transform(
+            sections,
+            lambda s: F.struct(
+                F.sha2(F.array_join(F.transform(s, lambda p: p["hash"]), ""), 256).alias("hash"),
+                F.array_join(F.transform(s, lambda p: p["leaves"]), ".").alias("leaves"),
+                F.array_join(F.transform(s, lambda p: F.left(p["hash"], F.lit(DIGITS))), "").alias("inner"),
+            ),
+        )
         # one pass over nodes: the root, leaves, inner nodes
-        return F.transform(F.array(nodes), lambda n: F.concat(F.left(F.sha2(F.concat(F.array_join(F.transform(n, lambda x: x["hash"]), ""), F.sha2(text, 256)), 256), F.lit(32)), F.lit(":"), F.array_join(F.transform(n, lambda x: x["leaves"]), "/"), F.lit("|"), F.array_join(F.transform(n, lambda x: F.concat(F.left(x["hash"], F.lit(DIGITS)), x["inner"])), "/")))[0]
+        return F.transform(
+            F.array(nodes),
+            lambda n: F.concat(
+                F.left(
+                    F.sha2(F.concat(F.array_join(F.transform(n, lambda x: x["hash"]), ""), F.sha2(text, 256)), 256), F.lit(32),
+                ),
+                F.lit(":"), F.array_join(F.transform(n, lambda x: x["leaves"]), "/"), F.lit("|"),
+                F.array_join(F.transform(n, lambda x: F.concat(F.left(x["hash"], F.lit(DIGITS)), x["inner"])), "/"),
+            ),
+        )[0]
 
     return F.transform(F.array(paragraphs), tree)[0]
 
@@ -71,12 +90,17 @@ def differing(a: Column, b: Column) -> Column:
     """array<struct<section, paragraph>> (from 0) of the paragraphs in which two fingerprints differ, found by descent."""
     none = F.array().cast("array<struct<section:int,paragraph:int>>")
     sections = lambda fp: F.split(F.substring_index(fp, "|", -1), "/")
-    children = lambda node: F.regexp_extract_all(F.substring(F.coalesce(node, F.lit("")), DIGITS + 1, 1 << 30), F.lit(f".{{{DIGITS}}}"), F.lit(0))
+    children = lambda node: F.regexp_extract_all(
+        F.substring(F.coalesce(node, F.lit("")), DIGITS + 1, 1 << 30), F.lit(f".{{{DIGITS}}}"), F.lit(0),
+    )
 
     def inside(s: Column, x: Column, y: Column) -> Column:
         paragraphs = F.zip_with(children(x), children(y), lambda p, q: ~p.eqNullSafe(q))
         places = F.transform(paragraphs, lambda d, i: F.struct(s.alias("section"), i.alias("paragraph"), d.alias("differs")))
-        return F.transform(F.filter(places, lambda p: p["differs"]), lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")))
+        return F.transform(
+            F.filter(places, lambda p: p["differs"]),
+            lambda p: F.struct(p["section"].alias("section"), p["paragraph"].alias("paragraph")),
+        )
 
     pairs = F.zip_with(sections(a), sections(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     same = lambda p: F.left(p["x"], F.lit(DIGITS)).eqNullSafe(F.left(p["y"], F.lit(DIGITS)))
@@ -88,7 +112,12 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], buckets: int, id_col: s
     """rows, and next_<column> of the row that follows in order of the id (after the last: the first)."""
     key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)).cast("long"))
     share = [k / buckets for k in range(1, buckets)]
-    found = rows.select(key.alias("k")).agg(F.min("k").alias("lo"), F.percentile_approx("k", F.array(*map(F.lit, share)), max(10_000, 20 * buckets)).alias("cuts") if share else F.array().alias("cuts")).first()
+    found = rows.select(key.alias("k")).agg(
+        F.min("k").alias("lo"),
+        F.percentile_approx(
+            "k", F.array(*map(F.lit, share)), max(10_000, 20 * buckets),
+        ).alias("cuts") if share else F.array().alias("cuts"),
+    ).first()
     if found["lo"] is None:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     bounds = sorted({found["lo"], *(found["cuts"] or [])})  # ids that exist: each bucket's first
@@ -101,7 +130,12 @@ def with_next(rows: DataFrame, columns: tuple[str, ...], buckets: int, id_col: s
     first = F.get(at, F.col("_bucket")) == F.col("_key")
     before = F.when(F.col("_bucket") == 0, len(bounds) - 1).otherwise(F.col("_bucket") - 1)
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(False).alias("guest"))
-    both = keyed.withColumn("_at", F.explode(F.when(first, F.array(own, F.struct(before.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
+    both = keyed.withColumn(
+        "_at",
+        F.explode(
+            F.when(first, F.array(own, F.struct(before.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+        ),
+    )
     order = Window.partitionBy("_at.bucket").orderBy("_at.guest", "_key", "text")
     ahead = both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).filter(~F.col("_at.guest"))
     return ahead.drop("_key", "_bucket", "_at")
@@ -120,7 +154,16 @@ def digest(docs: DataFrame) -> DataFrame:
     ahead = with_next(printed, ("text", "fingerprint"), buckets)
     n = F.char_length("text")
     take = F.floor(n / 4).cast("int")
-    edited = ahead.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - take), F.left("next_text", take)).alias("edited"), "fingerprint", "next_fingerprint")
-    both = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    edited = ahead.select(
+        "doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - take), F.left("next_text", take)).alias("edited"),
+        "fingerprint", "next_fingerprint",
+    )
+    both = edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+        fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint",
+    )
     near = lambda other: likeness(F.col("fingerprint"), F.col(other))
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
+    return both.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"),
+    )

@@ -86,7 +86,10 @@ class Model:
         return labels, scores, outputs
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def fit(
+    labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, id_col: str = "doc_id", text: str = "text",
+    lang: str = "lang",
+) -> Model:
     """labelled: training rows only. The driver gets `sample` rows' n-gram numbers (at most DIMS each); the languages are those
     of the sample, so at most as many."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -106,7 +109,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS, i
                 found.append(np.flatnonzero(row).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["id", "lang", "grams"])
 
-    known = rows.select(F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("id").isin(ids)) if ids else rows.limit(0).select(F.lit(0).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = rows.select(
+        F.col(id_col).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"),
+    ).filter(F.col("id").isin(ids)) if ids else rows.limit(0).select(F.lit(0).cast("long").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     # one row for each id and language, however many rows repeat it: this bounds what the driver gets
     single = known.mapInArrow(grams, "id long, lang string, grams binary").groupBy("id", "lang").agg(F.min("grams").alias("grams"))
     got = sorted({(r["id"], r["lang"]): np.frombuffer(r["grams"], np.int32) for r in single.collect()}.items())
@@ -137,7 +142,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
             labels, scores, outputs = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(outputs, pa.float64())], names=[*part.schema.names, "lang_pred", "score", "output"])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(outputs, pa.float64())],
+                names=[*part.schema.names, "lang_pred", "score", "output"],
+            )
 
     return docs.mapInArrow(run, schema)
 
@@ -145,4 +153,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract's digest: train on folds other than 2 of 4, predict all."""
     model = fit(docs.select(id_col, "text", "lang").filter(fold_col(F.col(id_col), 4) != 2), id_col=id_col)
-    return predict(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text"), model).select("doc_id", (fold_col(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text"), model).select(
+        "doc_id", (fold_col(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score",
+    )

@@ -106,7 +106,10 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = BASE
         for _, texts in text_slices(batches, text):
             for t in texts:
                 found.update(vocab.intersection(words(t)))
-        yield pa.RecordBatch.from_pydict({"word": [w.decode() for w in found], "n": list(found.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict(
+            {"word": [w.decode() for w in found], "n": list(found.values())},
+            schema=pa.schema([("word", pa.string()), ("n", pa.int64())]),
+        )
 
     rows = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {w: 0 for w in vocab} | {r["word"].encode(): r["n"] for r in rows}
@@ -156,7 +159,9 @@ class Index:
         return sorted(base), sorted(found)
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + EXTRA, anchors: int = 4, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def license_scan(
+    docs: DataFrame, templates: tuple[Template, ...] = BASE + EXTRA, anchors: int = 4, id_col: str = "doc_id", text: str = "text",
+) -> DataFrame:
     """Per row: id, n_words, base places, and notices as array<struct<start, end, label, score>>.
 
     Two passes over the texts and one shuffle of at most (licence words x tasks) counts; no text is shuffled.
@@ -174,9 +179,17 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + EXTRA
                 n.append(len(ws))
                 bases.append([{"start": a, "end": b, "label": c} for a, b, c in base])
                 notices.append([{"start": a, "end": b, "label": c, "score": s} for a, b, c, s in found])
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(bases, out.field(2).type), pa.array(notices, out.field(3).type)], schema=out)
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(scan, f"{id_col} long, n_words long, base array<struct<{place}>>, notices array<struct<{place}, score: double>>")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(bases, out.field(2).type),
+                    pa.array(notices, out.field(3).type),
+                ],
+                schema=out,
+            )
+
+    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(
+        scan, f"{id_col} long, n_words long, base array<struct<{place}>>, notices array<struct<{place}, score: double>>",
+    )
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -438,7 +438,13 @@ def store(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
             raw = [t.encode() for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([encode_jpeg(pad(r)) for r in raw], pa.binary())], names=[id_col, "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0), pa.array([len(r) for r in raw], pa.int64()),
+                    pa.array([encode_jpeg(pad(r)) for r in raw], pa.binary()),
+                ],
+                names=[id_col, "n_bytes", "media"],
+            )
 
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(run, f"{id_col} long, n_bytes long, media binary")
 
@@ -456,7 +462,12 @@ def digest(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for media, got in zip(files, decode(files), strict=True):
                     payload = None if got is None else payload_of(got)
                     read = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-                    rows.append((*read, *((None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())), None if got is None else feature(got)))
+                    rows.append(
+                        (
+                            *read, *((None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())),
+                            None if got is None else feature(got),
+                        )
+                    )
                 columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=[x.split()[0] for x in schema.split(", ")])
 

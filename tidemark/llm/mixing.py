@@ -52,13 +52,21 @@ def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, n, target) from rows with source and size; one row a source."""
     each = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n"))
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    weighed = written(_numbered(each).select("source", "source_size", "n", F.element_at(weights, (F.col("_n") % len(WEIGHTS) + 1).cast("int")).alias("weight")), "mix-weights")
+    weighed = written(
+        _numbered(each).select(
+            "source", "source_size", "n", F.element_at(weights, (F.col("_n") % len(WEIGHTS) + 1).cast("int")).alias("weight"),
+        ),
+        "mix-weights",
+    )
     most = F.lit(MOST) * F.col("source_size")
     sums = weighed.agg(F.sum("source_size").alias("all"), F.sum("weight").alias("weight")).first()
     level, full = SHARE * (sums["all"] or 0) / (sums["weight"] or 1.0), 0
     while level is not None:  # the level rises as sources get full, so each is found full once
         over = most < F.lit(level) * F.col("weight")
-        found = weighed.agg(F.count_if(over).alias("full"), F.sum(F.when(over, most)).alias("held"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        found = weighed.agg(
+            F.count_if(over).alias("full"), F.sum(F.when(over, most)).alias("held"),
+            F.sum(F.when(~over, F.col("weight"))).alias("weight"),
+        ).first()
         if found["full"] == full:
             break
         full = found["full"]
@@ -88,7 +96,10 @@ def _starts(counts: DataFrame) -> DataFrame:
     spans = wide.groupBy("source", "_class", "_span").agg(F.sum("_rows").alias("_rows"))
     over_source = before(Window.partitionBy("source").orderBy("_class", "_span"))
     over_span = before(Window.partitionBy("source", "_class", "_span").orderBy("_bucket"))
-    spans = spans.select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_span").alias("_p"), F.coalesce(F.sum("_rows").over(over_source), F.lit(0)).alias("_before"))
+    spans = spans.select(
+        F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_span").alias("_p"),
+        F.coalesce(F.sum("_rows").over(over_source), F.lit(0)).alias("_before"),
+    )
     wide = wide.withColumn("_within", F.coalesce(F.sum("_rows").over(over_span), F.lit(0)))
     joined = wide.join(spans, wide["source"].eqNullSafe(spans["_s"]) & (wide["_class"] == spans["_c"]) & (wide["_span"] == spans["_p"]))
     return joined.select("source", "_class", "_bucket", (F.col("_before") + F.col("_within")).alias("_start"))
@@ -103,14 +114,21 @@ def copies(sized: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = ())
     sources = written(targets(sized), "mix-sources")
     found = sources.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     buckets = max(1, -(-(found["n"] or 0) // GROUP_ROWS))
-    rows = sized.withColumn("_class", F.floor(F.log(F.col("size") + 1) * STEPS)).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
+    rows = sized.withColumn(
+        "_class", F.floor(F.log(F.col("size") + 1) * STEPS),
+    ).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
     group = ["source", "_class", "_bucket"]
     counts = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
     starts = _starts(counts)
     inside = Window.partitionBy(*group).orderBy("_hash", id_col, "size", *ties)
     placed = rows.withColumn("_place", F.row_number().over(inside))
     right = starts.select(*[F.col(c).alias(f"{c}_g") for c in group], "_start")
-    joined = placed.join(right, placed["source"].eqNullSafe(right["source_g"]) & (placed["_class"] == right["_class_g"]) & (placed["_bucket"] == right["_bucket_g"]))
+    joined = placed.join(
+        right,
+        placed["source"].eqNullSafe(right["source_g"]) & (placed["_class"] == right["_class_g"]) & (
+            placed["_bucket"] == right["_bucket_g"]
+        ),
+    )
     joined = _with_sources(joined, sources.drop("n"), found["k"] or 0)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hash(F.concat(F.lit("offset:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 28))
@@ -137,5 +155,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     own = written(docs.select(F.monotonically_increasing_id().alias("_mix_row"), *[F.col(c) for c in docs.columns if c != "_mix_row"]), "mix-rows")
     tie = F.xxhash64("text").alias("_mix_tie")
     chosen = copies(written(sized(own, "doc_id", "_mix_row", tie), "mix-sizes"), ties=("_mix_tie", "_mix_row")).filter("copies > 0")
-    times = own.join(chosen.select(F.col("_mix_row").alias("_row"), F.col("copies").cast("int").alias("_mix_times")), F.col("_mix_row") == F.col("_row"))
+    times = own.join(
+        chosen.select(F.col("_mix_row").alias("_row"), F.col("copies").cast("int").alias("_mix_times")),
+        F.col("_mix_row") == F.col("_row"),
+    )
     return times.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))).select(*docs.columns)

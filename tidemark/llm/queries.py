@@ -62,7 +62,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
     return chat.digest(chat.format_conversations(rows.unionByName(extra)))
 
 
@@ -83,7 +86,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_license_scan, op2_class_lm, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup, op9_media, op10_language_id)
+    own = (
+        op1_license_scan, op2_class_lm, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup,
+        op9_media, op10_language_id,
+    )
     return {f.__name__: f for f in own}
 
 

@@ -70,12 +70,17 @@ def deletes(rows: DataFrame) -> DataFrame:
 def revisions(rows: DataFrame, version: str, old: Column, new: Column | None = None) -> DataFrame:
     """For each row of counts() a delete of its old count and an insert of its new one."""
     fresh = F.col(f"`{version}`") if new is None else new
-    both = F.array(F.struct(F.lit(-1).alias("sign"), F.coalesce(old, F.lit(0)).cast("long").alias("tokens")), F.struct(F.lit(1).alias("sign"), F.coalesce(fresh, F.lit(0)).cast("long").alias("tokens")))
+    both = F.array(
+        F.struct(F.lit(-1).alias("sign"), F.coalesce(old, F.lit(0)).cast("long").alias("tokens")),
+        F.struct(F.lit(1).alias("sign"), F.coalesce(fresh, F.lit(0)).cast("long").alias("tokens")),
+    )
     return rows.select("source", "lang", F.lit(version).alias("version"), F.inline(both))
 
 
 def _rolled(changes: DataFrame) -> DataFrame:
-    return changes.groupBy(*KEYS).agg(F.sum("documents").cast("long").alias("documents"), F.sum("tokens").cast("long").alias("tokens")).filter((F.col("documents") != 0) | (F.col("tokens") != 0))
+    return changes.groupBy(*KEYS).agg(
+        F.sum("documents").cast("long").alias("documents"), F.sum("tokens").cast("long").alias("tokens"),
+    ).filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
 
 class TokenLedger:
@@ -120,7 +125,9 @@ class TokenLedger:
     def _base(self) -> dict:
         """The newest base: number, folder (None for none), batches."""
         numbers = self._names("bases")
-        return {"number": int(numbers[-1]), **json.loads(self._read(f"bases/{numbers[-1]}"))} if numbers else {"number": 0, "folder": None, "batches": []}
+        return {
+            "number": int(numbers[-1]), **json.loads(self._read(f"bases/{numbers[-1]}")),
+        } if numbers else {"number": 0, "folder": None, "batches": []}
 
     def has(self, batch_id: str) -> bool:
         return self._fs.exists(self._at(f"commits/{batch_id}")) or batch_id in self._base()["batches"]
