@@ -221,17 +221,21 @@ def test_findings(spark):
 
     rows = spark.createDataFrame([(dt.date(2022, 1, 1 + k), float(v)) for k, v in enumerate((10, 20, 40, 15, 18, 12))], "date date, v double")
     got = {r["finding"]: (r["date"].day, r["value"]) for r in findings(rows, "date", "v").collect()}
-    assert got == {"highest": (3, 40.0), "lowest": (1, 10.0), "largest rise": (3, 20.0), "largest drop": (4, -25.0)}
+    assert got == {"highest": (3, 40.0), "lowest": (1, 10.0), "largest rise": (3, 40.0), "largest drop": (4, 15.0)}
+    near = findings(rows, "date", "v", target="2022-03-01").collect()
+    assert [(r["finding"], r["date"].day) for r in near][-1] == ("selected", 6) and len(near) == 5
+    flat = findings(rows.limit(1), "date", "v").collect()
+    assert [r["finding"] for r in flat] == ["highest"]  # the lowest is the same bucket, and there is no change
 
 
 def test_search_covers_ids_divisible_by_50(spark, tmp_path):
     vectors = [(0, [1.0, 0.0], 1), (50, [1.0, 0.1], 1), *((i, [0.0, float(i)], 2) for i in range(1, 9))]
     spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     get = catalog.queries()
-    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in get["tk6_filtered_top_k_all"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in get["tk6_filtered_top_k"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1): 0, (0, 2): 50, (50, 1): 50, (50, 2): 0}
-    assert [tuple(r) for r in get["ag36_hit_at_k_all"](spark, str(tmp_path)).collect()] == [(1.0, 2)]
-    gates = {r["query_id"]: r for r in get["rt4_strict_gate_all"](spark, str(tmp_path)).collect()}
+    assert [tuple(r) for r in get["ag36_hit_at_k"](spark, str(tmp_path)).collect()] == [(1.0, 2)]
+    gates = {r["query_id"]: r for r in get["rt4_strict_gate"](spark, str(tmp_path)).collect()}
     assert set(gates) == {0, 50} and all(r["answer"] and r["n"] == 5 and r["nearest"] == 0.00496 for r in gates.values())
 
 
