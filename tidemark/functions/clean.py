@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MISSING = ("NAN", "NONE", "NAT")
+#: Fixed value: a location code as people type it, two letters of the country and three of the place.
+CODE_SHAPE = r"[A-Za-z]{2}\s?[A-Za-z]{3}"
 #: Classes of vessel types, looked up first as a whole, then as the first that the type contains.
 VESSEL_CLASSES = {
     "tanker": "tanker", "oil tanker": "tanker", "chemical tanker": "tanker", "gas tanker": "tanker",

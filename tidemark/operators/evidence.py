@@ -10,6 +10,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clean import CODE_SHAPE
 from .retrieval import metadata_filter, top_k
 
 # Words that send a question to documents, and to traffic rows.
@@ -92,7 +93,7 @@ class Filters:
         destination and the port's name, so only a visit whose destination is its own port can match a name."""
         given = overrides or {}
         port = pick(given.get("port"), found.get("port"))
-        code = port if port and re.fullmatch(r"[A-Za-z]{2}\s?[A-Za-z]{3}", port) else None
+        code = port if port and re.fullmatch(CODE_SHAPE, port) else None
         name = port if port and not code else None
         span = {k: pick(given.get(k), found.get(k)) for k in ("date_from", "date_to")} if dates else {}
         own = {k: found.get(k) for k in ("mmsi", "imo")}
@@ -105,7 +106,7 @@ def _identifier(text: str) -> str:
 
 def _destination(text: str) -> str:
     clean = " ".join(re.sub("[^A-Z0-9 ]+", " ", text.upper()).split())
-    return clean.replace(" ", "") if re.fullmatch(r"[A-Z]{2} ?[A-Z]{3}", clean) else clean or "UNKNOWN"
+    return clean.replace(" ", "") if re.fullmatch(CODE_SHAPE, clean) else clean or "UNKNOWN"
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.clean import CODE_SHAPE
 from .router import COUNTRIES, NO_PORTS, Question, is_code, words
 
 # Ports by names that people use.
@@ -99,7 +100,7 @@ class Catalog:
         if not token:
             return None
         tight = token.upper().replace(" ", "")
-        if re.fullmatch(r"[A-Za-z]{2}\s?[A-Za-z]{3}", token):
+        if re.fullmatch(CODE_SHAPE, token):
             return tight
         name = plain(token)
         if name in ALIASES:
