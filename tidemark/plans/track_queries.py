@@ -11,6 +11,7 @@ from ..functions import serialize
 from ..functions.clean import vessel_class
 from ..operators import emissions, findings, forecast, marts, serving, trajectory
 from ..registry import register
+from ..storage import written
 from . import build
 from .views import CALLS, POS, positions, read, visits
 
@@ -247,7 +248,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 ), g AS (SELECT bucket, port_key, basis, count(*)::BIGINT AS rows, sum(w) AS w, sum(co2_t) AS co2_t, sum(lo) AS lo, sum(hi) AS hi, avg(f) AS f FROM r GROUP BY ALL), b AS (SELECT *, CASE WHEN w > 0 THEN (hi - lo) / w ELSE 1 END AS ci FROM g), l AS (SELECT *, {_LABEL} AS label FROM b)
 SELECT bucket, port_key, basis, rows, round(co2_t, 4) AS co2_t, round(w, 4) AS wtw_co2e_t, round(lo, 4) AS wtw_co2e_t_lower, CASE WHEN basis = 'daily_proxy' AND label = 'high' THEN 'medium' ELSE label END AS confidence_label FROM l""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    segments = _segments(spark, d)
+    segments = written(_segments(spark, d), "segments")  # a mart, which is read more than once
     own = emissions.port_emissions(segments, _daily_port(segments), "month")
     return own.select("bucket", "port_key", "basis", "rows", _r("co2_t", 4), _r("wtw_co2e_t", 4), _r("wtw_co2e_t_lower", 4), "confidence_label")
 
@@ -259,7 +260,7 @@ SELECT port_key, rows, coalesce(calls, 0) AS calls, round(h, 4) AS total_duratio
   CASE WHEN b < 1 THEN 'unstable baseline' WHEN longest > 240 OR largest_t > 500 THEN 'warning' ELSE 'checked' END AS sanity_status
 FROM w LEFT JOIN p USING (port_key) LEFT JOIN base USING (port_key)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    segments = _segments(spark, d)
+    segments = written(_segments(spark, d), "segments")  # a mart, which is read more than once
     own = emissions.scope_diagnostics(segments, "wtw_co2e_t", ["port_key"], _daily_port(segments))
     return own.select(
         "port_key", "rows", "calls", _r("total_duration_h", 4), _r("total_t", 4), _r("mean_t", 4), _r("median_t", 4), "repeated",
