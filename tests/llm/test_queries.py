@@ -577,6 +577,33 @@ def test_estimates_within_a_block():
         assert own._estimates(i, near) == pytest.approx([near_dedup.union_estimate(sets[i], sets[j]) for j in near])
 
 
+def test_pairs_count_in_their_first_list():
+    """Over all lists of some members, each possible pair is found in the list of the first value that both are in."""
+    import numpy as np
+    from tidemark.llm.shingles import shingle_set
+
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(50)]
+    sets, lists = [], []
+    for _ in range(25):
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(50)] = f"e{rng.randint(0, 9)}"
+        sets.append(shingle_set(" ".join(w)))
+        lists.append(np.array(sorted(rng.sample(range(1, 9), rng.randint(1, 6)))))  # in one order for all
+    found = set()
+    for value in range(1, 9):
+        members = [i for i in range(25) if value in lists[i]]
+        if len(members) > 1:
+            own = near_dedup._Block(members, [0] * len(members), [len(sets[i]) for i in members], [sets[i] for i in members], True, value, [lists[i] for i in members])
+            for k, i in enumerate(members):
+                for j in own._partners(k, np.ones(len(members), bool)):
+                    assert min(set(lists[i].tolist()) & set(lists[members[j]].tolist())) == value
+                    found.add((i, members[j]))
+    want = {(i, j) for i in range(25) for j in range(25) if i != j and set(lists[i].tolist()) & set(lists[j].tolist()) and near_dedup.union_estimate(sets[i], sets[j]) >= near_dedup.OVERLAP / near_dedup.SKETCH and 100 * min(len(sets[i]), len(sets[j])) >= 75 * max(len(sets[i]), len(sets[j]))}
+    assert found == want and len(want) > 50
+
+
 def test_a_chain_takes_few_rounds(spark, monkeypatch):
     """1,000 nodes in order, dealt at random, and as alternating small and large ones: rounds and jumps stay logarithmic."""
     rng, tables = random.Random(6), []

@@ -10,9 +10,10 @@
    leader of most of its lists: an estimate from the union's sketch filters, the whole sets decide.
 4. Components of these links are found. Only lists that still hold several components go on; they are cut into
    blocks of BLOCK members, and pairs of blocks are compared within a task, first on sketches alone: overlap and union
-   estimate filter pairs of two components, and members without a partner drop out. For the others the whole sets are
-   fetched and decide, and each task returns a spanning forest of its links. So every candidate pair is either within
-   one component or decided on whole sets; no pairs are emitted, and no whole set is moved for a shared value alone.
+   estimate filter pairs of two components, a pair counts only in the list of the first value that its members share,
+   and members without a partner drop out. For the others the whole sets are fetched and decide, and each task returns a
+   spanning forest of its links. So every candidate pair is either within one component or decided on whole sets; no
+   pairs are emitted, and whole sets are moved for pairs in about one list of the many that a pair may share.
 5. Components of all links, each with the smallest id of its nodes' rows.
 
 Defined results: null or empty texts have an empty set and are alone; with fewer than five words the whole sequence is
@@ -24,6 +25,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +110,7 @@ class _Block:
     marked in a table, so one pass counts what all others share with it.
     """
 
-    def __init__(self, groups: list, sides: list[int], sizes: list[int], sets: list[np.ndarray], same: bool):
+    def __init__(self, groups: list, sides: list[int], sizes: list[int], sets: list[np.ndarray], same: bool, value: int = 0, listed: list[np.ndarray] | None = None):
         self.group, self.side, self.size, self.same = np.unique(np.array(groups), return_inverse=True)[1], np.array(sides), np.array(sizes), same
         held = np.array([len(s) for s in sets])
         self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -124,6 +126,12 @@ class _Block:
         self.sketch[spare] = len(self.values) + np.flatnonzero(spare.ravel())
         self.need = -(-self.short * OVERLAP // SKETCH)
         self.mark = np.zeros(len(self.values), np.int32)
+        # the lists that each member is in, in one order for all, and the place of this list among them
+        self.listed = None
+        if listed is not None:
+            width = max(map(len, listed))
+            self.listed = np.array([np.concatenate([x, np.full(width - len(x), value)]) for x in listed])
+            self.place = (self.listed == value).argmax(axis=1)
 
     def _partners(self, i: int, among: np.ndarray) -> np.ndarray:
         """Those of `among` (a mask) in another group that the filters leave as possible links of i."""
@@ -134,7 +142,11 @@ class _Block:
         if len(near):
             need = np.minimum(self.need[near], self.need[i])
             near = near[(self.sketch[near, :, None] == self.sketch[i]).any(axis=2).sum(axis=1) >= need] if len(near) <= 16 else near[self._shared(i)[near] >= need]
-        return near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
+        near = near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
+        if len(near) and self.listed is not None and self.place[i]:
+            # a pair that an earlier list has, too, is looked at there
+            near = near[~np.isin(self.listed[near], self.listed[i, : self.place[i]]).any(axis=1)]
+        return near
 
     def _shared(self, i: int) -> np.ndarray:
         """How many retained values each member shares with i."""
@@ -188,9 +200,9 @@ class _Block:
         return out
 
 
-def _by_block(rows: DataFrame, numbers: str) -> Iterator:
+def _by_block(rows: DataFrame, *numbers: str) -> DataFrame:
     """Rows dealt to tasks by block and sorted by it."""
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).select(*_KEY, "side", "node", "component", "n", numbers)
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).select(*_KEY, "side", "node", "component", "n", *numbers)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -198,19 +210,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     key, held = None, []
     for batch in batches:
         plain = [c.to_pylist() for c in batch.columns[:7]]
-        for *k, side, node, component, n, own in zip(*plain, batch.column(7), strict=True):
+        for *k, side, node, component, n, own, listed in zip(*plain, batch.column(7), batch.column(8) if batch.num_columns > 8 else repeat(None, batch.num_rows), strict=True):
             if (k := tuple(k)) != key:
                 if len(held) > 1:
                     yield key, held
                 key, held = k, []
-            held.append((side, node, component, n, own))
+            held.append((side, node, component, n, own, listed))
     if len(held) > 1:
         yield key, held
 
 
 def _block(key: tuple, rows: list[tuple], sets: list[np.ndarray]) -> _Block:
-    side, _, component, n, _ = zip(*rows, strict=True)
-    return _Block(list(component), list(side), list(n), sets, key[1] == key[2])
+    side, _, component, n, _, listed = zip(*rows, strict=True)
+    return _Block(list(component), list(side), list(n), sets, key[1] == key[2], key[0], None if listed[0] is None else [x.values.to_numpy() for x in listed])
 
 
 def _possible(rows: DataFrame) -> DataFrame:
@@ -224,7 +236,7 @@ def _possible(rows: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)], names=[*_KEY, "side", "node", "component", "n"])
 
-    return _by_block(rows, "sketch").mapInArrow(run, "value long, i int, j int, side int, node binary, component binary, n long")
+    return _by_block(rows, "sketch", "values").mapInArrow(run, "value long, i int, j int, side int, node binary, component binary, n long")
 
 
 def _block_links(rows: DataFrame) -> DataFrame:
@@ -267,10 +279,10 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     placed = lists.join(parts, F.col("node") == F.col("_node"), "left").select("value", "node", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
     mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo != hi").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    left = placed.join(mixed, "value").join(classes.select("node", "n", "sketch"), "node")
+    left = placed.join(mixed, "value").join(classes.select("node", "n", "sketch").join(listed.select("node", "values"), "node"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = left.select("value", "node", "component", "n", "sketch", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch")
+    spread = left.select("value", "node", "component", "n", "sketch", "values", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch", "values")
     possible = written(_possible(spread), "possible")
     more = _block_links(possible.join(sets, "node"))
     final = connected_components(links.union(written(more, "links"))).withColumnRenamed("node", "_node")
