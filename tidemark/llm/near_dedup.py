@@ -130,8 +130,10 @@ class _Block:
         self.listed = None
         if listed is not None:
             width = max(map(len, listed))
-            self.listed = np.array([np.concatenate([x, np.full(width - len(x), value)]) for x in listed])
-            self.place = (self.listed == value).argmax(axis=1)
+            whole = np.array([np.concatenate([x, np.full(width - len(x), value)]) for x in listed])
+            self.place = (whole == value).argmax(axis=1)
+            names, numbers = np.unique(whole, return_inverse=True)
+            self.listed, self.earlier = numbers.reshape(whole.shape), np.zeros(len(names), bool)
 
     def _partners(self, i: int, among: np.ndarray) -> np.ndarray:
         """Those of `among` (a mask) in another group that the filters leave as possible links of i."""
@@ -139,14 +141,16 @@ class _Block:
         if not self.same:
             fit &= self.side != self.side[i]
         near = np.flatnonzero(fit)
+        if len(near) and self.listed is not None and self.place[i]:
+            # a pair that an earlier list has, too, is looked at there
+            before = self.listed[i, : self.place[i]]
+            self.earlier[before] = True
+            near = near[~self.earlier[self.listed[near]].any(axis=1)]
+            self.earlier[before] = False
         if len(near):
             need = np.minimum(self.need[near], self.need[i])
             near = near[(self.sketch[near, :, None] == self.sketch[i]).any(axis=2).sum(axis=1) >= need] if len(near) <= 16 else near[self._shared(i)[near] >= need]
-        near = near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
-        if len(near) and self.listed is not None and self.place[i]:
-            # a pair that an earlier list has, too, is looked at there
-            near = near[~np.isin(self.listed[near], self.listed[i, : self.place[i]]).any(axis=1)]
-        return near
+        return near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
 
     def _shared(self, i: int) -> np.ndarray:
         """How many retained values each member shares with i."""
