@@ -58,7 +58,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 names=["doc_id", "n_shingles", "sig", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_shingles long, sig binary, sketch array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text)).mapInArrow(
+        run, "doc_id long, n_shingles long, sig binary, sketch array<long>",
+    )
 
 
 def _picked(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -110,7 +112,10 @@ class _Block:
     marked in a table, so one pass counts what all others share with it.
     """
 
-    def __init__(self, groups: list, sides: list[int], sizes: list[int], sets: list[np.ndarray], same: bool, value: int = 0, listed: list[np.ndarray] | None = None):
+    def __init__(
+        self, groups: list, sides: list[int], sizes: list[int], sets: list[np.ndarray], same: bool, value: int = 0,
+        listed: list[np.ndarray] | None = None,
+    ):
         self.group, self.side, self.size, self.same = np.unique(np.array(groups), return_inverse=True)[1], np.array(sides), np.array(sizes), same
         held = np.array([len(s) for s in sets])
         self.values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -149,7 +154,9 @@ class _Block:
             self.earlier[before] = False
         if len(near):
             need = np.minimum(self.need[near], self.need[i])
-            near = near[(self.sketch[near, :, None] == self.sketch[i]).any(axis=2).sum(axis=1) >= need] if len(near) <= 16 else near[self._shared(i)[near] >= need]
+            near = near[
+                (self.sketch[near, :, None] == self.sketch[i]).any(axis=2).sum(axis=1) >= need
+            ] if len(near) <= 16 else near[self._shared(i)[near] >= need]
         return near[self._estimates(i, near) >= OVERLAP / SKETCH] if len(near) else near
 
     def _shared(self, i: int) -> np.ndarray:
@@ -214,7 +221,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     key, held = None, []
     for batch in batches:
         plain = [c.to_pylist() for c in batch.columns[:7]]
-        for *k, side, node, component, n, own, listed in zip(*plain, batch.column(7), batch.column(8) if batch.num_columns > 8 else repeat(None, batch.num_rows), strict=True):
+        for *k, side, node, component, n, own, listed in zip(
+            *plain, batch.column(7), batch.column(8) if batch.num_columns > 8 else repeat(None, batch.num_rows), strict=True,
+        ):
             if (k := tuple(k)) != key:
                 if len(held) > 1:
                     yield key, held
@@ -226,7 +235,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 def _block(key: tuple, rows: list[tuple], sets: list[np.ndarray]) -> _Block:
     side, _, component, n, _, listed = zip(*rows, strict=True)
-    return _Block(list(component), list(side), list(n), sets, key[1] == key[2], key[0], None if listed[0] is None else [x.values.to_numpy() for x in listed])
+    return _Block(
+        list(component), list(side), list(n), sets, key[1] == key[2], key[0],
+        None if listed[0] is None else [x.values.to_numpy() for x in listed],
+    )
 
 
 def _possible(rows: DataFrame) -> DataFrame:
@@ -238,7 +250,10 @@ def _possible(rows: DataFrame) -> DataFrame:
             if len(use):
                 some = [(*key, *held[i][:4]) for i in use]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)], names=[*_KEY, "side", "node", "component", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), kinds, strict=True)],
+                    names=[*_KEY, "side", "node", "component", "n"],
+                )
 
     return _by_block(rows, "sketch", "values").mapInArrow(run, "value long, i int, j int, side int, node binary, component binary, n long")
 
@@ -261,14 +276,27 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     found = written(sketches(docs, id_col, text), "sketches")
     named = found.filter(F.col("sig").isNotNull() & F.col("doc_id").isNotNull())
-    classes = written(named.groupBy(F.col("sig").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "classes")
+    classes = written(
+        named.groupBy(F.col("sig").alias("node")).agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.any_value("n_shingles").alias("n"),
+            F.any_value("sketch").alias("sketch"),
+        ),
+        "classes",
+    )
     repeats = not named.groupBy("doc_id").count().filter("count > 1").isEmpty()
     # inverted lists of the rarest retained values that more than one node has
     retained = classes.select("node", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     common = retained.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = retained.join(common, "value").groupBy("node", "m").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("h"), F.sum("df").alias("weight"))
+    ranked = retained.join(common, "value").groupBy("node", "m").agg(
+        F.array_sort(F.collect_list(F.struct("df", "value"))).alias("h"), F.sum("df").alias("weight"),
+    )
     need = F.ceil(F.col("m") * OVERLAP / SKETCH).cast("int")
-    listed = written(ranked.filter(F.size("h") >= need).select("node", "weight", F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + 1).alias("values")), "lists")
+    listed = written(
+        ranked.filter(F.size("h") >= need).select(
+            "node", "weight", F.slice(F.col("h.value"), F.lit(1), F.size("h") - need + 1).alias("values"),
+        ),
+        "lists",
+    )
     lists = listed.select("node", "weight", F.explode("values").alias("value"))
     sets = _sets(docs, classes.join(listed.select("node"), "node", "left_semi").select("node", "rep"), repeats, id_col, text)
     # stars
@@ -282,22 +310,38 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     parts = connected_components(links).withColumnRenamed("node", "_node")
     placed = lists.join(parts, F.col("node") == F.col("_node"), "left").select("value", "node", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo != hi").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    mixed = placed.groupBy("value").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"),
+    ).filter("lo != hi").select("value", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     left = placed.join(mixed, "value").join(classes.select("node", "n", "sketch").join(listed.select("node", "values"), "node"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = left.select("value", "node", "component", "n", "sketch", "values", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch", "values")
+    spread = left.select(
+        "value", "node", "component", "n", "sketch", "values", block.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    spread = spread.select(
+        "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "component", "n", "sketch", "values",
+    )
     possible = written(_possible(spread), "possible")
     more = _block_links(possible.join(sets, "node"))
     final = connected_components(links.union(written(more, "links"))).withColumnRenamed("node", "_node")
     # names of groups; then back to rows, where only nodes of several rows or with a link need a look-up
-    joined = classes.select("node", "rep", "rows").join(final, F.col("node") == F.col("_node"), "left").filter(F.col("component").isNotNull() | (F.col("rows") > 1)).select("node", "rep", F.coalesce("component", "node").alias("component"))
+    joined = classes.select("node", "rep", "rows").join(final, F.col("node") == F.col("_node"), "left").filter(F.col("component").isNotNull() | (F.col("rows") > 1)).select(
+        "node", "rep", F.coalesce("component", "node").alias("component"),
+    )
     joined = written(joined, "groups")
     least = joined.groupBy(F.col("component").alias("_component")).agg(F.min(F.struct("rep", "node")).alias("least"))
-    groups = joined.join(least, F.col("component") == F.col("_component")).select(F.col("node").alias("sig"), F.col("least.rep").alias("component_id"), (F.col("least.node") == F.col("node")).alias("first"))
+    groups = joined.join(least, F.col("component") == F.col("_component")).select(
+        F.col("node").alias("sig"), F.col("least.rep").alias("component_id"),
+        (F.col("least.node") == F.col("node")).alias("first"),
+    )
     out = found.select("doc_id", "n_shingles", "sig").join(groups, "sig", "left")
     own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", "n_shingles", "sig", F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("first", F.lit(True)).alias("first"))
+    return out.select(
+        "doc_id", "n_shingles", "sig", F.when(own, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce("first", F.lit(True)).alias("first"),
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,7 +357,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     Rows with a null id stay. Of rows that share an id and a text one stays, with the other columns of the row that is
     least as JSON; a row that shares an id with others but is no copy stays, too. Empty texts with different ids stay.
     """
-    rows = labelled(docs, id_col, text).filter("doc_id is not null").select(F.col("doc_id").alias("_id"), "sig", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"))
+    rows = labelled(docs, id_col, text).filter("doc_id is not null").select(
+        F.col("doc_id").alias("_id"), "sig", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"),
+    )
     ids = rows.groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays"))
     ids = written(ids.filter("n > 1 or not stays"), "gone")
     kept = _without(docs, ids.select("_id"), id_col)
@@ -324,8 +370,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     repeated = _picked(docs, again, id_col)
     columns = [c for c in docs.columns if c not in (id_col, text)]
     others = F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
-    single = written(repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(F.col(id_col), F.col(text), *[F.col("_others")[c].alias(c) for c in columns]), "single")
-    stay = written(rows.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "_id", "left_semi").filter("stays").select("_id", "sig").distinct(), "stay")
+    single = written(
+        repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(
+            F.col(id_col), F.col(text), *[F.col("_others")[c].alias(c) for c in columns],
+        ),
+        "single",
+    )
+    stay = written(
+        rows.join(
+            F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "_id", "left_semi",
+        ).filter("stays").select("_id", "sig").distinct(),
+        "stay",
+    )
     schema = single.select("*", F.lit(None).cast("binary").alias("_sig")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
