@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..storage import delete, discard, mark, release, shared_dir, written
 
-__all__ = ["SPACE_CLASS", "delete", "discard", "fold", "fold_col", "lower_words", "mark", "read", "release", "shared_dir", "text_slices", "written"]
+__all__ = ["SPACE_CLASS", "delete", "discard", "fold", "fold_col", "free", "lower_words", "mark", "read", "release", "shared_dir", "text_slices", "written"]
 
 #: Code points that separate words in the contracts: space and U+0009 to U+000D.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of one's own, as near to those wanted as df's columns allow (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: int | None, modulus: int) -> int:
     """crc32 of the id's decimal text, modulo modulus; a null id counts as empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus

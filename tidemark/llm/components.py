@@ -12,7 +12,7 @@ def _to(column: str) -> Column:
     return F.coalesce("to", column)
 
 
-def _jumped(hooks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def followed(hooks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """hooks (from, to) with each chain followed to its end: the length of chains halves with each join. The second is the
     table behind it.
 
@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     own = written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "edges")
     while not own.isEmpty():
         # the smaller end of an edge hooks the larger one
-        hooks, table = _jumped(written(own.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")), "least"))
+        hooks, table = followed(written(own.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")), "least"))
         moved = own.join(hooks, F.col("a") == F.col("from"), "left").select(_to("a").alias("a"), "b")
         moved = moved.join(hooks, F.col("b") == F.col("from"), "left").select("a", _to("b").alias("b"))
         old = (own, labels, table)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, class_lm, fingerprints, langid, license_scan, media, mixing, near_dedup, token_ledger
+from . import bpe, chat, class_lm, fill_middle, fingerprints, langid, license_scan, media, mixing, near_dedup, packing, spelling, token_ledger
 from .common import read, shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The rank file of the installed public tokenizers that op3 uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The tokenizer of op13.
+PACKED = "word_bpe_49k.json"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,10 +87,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(read(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digest(read(spark, sf_dir, "documents"), public_tokenizers.path(PACKED))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_license_scan, op2_class_lm, op3_bpe, op4_fingerprints, op5_token_counts, op6_chat_format, op7_mixing, op8_near_dedup,
-        op9_media, op10_language_id,
+        op9_media, op10_language_id, op11_spelling, op12_fill_middle, op13_packing,
     )
     return {f.__name__: f for f in own}
 
@@ -182,6 +198,37 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d JOIN c ON d.doc_id = c.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
+_OP11 = """
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM counted, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM words, unnest(range(length(word))) AS r(i)),
+longer AS (SELECT less.word AS a, words.word AS b FROM less JOIN words ON less.rest = words.word),
+near AS (SELECT a, b FROM longer UNION SELECT b, a FROM longer UNION SELECT p.word, q.word FROM less p JOIN less q ON p.i = q.i AND p.rest = q.rest AND p.word <> q.word),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS n FROM near JOIN words ON b = word GROUP BY a),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * words.n THEN b END AS form, CASE WHEN best.n >= 5 * words.n THEN best.n END AS form_n FROM words LEFT JOIN best ON words.word = best.a),
+chain(word, tip) AS (SELECT word, word FROM formed UNION SELECT chain.word, form FROM chain JOIN formed ON chain.tip = formed.word WHERE form IS NOT NULL)
+SELECT formed.word, formed.form, chain.tip AS root, formed.n, formed.n_near::BIGINT AS n_near, formed.form_n FROM formed JOIN chain ON formed.word = chain.word JOIN formed e ON chain.tip = e.word AND e.form IS NULL"""
+
+_OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, length(t) AS n, [('0x' || substr(x, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+    ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose results SQL can express."""
-    return {"op1_license_scan": _op1(), "op5_token_counts": _OP5, "op6_chat_format": _OP6, "op7_mixing": _OP7, "op8_near_dedup": _OP8}
+    return {
+        "op1_license_scan": _op1(), "op5_token_counts": _OP5, "op6_chat_format": _OP6, "op7_mixing": _OP7, "op8_near_dedup": _OP8,
+        "op11_spelling": _OP11, "op12_fill_middle": _OP12,
+    }
