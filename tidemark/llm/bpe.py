@@ -44,6 +44,8 @@ from .common import text_slices
 #: Code points of a leaf, bytes of a piece's leaf, tokens by which a window moves on at most, ids of a decoding leaf, pieces
 #: that a worker remembers.
 LEAF, MERGE_LEAF, WINDOW, DECODE_LEAF, REMEMBERED = 1024, 64, 32, 512, 400_000
+#: Windows of long pieces that a worker remembers, and their bytes.
+REMEMBERED_WINDOWS, REMEMBERED_BYTES = 4096, 2048
 #: Bytes that are merged by lists rather than by a heap, and a rank above all.
 SHORT, _NONE = 96, 1 << 60
 #: Public splitting patterns, with how many code points beyond its end a match may look at. Runs of spaces
@@ -79,6 +81,7 @@ class Codec:
         self.digits = {i: str(i) for i in self.bytes_of}
         self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.windows: dict[bytes, list[int]] = {}
 
     # pieces -----------------------------------------------------------------------------------------------------
 
@@ -137,8 +140,10 @@ class Codec:
 
     def _merge_tree(self, raw: bytes) -> list[int]:
         if len(raw) <= self.merge_leaf:
-            return self.merge(raw)
-        half = len(raw) // 2
+            return list(self._window(raw))
+        half = self.merge_leaf
+        while 2 * half < len(raw):  # leaves begin at multiples of their size, so those of a run are alike
+            half *= 2
         return self._merge_join(self._merge_tree(raw[:half]), self._merge_tree(raw[half:]))
 
     def compatible(self, a: int, b: int) -> bool:
@@ -149,6 +154,17 @@ class Codec:
             found = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
+    def _window(self, raw: bytes) -> list[int]:
+        """merge(), remembered: the windows and leaves of a run are alike."""
+        found = self.windows.get(raw)
+        if found is None:
+            found = self.merge(raw)
+            if len(raw) <= REMEMBERED_BYTES:
+                if len(self.windows) >= REMEMBERED_WINDOWS:
+                    self.windows.clear()
+                self.windows[raw] = found
+        return found
+
     def _merge_join(self, left: list[int], right: list[int]) -> list[int]:
         """The tokens of two neighbours together; left is extended in place."""
         at, k = 0, 1
@@ -156,7 +172,7 @@ class Codec:
             back, to = 1, min(len(right), at + k)
             while True:
                 i = max(0, len(left) - back)
-                mid = self.merge(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[at:to])))
+                mid = self._window(b"".join(map(self.bytes_of.__getitem__, left[i:] + right[at:to])))
                 if i == 0 or self.compatible(left[i - 1], mid[0]):
                     break
                 back *= 2
