@@ -4,10 +4,16 @@ A change is signed: an insert adds a document's count to its (source, lang, toke
 away, and a revision takes the old count away and adds the new one. A batch of changes is rolled up, partly before the
 shuffle, and written as one small table in a folder of its own; totals are the sum over the batches' tables.
 
-A batch is committed by one small file, named by the batch's id, that says where its table is, and that is created only
-where there is none: a batch is in whole or not at all, and one whose id is in already is left alone, whoever sent it.
-No folder is renamed, so this holds on object stores as well. compact() sums all batches into one base, which names the
-batches that it holds, so that reading doesn't grow with the number of batches and their ids stay known.
+A batch is committed by one empty file under commits/<batch id>/, whose name is that of the batch's table, which is
+complete by then. As all that a commit says is in a name, it is there whole or not at all: a writer that dies before leaves
+a table that nothing names, and the batch can be sent again. Of several writers of one batch the least name counts, so all readers
+agree, whoever came first, and a batch that is in already is left alone. This needs a store that lists what has been
+created, but neither renames nor creation that fails where there is a file.
+
+compact() sums all batches into one base, in the same way: a file bases/<number>.<name> names its table. The base holds the
+batches' ids as a table of its own, in which one id is looked up by a filter, so totals() doesn't read them. What
+a base replaces is deleted only by a later compact(), when it has been replaced for `grace` seconds, so readers with older
+plans end well.
 
 Tokenizers by version: words, letters-and-digits, characters and bytes (byte-level tokens without merges) are columns;
 bpe_counted() counts by any rank file of byte-level BPE (bpe.py).
@@ -19,11 +25,10 @@ totals.
 
 from __future__ import annotations
 
-import json
 import re
+import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,12 +91,12 @@ def _rolled(changes: DataFrame) -> DataFrame:
 class TokenLedger:
     """Batches of changes under one folder of a file system that all machines share.
 
-    commits/<batch id>: the name of the batch's folder; bases/<number>: the name of a base's folder and the ids in it.
-    Any number of writers may commit; compact() is for one at a time.
+    commits/<batch id>/<table> and bases/<number>.<table> are empty files; tables are folders of these names, and a base's
+    ids stand in <table>-ids. Any number of writers may commit; compact() is for one at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, grace: float = 3600.0):
+        self.spark, self.path, self.grace = spark, path.rstrip("/"), grace
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -103,37 +108,44 @@ class TokenLedger:
             return []
         return sorted(n for s in self._fs.listStatus(self._at(folder)) if not (n := s.getPath().getName()).startswith((".", "_")))
 
-    def _read(self, name: str) -> str:
-        stream = self._fs.open(self._at(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _create(self, name: str, text: str) -> bool:
-        """A small file; False where there is one."""
-        try:
-            out = self._fs.create(self._at(name), False)
-        except Py4JJavaError as failed:
-            if "AlreadyExists" in failed.java_exception.getClass().getName() or self._fs.exists(self._at(name)):
-                return False
-            raise
-        out.write(bytearray(text.encode()))
-        out.close()
-        return True
-
-    def _base(self) -> dict:
-        """The newest base: number, folder (None for none), batches."""
-        numbers = self._names("bases")
-        return {
-            "number": int(numbers[-1]), **json.loads(self._read(f"bases/{numbers[-1]}")),
-        } if numbers else {"number": 0, "folder": None, "batches": []}
+    def _state(self) -> tuple[list[str], dict[str, str]]:
+        """The bases, oldest first, and the table of each batch that the newest doesn't hold, by id."""
+        bases = self._names("bases")
+        found: dict[str, str] = {}
+        if self._fs.exists(self._at("commits")):
+            files = self._fs.listFiles(self._at("commits"), True)
+            while files.hasNext():
+                at = files.next().getPath()
+                batch, table = at.getParent().getName(), at.getName()
+                if not table.startswith((".", "_")):
+                    found[batch] = min(table, found.get(batch, table))
+        held = self._held(bases[-1], list(found)) if bases and found else set()
+        return bases, {b: t for b, t in found.items() if b not in held}
+
+    @staticmethod
+    def _table(base: str) -> str:
+        return base.split(".", 1)[1]
+
+    def _ids(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/{self._table(base)}-ids")
+
+    def _held(self, base: str, batches: list[str]) -> set[str]:
+        """Which of these batches the base holds: only those still listed under commits are asked for."""
+        return {r["batch"] for r in self._ids(base).filter(F.col("batch").isin(batches)).collect()}
 
     def has(self, batch_id: str) -> bool:
-        return self._fs.exists(self._at(f"commits/{batch_id}")) or batch_id in self._base()["batches"]
+        if self._names(f"commits/{batch_id}"):
+            return True
+        bases = self._names("bases")
+        return bool(bases) and bool(self._held(bases[-1], [batch_id]))
 
     def batches(self) -> list[str]:
-        return sorted({*self._names("commits"), *self._base()["batches"]})
+        bases, fresh = self._state()
+        return sorted({*fresh, *(r["batch"] for r in self._ids(bases[-1]).collect())} if bases else fresh)
+
+    def _mark(self, name: str) -> None:
+        """An empty file."""
+        self._fs.create(self._at(name), True).close()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Roll the changes (KEYS, tokens, sign) up and commit them; False where the batch is in already."""
@@ -141,37 +153,47 @@ class TokenLedger:
             raise ValueError("a batch id has letters, digits, '_', '.' and '-'")
         if self.has(batch_id):
             return False
-        folder = f"data-{batch_id}-{uuid.uuid4().hex[:12]}"  # each writer writes by itself
+        table = f"data-{batch_id}-{uuid.uuid4().hex[:12]}"  # each writer writes by itself
         signed = changes.select(*KEYS, F.col("sign").alias("documents"), (F.col("sign") * F.col("tokens")).alias("tokens"))
-        _rolled(signed).write.parquet(f"{self.path}/{folder}")
-        if self._create(f"commits/{batch_id}", folder):
+        _rolled(signed).write.parquet(f"{self.path}/{table}")
+        self._mark(f"commits/{batch_id}/{table}")
+        if self._names(f"commits/{batch_id}")[:1] == [table]:
             return True
-        delete(self.spark, f"{self.path}/{folder}")  # another writer was first
+        for name in (f"commits/{batch_id}/{table}", table):  # another writer's counts
+            delete(self.spark, f"{self.path}/{name}")
         return False
 
-    def _rows(self, base: dict, batches: list[str]) -> DataFrame:
-        found = ([base["folder"]] if base["folder"] else []) + [self._read(f"commits/{b}") for b in batches]
-        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/{f}" for f in found]) if found else self.spark.createDataFrame([], _SCHEMA)
+    def _rows(self, tables: list[str]) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(*[f"{self.path}/{t}" for t in tables]) if tables else self.spark.createDataFrame([], _SCHEMA)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, documents, tokens) over the base and all batches that it lacks."""
-        base = self._base()
-        held = set(base["batches"])
-        return _rolled(self._rows(base, [b for b in self._names("commits") if b not in held]))
+        bases, fresh = self._state()
+        return _rolled(self._rows([*map(self._table, bases[-1:]), *fresh.values()]))
 
     def compact(self) -> int:
-        """Sum all batches into a new base, then delete what it replaces; how many batches were summed."""
-        base = self._base()
-        held = set(base["batches"])
-        fresh = [b for b in self._names("commits") if b not in held]
-        if not fresh:
-            return 0
-        old = [f for f in (base["folder"], *(self._read(f"commits/{b}") for b in fresh)) if f]
-        folder = f"base-{uuid.uuid4().hex[:12]}"
-        _rolled(self._rows(base, fresh)).coalesce(1).write.parquet(f"{self.path}/{folder}")  # groups, not documents
-        if not self._create(f"bases/{base['number'] + 1:012d}", json.dumps({"folder": folder, "batches": sorted({*held, *fresh})})):
-            delete(self.spark, f"{self.path}/{folder}")
-            return 0
-        for name in (*(f"commits/{b}" for b in fresh), *old):
-            delete(self.spark, f"{self.path}/{name}")
+        """Sum all batches into a new base, then delete what was replaced longer than `grace` ago; how many batches were summed."""
+        bases, fresh = self._state()
+        if fresh:
+            table = f"base-{uuid.uuid4().hex[:12]}"
+            _rolled(self._rows([*map(self._table, bases[-1:]), *fresh.values()])).coalesce(1).write.parquet(f"{self.path}/{table}")  # groups, not documents
+            ids = self.spark.createDataFrame([(b,) for b in sorted(fresh)], "batch string")
+            (self._ids(bases[-1]).unionByName(ids) if bases else ids).write.parquet(f"{self.path}/{table}-ids")
+            number = int(bases[-1].split(".", 1)[0]) + 1 if bases else 1
+            self._mark(f"bases/{number:012d}.{table}")
+            bases = [*bases, f"{number:012d}.{table}"]
+        self._clear(bases)
         return len(fresh)
+
+    def _clear(self, bases: list[str]) -> None:
+        """Delete older bases, and batches that the newest base holds, if that base has been there for `grace` seconds."""
+        if not bases or time.time() - self._fs.getFileStatus(self._at(f"bases/{bases[-1]}")).getModificationTime() / 1000 < self.grace:
+            return
+        listed = self._names("commits")
+        for batch in sorted(self._held(bases[-1], listed)) if listed else []:
+            for table in self._names(f"commits/{batch}"):
+                delete(self.spark, f"{self.path}/{table}")
+            delete(self.spark, f"{self.path}/commits/{batch}")
+        for base in bases[:-1]:
+            for name in (f"bases/{base}", self._table(base), f"{self._table(base)}-ids"):
+                delete(self.spark, f"{self.path}/{name}")
