@@ -12,8 +12,9 @@ e, rounding errors of neighbours cancel: a source's words differ from its target
 most, however many documents it has.
 
 Prefix sums at scale: the place of a document in its source is the number of documents in earlier (class, bucket)
-groups, which is summed over groups in two levels, plus its place within its own group. Buckets are hashes of the id, and their
-number follows the number of rows, so no group of equal sizes is large, whatever its source. Sources are numbered
+groups, which is summed over groups in two levels, plus its place within its own group. Buckets are hashes of the id (of the row's
+number where that is null), and their number follows the number of rows, so no group of equal sizes is large, whatever its
+source, unless one id is that of many rows. Sources are numbered
 within ranges of names, and the water level is found by sums over sources, so no task holds all sources.
 
 Defined results: a null text has size 0; null sources form one source, which comes last; a source of size 0 has
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, written
+from .common import SPACE_CLASS, free, written
 
 WEIGHTS, SHARE, MOST, STEPS, GROUP_ROWS, SPAN = (3, 1, 2), 1.5, 2.0, 16, 4096, 1024
 #: Sources up to this number are broadcast to the rows; more are joined by a shuffle, which Spark can split.
@@ -105,10 +106,11 @@ def _starts(counts: DataFrame) -> DataFrame:
     return joined.select("source", "_class", "_bucket", (F.col("_before") + F.col("_within")).alias("_start"))
 
 
-def copies(sized: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+def copies(sized: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """Rows of sized (id_col, source, size and others) with source_size, target and copies, which replace columns of these names.
 
-    ties: columns that order rows of one id and size. sized should be a written table: it is read three times.
+    ties: columns that order rows of one id and size; row: a column that numbers rows, which stands in for null ids, so that
+    these are in many buckets. sized should be a written table: it is read three times.
     """
     sized = sized.drop("source_size", "target", "copies")
     sources = written(targets(sized), "mix-sources")
@@ -116,7 +118,7 @@ def copies(sized: DataFrame, id_col: str = "doc_id", ties: tuple[str, ...] = ())
     buckets = max(1, -(-(found["n"] or 0) // GROUP_ROWS))
     rows = sized.withColumn(
         "_class", F.floor(F.log(F.col("size") + 1) * STEPS),
-    ).withColumn("_hash", _hash(F.col(id_col))).withColumn("_bucket", F.col("_hash") % buckets)
+    ).withColumn("_hash", _hash(F.coalesce(F.col(id_col).cast("string"), *([F.concat(F.lit("row "), row)] if row else [])))).withColumn("_bucket", F.col("_hash") % buckets)
     group = ["source", "_class", "_bucket"]
     counts = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
     starts = _starts(counts)
@@ -145,18 +147,18 @@ def sized(docs: DataFrame, *columns: str) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    mixed_rows = copies(written(sized(docs, "doc_id"), "mix-sizes"))
+    own = docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())
+    mixed_rows = copies(written(sized(own, "doc_id", "row"), "mix-sizes"), ties=("row",), row="row")
     return mixed_rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Documents, each row as often as the mix takes it. Only numbers of rows, ids, sources and sizes are shuffled by the
-    sampling; rows are numbered in a written table, so each has its own copies, whatever ids and sources it shares."""
-    own = written(docs.select(F.monotonically_increasing_id().alias("_mix_row"), *[F.col(c) for c in docs.columns if c != "_mix_row"]), "mix-rows")
-    tie = F.xxhash64("text").alias("_mix_tie")
-    chosen = copies(written(sized(own, "doc_id", "_mix_row", tie), "mix-sizes"), ties=("_mix_tie", "_mix_row")).filter("copies > 0")
-    times = own.join(
-        chosen.select(F.col("_mix_row").alias("_row"), F.col("copies").cast("int").alias("_mix_times")),
-        F.col("_mix_row") == F.col("_row"),
-    )
-    return times.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_times")))).select(*docs.columns)
+    sampling; rows are numbered in a written table, so each has its own copies, whatever ids and sources it shares, and
+    whatever other columns are named."""
+    number, once = free(docs, "mix_row", "mix_copy")
+    own = written(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
+    rows = own.select("doc_id", "source", "text", F.col(number).alias("row"), F.xxhash64("text").alias("tie"))
+    chosen = copies(written(sized(rows, "doc_id", "row", "tie"), "mix-sizes"), ties=("tie", "row"), row="row").filter("copies > 0")
+    times = own.join(chosen.select(F.col("row").alias(number), F.array_repeat(F.lit(0), F.col("copies").cast("int")).alias(once)), number)
+    return times.withColumn(once, F.explode(once)).select(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, written
+from .common import free, text_slices, written
 from .components import connected_components
 from .shingles import jaccard_at_least, shingle_set, signature
 
@@ -355,8 +355,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     one whose shingles' digest is least).
 
     Rows with a null id stay. Of rows that share an id and a text one stays, with the other columns of the row that is
-    least as JSON; a row that shares an id with others but is no copy stays, too. Empty texts with different ids stay.
+    least as JSON; a row that shares an id with others but is no copy stays, too. Empty texts with different ids stay. Other
+    columns stay, whatever their names.
     """
+    sig, whole, others_name = free(docs, "sig", "rest", "others")
     rows = labelled(docs, id_col, text).filter("doc_id is not null").select(
         F.col("doc_id").alias("_id"), "sig", (F.col("first") & (F.col("doc_id") == F.col("component_id"))).alias("stays"),
     )
@@ -371,8 +373,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     columns = [c for c in docs.columns if c not in (id_col, text)]
     others = F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
     single = written(
-        repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias("_others")).select(
-            F.col(id_col), F.col(text), *[F.col("_others")[c].alias(c) for c in columns],
+        repeated.groupBy(id_col, text).agg(F.min_by(others, F.to_json(others)).alias(others_name)).select(
+            F.col(id_col), F.col(text), *[F.col(others_name)[c].alias(c) for c in columns],
         ),
         "single",
     )
@@ -382,18 +384,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         ).filter("stays").select("_id", "sig").distinct(),
         "stay",
     )
-    schema = single.select("*", F.lit(None).cast("binary").alias("_sig")).schema
+    schema = single.select("*", F.lit(None).cast("binary").alias(sig)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, _signatures([shingle_set(t) for t in texts])], names=[*part.schema.names, "_sig"])
+            yield pa.RecordBatch.from_arrays([*part.columns, _signatures([shingle_set(t) for t in texts])], names=[*part.schema.names, sig])
 
     signed = single.mapInArrow(run, schema)
     # of texts with one set of shingles, such as two spacings, the least stays
-    picked = signed.join(stay, (signed[id_col] == stay["_id"]) & signed["_sig"].eqNullSafe(stay["sig"]), "left_semi")
+    picked = signed.join(stay, (signed[id_col] == stay["_id"]) & signed[sig].eqNullSafe(stay["sig"]), "left_semi")
     rest = F.struct(*[F.col(c) for c in docs.columns if c != id_col])
-    least = picked.groupBy(F.col(id_col), "_sig").agg(F.min_by(rest, F.struct(F.col(text), F.to_json(rest))).alias("_rest"))
-    return kept.unionByName(least.select(F.col(id_col), *[F.col("_rest")[c].alias(c) for c in docs.columns if c != id_col]))
+    least = picked.groupBy(F.col(id_col), sig).agg(F.min_by(rest, F.struct(F.col(text), F.to_json(rest))).alias(whole))
+    return kept.unionByName(least.select(F.col(id_col), *[F.col(whole)[c].alias(c) for c in docs.columns if c != id_col]))
 
 
 def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
