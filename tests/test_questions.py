@@ -205,21 +205,6 @@ def test_occupancy_is_every_hour(spark):
         assert got == {k: (len(v), len(n)) for k, (v, n) in want.items()}
 
 
-def exchanges(df):
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan.count("Exchange hashpartitioning")
-
-
-def test_vessel_rows_are_dealt_once(spark):
-    """From raw positions to segment totals there is one exchange of positions, beside the visits' own."""
-    positions = spark.createDataFrame([(1, k, at("2024-01-01 00:00") + dt.timedelta(minutes=7 * k), 54.0, 10.0, 3.0) for k in range(20)], "mmsi long, event_id long, ts timestamp_ntz, latitude double, longitude double, speed double")
-    visits = spark.createDataFrame([(1, "c", "P", at("2024-01-01 00:30"), at("2024-01-01 01:00"))], "mmsi long, call_id string, port_key string, arrival_time timestamp_ntz, departure_time timestamp_ntz")
-    own = trajectory.lagged(trajectory.attach_visits(positions, visits, keep_null=False))
-    own = trajectory.repaired_intervals(emissions.assign_modes(own)).withColumn("vessel_class", F.lit("tanker"))
-    totals = emissions.segment_totals(trajectory.segments(emissions.row_emissions(emissions.add_factors(own)), call="call_id"))
-    assert exchanges(totals) == 2 and {r["call_id"] for r in totals.collect()} == {None, "c"}
-
-
 def test_as_of_keeps_rows_without_a_key(spark):
     left = spark.createDataFrame([(1, 5, "a"), (None, 5, "b"), (1, None, "c"), (2, 5, "d")], "k long, t long, x string")
     right = spark.createDataFrame([(1, 3, "old"), (1, 4, "new"), (None, 1, "none")], "k long, s long, v string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import code_of_destination, eta_minutes, hour_of_day, vessel_class
 from ..operators import emissions, marts, retrieval, trajectory
 from ..sources import files
+from ..storage import written
 
 
 @dataclass
@@ -34,7 +35,7 @@ def build_marts(spark: SparkSession, paths: list[str], folder: str) -> Built:
         proxied = positions.withColumn("port_key", code_of_destination(F.col("destination_norm"))).filter("port_key != ''")
         daily.append(marts.arrivals(proxied, keys, "ts", "day", once_a_vessel=True).withColumn("source_kind", F.lit("positions")))
         hourly.append(marts.arrivals(proxied, keys, "ts", "hour", once_a_vessel=True).withColumn("source_kind", F.lit("positions")))
-        tied = trajectory.lagged(positions.withColumn("event_id", F.xxhash64("mmsi", "ts", "latitude", "longitude")), course="course")
+        tied = written(trajectory.lagged(positions.withColumn("event_id", F.xxhash64("mmsi", "ts", "latitude", "longitude")), course="course"), "lagged")
         for column, widths in (("speed", (3, 5, 10)), ("speed_estimated_kn", (5, 10)), ("course_change", (5, 10))):
             tied = trajectory.rolling(tied, column, widths, std=column == "speed")
         files.write_mart(tied, f"{folder}/events")
@@ -79,18 +80,18 @@ def build_inventory(positions: DataFrame, visits: DataFrame, folder: str, factor
         factors = emissions.from_document(document)
     used = factors or emissions.registry()
     digest = emissions.registry_hash(used)
-    rows = trajectory.lagged(trajectory.attach_visits(positions, visits, keep_null=False))  # dealt by vessel once
+    rows = trajectory.lagged(trajectory.attach_visits(trajectory.ranged(positions), visits, keep_null=False))  # dealt by vessel and day once
     rows = trajectory.repaired_intervals(emissions.assign_modes(rows))
     rows = emissions.row_emissions(
         emissions.add_factors(rows.withColumn("vessel_class", vessel_class(F.col("vessel_type_norm"))), used), used.get("sigmas"),
     )
-    cut = trajectory.segments(rows, call="call_id")
+    cut = trajectory.segments(rows, call="call_id").drop("_range")
     files.write_mart(emissions.with_evidence(emissions.segment_totals(cut), digest), f"{folder}/segments")
-    written = positions.sparkSession.read.parquet(f"{folder}/segments")
-    files.write_mart(emissions.roll_up(written.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]), f"{folder}/daily_port")
-    files.write_mart(emissions.roll_up(written.filter("call_id is not null"), ["call_id", "mmsi"]), f"{folder}/calls")
+    cut_rows = positions.sparkSession.read.parquet(f"{folder}/segments")
+    files.write_mart(emissions.roll_up(cut_rows.withColumn("date", F.to_date("timestamp_start")), ["date", "port_key"]), f"{folder}/daily_port")
+    files.write_mart(emissions.roll_up(cut_rows.filter("call_id is not null"), ["call_id", "mmsi"]), f"{folder}/calls")
     files.write_mart(
-        written.select(
+        cut_rows.select(
             "evidence_id", "segment_id", "mmsi", "call_id", "port_key", "timestamp_start", "timestamp_end", "row_count",
             *emissions.POLLUTANTS,
         ),
@@ -117,7 +118,7 @@ def training_rows(positions: DataFrame, destinations: DataFrame | None = None) -
     """Rows that models learn from: features of lagged(), rolling() and the clock, the destination as label and minutes to
     the ETA (null unless positive); rows without a destination drop out. destinations: (destination_norm) to keep."""
     tied = positions if "event_id" in positions.columns else positions.withColumn("event_id", F.xxhash64("mmsi", "ts", "latitude", "longitude"))
-    own = trajectory.lagged(tied, course="course")
+    own = written(trajectory.lagged(trajectory.ranged(tied), course="course"), "lagged")  # read again for what each range begins with
     for column, widths in (("speed", (3, 5, 10)), ("speed_estimated_kn", (5, 10)), ("course_change", (5, 10))):
         own = trajectory.rolling(own, column, widths, std=column == "speed")
     own = own.withColumns(
@@ -126,7 +127,7 @@ def training_rows(positions: DataFrame, destinations: DataFrame | None = None) -
             "eta_minutes": eta_minutes(F.col("ts"), F.col("eta")) if "eta" in own.columns else F.lit(None).cast("double"),
         }
     )
-    own = own.filter(F.col("destination_norm").isNotNull() & (F.col("destination_norm") != "UNKNOWN"))
+    own = own.drop("_range").filter(F.col("destination_norm").isNotNull() & (F.col("destination_norm") != "UNKNOWN"))
     return own if destinations is None else own.join(
         F.broadcast(destinations.select("destination_norm").distinct().limit(80)), "destination_norm", "left_semi",
     )

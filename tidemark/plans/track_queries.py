@@ -129,7 +129,7 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY mmsi ORDER BY ts, event_id ROWS UNBO
 SELECT mmsi || '_seg_' || lpad(ord::BIGINT::VARCHAR, 6, '0') AS segment_id, min(mode) AS mode, count(*)::BIGINT AS row_count, round(sum(duration_h), 6) AS duration_h FROM s GROUP BY 1""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = positions(spark, d).withColumn("mmsi", F.when(F.col("event_id") % 11 != 0, F.col("mmsi")))
-    own = trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False)
+    own = trajectory.attach_visits(trajectory.ranged(own), _near_visits(spark, d), keep_null=False)
     own = trajectory.segments(trajectory.repaired_intervals(own), call="call_id")
     return own.groupBy("segment_id").agg(
         F.min("mode").alias("mode"), F.count("*").alias("row_count"), F.round(F.sum("duration_h"), 6).alias("duration_h"),
@@ -144,7 +144,7 @@ def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
     )
     own = positions(spark, d).drop("mode").withColumn("speed", F.when(F.col("event_id") % 11 != 0, F.col("speed") % 25))
     # the as-of join deals rows by vessel, and all that follows keeps to that
-    own = trajectory.lagged(trajectory.attach_visits(own, _near_visits(spark, d), keep_null=False))
+    own = trajectory.lagged(trajectory.attach_visits(trajectory.ranged(own), _near_visits(spark, d), keep_null=False))
     own = emissions.assign_modes(own.withColumn("speed_estimated_kn", F.least(F.col("speed_estimated_kn"), F.lit(25.0))))
     own = trajectory.repaired_intervals(own).withColumn("vessel_class", vessel_class(kinds))
     return emissions.row_emissions(emissions.add_factors(own))
