@@ -113,6 +113,7 @@ def test_lists_are_named_alike():
                 chosen = [()]
                 for _ in range(k):
                     chosen = [c for own in chosen for c in spelling.longer_lists(w, spelling.ranked(w, counts), len(x), own)]
+                assert all(spelling.unpacked(spelling.packed(c)) == c for c in chosen)
                 names.append({spelling.list_name(w, spelling.ranked(w, counts), len(x), c) for c in chosen})
             assert names[0] & names[1]
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from heapq import merge
@@ -33,6 +34,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ FIRST = 2
 #: Grams that name a list at most: a word enters (k + 1) * (k + 2) / 2 lists of its own length.
 MOST = 6
 #: Words of a list that are merged at once; larger lists are split by one more gram.
-LIST = 256
+LIST = 64
 #: Counters that grams share.
 COUNTERS = 1 << 16
 #: Distinct words that a task counts before it passes them on.
@@ -56,20 +58,26 @@ LETTERS = r"A-Za-zÀ-ÿ"
 _AZ = {c: c + 32 for c in range(65, 91)}
 _MASK = (1 << 64) - 1
 
-Alter = Callable[[int | None, str], str]
+#: From a row's id, what becomes of each of its words.
+Alter = Callable[[int | None], Callable[[str], str]]
 
 
 def dropped_letter(every: int = 199) -> Alter:
     """Of a word whose crc32 with its row's id divides by every, one code point goes: typing errors that one can count on."""
 
-    def alter(doc_id: int | None, word: str) -> str:
-        h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
-        if h % every:
-            return word
-        at = h % len(word)
-        return word[:at] + word[at + 1 :]
+    def of(doc_id: int | None) -> Callable[[str], str]:
+        begun = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
 
-    return alter
+        def alter(word: str) -> str:
+            h = zlib.crc32(word.encode(), begun)
+            if h % every:
+                return word
+            at = h % len(word)
+            return word[:at] + word[at + 1 :]
+
+        return alter
+
+    return of
 
 
 def vocabulary(
@@ -88,10 +96,13 @@ def vocabulary(
         found: Counter[str] = Counter()
         for part, texts in text_slices(batches, "text"):
             for doc_id, t in zip(part.column(0).to_pylist(), texts, strict=True):
-                for word, n in Counter(run_of.findall(t)).items():
-                    word = word.lower() if word.isascii() else word.translate(_AZ)
-                    if alter is not None:
-                        word = alter(doc_id, word)
+                own = Counter(run_of.findall(t))
+                altered = alter(doc_id) if alter is not None else None
+                for word, n in own.items():
+                    if not word.islower():
+                        word = word.lower() if word.isascii() else word.translate(_AZ)
+                    if altered is not None:
+                        word = altered(word)
                         if len(word) < min_chars:
                             continue
                     found[word] += n
@@ -142,11 +153,28 @@ def edit_place(x: str, y: str) -> int | None:
     return at if x[at + 1 :] == y[at + (len(x) == len(y)) :] else None
 
 
+#: The grams that name a list: of each its place in the word's order, twice, and 1 more if it is shifted.
 Chosen = tuple[int, ...]
 
 
+def packed(chosen: Chosen) -> int:
+    """chosen as one number; places are less than Q + MOST, so each takes five bits."""
+    code = 1
+    for c in chosen:
+        code = code << 5 | c
+    return code
+
+
+def unpacked(code: int) -> Chosen:
+    out = []
+    while code > 1:
+        out.append(code & 31)
+        code >>= 5
+    return tuple(reversed(out))
+
+
 def longer_lists(word: str, order: list[int], length: int, chosen: Chosen) -> Iterator[Chosen]:
-    """chosen with one more gram, in all ways. Of each gram: its place in the order, twice, and 1 more if it is shifted.
+    """chosen with one more gram, in all ways.
 
     Lists are of words of length and of one less; grams of the latter may stand one further on in the longer word, and do
     so behind any that does.
@@ -170,8 +198,8 @@ def list_name(word: str, order: list[int], length: int, chosen: Chosen) -> int:
     return name - (1 << 63)
 
 
-def merged(members: dict[str, tuple[int, Chosen]], length: int, counts: np.ndarray) -> Iterator[tuple[str, int, str, int]]:
-    """(word, n, near word, n) for the pairs of one list that count here. members: word -> n, and the grams of the list."""
+def merged(members: dict[str, tuple[int, int]], length: int, counts: np.ndarray) -> Iterator[tuple[str, int, str, int]]:
+    """(word, n, near word, n) for the pairs of one list that count here. members: word -> n, and its grams that name the list, packed."""
     words = sorted(members)
     postings: dict[tuple[bool, int, str], list[int]] = defaultdict(list)
     for i, w in enumerate(words):
@@ -181,26 +209,27 @@ def merged(members: dict[str, tuple[int, Chosen]], length: int, counts: np.ndarr
     for i, x in enumerate(words):
         if len(x) != length:
             continue
-        grams = [(p, x[p : p + 2]) for p in range(length - 1)]
-        lists = [own for p, g in grams if (own := postings.get((False, p, g), none))[-1:] > [i]]
-        lists += [own for p, g in grams for at in (p, p - 1) if (own := postings.get((True, at, g)))]
-        order = None
-        for j, came in groupby(merge(*lists)):
+        order, (n, code) = ranked(x, counts), members[x]
+        own = unpacked(code)
+        # all words of the list share the grams that name it, so the others decide
+        rest = [(p, x[p : p + 2]) for p in set(range(length - 1)).difference(order[c // 2] for c in own)]
+        least = needed(length) - len(own)
+        lists = [later for p, g in rest if (found := postings.get((False, p, g), none)) and (later := found[bisect_right(found, i) :])]
+        lists += [found for p, g in rest for at in (p, p - 1) if (found := postings.get((True, at, g)))]
+        for j, came in groupby(merge(*lists)) if least > 0 else ((j, (j,)) for j in range(len(words))):
             y = words[j]
-            if sum(1 for _ in came) < needed(length) or j <= i and len(y) == length:
+            if sum(1 for _ in came) < least or j <= i and len(y) == length:
                 continue
             at = edit_place(x, y)
             if at is None:
                 continue
-            own = members[x][1]
-            order = order or ranked(x, counts)
             shared = [2 * k for k, p in enumerate(order) if not at - Q < p <= at]
             if tuple(shared[: len(own)]) == own:
-                yield x, members[x][0], y, members[y][0]
+                yield x, n, y, members[y][0]
 
 
-_ENTRY = "name long, word string, n long, length int, chosen array<int>"
-_ENTRY_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+_ENTRY = "name long, word string, n long, length int, chosen long"
+_ENTRY_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -237,7 +266,7 @@ def near_pairs(words: DataFrame, size: int = LIST) -> DataFrame:
                         for _ in range(FIRST):
                             chosen = [more for own in chosen for more in longer_lists(word, order, length, own)]
                         for own in chosen:
-                            yield list_name(word, order, length, own), word, n, length, own
+                            yield list_name(word, order, length, own), word, n, length, packed(own)
 
         yield from _batches(rows(), _ENTRY_TYPES, entry_names)
 
@@ -246,8 +275,8 @@ def near_pairs(words: DataFrame, size: int = LIST) -> DataFrame:
             for batch in batches:
                 for word, n, length, chosen in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "length", "chosen")), strict=True):
                     order = ranked(word, counts)
-                    for own in longer_lists(word, order, length, tuple(chosen)):
-                        yield list_name(word, order, length, own), word, n, length, own
+                    for own in longer_lists(word, order, length, unpacked(chosen)):
+                        yield list_name(word, order, length, own), word, n, length, packed(own)
 
         yield from _batches(rows(), _ENTRY_TYPES, entry_names)
 
@@ -256,7 +285,17 @@ def near_pairs(words: DataFrame, size: int = LIST) -> DataFrame:
 
         def entries() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in entry_names), strict=True)
+                if not batch.num_rows:
+                    continue
+                names = batch.column("name").to_numpy()
+                begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+                sizes = np.diff(np.append(begins, len(names)))
+                longer = pc.equal(pc.utf8_length(batch.column("word")), batch.column("length")).to_numpy(zero_copy_only=False)
+                # lists of one word, and of none of the greater length, have no pair; the batch's first and last may go on in others
+                useful = (sizes > 1) & np.logical_or.reduceat(longer, begins)
+                useful[[0, -1]] = True
+                part = batch.filter(pa.array(np.repeat(useful, sizes)))
+                yield from zip(*(part.column(c).to_pylist() for c in entry_names), strict=True)
 
         def rows() -> Iterator[tuple]:
             for _, own in groupby(entries(), key=lambda r: r[0]):
@@ -268,8 +307,8 @@ def near_pairs(words: DataFrame, size: int = LIST) -> DataFrame:
                         yield word, n, None, None, length, chosen
                         continue
                     held.append((word, n, length, chosen))
-                    members[word] = n, tuple(chosen)
-                    if len(held) > size and len(chosen) < min(needed(length), MOST):
+                    members[word] = n, chosen
+                    if len(held) > size and len(unpacked(chosen)) < min(needed(length), MOST):
                         split = True
                         yield from ((w, m, None, None, l, c) for w, m, l, c in held)
                 if not split and len(members) > 1:
@@ -278,7 +317,7 @@ def near_pairs(words: DataFrame, size: int = LIST) -> DataFrame:
 
         yield from _batches(rows(), [*pair_kinds, *_ENTRY_TYPES[3:]], [*pair_names, *entry_names[3:]])
 
-    found, left, out = "word string, n long, near string, near_n long, length int, chosen array<int>", None, None
+    found, left, out = "word string, n long, near string, near_n long, length int, chosen long", None, None
     while True:
         entries = words.select("word", "n").mapInArrow(enter, _ENTRY) if left is None else left.mapInArrow(extend, _ENTRY)
         table = written(entries.repartition("name").sortWithinPartitions("name").mapInArrow(compare, found), "lists")
