@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, vector_index
+from ..operators import evidence, lexical, vector_index
 from ..registry import register
 from ..storage import shared_dir
 from .views import read
@@ -69,3 +69,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("_part").startswith(f"vectors-{built.version:06d}").alias("embedded_again"),
         F.lit(built.version).alias("version"),
     )
+
+
+_TOKENS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+
+
+@register("tk7_lexical_top_k", f"""WITH d AS (SELECT doc_id, {_TOKENS} AS ws FROM documents), stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
+tf AS (SELECT doc_id, term, any_value(length) AS length, count(*) AS tf FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TOKENS}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean))) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), stats GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 5) DESC, doc_id) AS rank FROM s)
+SELECT item_id, rank::INT AS rank, doc_id, round(score, 3) AS score FROM r WHERE rank <= 3""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The three best documents of each benchmark item by an inverted index, against the scores of all pairs."""
+    index = lexical.LexicalIndex.build(read(spark, d, "documents"), shared_dir(spark, "lexical"))
+    found = index.search(read(spark, d, "benchmark"), 3, "item_id")
+    return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 3).alias("score"))
