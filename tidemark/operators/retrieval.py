@@ -38,7 +38,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_
     """(query_id, rank, item, distance): exact cosine top k of a query set against all rows, ties by item.
 
     Queries go in blocks of at most BLOCK; a block travels with the scan of the corpus, is compared by matrix products,
-    and leaves k rows a query and Arrow batch, so the shuffle doesn't grow with the corpus times the queries.
+    and leaves k rows a query and task.
     """
     blocks = max(1, -(-queries.count() // BLOCK))
     if blocks == 1:
@@ -61,26 +61,26 @@ def keep_ranked(rows: DataFrame, k: int, query_id: str, item_id: str) -> DataFra
 
 
 def _near(block: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: str, vector: str) -> DataFrame:
-    """The k nearest of each batch of the corpus to each query of one block."""
+    """The k nearest of each task's part of the corpus to each query of one block."""
     own = block.select(F.col(query_id).cast("long"), vector).collect()
     names, wanted = [r[0] for r in own], _unit(np.array([r[1] for r in own], np.float64)) if own else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = which = None  # the nearest so far, a line a query
         for batch in batches:
             rows = batch.filter(batch.column(1).is_valid())
             if wanted is None or not rows.num_rows:
                 continue
-            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            ids = np.broadcast_to(rows.column(0).to_numpy(zero_copy_only=False), (len(names), rows.num_rows))
             far = 1 - wanted @ _unit(np.stack(rows.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
-            for name, line in zip(names, far, strict=True):
-                best = np.lexsort((ids, np.round(line, 6)))[:k]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(best), pa.int64()), pa.array(ids[best], pa.int64()),
-                        pa.array(line[best], pa.float64()),
-                    ],
-                    names=[query_id, item_id, "distance"],
-                )
+            near, which = (far, ids) if near is None else (np.hstack([near, far]), np.hstack([which, ids]))
+            order = np.lexsort((which, np.round(near, 6)), axis=1)[:, :k]
+            near, which = np.take_along_axis(near, order, axis=1), np.take_along_axis(which, order, axis=1)
+        if near is not None:  # once a task
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, near.shape[1]), pa.int64()), pa.array(which.ravel(), pa.int64()), pa.array(near.ravel(), pa.float64())],
+                names=[query_id, item_id, "distance"],
+            )
 
     return corpus.select(F.col(item_id).cast("long"), vector).mapInArrow(run, f"{query_id} long, {item_id} long, distance double")
 
