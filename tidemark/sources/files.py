@@ -52,12 +52,14 @@ def read_csv(spark: SparkSession, path: str, limit: int | None = None) -> DataFr
 
 def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """The files of a path by their first line, which a parser then reads: a folder's files may differ in their columns."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()  # one row a file
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    parts = lines.filter("file_block_start = 0").withColumn("id", F.monotonically_increasing_id())
+    # a file's first line is the first of its first part: one job for all files, and a row a file comes back
+    first = parts.groupBy("file_path").agg(F.min_by("value", "id").alias("header")).collect()
     out: dict[str, list[str]] = {}
-    for name in sorted(r["path"] for r in found):
-        first = spark.read.text(name).first()
-        if first is not None and first[0].strip():
-            out.setdefault(first[0].lstrip("\ufeff"), []).append(name)
+    for name, header in sorted(tuple(r) for r in first):
+        if header.strip():
+            out.setdefault(header.lstrip("\ufeff"), []).append(name)
     return out
 
 
