@@ -146,17 +146,25 @@ def test_routes_and_answers():
     assert evidence.answer("q", some, limit=0.2)["refused"] and evidence.answer("q", [])["refused"] and not evidence.answer("q", some, strict=False, limit=0.1)["refused"]
     assert evidence.answer("q", [], {"count": 3, "ids": [1, 2]})["lines"] == ["[count] 1", "[count] 2"]
     assert evidence.answer("q", some, write=lambda q, e: f"{q}{len(e)}")["answer"] == "q2"
-    got = evidence.incident_answer("any suspicious jump?", evidence.Retrieved("traffic", some, 2.0), "events")
-    assert got["anomalies"] == 1 and "flags" in got["interpretation"] and evidence.Retrieved("traffic", some).nearest == 0.3
-    assert evidence.incident_answer("x", evidence.Retrieved("traffic", []))["evidence"] == []
 
 
 def test_traces():
     f = evidence.Filters(locode="segot")
-    fail = lambda filters: 1 / 0
+
+    def fail(filters):
+        raise OSError("the store is away")
+
     got = [evidence.trace(find, f, computed)[1]["status"] for find, computed in ((None, False), (fail, False), (lambda x: [], False), (lambda x: [evidence.Evidence("a", "t")], False), (fail, True))]
     assert got == ["disabled", "error", "no_hits", "ok", "computed_only"]
     assert evidence.trace(None, f)[1]["filters"] == {"locode": "SEGOT"}
+    with pytest.raises(ZeroDivisionError):  # an error in code is no empty answer
+        evidence.trace(lambda x: 1 / 0, f)
+
+
+def test_evidence_summary(spark):
+    rows = [(1, "RIGA", "2024-01-02", True, 0.3), (1, "RIGA", "2024-01-05", None, 0.2), (1, "KOTKA", "2024-01-01", False, 0.9), (2, None, None, None, None), (3, "B", "2024-01-01", True, 0.1), (3, "A", "2024-01-01", True, 0.1)]
+    got = evidence.evidence_summary(spark.createDataFrame(rows, "query_id long, port string, date string, anomaly boolean, distance double"), ["query_id"])
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 1, "RIGA", "2024-01-01", "2024-01-05", 0.2), (2, 1, 0, None, None, None, None), (3, 2, 2, "A", "2024-01-01", "2024-01-01", 0.1)]
 
 
 def test_index_is_used_again(spark, tmp_path):
@@ -179,8 +187,6 @@ def test_units(spark):
     assert units.percent_change(3, 2) == 50 and units.percent_change(3, 0.5) is None and units.percent_change(None, 2) is None
     shown = units.display(spark.createDataFrame([(dt.date(2024, 1, 2), 1.0, "x")], "date date, co2_t double, port string"))
     assert shown.columns == ["Date (UTC)", "CO2 (tCO2e)", "port"] and shown.first()[0] == "2024-01-02"
-    assert len(units.suggestions("High", 30, 0.5, True)) == 5 and len(units.suggestions("Low", None, None, False)) == 3
-    assert [k for k, _ in units.remarks("High", -5.0, 0.5, True, "highest")] == ["deterministic", "deterministic", "inferred", "inferred", "deterministic"]
 
 
 def test_occupancy_is_every_hour(spark):

@@ -7,6 +7,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,19 +211,6 @@ class Evidence:
     metadata: dict[str, object] = field(default_factory=dict)
 
 
-@dataclass(frozen=True)
-class Retrieved:
-    """What a retrieval gave: mode of route(), evidence, milliseconds."""
-
-    mode: str
-    evidence: list[Evidence]
-    latency_ms: float = 0.0
-
-    @property
-    def nearest(self) -> float | None:
-        return min((e.distance for e in self.evidence if e.distance is not None), default=None)
-
-
 def trace(find: Callable[[Filters], list[Evidence]] | None, filters: Filters, computed: bool = False) -> tuple[list[Evidence], dict[str, object]]:
     """Evidence and a record of how it came: status ok, no_hits, disabled, error or computed_only, milliseconds, filters.
 
@@ -233,7 +222,7 @@ def trace(find: Callable[[Filters], list[Evidence]] | None, filters: Filters, co
     try:
         found = find(filters)
         status, reason = ("ok" if found else "no_hits"), None
-    except Exception as failed:  # a question is answered without evidence rather than not at all
+    except (PySparkException, Py4JError, OSError) as failed:  # a store that fails leaves a question without evidence; errors in code are raised
         found, status, reason = [], "error", str(failed)
     return found, {
         "status": status, "reason": reason, "latency_ms": (time.perf_counter() - began) * 1000, "filters": filters.active(),
@@ -276,33 +265,18 @@ def answer(
     return {"answer": said, "lines": [line(e) for e in evidence], "caveats": ["Only what was found is used."], "refused": False}
 
 
-_READINGS = (
-    (("congestion", "busy", "pressure"), "The chunks tell of pressure on ports by day, and of dwell."),
-    (("anomaly", "suspicious", "jump", "incident"), "The chunks carry flags of unusual events."),
-    (("trend", "pattern", "forecast"), "The chunks show how traffic went before."),
-)
-
-
-def incident_answer(question: str, found: Retrieved, strategy: str = "") -> dict[str, object]:
-    """answer, evidence, interpretation, suggested_check, and anomalies: how many chunks carry the flag."""
-    if not found.evidence:
-        return {
-            "answer": REFUSAL, "evidence": [], "anomalies": 0, "interpretation": "Nothing was found.",
-            "suggested_check": "Widen dates or ports, or take another kind of chunk.",
-        }
-    flagged = sum(bool(e.metadata.get("anomaly")) for e in found.evidence)
-    low = question.lower()
-    reading = next((said for own, said in _READINGS if any(w in low for w in own)), "The chunks are the nearest that there are.")
-    check = "Look at the flagged vessels and at the days around." if flagged else "Look at more days or ports to see whether this is usual."
-    shown = [
-        f"[{e.id}] {e.metadata.get('port', '?')} {e.metadata.get('date', '?')} {
-            'n/a' if e.distance is None else format(e.distance, '.4f')
-        }" for e in found.evidence
-    ]
-    return {
-        "answer": f"{len(shown)} chunks{f' of {strategy}' if strategy else ''} in {found.latency_ms:.1f} ms, {flagged} of them flagged.",
-        "evidence": shown, "anomalies": flagged, "interpretation": reading, "suggested_check": check,
-    }
+def evidence_summary(found: DataFrame, keys: list[str]) -> DataFrame:
+    """What the chunks that were found say together, for each of keys: how many, how many flagged, the port that most are of (ties by name),
+    the first and last date, and the nearest distance. found: port, date, anomaly and distance, a row a chunk."""
+    ports = found.groupBy(*keys, "port").agg(
+        F.count("*").alias("n"), F.count_if(F.coalesce("anomaly", F.lit(False))).alias("flagged"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.min("distance").alias("nearest"),
+    )
+    usual = F.min_by("port", F.when(F.col("port").isNotNull(), F.struct(-F.col("n"), F.col("port"))))
+    return ports.groupBy(*keys).agg(
+        F.sum("n").alias("chunks"), F.sum("flagged").alias("flagged"), usual.alias("port"), F.min("first_date").alias("first_date"),
+        F.max("last_date").alias("last_date"), F.min("nearest").alias("nearest"),
+    )
 
 
 def query_hit(port: Column, date: Column, anomaly: Column) -> Column:
