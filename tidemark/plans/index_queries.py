@@ -1,14 +1,14 @@
-"""Queries for vector indexes: cells that are probed, and versions that embed only what changed."""
+"""Queries for indexes of vectors and words, and for sketches that merge."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, lexical, vector_index
+from ..operators import evidence, lexical, marts, sketches, vector_index
 from ..registry import register
-from ..storage import shared_dir
-from .views import read
+from ..storage import shared_dir, written
+from .views import CALLS, read, visits
 
 K = 5
 
@@ -87,3 +87,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     index = lexical.LexicalIndex.build(read(spark, d, "documents"), shared_dir(spark, "lexical"))
     found = index.search(read(spark, d, "benchmark"), 3, "item_id")
     return found.select(F.col("query_id").alias("item_id"), "rank", "doc_id", F.round("score", 3).alias("score"))
+
+
+@register("ag5_dwell_sketches", f"""WITH {CALLS} SELECT coalesce(port_key, 'ALL') AS port_key, count(*)::BIGINT AS visits, true AS median_within, true AS p90_within, true AS vessels_within
+FROM calls GROUP BY GROUPING SETS ((port_key), ()) HAVING count(*) > 0""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by port and month, merged to ports and to all; each estimate is held against the visits themselves."""
+    stays = marts.dwell(visits(spark, d))
+    months = written(sketches.visit_sketches(stays, ["port_key"]), "sketches")
+    ports = sketches.merged(months, ["port_key"])
+    whole = sketches.merged(months, []).select(F.lit("ALL").alias("port_key"), "visits", "minutes", "dwell", "vessels")
+    found = written(sketches.told(ports.unionByName(whole), {"p50": 0.5, "p90": 0.9}), "told")
+    each = stays.select("mmsi", "dwell_minutes", F.explode(F.array("port_key", F.lit("ALL"))).alias("port_key"))
+    own = each.join(found, "port_key")
+    # a value's ranks are between the shares below it and up to it
+    near = lambda c, r: (F.avg((F.col("dwell_minutes") < F.col(c)).cast("double")) - sketches.RANK_ERROR <= r) & (
+        F.avg((F.col("dwell_minutes") <= F.col(c)).cast("double")) + sketches.RANK_ERROR >= r
+    )
+    close = F.abs(F.first("distinct_vessels") - F.count_distinct("mmsi")) <= sketches.COUNT_ERROR * F.count_distinct("mmsi") + 1
+    return own.groupBy("port_key").agg(
+        F.first("visits").alias("visits"), near("p50", 0.5).alias("median_within"), near("p90", 0.9).alias("p90_within"), close.alias("vessels_within"),
+    )
