@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import evidence_queries, index_queries, learning_queries, mart_queries, scope_queries, search_queries, track_queries  # noqa: F401
+from .plans import delta_queries, evidence_queries, index_queries, learning_queries, mart_queries, scope_queries, search_queries, track_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

@@ -91,11 +91,15 @@ def congestion(daily: DataFrame, stays: DataFrame) -> DataFrame:
     daily: (port_key, date, arrivals_vessels, arrivals_events); stays: dwell().
     """
     by_day = stays.groupBy("port_key", F.col("arrival_date").alias("date")).agg(F.median("dwell_minutes").alias("median_dwell_minutes"))
-    own = daily.join(by_day, ["port_key", "date"], "left")
+    return day_ratios(daily.join(by_day, ["port_key", "date"], "left"))
+
+
+def day_ratios(days: DataFrame) -> DataFrame:
+    """congestion() of days that have median_dwell_minutes already; a window holds a port's days."""
     port = Window.partitionBy("port_key")
     arrivals_ratio = F.try_divide(F.col("arrivals_vessels"), F.nullif(F.median("arrivals_vessels").over(port), F.lit(0)))
     dwell_ratio = F.try_divide(F.col("median_dwell_minutes"), F.nullif(F.median("median_dwell_minutes").over(port), F.lit(0)))
-    own = own.select(
+    own = days.select(
         "*", F.col("median_dwell_minutes").isNotNull().alias("has_dwell"),
         F.coalesce(arrivals_ratio, F.lit(0.0)).alias("arrivals_ratio"), dwell_ratio.alias("dwell_ratio"),
     )
