@@ -6,10 +6,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, ANSI, adaptive execution; partition counts and sizes stay the cluster's own unless given."""
+    """UTC, ANSI, adaptive execution, streams' state in RocksDB; partition counts and sizes stay the cluster's own unless given."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config(
         "spark.sql.adaptive.skewJoin.enabled", "true",
-    )
+    ).config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
