@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, lexical, marts, sketches, vector_index
+from ..operators.place_index import Box, PlaceIndex
 from ..registry import register
 from ..storage import shared_dir, written
-from .views import CALLS, read, visits
+from .views import CALLS, POS, positions, read, visits
 
 K = 5
 
@@ -108,3 +111,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return own.groupBy("port_key").agg(
         F.first("visits").alias("visits"), near("p50", 0.5).alias("median_within"), near("p90", 0.9).alias("p90_within"), close.alias("vessels_within"),
     )
+
+
+@register(
+    "fi8_box_and_dates",
+    f"WITH {POS} SELECT mmsi, event_id, mode FROM pos WHERE latitude BETWEEN 54.2 AND 55.2 AND longitude BETWEEN 10.5 AND 11.5 AND ts BETWEEN (SELECT min(ts) FROM pos) AND (SELECT min(ts) + INTERVAL 10 DAY FROM pos)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A box of one degree in the ten first days, of files along the curve of place and time."""
+    own = positions(spark, d)
+    start = own.agg(F.min("ts")).first()[0]
+    index = PlaceIndex.build(own, shared_dir(spark, "places"), file_rows=2_000)
+    return index.search(Box(54.2, 55.2, 10.5, 11.5, start, start + dt.timedelta(days=10))).select("mmsi", "event_id", "mode")
