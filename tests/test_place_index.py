@@ -56,7 +56,7 @@ def test_few_files_are_read(index):
     assert own.files(Box(start=T, end=T + dt.timedelta(days=2))).count() < total / 3
     # what the filter finds lies in the files that were read
     plan = own.search(box)._jdf.queryExecution().toString()
-    assert "PushedFilters: [" in plan and "LessThanOrEqual(latitude" in plan
+    assert "PushedFilters: [" in plan and "GreaterThanOrEqual(latitude" in plan  # the plan as text cuts long lists
 
 
 def test_empty_equal_and_clashing(spark, tmp_path):
