@@ -241,7 +241,7 @@ def test_search_covers_ids_divisible_by_50(spark, tmp_path):
 
 def test_anomaly_quantiles_are_of_all_rows(spark):
     rows = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 37 == 5, 1000.0 + F.col("id")).otherwise(F.rand(3)).alias("a"), F.rand(4).alias("b"))
-    got = learning.anomaly_scores(rows, "k", ["a", "b"], ["k"], fit_rows=20).collect()
+    got = learning.anomaly_scores(rows, "k", ["a", "b"]).collect()
     assert 20 <= sum(r["score"] >= 1 for r in got) <= 40
     assert 1000 <= sum(r["score"] == 0 for r in got) <= 1100
     assert {"acceleration", "speed_estimated_kn", "speed_std_3", "speed_std_5", "speed_std_10"} <= set(learning_queries._ANOMALY)
