@@ -1,4 +1,4 @@
-"""Learned operators: destination classes, arrival times, anomaly scores, name matching."""
+"""Learned operators: destination classes, arrival times, anomaly scores."""
 
 from __future__ import annotations
 
@@ -191,18 +191,3 @@ def anomaly_scores(rows: DataFrame, key: str, features: list[str], trees: int =
     scored = written(own.mapInArrow(run, f"{key} long, raw_score double"), "anomaly")
     low, mid = scored.agg(F.percentile_approx("raw_score", [0.01, 0.5], RANKS)).first()[0] or (0.0, 0.0)
     return scored.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mid - F.col("raw_score")) / (mid - low if mid > low else 1.0))))
-
-
-def closest_name(names: DataFrame, catalog: list[str], column: str, least: float = 0.8) -> DataFrame:
-    """The catalog name with the best matching-blocks ratio of at least `least`; catalog: a small list of ports."""
-    from difflib import SequenceMatcher
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for name in batch.column(0).to_pylist():
-                ratio, best = max(((SequenceMatcher(None, (name or "").lower(), c.lower()).ratio(), c) for c in catalog), default=(0.0, None))
-                found.append(best if ratio >= least else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[column, "match"])
-
-    return names.select(F.col(column).cast("string")).distinct().mapInArrow(run, f"{column} string, match string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import token_overlap, ungrounded
-from ..operators import learning, marts, trajectory
+from ..operators import learning, marts, names, trajectory
 from ..registry import register
 from ..storage import written
 from .engine import Engine
@@ -48,8 +48,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @register("qa4_fuzzy_names", "SELECT replace(n_name, '_', '-') AS name, n_name AS match FROM nation")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    ports = [r[0] for r in read(spark, d, "nation").select("n_name").orderBy("n_name").collect()]  # the catalog of ports
-    return learning.closest_name(read(spark, d, "nation").select(F.regexp_replace("n_name", "_", "-").alias("name")), ports, "name")
+    ports = read(spark, d, "nation")
+    return names.closest(ports.select(F.regexp_replace("n_name", "_", "-").alias("name")), ports, "name", "n_name")
 
 
 @register(
