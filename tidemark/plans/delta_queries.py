@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..storage import shared_dir
 from .views import CALLS, CONGESTION, DAILY, visits
 
 
+@lru_cache(maxsize=1)  # three queries read one store
 def _kept_up(spark: SparkSession, d: str) -> DeltaMarts:
     """All visits as three deliveries, with a table that's delivered in error and taken back by the last update."""
     source = shared_dir(spark, "deliveries")
