@@ -65,6 +65,20 @@ def test_common_words_are_left_aside(spark, tmp_path, docs, monkeypatch):
     assert dict(seen)["candidates"].count() == 3
 
 
+def test_few_documents_of_common_words_are_candidates(spark, tmp_path, monkeypatch):
+    """Every document has most of the query's words, but few can reach the score of those that have all."""
+    rng = random.Random(3)
+    known = [f"c{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.sample(known, 20))) for i in range(400)] + [(900 + i, " ".join(known[:20])) for i in range(2)]
+    index = lexical.LexicalIndex.build(spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path / "i"))
+    seen = []
+    monkeypatch.setattr(lexical, "written", lambda df, name, f=lexical.written: seen.append((name, f(df, name))) or seen[-1][1])
+    queries = [(1, " ".join(known[:20]))]
+    got = index.search(spark.createDataFrame(queries, "query_id long, text string"), 2)
+    assert {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 4)) for r in got.collect()} == brute(docs, queries, 2)
+    assert dict(seen)["candidates"].count() <= 100
+
+
 def test_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     index = lexical.LexicalIndex.build(none, str(tmp_path / "i"))
