@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .trajectory import with_rank
 
-#: Queries that travel with one scan.
-BLOCK = 4096
+#: Queries that travel with one scan, and distances that a task holds at a time.
+BLOCK, HELD = 4096, 1 << 21
 EQUALITIES = ("mmsi", "imo", "locode", "destination", "port_name", "vessel_type", "nav_status", "flag")
 
 
@@ -66,16 +66,31 @@ def _near(block: DataFrame, corpus: DataFrame, k: int, query_id: str, item_id: s
     names, wanted = [r[0] for r in own], _unit(np.array([r[1] for r in own], np.float64)) if own else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near = which = None  # the nearest so far, a line a query
+        near = which = None  # the nearest so far, a line a query, by rounded distance and id
         for batch in batches:
             rows = batch.filter(batch.column(1).is_valid())
             if wanted is None or not rows.num_rows:
                 continue
-            ids = np.broadcast_to(rows.column(0).to_numpy(zero_copy_only=False), (len(names), rows.num_rows))
-            far = 1 - wanted @ _unit(np.stack(rows.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
-            near, which = (far, ids) if near is None else (np.hstack([near, far]), np.hstack([which, ids]))
-            order = np.lexsort((which, np.round(near, 6)), axis=1)[:, :k]
-            near, which = np.take_along_axis(near, order, axis=1), np.take_along_axis(which, order, axis=1)
+            step = max(1, HELD // len(names))
+            for at in range(0, rows.num_rows, step):
+                part = rows.slice(at, step)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                far = 1 - wanted @ _unit(np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)).T
+                if near is None:
+                    near, which = np.full((len(names), 0), 0.0), np.full((len(names), 0), 0, np.int64)
+                if near.shape[1] < k:
+                    some = np.arange(len(names))
+                else:  # queries that any of these rows is near enough to
+                    some = np.flatnonzero(far.min(axis=1) <= near[:, -1] + 1e-6)
+                    far = far[some]
+                both = np.hstack([near[some], far])
+                each = np.hstack([which[some], np.broadcast_to(ids, far.shape)])
+                order = np.lexsort((each, np.round(both, 6)), axis=1)[:, :k]
+                best, whose = np.take_along_axis(both, order, axis=1), np.take_along_axis(each, order, axis=1)
+                if len(some) == len(names):
+                    near, which = best, whose
+                else:
+                    near[some], which[some] = best, whose
         if near is not None:  # once a task
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(names, near.shape[1]), pa.int64()), pa.array(which.ravel(), pa.int64()), pa.array(near.ravel(), pa.float64())],
