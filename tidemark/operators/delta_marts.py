@@ -1,11 +1,12 @@
 """Visit marts kept up by deltas: a ledger of files read, and only the days that new, changed or vanished files touch are built again.
 
-A folder has versions, one an update. Version v writes, each in a subfolder v=<v> by day:
+A folder has versions, one an update. Version v writes, each in a subfolder v=<v>, arrivals_daily by day, calls and port_days by month:
   calls            cleaned visits of the files read, with the file each row came from
   file_days        which days a file has rows of
   touched          the days that the update built again
   arrivals_daily, port_days   those days' marts
   ledger           files read or withdrawn; its success marker, written last, commits the version
+Months keep files few where days have few rows; within a file rows are in order of days.
 So files of untouched days stay as they are, a reader sees whole versions, and an update that dies leaves a number that the
 next one writes over. One writer at a time.
 
@@ -32,16 +33,23 @@ from . import marts, sketches
 MOST_LISTED = 4096
 
 _KEYS = ["port_key", "vessel_type_norm"]
+#: Partition columns of the tables that have any.
+_PARTITIONS = {"calls": "month", "arrivals_daily": "date", "port_days": "month"}
 _SCHEMAS = {
-    "calls": "mmsi string, port_key string, vessel_type_norm string, dwell_minutes double, file_id long, v int, date date",
+    "calls": "mmsi string, port_key string, vessel_type_norm string, dwell_minutes double, file_id long, date date, v int, month string",
     "file_days": "file_id long, date date, v int",
     "touched": "date date, v int",
     "arrivals_daily": "port_key string, vessel_type_norm string, arrivals_vessels long, arrivals_events long, v int, date date",
-    "port_days": "port_key string, arrivals_vessels long, arrivals_events long, median_dwell_minutes double, visits long, minutes double, dwell binary, vessels binary, v int, date date",
+    "port_days": "port_key string, arrivals_vessels long, arrivals_events long, median_dwell_minutes double, visits long, minutes double, dwell binary, vessels binary, date date, v int, month string",
     "ledger": "file string, file_id long, v int",
 }
 
 
+def _month(date: Column) -> Column:
+    """The partition of a day."""
+    return F.date_format(date, "yyyy-MM")
+
+
 def file_id() -> Column:
     """A file's identity as a reader's rows have it: its place, size and time."""
     return F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
@@ -85,10 +93,14 @@ class DeltaMarts:
         return reader.parquet(*[f"{self.folder}/{table}/v={v}" for v in versions])
 
     def _write(self, rows: DataFrame, table: str, v: int) -> None:
-        by_day = table in ("calls", "arrivals_daily", "port_days")
-        # a large day is split over several tasks
-        writer = (rows.hint("rebalance", "date") if by_day else rows).write.mode("overwrite")
-        (writer.partitionBy("date") if by_day else writer).parquet(f"{self.folder}/{table}/v={v}")
+        to = f"{self.folder}/{table}/v={v}"
+        if table not in _PARTITIONS:
+            rows.write.mode("overwrite").parquet(to)
+            return
+        by = _PARTITIONS[table]
+        own = rows.withColumn("month", _month(F.col("date"))) if by == "month" else rows
+        # a large partition is split over several tasks
+        own.hint("rebalance", by).sortWithinPartitions(*dict.fromkeys((by, "date"))).write.mode("overwrite").partitionBy(by).parquet(to)
 
     def _listing(self, paths: list[str]) -> DataFrame:
         """(path, file, file_id) of the source's files; contents aren't read."""
@@ -114,7 +126,7 @@ class DeltaMarts:
         if new:
             self._write(_cleaned(self.reader(self.spark, named)), "calls", v)
         else:
-            self._write(self.spark.createDataFrame([], _SCHEMAS["calls"]).drop("v"), "calls", v)
+            self._write(self.spark.createDataFrame([], _SCHEMAS["calls"]).drop("v", "month"), "calls", v)
         every = [*had, v]
         self._write(self._read("calls", [v]).select("file_id", "date").distinct(), "file_days", v)
         ids = changes.select(F.explode(F.array("file_id", "was")).alias("file_id")).filter("file_id is not null").distinct()
@@ -131,19 +143,20 @@ class DeltaMarts:
         return Update(v, new, gone, days)
 
     def _of_days(self, rows: DataFrame, days: DataFrame) -> DataFrame:
-        """rows of some days, whose partitions alone are read."""
+        """rows of some days, whose months' partitions alone are read."""
         few = [r[0] for r in days.limit(MOST_LISTED + 1).collect()]
         if len(few) > MOST_LISTED:
             return rows.join(days.withColumnRenamed("date", "_day"), F.col("date").eqNullSafe(F.col("_day")), "left_semi")
-        own = F.col("date").isin([d for d in few if d is not None])
-        return rows.filter(own | F.col("date").isNull() if None in few else own)
+        known = [d for d in few if d is not None]
+        own = F.col("month").isin(sorted({d.strftime("%Y-%m") for d in known})) & F.col("date").isin(known)
+        return rows.filter(own | F.col("month").isNull() if None in few else own)
 
     def _newest(self, table: str) -> DataFrame:
         """Each day as its last update left it."""
         had = self.versions()
         last = self._read("touched", had).groupBy(F.col("date").alias("_day")).agg(F.max("v").alias("_v"))
         own = self._read(table, had).join(last, F.col("date").eqNullSafe(F.col("_day")) & (F.col("v") == F.col("_v")), "left_semi")
-        return own.drop("v")
+        return own.drop("v", "month")
 
     def arrivals(self) -> DataFrame:
         """Distinct vessels and rows by port, type and day."""

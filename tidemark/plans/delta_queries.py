@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import sketches
 from ..operators.delta_marts import DeltaMarts
 from ..registry import register
-from ..storage import shared_dir
+from ..storage import shared_dir, written
 from .views import CALLS, CONGESTION, DAILY, visits
 
 
@@ -18,7 +18,7 @@ from .views import CALLS, CONGESTION, DAILY, visits
 def _kept_up(spark: SparkSession, d: str) -> DeltaMarts:
     """All visits as three deliveries, with a table that's delivered in error and taken back by the last update."""
     source = shared_dir(spark, "deliveries")
-    own = visits(spark, d).withColumn("delivery", F.pmod(F.xxhash64("call_id"), F.lit(3)))
+    own = written(visits(spark, d).withColumn("delivery", F.pmod(F.xxhash64("call_id"), F.lit(3))), "visits")
     own.write.partitionBy("delivery").parquet(source)
     own.drop("delivery").withColumn("port_key", F.lit("ERROR")).write.parquet(f"{source}/delivery=error")
     store = DeltaMarts(spark, shared_dir(spark, "delta-marts"))
