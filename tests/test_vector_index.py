@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,42 @@ def test_repeated_and_missing_ids(spark, tmp_path):
     index = vector_index.VersionedIndex(spark, str(tmp_path), evidence.embedding)
     assert index.build(rows) == vector_index.Built(1, 2, 0, 0) and index.read().count() == 2
     assert index.build(rows).embedded == 0
+
+
+def test_a_build_shuffles_whole_rows_once(spark, tmp_path):
+    """Where nothing is broadcast, texts are dealt by id, and not again for rows of one id."""
+    rng = random.Random(2)
+    rows = [(i, f"{rng.getrandbits(8000):x}") for i in range(1000)]
+    index = vector_index.VersionedIndex(spark, str(tmp_path), lambda t: evidence.embedding(t, 8))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("one build", "one build")
+    try:
+        index.build(spark.createDataFrame(rows, "id long, text string"))
+    finally:
+        spark.sparkContext.setJobGroup("others", "others")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("one build") for s in tracker.getJobInfo(j).stageIds}
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < shuffled < 1.5 * sum(len(t) for _, t in rows)
+    assert index.read().count() == 1000
+
+
+def test_vectors_of_words(spark, monkeypatch):
+    """Against a count of each word's slot, for odd texts, in slices of any size and with few remembered words."""
+    texts = [None, "", " -- ", "Quay 7, quay", "İx K 한9", "a" * 40 + " b", "b " * 500, "\U00010400z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    got = {r["i"]: r["v"] for r in rows.select("i", evidence.embedding(F.col("text"), 8).alias("v")).collect()}
+    want = []
+    for text in texts:
+        counts = np.zeros(8)
+        for word in re.findall("[a-z0-9]+", (text or "").lower()):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 8] += 1
+        want.append((counts / (np.sqrt((counts**2).sum()) or 1)).tolist())
+    assert [got[i] for i in range(len(texts))] == want
+    monkeypatch.setattr(evidence, "REMEMBERED", 1)
+    for size in (1, 30, 1 << 20):
+        monkeypatch.setattr(evidence, "SLICE_BYTES", size)
+        assert evidence.hashed(pa.array(["skipped", *[(t or "").lower() for t in texts]])[1:], 8).to_pylist() == want
+    assert evidence.hashed(pa.array([], pa.string()), 8).to_pylist() == []

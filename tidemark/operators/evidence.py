@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,8 @@ TRAFFIC_WORDS = (
 # End of the fixed values.
 
 DIMENSIONS, STRICT = 64, 0.42
+#: Words whose hashes a Python worker remembers, and bytes of text that it splits at a time.
+REMEMBERED, SLICE_BYTES = 1 << 19, 8 << 20
 REFUSAL = "There is no evidence in the data for an answer; widen the filters or add data."
 
 
@@ -150,18 +156,57 @@ class ChunkFilters:
         return test
 
 
+#: Bytes that words are made of stay, all others become blanks.
+_BLANKED = np.array([b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for b in range(256)], np.uint8)
+_hashes: dict[bytes, int] = {}
+
+
+def _hash(word: bytes) -> int:
+    """The first 32 bits of the word's MD5; words of up to 32 bytes are remembered, REMEMBERED at most."""
+    number = _hashes.get(word)
+    if number is None:
+        number = int.from_bytes(hashlib.md5(word, usedforsecurity=False).digest()[:4], "big")
+        if len(_hashes) < REMEMBERED and len(word) <= 32:
+            _hashes[word] = number
+    return number
+
+
+def _counted(texts: pa.Array, ends: np.ndarray, dimensions: int) -> np.ndarray:
+    """Counts of words by slot, a row a text; ends: the texts' offsets."""
+    data = _BLANKED[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    blanked = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(data))
+    lists = pc.ascii_split_whitespace(blanked)  # runs of blanks; at a text's ends they leave empty words
+    words = lists.flatten().dictionary_encode()
+    own = words.dictionary.cast(pa.binary()).to_pylist()
+    slots = np.array([_hash(w) % dimensions if w else -1 for w in own], np.int64)[words.indices.to_numpy()]
+    rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    there = slots >= 0
+    return np.bincount(rows[there] * dimensions + slots[there], minlength=len(lists) * dimensions).reshape(-1, dimensions).astype(np.float64)
+
+
+def hashed(texts: pa.Array, dimensions: int) -> pa.Array:
+    """Unit vectors of the words of texts in small letters, without nulls; zeros for a text without words. SLICE_BYTES are in work at a time."""
+    texts = texts.cast(pa.string())
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    out, at = np.zeros((n, dimensions)), 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        counts = _counted(texts, ends[at : upto + 1], dimensions)
+        length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        np.divide(counts, length, out=out[at:upto], where=length > 0)
+        at = upto
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions, dtype=np.int32)), pa.array(out.ravel()))
+
+
 def embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A unit vector of hashed words, by functions alone: the plug for a model's vectors where there is no model."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    slots = F.transform(words, lambda w: (F.conv(F.left(F.md5(w.cast("binary")), F.lit(8)), 16, 10).cast("long") % dimensions).cast("int"))
-    counts = F.transform(
-        F.array(slots),
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"),
-        ),
-    )[0]
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.when(square(v) > 0, x / F.sqrt(square(v))).otherwise(0.0)))[0]
+    """A unit vector of hashed words, by batches in tasks: the plug for a model's vectors where there is no model."""
+
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return hashed(texts, dimensions)
+
+    return vectors(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def unit(vector: Column) -> Column:

@@ -226,16 +226,18 @@ class VersionedIndex:
         known = self.versions()
         last = max(known, default=0)
         key = F.col(self.id).cast("string")
-        own = chunks.filter(F.col(self.id).isNotNull()).withColumn("_hash", F.sha2(F.to_json(F.struct(*[F.col(c) for c in chunks.columns])), 256))
-        hashes = own.groupBy(key.alias("id")).agg(F.min("_hash").alias("hash"))
+        content = F.sha2(F.to_json(F.struct(*[F.col(c) for c in chunks.columns])), 256)
+        own = chunks.filter(F.col(self.id).isNotNull()).withColumn("_id", key)
+        hashes = own.groupBy(F.col("_id").alias("id")).agg(F.min(content).alias("hash"), F.count("*").alias("rows"))
         old = self._manifest(last) if known else self.spark.createDataFrame([], "id string, hash string, part string")
         old = old.select("id", F.col("hash").alias("old_hash"), "part")
         tag = uuid.uuid4().hex[:12]
         part = f"vectors-{last + 1:06d}-{tag}"
         both = written(hashes.join(old, "id", "full_outer"), "compared")  # hashes and names alone
-        fresh = both.filter("hash is not null and not (hash <=> old_hash)").select(F.col("id").alias("_id"), F.col("hash").alias("_wanted"))
-        picked = own.join(fresh, (key == F.col("_id")) & (F.col("_hash") == F.col("_wanted")), "left_semi").dropDuplicates([self.id])
-        picked.drop("_hash").withColumn("embedding", self.embed(F.col("text"))).write.parquet(f"{self.folder}/{part}")
+        fresh = both.filter("hash is not null and not (hash <=> old_hash)").select(F.col("id").alias("_id"), F.col("hash").alias("_wanted"), F.col("rows").alias("_rows"))
+        # a row that is alone with its id isn't hashed again; whole rows are dealt by id, once
+        picked = own.join(fresh, "_id").filter((F.col("_rows") == 1) | (content == F.col("_wanted"))).dropDuplicates(["_id"]).select(*chunks.columns)
+        picked.withColumn("embedding", self.embed(F.col("text"))).write.parquet(f"{self.folder}/{part}")
         manifest = both.filter("hash is not null").select("id", "hash", F.when(F.expr("hash <=> old_hash"), F.col("part")).otherwise(F.lit(part)).alias("part"))
         manifest.write.parquet(f"{self.folder}/manifest-{tag}")
         n = self._sums(both)
