@@ -101,15 +101,34 @@ def _lookup(values: dict[str, object], key: Column, default: object) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(float(default) if isinstance(default, (int, float)) else default))
 
 
-def add_factors(rows: DataFrame, factors: dict | None = None) -> DataFrame:
-    """Factors of each row's vessel_class and mode; literal maps of bounded size, so no join and no shuffle.
-
-    Unknown classes have those of `unknown`, unknown fuels and engines those of the defaults, unknown modes MISSING_*.
-    Columns mcr_kw, ref_speed_kn, fuel_type, engine_family and aux_power_kw that rows have already come first, where set.
-    """
-    stated = {c: f"_own_{c}" for c in ("mcr_kw", "ref_speed_kn", "fuel_type", "engine_family", "aux_power_kw") if c in rows.columns}
-    rows = rows.withColumnsRenamed(stated)
-    f = factors or registry()
+def _by_class_and_mode(rows: DataFrame, f: dict) -> DataFrame:
+    """The factors of add_factors() where rows state none: one look-up a row, in a literal map of all classes and modes and of others."""
+    other = "other"
+    modes = dict.fromkeys([*f["modes"], *f["aux_kw"], *(m for t in (f["nox"], f["pm"]) for own in t.values() for m in own)])
+    classes = dict.fromkeys([*f["vessels"], *(c for own in f["aux_kw"].values() for c in own)])
+    cells = {}
+    for c in (*classes, None):
+        mcr, speed, fuel, engine = f["vessels"].get(c, f["vessels"]["unknown"])
+        family = engine if engine in f["nox"] else DEFAULT_ENGINE
+        co2, wtt = f["fuels"].get(fuel, f["fuels"][DEFAULT_FUEL])
+        for m in (*modes, None):
+            power = f["aux_kw"].get(m, {})
+            main, aux, sulfur = f["modes"].get(m, (MISSING_SFC_MAIN, MISSING_SFC_AUX, MISSING_SULFUR))
+            cells[c, m] = {
+                "mcr_kw": mcr, "ref_speed_kn": speed, "fuel_type": fuel, "engine_family": engine, "aux_power_kw": power.get(c, power.get("unknown", MISSING_AUX_KW)),
+                "sfc_main": main, "sfc_aux": aux, "sulfur": sulfur, "co2_factor": co2, "wtt_factor": wtt,
+                "nox_factor": f["nox"].get(family, {}).get(m, MISSING_NOX), "pm_factor": f["pm"].get(family, {}).get(m, MISSING_PM),
+            }
+    name = lambda x: other if x is None else f"={x}"
+    value = lambda cell: F.struct(*[F.lit(v if isinstance(v, str) else float(v)).alias(k) for k, v in cell.items()])
+    table = F.create_map(*[x for (c, m), cell in cells.items() for x in (F.lit(f"{name(c)}|{name(m)}"), value(cell))])
+    known = lambda c, names: F.when(F.col(c).isin(*names), F.concat(F.lit("="), F.col(c))).otherwise(other)
+    own = rows.withColumn("_factors", F.try_element_at(table, F.concat_ws("|", known("vessel_class", classes), known("mode", modes))))
+    return own.withColumns({k: F.col("_factors")[k] for k in cells[None, None]}).drop("_factors")
+
+
+def _by_stated(rows: DataFrame, f: dict, stated: dict[str, str]) -> DataFrame:
+    """The factors of add_factors() where rows state some, in the columns that `stated` names."""
     cls, mode = F.col("vessel_class"), F.col("mode")
     column = lambda k: {c: v[k] for c, v in f["vessels"].items()}
     own = rows
@@ -131,9 +150,21 @@ def add_factors(rows: DataFrame, factors: dict | None = None) -> DataFrame:
         "nox_factor": _lookup(flat(f["nox"]), engine_mode, MISSING_NOX),
         "pm_factor": _lookup(flat(f["pm"]), engine_mode, MISSING_PM),
     })
-    return own.drop(*stated.values()).withColumn(
+    return own.drop(*stated.values())
+
+
+def add_factors(rows: DataFrame, factors: dict | None = None) -> DataFrame:
+    """Factors of each row's vessel_class and mode; literal maps of bounded size, so no join and no shuffle.
+
+    Unknown classes have those of `unknown`, unknown fuels and engines those of the defaults, unknown modes MISSING_*.
+    Columns mcr_kw, ref_speed_kn, fuel_type, engine_family and aux_power_kw that rows have already come first, where set.
+    """
+    stated = {c: f"_own_{c}" for c in ("mcr_kw", "ref_speed_kn", "fuel_type", "engine_family", "aux_power_kw") if c in rows.columns}
+    f = factors or registry()
+    own = _by_stated(rows.withColumnsRenamed(stated), f, stated) if stated else _by_class_and_mode(rows, f)
+    return own.withColumn(
         "fallback_factor_flag",
-        (cls == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE),
+        (F.col("vessel_class") == "unknown") | (F.col("fuel_type") == DEFAULT_FUEL) | (F.col("engine_family") == DEFAULT_ENGINE),
     )
 
 

@@ -136,8 +136,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Positions with visits, modes, intervals, factors and emissions; vessel types follow from vessel numbers."""
+def _timed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Positions with visits, modes and intervals; vessel types follow from vessel numbers."""
     kinds = F.element_at(
         F.array(*map(F.lit, ("oil tanker", "bulk carrier", "container ship", "passenger ship", "pilot", "yacht"))),
         (F.col("mmsi") % 6 + 1).cast("int"),
@@ -146,8 +146,16 @@ def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
     # the as-of join deals rows by vessel, and all that follows keeps to that
     own = trajectory.lagged(trajectory.attach_visits(trajectory.ranged(own), _near_visits(spark, d), keep_null=False))
     own = emissions.assign_modes(own.withColumn("speed_estimated_kn", F.least(F.col("speed_estimated_kn"), F.lit(25.0))))
-    own = trajectory.repaired_intervals(own).withColumn("vessel_class", vessel_class(kinds))
-    return emissions.row_emissions(emissions.add_factors(own))
+    return trajectory.repaired_intervals(own).withColumn("vessel_class", vessel_class(kinds))
+
+
+def _emitted(rows: DataFrame) -> DataFrame:
+    return emissions.row_emissions(emissions.add_factors(rows))
+
+
+def _inventory_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Positions with visits, modes, intervals, factors and emissions."""
+    return _emitted(_timed_rows(spark, d))
 
 
 def _values(table: dict, *columns: str) -> str:
@@ -212,8 +220,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _PARAMS = "v1"
 
 
+#: What a segment's totals follow from; segments are cut on these alone, and emissions are added to rows that are cut.
+_CUT = (
+    "mmsi", "_range", "event_id", "ts", "latitude", "longitude", "mode", "speed_kn", "speed_interpolated", "duration_h", "ais_gap_flag",
+    "call_id", "port_key", "vessel_class",
+)
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return emissions.with_evidence(emissions.segment_totals(trajectory.segments(_inventory_rows(spark, d), call="call_id")), _PARAMS)
+    cut = trajectory.segments(_timed_rows(spark, d).select(*_CUT), call="call_id")
+    return emissions.with_evidence(emissions.segment_totals(_emitted(cut)), _PARAMS)
 
 
 def _daily_port(segments: DataFrame) -> DataFrame:
@@ -260,7 +276,8 @@ SELECT port_key, rows, coalesce(calls, 0) AS calls, round(h, 4) AS total_duratio
   CASE WHEN b < 1 THEN 'unstable baseline' WHEN longest > 240 OR largest_t > 500 THEN 'warning' ELSE 'checked' END AS sanity_status
 FROM w LEFT JOIN p USING (port_key) LEFT JOIN base USING (port_key)""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    segments = written(_segments(spark, d), "segments")  # a mart, which is read more than once
+    needed = ("segment_id", "call_id", "port_key", "timestamp_start", "row_count", "duration_h", "fallback_usage_ratio", "rel_sigma", *emissions.POLLUTANTS)
+    segments = written(_segments(spark, d).select(*needed), "segments")  # a mart, which is read more than once
     own = emissions.scope_diagnostics(segments, "wtw_co2e_t", ["port_key"], _daily_port(segments))
     return own.select(
         "port_key", "rows", "calls", _r("total_duration_h", 4), _r("total_t", 4), _r("mean_t", 4), _r("median_t", 4), "repeated",
